@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import sharding, tokenise
+from . import html, language, mixing, sharding, tokenise
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -21,8 +22,27 @@ def op4_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digest=True)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out("doc_id")
+    model = language.fit(language.sample(docs, ~held))
+    judged = language.identify(docs, model, keep=["doc_id"])
+    return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), labels.select("doc_id", weight.alias("quality")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_sharding, op4_tokenise]
+    own = [op2_sharding, op4_tokenise, op6_language, op8_mixing, op10_html]
     return {f.__name__: f for f in own}
 
 
