@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import html, language, mixing, sharding, tokenise
+from . import fingerprint, html, language, mixing, sharding, tokenise
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op4_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digest=True)
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language.held_out("doc_id")
@@ -42,7 +46,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_sharding, op4_tokenise, op6_language, op8_mixing, op10_html]
+    own = [op2_sharding, op4_tokenise, op5_fingerprint, op6_language, op8_mixing, op10_html]
     return {f.__name__: f for f in own}
 
 
