@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import fingerprint, html, language, mixing, sharding, tokenise
+from . import fingerprint, html, language, mixing, neardup, sharding, sql, substring, tokenise
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"), substring.Rule(window=50))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
@@ -34,6 +38,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = neardup.Rule(width=3, percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
@@ -46,9 +55,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_sharding, op4_tokenise, op5_fingerprint, op6_language, op8_mixing, op10_html]
+    own = [op1_substring, op2_sharding, op4_tokenise, op5_fingerprint, op6_language, op7_neardup, op8_mixing, op10_html]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.BY_QUERY)
