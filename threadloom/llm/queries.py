@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import fingerprint, html, language, mixing, neardup, sharding, sql, substring, tokenise
+from . import chat, fingerprint, hamming, html, language, mixing, neardup, sharding, sql, substring, tokenise
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digest=True)
 
@@ -50,12 +54,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring, op2_sharding, op4_tokenise, op5_fingerprint, op6_language, op7_neardup, op8_mixing, op10_html]
+    own = [op1_substring, op2_sharding, op3_chat, op4_tokenise, op5_fingerprint, op6_language, op7_neardup, op8_mixing, op9_hamming, op10_html]
     return {f.__name__: f for f in own}
 
 

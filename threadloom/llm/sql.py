@@ -46,4 +46,30 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = d.doc_id
 """
 
-BY_QUERY = {"op1_substring": OP1, "op7_neardup": OP7}
+OP3 = """
+WITH t AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+  FROM conversations GROUP BY conv_id
+),
+c AS (SELECT conv_id, turns, len(turns) AS n FROM t),
+p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM c)),
+one AS (SELECT min(conv_id) AS conv_id, turns, any_value(n) AS n FROM c GROUP BY turns)
+SELECT conv_id, n AS n_turns,
+       array_to_string(list_transform(turns, lambda x:
+         '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>'), chr(10)) AS prompt
+FROM one ANTI JOIN p USING (turns)
+"""
+
+OP9 = """
+WITH v AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')::BIT AS code
+  FROM embeddings
+)
+SELECT query_id, rank, vec_id, distance FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, bit_count(xor(q.code, v.code))::BIGINT AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, v.code)), v.vec_id) AS rank
+  FROM v q, v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id
+) WHERE rank <= 10
+"""
+
+BY_QUERY = {"op1_substring": OP1, "op3_chat": OP3, "op7_neardup": OP7, "op9_hamming": OP9}
