@@ -38,7 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose results have been written on in their turn."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -159,8 +169,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         star = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = written(star, "large-star")
         least = star.groupBy("u").agg(F.min("v").alias("m"))
+        discard(now)
         moved = star.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(star)
         release(spark)
     else:
         raise RuntimeError("connected components did not converge")

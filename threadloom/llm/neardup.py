@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, components, list_column, mix, pieces, python_rows, release, shingle_set, signed, written
+from .common import SPACE, U64, Rolling, components, discard, list_column, mix, pieces, python_rows, release, shingle_set, signed, written
 
 BLOCK = 96
 MISS = 1e-5
@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     family = written(families(classes.select(F.col("class_id").alias("doc_id"), "bands")), "families")
     release(spark)
     links = written(confirmed(docs, family, rule), "confirmed")
+    discard(family)
     release(spark)
     # a class is linked to the other rows of its ids too: one id, one document
     same = signed_docs.where("n_shingles > 0").join(classes.drop("bands"), ["n_shingles", "s1", "s2"])
@@ -231,3 +232,14 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_shingles",
         F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: one of each, all without words."""
+    judged = written(near_duplicates(docs, rule).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), (F.col("n_shingles") > 0).alias("_wordy")), "kept")
+    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    kept = own.join(judged.select("_id"), "_id", "left_semi")
+    if judged.where("_wordy").groupBy("_id").count().where("count > 1").limit(1).count():
+        wordless = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "")) == ""
+        kept = kept.where(wordless).union(kept.where(~wordless).dropDuplicates(["_id"]))
+    return kept.drop("_id")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, hash_words, list_column, mix, pieces, python_rows, release, signed, written
+from .common import U64, Rolling, discard, hash_words, list_column, mix, pieces, python_rows, release, signed, written
 
 NO_ID = (1 << 63) - 1
 _ROLL, _AGAIN = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
@@ -84,8 +84,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
 
 
+def mark(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def outline(docs: DataFrame) -> DataFrame:
-    """doc_id, number of words, sequence hash and the hash of all words, of every row."""
+    """doc_id, a mark of the text, number of words, sequence hash and the hash of all words, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -94,9 +98,9 @@ def outline(docs: DataFrame) -> DataFrame:
                 words = split(text.as_py())
                 rows.append((len(words), sequence_hash(hash_words(words)), hashlib.sha256(b" ".join(words)).hexdigest()))
             n, seq, sha = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(np.array(seq, dtype=U64).view(np.int64)), pa.array(sha)], names=["doc_id", "n_words", "seq", "all_sha256"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(n, pa.int64()), pa.array(np.array(seq, dtype=U64).view(np.int64)), pa.array(sha)], names=["doc_id", "mark", "n_words", "seq", "all_sha256"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, n_words long, seq long, all_sha256 string")
+    return _keyed(docs).withColumn("mark", mark("text")).mapInArrow(run, "doc_id long, mark long, n_words long, seq long, all_sha256 string")
 
 
 def anchors(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -156,9 +160,29 @@ def kept_words(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarra
     return np.cumsum(mark[:-1]) == 0
 
 
+def without_repeats(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """``docs`` with the repeated passages cut from ``text``; rows left without a word go.
+
+    Rows that lose nothing keep their text as it is; the others hold their kept
+    words joined by one space. ``n_chars``, where there is one, follows.
+    """
+    changed = (
+        deduplicate(docs, rule, texts=True)
+        .where("n_removed > 0")
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("mark").alias("_mark"), F.col("kept_text").alias("_kept"))
+        .dropDuplicates(["_id", "_mark"])
+    )
+    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_mark", mark("text"))
+    joined = own.join(changed, ["_id", "_mark"], "left").where(F.col("_kept").isNull() | (F.col("_kept") != ""))
+    values = {"text": F.coalesce("_kept", "text")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+
+
 def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; with ``texts`` also kept_text
-    (the kept words of rows that lost some, else null) and seq, the row's word sequence."""
+    (the kept words of rows that lost some, else null) and the text's mark."""
     spark = docs.sparkSession
     python_rows(spark)
     base = written(outline(docs), "outline")
@@ -173,14 +197,17 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
     placed = flat.select("doc_id", "seq", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc_id", "seq", "x.h", "x.at")
     around = placed.join(shared, "h").groupBy("doc_id", "seq").agg(F.collect_set("at").alias("at"))
     around = written(around.join(first, ["seq", "doc_id"], "left_semi"), "around")
+    discard(shared)
     release(spark)
     runs = written(windows(_keyed(docs), around, rule), "windows")
+    discard(around)
     release(spark)
 
     each = runs.select("doc_id", "seq", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"), "start").select("doc_id", "seq", (F.col("start") + F.col("i")).alias("at"), "h.h1", "h.h2")
     least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead < other").drop("other")
     judged = each.join(least, ["h1", "h2"]).where("doc_id > lead").groupBy("doc_id", "seq").agg(F.collect_set("at").alias("at"))
     judged = written(judged, "judged")
+    discard(runs)
     release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +226,12 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
 
     trimmed = _keyed(docs).join(judged, "doc_id").select("doc_id", "text", "seq", "at").mapInArrow(cut, "doc_id long, seq long, removed long, sha string, left string")
     trimmed = written(trimmed.dropDuplicates(["doc_id", "seq"]), "trimmed")
+    discard(judged)
     own = base.join(first.withColumnRenamed("doc_id", "lead"), "seq", "left")
     copy = (F.col("n_words") >= rule.window) & (F.col("doc_id") > F.col("lead"))
     done = own.join(trimmed, ["doc_id", "seq"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
-    more = [F.when(copy, F.lit("")).otherwise(F.col("left")).alias("kept_text"), F.col("seq")] if texts else []
+    more = [F.when(copy, F.lit("")).otherwise(F.col("left")).alias("kept_text"), F.col("mark")] if texts else []
     return done.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),

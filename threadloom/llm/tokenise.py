@@ -34,7 +34,7 @@ CHUNK, OVERLAP = 1 << 15, 1 << 10
 class Bpe:
     """Ranks and pattern of one vocabulary, with a bounded memory of encoded pieces."""
 
-    remembered = 200_000
+    remembered = 100_000
 
     def __init__(self, rank_file: str, pattern: str):
         import tiktoken
@@ -124,156 +124,41 @@ def stitch(pattern, text: str, parts: list[tuple[int, np.ndarray]]) -> list[int]
     return [*sure.tolist(), *rest]
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+KINDS = {"n_tokens": (pa.int64(), "long"), "ids": (pa.list_(pa.int32()), "array<int>"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
+VALUES = {
+    "n_tokens": lambda coder, ids: len(ids) // 4,
+    "ids": lambda coder, ids: np.frombuffer(ids, dtype="<i4"),
+    "ids_sha256": lambda coder, ids: hashlib.sha256(ids).hexdigest(),
+    "decoded_sha256": lambda coder, ids: hashlib.sha256(coder.decode(ids)).hexdigest(),
+}
 
 
-def _row(coder: Bpe, key, ids: bytes, digest: bool) -> tuple:
-    if digest:
-        return key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
-    return key, np.frombuffer(ids, dtype="<i4")
-
-
-def encode(docs: DataFrame, rank_file: str, pattern: str, digest: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids) of every text, or with ``digest`` the counts and hashes of ids and decoded bytes.
+def encode(docs: DataFrame, rank_file: str, pattern: str, columns: tuple[str, ...] = ("ids",), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id of every text beside ``columns``: its ids, their number, or the hash of them or of their decoded bytes.
 
     Texts of up to ``chunk`` characters are encoded where they are read. Longer
     ones are cut into rows natively, dealt out by (document, chunk) for
     pre-tokenising, and meet again by document for stitching.
     """
-    schema = DIGEST if digest else TOKENS
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
+    schema = pa.schema([("doc_id", pa.int64()), *[(c, KINDS[c][0]) for c in columns]])
+    ddl = ", ".join(["doc_id long", *[f"{c} {KINDS[c][1]}" for c in columns]])
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     python_rows(docs.sparkSession)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(rank_file, pattern)
-        for batch in pieces(batches):
-            out = [_row(coder, key.as_py(), coder.encode(text.as_py(), chunk, overlap), digest) for key, text in zip(batch["doc_id"], batch["text"], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(rank_file, pattern)
-        for batch in pieces(batches):
-            ends = [boundaries(coder.pattern, part.as_py(), at.as_py(), last.as_py()).tolist() for part, at, last in zip(batch["part"], batch["start"], batch["last"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], batch["_copies"], batch["start"], batch["part"], pa.array(ends, pa.list_(pa.int64()))], names=["_row", "doc_id", "_copies", "start", "part", "ends"])
-
-    def join(group: pa.Table) -> pa.Table:
-        coder = bpe(rank_file, pattern)
-        group = group.sort_by("start")
-        text = "".join(p.as_py()[:chunk] for p in group["part"])
-        parts = list(zip(group["start"].to_pylist(), (np.asarray(e.as_py(), dtype=np.int64) for e in group["ends"]), strict=True))
-        ends = stitch(coder.pattern, text, parts)
-        ids = b"".join(map(coder.piece, map(text.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-        out = [[x] for x in _row(coder, group["doc_id"][0].as_py(), ids, digest)]
-        columns = [pa.array(c, t) for c, t in zip(out, schema.types, strict=True)]
-        return pa.Table.from_arrays([group["_copies"][:1].combine_chunks(), *columns], names=["_copies", *schema.names])
-
-    length = F.length("text")
-    short = rows.where(length <= chunk).mapInArrow(whole, ddl)
-    start = F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(chunk)))
-    long = (
-        rows.where(length > chunk)
-        # one document however often its row repeats: copies are counted and put back below
-        .groupBy("doc_id", "text").agg(F.count("*").alias("_copies"))
-        .withColumn("_n", length).withColumn("_row", F.xxhash64("doc_id", "text"))
-        .withColumn("start", start)
-        .select("_row", "doc_id", "_copies", F.col("start").cast("long"), F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("part"), (F.col("start") + chunk + overlap >= F.col("_n")).alias("last"))
-    )
-    parts = long.repartition("_row", "start").mapInArrow(cut, "_row long, doc_id long, _copies long, start long, part string, ends array<long>")
-    joined = parts.groupBy("_row", "doc_id").applyInArrow(join, "_copies long, " + ddl)
-    joined = joined.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return short.union(joined.select(*schema.names))
-
-
-def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
-
-@functools.cache
-def bpe(rank_file: str, pattern: str) -> Bpe:
-    return Bpe(rank_file, pattern)
-
-
-def chunk_starts(n: int, chunk: int) -> range:
-    return range(0, max(n, 1), chunk)
-
-
-def boundaries(pattern, part: str, offset: int, last: bool) -> np.ndarray:
-    """Ends of the pre-tokens of ``part``, as places in the whole text.
-
-    A match that touches the end of a chunk may look different once more text
-    follows, and white space before it too; these ends are left out.
-    """
-    ends = [m.end() for m in pattern.finditer(part)]
-    if not last:
-        kept = len(part.rstrip())
-        while ends and ends[-1] >= kept:
-            ends.pop()
-    return np.asarray(ends, dtype=np.int64) + offset
-
-
-def stitch(pattern, text: str, parts: list[tuple[int, np.ndarray]]) -> list[int]:
-    """The whole text's boundaries from those of its chunks (start, ends).
-
-    Neighbours switch at their first common boundary. Where an overlap holds
-    none (one pre-token longer than it), matching goes on from the last sure
-    boundary until it meets the later chunk.
-    """
-    sure = parts[0][1]
-    for _, later in parts[1:]:
-        common = np.intersect1d(sure[np.searchsorted(sure, later[0]) :], later, assume_unique=True) if len(later) and len(sure) else sure[:0]
-        if len(common):
-            sure = np.concatenate([sure[: np.searchsorted(sure, common[0], "right")], later[np.searchsorted(later, common[0], "right") :]])
-            continue
-        at, known, found = int(sure[-1]) if len(sure) else 0, set(later.tolist()), []
-        stop = int(later[-1]) if len(later) else 0
-        while at < stop:
-            at = pattern.match(text, at).end()
-            found.append(at)
-            if at in known:
-                break
-        sure = np.concatenate([sure, np.asarray(found, dtype=np.int64), later[np.searchsorted(later, at, "right") :]])
-    at = int(sure[-1]) if len(sure) else 0
-    rest = []
-    while at < len(text):
-        at = pattern.match(text, at).end()
-        rest.append(at)
-    return [*sure.tolist(), *rest]
-
-
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
-
-def _row(coder: Bpe, key, ids: bytes, digest: bool) -> tuple:
-    if digest:
-        return key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
-    return key, np.frombuffer(ids, dtype="<i4")
-
-
-def encode(docs: DataFrame, rank_file: str, pattern: str, digest: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids) of every text, or with ``digest`` the counts and hashes of ids and decoded bytes.
-
-    Texts of up to ``chunk`` characters are encoded where they are read. Longer
-    ones are cut into rows natively, dealt out by (document, chunk) for
-    pre-tokenising, and meet again by document for stitching.
-    """
-    schema = DIGEST if digest else TOKENS
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    python_rows(docs.sparkSession)
+    def row(coder: Bpe, key, ids: bytes) -> tuple:
+        return key, *[VALUES[c](coder, ids) for c in columns]
 
+    # vocabularies are loaded with the first rows, not in workers whose partition is empty
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(rank_file, pattern)
         for batch in pieces(batches):
-            out = [_row(coder, key.as_py(), coder.encode(text.as_py(), chunk, overlap), digest) for key, text in zip(batch["doc_id"], batch["text"], strict=True)]
+            coder = bpe(rank_file, pattern)
+            out = [row(coder, key.as_py(), coder.encode(text.as_py(), chunk, overlap)) for key, text in zip(batch["doc_id"], batch["text"], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(rank_file, pattern)
+        cuts_at = regex.compile(pattern)
         for batch in pieces(batches):
-            ends = [boundaries(coder.pattern, part.as_py(), at.as_py(), last.as_py()).tolist() for part, at, last in zip(batch["part"], batch["start"], batch["last"], strict=True)]
+            ends = [boundaries(cuts_at, part.as_py(), at.as_py(), last.as_py()).tolist() for part, at, last in zip(batch["part"], batch["start"], batch["last"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], batch["_copies"], batch["start"], batch["part"], pa.array(ends, pa.list_(pa.int64()))], names=["_row", "doc_id", "_copies", "start", "part", "ends"])
 
     def join(group: pa.Table) -> pa.Table:
@@ -283,9 +168,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, digest: bool = False,
         parts = list(zip(group["start"].to_pylist(), (np.asarray(e.as_py(), dtype=np.int64) for e in group["ends"]), strict=True))
         ends = stitch(coder.pattern, text, parts)
         ids = b"".join(map(coder.piece, map(text.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-        out = [[x] for x in _row(coder, group["doc_id"][0].as_py(), ids, digest)]
-        columns = [pa.array(c, t) for c, t in zip(out, schema.types, strict=True)]
-        return pa.Table.from_arrays([group["_copies"][:1].combine_chunks(), *columns], names=["_copies", *schema.names])
+        out = [[x] for x in row(coder, group["doc_id"][0].as_py(), ids)]
+        values = [pa.array(c, t) for c, t in zip(out, schema.types, strict=True)]
+        return pa.Table.from_arrays([group["_copies"][:1].combine_chunks(), *values], names=["_copies", *schema.names])
 
     length = F.length("text")
     short = rows.where(length <= chunk).mapInArrow(whole, ddl)
@@ -304,10 +189,6 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, digest: bool = False,
     return short.union(joined.select(*schema.names))
 
 
-def _tagged(out: pa.Table, group: pa.Table) -> pa.Table:
-    return out.add_column(0, "_row", pa.array([group["_row"][0].as_py()], pa.int64()))
-
-
 def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(doc_id, raw: binary): the bytes of the ids, joined."""
 
