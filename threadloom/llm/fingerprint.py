@@ -109,7 +109,7 @@ def _buckets(docs: DataFrame) -> DataFrame:
     ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, hi = (float(ends["lo"]), float(ends["hi"])) if ends["lo"] is not None else (0.0, 0.0)
     step = (F.col("doc_id").cast("double") - lo) * (CELLS / (hi - lo + 1.0))
-    cell = F.coalesce(F.least(F.lit(CELLS - 1), F.floor(step)), F.lit(0)).cast("int")
+    cell = F.least(F.lit(CELLS - 1), F.coalesce(F.floor(step), F.lit(0))).cast("int")  # least() would pass over a null
     held = docs.withColumn("_cell", cell)
     found = sorted(held.groupBy("_cell").agg(F.count("*").alias("n"), F.min(key).alias("first")).collect())
     plan, rows = [], BUCKET_ROWS
