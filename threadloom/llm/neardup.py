@@ -132,7 +132,7 @@ def confirmed(docs: DataFrame, family: DataFrame, rule: Rule) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text")
     pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = (
-        texts.join(homed, "node")
+        texts.join(homed.hint("merge"), "node")  # one plan at every size: families grow with the corpus
         .withColumn("_other", pairs)
         .select("component", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "text")
     )
@@ -238,7 +238,7 @@ def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` that stand for their group: one of each, all without words."""
     judged = written(near_duplicates(docs, rule).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), (F.col("n_shingles") > 0).alias("_wordy")), "kept")
     own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    kept = own.join(judged.select("_id"), "_id", "left_semi")
+    kept = own.join(judged.select("_id").hint("merge"), "_id", "left_semi")
     if judged.where("_wordy").groupBy("_id").count().where("count > 1").limit(1).count():
         wordless = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "")) == ""
         kept = kept.where(wordless).union(kept.where(~wordless).dropDuplicates(["_id"]))
