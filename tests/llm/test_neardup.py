@@ -87,3 +87,16 @@ def test_one_of_each_group_stays(docs):
     text = " ".join(f"w{i}" for i in range(40))
     kept = neardup.without_near_duplicates(docs([(1, text), (2, text + " end"), (3, "other words here"), (3, "other words here"), (4, ""), (5, "")]))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
+
+
+def test_word_hashes_follow_words():
+    from threadloom.llm.common import hash_words
+
+    rng = random.Random(8)
+    raw = b"".join(rng.choice([b" ", b"\n", b"\x0b\t", b"ab", b"c", "é\xa0".encode(), b"\x1c", b"abc " * 9]) for _ in range(4000))
+    words = raw.split()
+    for block in (1, 7, 100, 1 << 20):
+        got = hash_words(raw, block).tolist()
+        assert len(got) == len(words)
+        assert dict(zip(words, got)) == dict(zip(reversed(words), reversed(got))) and len(set(got)) == len(set(words))
+    assert len(hash_words(b"")) == 0 and len(hash_words(b"  ")) == 0

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,27 +58,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash. Bounded: starts anew beyond ``limit`` words."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-@functools.cache
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(word_hashes().__getitem__, words), dtype=U64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit (splitmix64's finaliser)."""
     x = x ^ (x >> U64(30))
@@ -106,7 +84,7 @@ class Rolling:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self._up = self._down = odd_powers(1, 1)
 
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
             size = max(n, 2 * len(self._up), 4096)
             self._up, self._down = odd_powers(self.base, size), odd_powers(self.inverse, size)
@@ -116,19 +94,48 @@ class Rolling:
         n = len(values)
         if n < w:
             return np.empty(0, dtype=U64)
-        up, down = self._powers(n)
+        up, down = self.powers(n)
         prefix = np.zeros(n + 1, dtype=U64)
         np.cumsum(values * up[:n], out=prefix[1:])
         return mix((prefix[w:] - prefix[:-w]) * down[: n - w + 1])
 
 
-def shingle_set(words: list[bytes], w: int, roll: Rolling) -> np.ndarray:
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_NEXT_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_BYTES = Rolling(0xA24BAED4963EE407)
+
+
+def hash_words(raw: bytes, block: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order.
+
+    Read off prefix sums over the bytes, so no word becomes an object; long texts
+    go block by block, cut at white space.
+    """
+    buffer, out, at = np.frombuffer(raw, dtype=np.uint8), [], 0
+    while at < len(raw):
+        end = at + block
+        if end < len(raw):
+            gap = _NEXT_GAP.search(raw, end)
+            end = gap.start() if gap else len(raw)
+        b = buffer[at:end]
+        at = end
+        gaps = np.ones(len(b) + 2, dtype=np.int8)
+        gaps[1:-1] = _GAP[b]
+        edges = np.flatnonzero(np.diff(gaps))
+        starts, ends = edges[0::2], edges[1::2]
+        up, down = _BYTES.powers(len(b))
+        prefix = np.zeros(len(b) + 1, dtype=U64)
+        np.cumsum((b + U64(1)) * up[: len(b)], out=prefix[1:])
+        out.append(mix((prefix[ends] - prefix[starts]) * down[starts] ^ (ends - starts).astype(U64)))
+    return out[0] if len(out) == 1 else np.concatenate([np.empty(0, dtype=U64), *out])
+
+
+def shingle_set(raw: bytes, w: int, roll: Rolling) -> np.ndarray:
     """Sorted distinct hashes of w-word shingles; fewer words: the sequence as one; none: empty."""
-    if not words:
-        return np.empty(0, dtype=U64)
-    values = hash_words(words)
-    if len(words) < w:
-        return roll.windows(values, len(words))
+    values = hash_words(raw)
+    if len(values) < w:
+        return roll.windows(values, len(values)) if len(values) else values
     return np.unique(roll.windows(values, w))
 
 

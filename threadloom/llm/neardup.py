@@ -65,7 +65,7 @@ class Rule:
 
     def shingles(self, text: str | None) -> np.ndarray:
         raw = (text or "").encode()
-        return shingle_set((raw.lower() if self.lower else raw).split(), self.width, _ROLL)
+        return shingle_set(raw.lower() if self.lower else raw, self.width, _ROLL)
 
 
 def permutations(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,8 @@ mean shuffling every window; difference-cover anchors avoid that:
    Only those runs are hashed and counted (about |D| / period of all places).
 2. Anchors held by two different texts point at the windows around them. Only
    these are extended to whole windows and hashed (128 bits), whose smallest
-   document decides.
+   document decides. What a text repeats within itself is sent once and found
+   again at all its places when the text is next read.
 3. Each document drops the words that its judged windows cover.
 
 Documents of equal word sequences are one text: its smallest id keeps what the
@@ -71,8 +72,8 @@ class Rule:
         return at[at <= n - self.anchor]
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
+def raw(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode()
 
 
 def sequence_hash(values: np.ndarray) -> int:
@@ -95,8 +96,9 @@ def outline(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             rows = []
             for text in batch["text"]:
-                words = split(text.as_py())
-                rows.append((len(words), sequence_hash(hash_words(words)), hashlib.sha256(b" ".join(words)).hexdigest()))
+                own = raw(text)
+                values = hash_words(own)
+                rows.append((len(values), sequence_hash(values), hashlib.sha256(b" ".join(own.split())).hexdigest()))
             n, seq, sha = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(n, pa.int64()), pa.array(np.array(seq, dtype=U64).view(np.int64)), pa.array(sha)], names=["doc_id", "mark", "n_words", "seq", "all_sha256"])
 
@@ -104,52 +106,59 @@ def outline(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, seq, hashes, places) of every text of at least a window."""
+    """(doc_id, seq, hashes, first places) of the distinct anchors of every text of at least a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             ids, seqs, hashes, places = [], [], [], []
             for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-                values = hash_words(split(text.as_py()))
+                values = hash_words(raw(text))
                 at = rule.places(len(values))
                 if len(at):
+                    h, first = np.unique(_ROLL.windows(values, rule.anchor)[at], return_index=True)
                     ids.append(key.as_py())
                     seqs.append(sequence_hash(values))
-                    hashes.append(signed(_ROLL.windows(values, rule.anchor)[at]))
-                    places.append(at.astype(np.int32))
+                    hashes.append(signed(h))
+                    places.append(at[first].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(seqs, dtype=U64).view(np.int64)), list_column(hashes, pa.int64()), list_column(places, pa.int32())], names=["doc_id", "seq", "h", "at"])
 
     return _keyed(docs).mapInArrow(run, "doc_id long, seq long, h array<long>, at array<int>")
 
 
 def windows(docs: DataFrame, around: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, seq, text, start, h1, h2): runs of neighbouring windows around shared anchors."""
+    """(doc_id, seq, at, h1, h2): first places and hashes of the distinct windows around shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            ids, seqs, starts, first, second = [], [], [], [], []
+            ids, seqs, firsts, first, second = [], [], [], [], []
             for key, text, seq, at in zip(*(batch[c] for c in ("doc_id", "text", "seq", "at")), strict=True):
-                values = hash_words(split(text.as_py()))
+                values = hash_words(raw(text))
                 if sequence_hash(values) != seq.as_py() & ((1 << 64) - 1):
                     continue  # another row of this id
                 last = len(values) - rule.window
                 mark = np.zeros(last + 2, dtype=np.int32)
-                places = np.asarray(at.as_py(), dtype=np.int64)
+                places = rule.places(len(values))
+                places = places[repeats(_ROLL.windows(values, rule.anchor), places, at.as_py())]
                 # windows that contain the anchor begin at most period - 1 words before it
                 np.add.at(mark, np.maximum(places - rule.period + 1, 0), 1)
                 np.add.at(mark, np.minimum(places, last) + 1, -1)
-                chosen = np.cumsum(mark[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], chosen.view(np.int8), [0]])))
-                one, two = signed(_ROLL.windows(values, rule.window)), signed(_AGAIN.windows(values, rule.window))
-                for lo, hi in edge.reshape(-1, 2):
-                    ids.append(key.as_py())
-                    seqs.append(seq.as_py())
-                    starts.append(int(lo))
-                    first.append(one[lo:hi])
-                    second.append(two[lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(starts, pa.int32()), list_column(first, pa.int64()), list_column(second, pa.int64())], names=["doc_id", "seq", "start", "h1", "h2"])
+                chosen = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                one, two = _ROLL.windows(values, rule.window), _AGAIN.windows(values, rule.window)
+                _, once = np.unique(one[chosen], return_index=True)
+                chosen = chosen[np.sort(once)]
+                ids.append(key.as_py())
+                seqs.append(seq.as_py())
+                firsts.append(chosen.astype(np.int32))
+                first.append(signed(one[chosen]))
+                second.append(signed(two[chosen]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), list_column(firsts, pa.int32()), list_column(first, pa.int64()), list_column(second, pa.int64())], names=["doc_id", "seq", "at", "h1", "h2"])
+
+    return docs.join(around.hint("merge"), "doc_id").select("doc_id", "text", "seq", "at").mapInArrow(run, "doc_id long, seq long, at array<int>, h1 array<long>, h2 array<long>")
 
-    return docs.join(around, "doc_id").select("doc_id", "text", "seq", "at").mapInArrow(run, "doc_id long, seq long, start int, h1 array<long>, h2 array<long>")
+
+def repeats(hashes: np.ndarray, places: np.ndarray, chosen: list[int]) -> np.ndarray:
+    """Which of ``places`` hold a hash that some chosen place of the same text holds."""
+    return np.isin(hashes[places], hashes[np.asarray(chosen, dtype=np.int64)])
 
 
 def kept_words(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
@@ -203,7 +212,7 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
     discard(around)
     release(spark)
 
-    each = runs.select("doc_id", "seq", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"), "start").select("doc_id", "seq", (F.col("start") + F.col("i")).alias("at"), "h.h1", "h.h2")
+    each = runs.select("doc_id", "seq", F.explode(F.arrays_zip("at", "h1", "h2")).alias("x")).select("doc_id", "seq", "x.at", "x.h1", "x.h2")
     least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead < other").drop("other")
     judged = each.join(least, ["h1", "h2"]).where("doc_id > lead").groupBy("doc_id", "seq").agg(F.collect_set("at").alias("at"))
     judged = written(judged, "judged")
@@ -214,17 +223,20 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
         for batch in pieces(batches):
             rows = []
             for key, text, seq, at in zip(*(batch[c] for c in ("doc_id", "text", "seq", "at")), strict=True):
-                words = split(text.as_py())
-                if sequence_hash(hash_words(words)) != seq.as_py() & ((1 << 64) - 1):
+                words = raw(text).split()
+                values = hash_words(raw(text))
+                if sequence_hash(values) != seq.as_py() & ((1 << 64) - 1):
                     continue
-                keep = kept_words(words, np.asarray(at.as_py(), dtype=np.int64), rule.window)
+                every = _ROLL.windows(values, rule.window)
+                starts = np.flatnonzero(repeats(every, np.arange(len(every)), at.as_py()))
+                keep = kept_words(words, starts, rule.window)
                 left = b" ".join(compress(words, keep.tolist()))
                 rows.append((key.as_py(), seq.as_py(), int(len(words) - keep.sum()), hashlib.sha256(left).hexdigest(), left.decode() if texts else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "seq", "removed", "sha", "left"])
 
-    trimmed = _keyed(docs).join(judged, "doc_id").select("doc_id", "text", "seq", "at").mapInArrow(cut, "doc_id long, seq long, removed long, sha string, left string")
+    trimmed = _keyed(docs).join(judged.hint("merge"), "doc_id").select("doc_id", "text", "seq", "at").mapInArrow(cut, "doc_id long, seq long, removed long, sha string, left string")
     trimmed = written(trimmed.dropDuplicates(["doc_id", "seq"]), "trimmed")
     discard(judged)
     own = base.join(first.withColumnRenamed("doc_id", "lead"), "seq", "left")
