@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import conversations
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [conversations]
 
 
 def all_queries() -> dict[str, Query]:
-    return {}
+    return {q.__name__: q for m in MODULES for q in m.QUERIES}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
