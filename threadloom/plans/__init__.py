@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations
+from . import conversations, handoff
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [conversations]
+MODULES = [conversations, handoff]
 
 
 def all_queries() -> dict[str, Query]:
