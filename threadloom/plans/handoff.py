@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checkpoint, explain, extraction, incremental, quality, state
+from ..operators import checkpoint, explain, extraction, incremental, quality, recap, state
 from ..session import table
 from .conversations import turns
 
@@ -65,6 +65,12 @@ def extraction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.metrics(_records(spark, sf_dir)).select("conv", "chunks", "parse_rate", "topic_rate", "goals_rate", "objective_rate")
 
 
+def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recap.merge(_records(spark, sf_dir))
+    one = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select("conv", F.col("chunks").cast("long").alias("chunks"), "topic", one("goals"), one("next_steps"), one("decisions"), "summary", "parse_ok")
+
+
 def page_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
     return rows.select("page_id", quality.path_archetype(F.col("url")).alias("by_path"), quality.archetype(F.col("url"), F.col("html")).alias("archetype"))
@@ -94,7 +100,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [mock_extraction, briefings, explanations, briefing_rubric, checkpoint_records, state_analysis, extraction_metrics, page_archetypes, incremental_reuse, newest_events, quality_report]
+QUERIES = [mock_extraction, briefings, explanations, briefing_rubric, checkpoint_records, state_analysis, extraction_metrics, merged_records, page_archetypes, incremental_reuse, newest_events, quality_report]
 
 # ---- the same results in SQL ----
 
