@@ -129,3 +129,82 @@ def test_whole_run(spark):
     same = pipeline.parity(pipeline.run(df, options), pipeline.run(df, options)).collect()
     assert all(r.same_action and r.completed_work == 1.0 for r in same)
     assert pipeline.grown(df).where("conv = 2").first().conversation == "Just a short note.\n\nte."
+
+
+def test_update_reuses_what_did_not_change(spark):
+    options = pipeline.Options(chunking=chunking.Chunking(chunk=300, overlap=0, whole=200), budget=50)
+    columns = "conv long, conversation string, label string, archetype string"
+    old = transcript(2, 8)
+    prior = spark.createDataFrame([(1, old, "a", "mixed"), (2, old, "b", "mixed")], columns)
+    cache = pipeline.records(prior, options).withColumn("updated_at", F.lit(1))
+    new = spark.createDataFrame([(1, old + "\n\n" + transcript(3, 3), "a", "mixed"), (2, "edited " + old, "b", "mixed")], columns)
+    records, lineage, rejected = pipeline.update(new, prior, cache, options)
+    line = lineage.first()
+    assert line.conv == 1 and line.chunks_reused and line.chunks_extracted
+    assert max(line.chunks_reused) < max(line.chunks_extracted)
+    assert sorted(r.chunk_index for r in records.collect()) == sorted(line.chunks_reused + line.chunks_extracted)
+    assert [r.conv for r in rejected.collect()] == [2]
+
+
+def test_events_follow_a_run(spark):
+    df = spark.createDataFrame([(1, "Just a short note.", "", "mixed")], "conv long, conversation string, label string, archetype string")
+    out = pipeline.events(df).orderBy("position").collect()
+    assert [r.type for r in out] == ["started", "ranked", "progress", "building", "complete"]
+    assert '"chunk_count":1' in out[0].payload and "## PROJECT" in out[-1].payload
+
+
+def test_commands(spark, tmp_path, capsys):
+    from threadloom import cli
+
+    (tmp_path / "talk.txt").write_text(transcript(4, 3))
+    path, store = str(tmp_path / "talk.txt"), str(tmp_path / "store")
+    assert cli.main(["continue", path], spark) == 0 and "## PROJECT\n\ntalk" in capsys.readouterr().out
+    assert cli.main(["export", path, "--target", "claude", "--label", "L"], spark) == 0 and "Continue this conversation (L)." in capsys.readouterr().out
+    assert cli.main(["inspect", path], spark) == 0 and '"strategy": "full"' in capsys.readouterr().out
+    assert cli.main(["benchmark", path], spark) == 0
+    assert cli.main(["checkpoint", path, "--store", store], spark) == 0
+    assert cli.main(["resume", "talk", "--store", store], spark) == 0 and "Next Action:" in capsys.readouterr().out
+    assert cli.main(["resume", "gone", "--store", store], spark) == 2
+    (tmp_path / "empty.txt").write_text(" ")
+    assert cli.main(["explain", str(tmp_path / "empty.txt")], spark) == 2
+    assert cli.main(["unknown"], spark) == 2
+
+
+def test_requests(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+    from http.server import HTTPServer
+
+    from threadloom import cli
+
+    server = HTTPServer(("127.0.0.1", 0), cli.handler(spark, str(tmp_path / "store")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def call(path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", None if body is None else json.dumps(body).encode())
+        try:
+            with urllib.request.urlopen(request, timeout=120) as answer:
+                return answer.status, json.loads(answer.read())
+        except urllib.error.HTTPError as error:
+            return error.code, json.loads(error.read())
+
+    assert call("/health")[1]["status"] == "ok" and call("/none")[0] == 404
+    assert call("/v1/extract", {"transcript": " "})[0] == 400
+    assert call("/v1/extract", {"transcript": "A short talk."})[1]["briefing"].startswith("## PROJECT")
+    assert call("/v1/checkpoint", {"transcript": "A short talk.", "project": "p"})[1]["project"] == "p"
+    assert "Next Action" in call("/v1/resume", {"project": "p"})[1]["text"]
+    assert call("/v1/resume", {"project": "q"})[0] == 404
+    server.shutdown()
+
+
+def test_rendered_texts_parse_back(spark):
+    from threadloom.functions import text as T
+
+    t = spark.createDataFrame([("## PROJECT\n\nx\n\nObjective:\na\n- b\n\nNext Action:\nGo: now",)], "t string")
+    assert t.select(T.sections(F.col("t"), ("Objective", "Next Action")).alias("m")).first().m == {"Objective": "a\n- b", "Next Action": "Go: now"}
+    e = spark.createDataFrame([("failed at /a/b/model.json with adapter_x  now",), ("lora",)], "t string")
+    assert [r[0] for r in e.select(T.sanitized_error(F.col("t"))).collect()] == ["failed at [model] with now", "Something went wrong. Try again with --verbose for details."]
+    i = spark.createDataFrame([(["a", "b", " A"],), (["a", "b"],)], "i array<string>")
+    assert [r[0] for r in i.select(T.first_repeat(F.col("i"))).collect()] == [2, -1]

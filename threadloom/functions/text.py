@@ -138,7 +138,44 @@ def delta(prior: Column, new: Column) -> Column:
 
 def grown(text: Column, ratio: float = 0.2) -> Column:
     """A text with its last part written once more, as growth for tests."""
-    return F.concat(text, F.lit("\n\n"), F.right(text, F.greatest(F.lit(1), F.floor(F.length(text) * ratio)).cast("int")))
+    bare = strip(F.coalesce(text, F.lit("")))
+    last = F.right(bare, F.greatest(F.lit(1), F.floor(F.length(bare) * ratio)).cast("int"))
+    more = F.when(bare == "", F.lit("Additional follow-up messages appended for incremental benchmark.")).otherwise(strip(last))
+    return F.concat(F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SPACES}+\z", ""), F.lit("\n\n"), more)
+
+
+def sanitized_error(message: Column) -> Column:
+    """A message without model files, home paths and library names."""
+    out = F.regexp_replace(message, r"/[^\s:]+\.(safetensors|json|txt)", "[model]")
+    out = F.regexp_replace(out, r"/Users/[^\s]+", "[path]")
+    out = F.regexp_replace(out, r"(?i)(adapter|checkpoint|lora|mlx|transformers|huggingface)[^\s]*", "")
+    out = strip(F.regexp_replace(out, rf"{SPACES}{{2,}}", " "))
+    return F.when(out == "", F.lit("Something went wrong. Try again with --verbose for details.")).otherwise(out)
+
+
+def first_repeat(items: Column) -> Column:
+    """Place (from 0) of the first item whose key occurred before; -1 if there is none."""
+    keys = F.transform(items, norm_key)
+    again = F.transform(keys, lambda k, i: (k != "") & (F.array_position(keys, k) <= i))
+    return (F.array_position(again, F.lit(True)) - 1).cast("int")
+
+
+def sections(text: Column, headers: tuple[str, ...]) -> Column:
+    """A rendered text as a map from header to body; a header is a whole line ``Name:``."""
+    start = F.struct(F.lit("").alias("now"), F.array().cast("array<struct<h:string,l:string>>").alias("rows"))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip)
+
+    def step(acc: Column, line: Column) -> Column:
+        name = F.regexp_replace(line, ":\\z", "")
+        is_header = line.endswith(":") & name.isin(*headers)
+        row = F.struct(acc["now"].alias("h"), line.alias("l"))
+        grown_rows = F.when((acc["now"] != "") & (line != ""), F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"])
+        return F.struct(F.when(is_header, name).otherwise(acc["now"]).alias("now"), F.when(is_header, acc["rows"]).otherwise(grown_rows).alias("rows"))
+
+    rows = F.aggregate(lines, start, step, lambda a: a["rows"])
+    names = F.array_distinct(F.transform(rows, lambda r: r["h"]))
+    body = lambda h: F.array_join(F.transform(F.filter(rows, lambda r: r["h"] == h), lambda r: r["l"]), "\n")
+    return F.map_from_arrays(names, F.transform(names, body))
 
 
 def clip_words(text: Column, most: int) -> Column:

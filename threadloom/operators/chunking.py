@@ -84,11 +84,11 @@ def chunk_arrays(text: Column, options: Chunking = Chunking()) -> tuple[Column,
 
 
 def chunk_transcripts(df: DataFrame, key: str, text: str = "text", options: Chunking = Chunking()) -> DataFrame:
-    """(key, chunk_index, chunk, n_chars, content_hash); no shuffle."""
+    """(key, chunk_index, chunk_total, strategy, chunk, n_chars, content_hash); no shuffle."""
     chunks, strategy = chunk_arrays(F.col(text), options)
     rows = df.select(key, chunks.alias("_c"), strategy.alias("strategy"))
-    flat = rows.select(key, "strategy", F.posexplode("_c").alias("chunk_index", "chunk"))
-    return flat.select(key, "chunk_index", "strategy", "chunk", F.length("chunk").alias("n_chars"), T.content_hash(F.col("chunk")).alias("content_hash"))
+    flat = rows.select(key, "strategy", F.size("_c").alias("chunk_total"), F.posexplode("_c").alias("chunk_index", "chunk"))
+    return flat.select(key, "chunk_index", "chunk_total", "strategy", "chunk", F.length("chunk").alias("n_chars"), T.content_hash(F.col("chunk")).alias("content_hash"))
 
 
 def merge_sparse(chunks: Column, most: int) -> Column:

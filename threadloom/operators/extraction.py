@@ -30,8 +30,8 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 
 def mock(chunks: DataFrame) -> DataFrame:
-    """Chunk rows (conv, chunk_index, chunk) with a deterministic ``raw``."""
-    total = F.count("*").over(Window.partitionBy("conv"))
+    """Chunk rows (conv, chunk_index, chunk_total, chunk) with a deterministic ``raw``."""
+    total = F.col("chunk_total")
     i = (F.col("chunk_index") + 2).cast("string")
     say = lambda what: F.array(F.concat(F.lit(f"mock {what}"), i))
     record = F.struct(
@@ -118,7 +118,13 @@ def regular(extracted: DataFrame) -> DataFrame:
 
 
 def extract(chunks: DataFrame, selected: DataFrame | None = None, extractor: Extractor = mock) -> DataFrame:
-    """The records of the selected (conv, chunk_index); the choice is made below the extractor."""
+    """The records of the selected (conv, chunk_index); the choice is made below the extractor.
+
+    chunk_total counts all chunks of a conversation, selected or not; where chunk
+    rows lack it, a window adds it.
+    """
+    if "chunk_total" not in chunks.columns:
+        chunks = chunks.withColumn("chunk_total", F.count("*").over(Window.partitionBy("conv")))
     wanted = chunks if selected is None else chunks.join(selected.select("conv", "chunk_index").distinct(), ["conv", "chunk_index"], "left_semi")
     sized = wanted.withColumn("input_chars", F.length("chunk")).withColumn("content_hash", T.content_hash(F.col("chunk")))
-    return regular(extractor(sized)).drop("chunk")
+    return regular(extractor(sized)).drop("chunk", "chunk_total")

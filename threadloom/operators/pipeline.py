@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import chunking, embedding, explain, extraction, quality, ranking, state
+from . import chunking, embedding, explain, extraction, incremental, quality, ranking, state
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ def records(transcripts: DataFrame, options: Options = Options()) -> DataFrame:
     """The records of the selected chunks; the choice lies below the extractor."""
     pieces = chunks(transcripts, options)
     picked = selected(pieces, options).select("conv", F.explode("selected").alias("chunk_index"))
-    return extraction.extract(pieces.select("conv", "chunk_index", "chunk"), picked, options.extractor)
+    return extraction.extract(pieces.select("conv", "chunk_index", "chunk_total", "chunk"), picked, options.extractor)
 
 
 def run(transcripts: DataFrame, options: Options = Options()) -> DataFrame:
@@ -79,3 +79,41 @@ def parity(base: DataFrame, other: DataFrame) -> DataFrame:
 def grown(transcripts: DataFrame, ratio: float = 0.2) -> DataFrame:
     """Transcripts with their last part once more, for runs that measure updates."""
     return transcripts.withColumn("conversation", T.grown(F.col("conversation"), ratio))
+
+
+def update(transcripts: DataFrame, prior: DataFrame, cache: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, lineage, rejected) of transcripts that continue ``prior`` (conv, conversation).
+
+    ``cache`` holds earlier records with content_hash and updated_at. Chunks are cut
+    and ranked anew over the whole text; a selected chunk whose hash is cached is
+    reused, the others are extracted. What is not append-only is rejected.
+    """
+    texts = lambda df: df.select("conv", F.col("conversation").alias("text"))
+    judged = incremental.growth(texts(prior), texts(transcripts))
+    good = transcripts.join(judged.where("append_only").select("conv"), "conv", "left_semi")
+    rejected = judged.where("NOT append_only").select("conv", F.lit("not append-only: run it in full").alias("error"))
+    pieces = chunks(good, options)
+    picked = selected(pieces, options).select("conv", F.explode("selected").alias("chunk_index"))
+    wanted = pieces.join(picked, ["conv", "chunk_index"], "left_semi")
+    known = cache.withColumn("output", F.lit("cached"))
+    looked = incremental.reuse(wanted.select("conv", "chunk_index", "content_hash"), known)
+    fresh = extraction.extract(pieces.select("conv", "chunk_index", "chunk_total", "chunk"), looked.where("NOT hit"), options.extractor)
+    last = incremental.newest(cache.join(looked.where("hit").select("conv", "chunk_index"), ["conv", "chunk_index"], "left_semi"), ["conv", "chunk_index"], "updated_at")
+    return fresh.unionByName(last.select(*fresh.columns)), incremental.lineage(looked), rejected
+
+
+def events(transcripts: DataFrame, options: Options = Options()) -> DataFrame:
+    """The steps of a run as rows (conv, position, type, payload: JSON), as a client would follow them."""
+    pieces = chunks(transcripts, options)
+    ranked = selected(pieces, options)
+    found = extraction.extract(pieces.select("conv", "chunk_index", "chunk_total", "chunk"), ranked.select("conv", F.explode("selected").alias("chunk_index")), options.extractor)
+    row = lambda at, kind, payload: (F.lit(at).cast("long").alias("position"), F.lit(kind).alias("type"), F.to_json(payload).alias("payload"))
+    sizes = pieces.groupBy("conv").agg(F.count("*").alias("chunk_count"))
+    begun = sizes.select("conv", *row(0, "started", F.struct("chunk_count")))
+    told = ranked.select("conv", *row(1, "ranked", F.struct("selected", "k", "strategy")))
+    place = F.row_number().over(Window.partitionBy("conv").orderBy("chunk_index"))
+    done = found.withColumn("_at", place).select("conv", (F.col("_at") + 1).cast("long").alias("position"), F.lit("progress").alias("type"), F.to_json(F.struct(F.col("_at").alias("completed"), "chunk_index", "parse_ok")).alias("payload"))
+    late = 1 << 40
+    built = ranked.select("conv", *row(late, "building", F.struct(F.col("n").alias("chunk_count"))))
+    texts = run(transcripts, options).select("conv", *row(late + 1, "complete", F.struct("briefing", "next_action")))
+    return begun.union(told).union(done).union(built).union(texts)
