@@ -25,6 +25,8 @@ from .common import WORD, written
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
+#: Up to so many sources, a row of 40 bytes each, the solved targets are broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> dict[str | None, Fraction]:
@@ -83,6 +85,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17, weigh
         epochs = int(goal[name] // size) if size else 0
         plan.append((name, size, float(goal[name]), epochs, int(round(goal[name] - epochs * size))))
     known = spark.createDataFrame(plan, "_s string, source_size long, target double, _epochs int, _rest long")
+    if len(plan) <= BROADCAST_SOURCES:  # beyond, a join that AQE may split at hot sources
+        known = F.broadcast(known)
     key = -F.log("_u") / F.when(F.col("_q") > 0, F.col("_q")).otherwise(1.0)
     keyed = (
         base.join(known, F.col("source").eqNullSafe(F.col("_s")))
