@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +129,48 @@ def extract(chunks: DataFrame, selected: DataFrame | None = None, extractor: Ext
     wanted = chunks if selected is None else chunks.join(selected.select("conv", "chunk_index").distinct(), ["conv", "chunk_index"], "left_semi")
     sized = wanted.withColumn("input_chars", F.length("chunk")).withColumn("content_hash", T.content_hash(F.col("chunk")))
     return regular(extractor(sized)).drop("chunk", "chunk_total")
+
+
+def prompted(text: Column, rules: str = "", instruction: str = "") -> Column:
+    """What a model reads: rules, instruction and the chunk; with rules alone the chunk is named."""
+    bare = T.strip(F.coalesce(text, F.lit("")))
+    if instruction:
+        return F.concat(F.lit(rules + instruction), bare)
+    return F.concat(F.lit(rules + "Transcript:\n"), bare) if rules else bare
+
+
+def model_extractor(generate: Callable[[list[str]], list[str]], rules: str = "", instruction: str = "") -> Extractor:
+    """An extractor from a function of prompts to answers, called batch by batch on the executors.
+
+    A batch that fails is tried prompt by prompt; a prompt that fails leaves a null
+    ``raw``, which becomes a row that is not ok. ``generate`` may load its model on
+    its first call and keep it for the worker's life.
+    """
+
+    def extract_raw(chunks: DataFrame) -> DataFrame:
+        def answers(prompts: pd.Series) -> pd.Series:
+            try:
+                return pd.Series(generate(prompts.tolist()))
+            except Exception:  # one bad chunk must not fail its neighbours
+                return pd.Series([_one(generate, p) for p in prompts])
+
+        udf = F.pandas_udf(answers, "string")
+        return chunks.withColumn("raw", udf(prompted(F.col("chunk"), rules, instruction)))
+
+    return extract_raw
+
+
+def _one(generate: Callable[[list[str]], list[str]], prompt: str) -> str | None:
+    try:
+        return generate([prompt])[0]
+    except Exception:
+        return None
+
+
+def repaired_audit(raw: Column) -> Column:
+    """{topic_complete, summary_complete, last_complete, repairable} of a possibly cut answer."""
+    whole = F.coalesce(raw, F.lit(""))
+    done = {n: _string_at(whole, n).isNotNull() for n in SCALARS} | {n: whole.rlike(rf'(?s)"{n}"\s*:\s*\[(?:\s*,?\s*"(?:[^"\\]|\\.)*")*\s*\]') for n in LISTS}
+    places = F.array(*[F.struct(F.when(ok, F.locate(f'"{n}"', whole)).otherwise(F.lit(0)).alias("at"), F.lit(n).alias("name")) for n, ok in done.items()])
+    last = F.array_max(places)
+    return F.struct(done["topic"].alias("topic_complete"), done["summary"].alias("summary_complete"), F.when(last["at"] > 0, last["name"]).alias("last_complete"), (done["topic"] & done["summary"]).alias("repairable"))
