@@ -117,3 +117,14 @@ def test_exports(spark):
     assert rows[0].gemini.startswith("You are picking up an in-progress conversation for: L.\n")
     assert (rows[0].markdown, rows[1].markdown) == ("# AI Handoff — L\n\nb", "b")
     assert set(rows[2]) == {""}
+
+
+def test_whole_conversation_form(spark):
+    chunks = [record(topic=f"Topic number {i}", objective=[f"Objective number {i}"], active_problems=[f"Problem number {i} is open"], resolved_problems=["Problem number 0 is open"] if i == 3 else []) for i in range(4)]
+    chunks[3] |= {"current_state": "The grammar is written.", "continuation_context": "The grammar is written. Tests for the lexer come after that"}
+    data = [(1, i, *[r[k] for k in extraction.LISTS], *[r[k] for k in extraction.SCALARS]) for i, r in enumerate(chunks)]
+    labels = spark.createDataFrame([(1, "", "mixed")], "conv long, label string, archetype string")
+    r = state.build_whole(spark.createDataFrame(data, SCHEMA), labels).withColumn("briefing", state.briefing()).first()
+    assert r.active_problems == [f"Problem number {i} is open" for i in (1, 2, 3)] and r.project_title == "Topic number 3"
+    assert r.objective_display.split("\n")[0] == "- Objective number 0" and r.next_action == "Address: Problem number 3 is open"
+    assert "Current Position:\nThe grammar is written. Tests for the lexer come after that" in r.briefing

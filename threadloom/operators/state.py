@@ -166,13 +166,50 @@ def next_action() -> Column:
     problem = first(F.transform("_open", lambda x: named(x, ("continue", "address", "resolve", "fix"))), apart)
     told = V.next_from_text(last["continuation_context"])
     told = F.when((told != "") & ~stale(told) & apart(told), told)
-    any_problem = first(F.transform(newest(("active_problems",)), lambda x: named(x, ("resolve", "address", "fix", "answer"))), apart)
-    any_goal = first(newest(GOALS), lambda x: (F.length(x) >= 10) & apart(x))
-    context = last["continuation_context"]
-    tail = F.coalesce(F.nullif(V.next_from_text(context), F.lit("")), F.when(F.length(context) > 30, F.element_at(T.sentences(context), -1)), F.nullif(context, F.lit("")))
+    return F.coalesce(*[V.without_stop(x) for x in (F.col("_hint_next"), step, problem, told)], derived(F.col("frontier")))
+
+
+def derived(chunks: Column) -> Column:
+    """The next action from records alone: newest open problem, newest goal, what the last context
+    adds to the last state, the archetype's default; each apart from ``_position``."""
+    place, last = F.col("_position"), F.element_at(chunks, -1)
+    apart = lambda x: (place == "") | ~T.sentence_overlap(x, place)
+    newest = lambda names: F.flatten(F.transform(F.reverse(chunks), lambda c: F.concat(*[F.reverse(c[n]) for n in names])))
+    first = lambda items, keep: F.get(F.filter(items, keep), F.lit(0))
+    named = lambda x: F.when(_starts(x, ("resolve", "address", "fix", "answer")), x).otherwise(F.concat(F.lit("Address: "), x))
+    problem = first(F.transform(newest(("active_problems",)), named), apart)
+    goal = first(newest(GOALS), lambda x: (F.length(x) >= 10) & apart(x))
+    context, now = last["continuation_context"], last["current_state"]
+    nk, mk = T.norm_key(context), T.norm_key(now)
+    at = F.position(F.lower(F.substring(now, 1, 40)), F.lower(context))
+    rest = F.regexp_replace(F.substr(context, at + F.length(now)), r"^[ ,.]+|[ ,.]+$", "")
+    added = F.when((now != "") & (F.length(nk) > F.length(mk) + 20) & nk.contains(mk) & (at > 0) & (F.length(rest) > 15), V.capital(rest))
+    tail = F.coalesce(F.nullif(V.next_from_text(context), F.lit("")), added, F.when(F.length(context) > 30, F.element_at(T.sentences(context), -1)), F.nullif(context, F.lit("")))
     tail = F.when(apart(tail), tail)
     default = F.coalesce(*[F.when(F.lower(T.strip(F.col("archetype"))) == k, F.lit(v)) for k, v in FALLBACKS.items()], F.lit(FALLBACKS["mixed"]))
-    return F.coalesce(*[V.without_stop(x) for x in (F.col("_hint_next"), step, problem, told, any_problem, any_goal, tail)], default)
+    return F.coalesce(*[V.without_stop(x) for x in (problem, goal, tail)], default)
+
+
+def build_whole(records: DataFrame, labels: DataFrame) -> DataFrame:
+    """The state of a conversation with all its chunks alike, its transcript unread: the older form.
+
+    ``labels``: conv, label, archetype. The columns are those that ``briefing`` needs.
+    """
+    rows = gathered(records).join(labels.select("conv", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("archetype", F.lit("mixed")).alias("archetype")), "conv")
+    last = F.element_at("chunks", -1)
+    for name in ("objective", "completed_work", "constraints"):
+        rows = rows.withColumn(name, distinct_told(F.col("chunks"), name))
+    rows = rows.withColumn("_open", distinct_told(F.col("chunks"), "active_problems")).withColumn("_resolved", distinct_told(F.col("chunks"), "resolved_problems"))
+    rows = rows.withColumn("active_problems", F.filter("_open", lambda a: ~F.exists("_resolved", lambda r: T.sentence_overlap(a, r))))
+    latest = F.when(F.size("completed_work") > 0, F.concat(F.lit("Work in progress. Latest completed: "), F.element_at("completed_work", -1)))
+    place = V.position(last["current_state"], last["continuation_context"], last["summary"], last["topic"])
+    rows = rows.withColumn("_position", F.coalesce(F.nullif(place, F.lit("")), latest, F.lit("")))
+    goals = F.when(F.size("objective") == 1, F.get("objective", F.lit(0))).when(F.size("objective") > 1, bullets(F.slice("objective", 1, 12))).when(last["topic"] != "", last["topic"]).otherwise(F.lit(NO_OBJECTIVE))
+    title = F.coalesce(F.nullif(T.strip(F.col("label")), F.lit("")), F.nullif(last["topic"], F.lit("")), F.lit("Assistant continuation"))
+    return rows.select(
+        "conv", "n", title.alias("project_title"), "objective", goals.alias("objective_display"), F.coalesce(F.nullif("_position", F.lit("")), F.lit(NO_POSITION)).alias("current_state"),
+        "completed_work", "active_problems", "constraints", derived(F.col("chunks")).alias("next_action"),
+    )
 
 
 def bullets(items: Column) -> Column:

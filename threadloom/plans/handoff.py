@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checkpoint, explain, extraction, incremental, quality, recap, state
+from ..operators import checkpoint, explain, extraction, handoff, incremental, pipeline, quality, recap, sparse, state
 from ..session import table
 from .conversations import turns
 
@@ -71,6 +71,35 @@ def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv", F.col("chunks").cast("long").alias("chunks"), "topic", one("goals"), one("next_steps"), one("decisions"), "summary", "parse_ok")
 
 
+def whole_briefings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = state.build_whole(_records(spark, sf_dir), _sources(spark, sf_dir))
+    return rows.select("conv", "project_title", "objective_display", "current_state", "next_action")
+
+
+def handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record handed on in each version."""
+    rows = _records(spark, sf_dir).withColumn("archetype", F.lit("mixed"))
+    texts = [handoff.hand_over(rows, v).select("conv", F.col("chunk_index").cast("long").alias("chunk_index"), F.lit(v).alias("version"), "handoff") for v in ("v1", "v2", "v3")]
+    return texts[0].union(texts[1]).union(texts[2])
+
+
+def sparse_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sparse.preserve(turns(spark, sf_dir).select("conv", "idx", "text"), _sources(spark, sf_dir))
+    return rows.select("conv", "mode", F.size("chunks").cast("long").alias("n_chunks"), F.array_join("rejected", ",").alias("rejected"))
+
+
+def continuation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts through the whole way: chunked, embedded, ranked, extracted, told."""
+    rows = pipeline.run(_sources(spark, sf_dir))
+    return rows.select("conv", F.col("n").cast("long").alias("n"), "project_title", "next_action", "briefing", "explanation", "claude")
+
+
+def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pipeline.inspect(_sources(spark, sf_dir))
+    text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",").alias(c)
+    return rows.select("conv", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "strategy", text("selected"), text("frontier"))
+
+
 def page_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
     return rows.select("page_id", quality.path_archetype(F.col("url")).alias("by_path"), quality.archetype(F.col("url"), F.col("html")).alias("archetype"))
@@ -100,7 +129,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [mock_extraction, briefings, explanations, briefing_rubric, checkpoint_records, state_analysis, extraction_metrics, merged_records, page_archetypes, incremental_reuse, newest_events, quality_report]
+QUERIES = [mock_extraction, briefings, explanations, briefing_rubric, checkpoint_records, state_analysis, extraction_metrics, merged_records, whole_briefings, handoffs, sparse_modes, continuation_runs, inspections, page_archetypes, incremental_reuse, newest_events, quality_report]
 
 # ---- the same results in SQL ----
 
@@ -157,6 +186,23 @@ SELECT conv, left(sha256(label || ':{CREATED}:' || sha), 8) AS id, label AS proj
 SELECT conv_id AS conv, 5::BIGINT AS usefulness, 'medium' AS tier, 2::BIGINT + 0 AS next_action_score, 2::BIGINT AS active_problems_score, 0.0::DOUBLE AS duplication_rate FROM conversations GROUP BY conv_id
 """,
     "extraction_metrics": "SELECT conv_id AS conv, count(*) AS chunks, 1.0::DOUBLE AS parse_rate, 1.0::DOUBLE AS topic_rate, 1.0::DOUBLE AS goals_rate, 0.0::DOUBLE AS objective_rate FROM conversations GROUP BY conv_id",
+    "whole_briefings": f"""
+WITH {_NAMED}
+SELECT conv, label AS project_title, 'mock conversation topic (chunk ' || (n + 1) || '/' || n || ')' AS objective_display, 'mock summary for chunk ' || (n + 1) || ' of ' || n || '.' AS current_state,
+       'mock goal chunk ' || (n + 1) AS next_action FROM t
+""",
+    "handoffs": """
+WITH t AS (SELECT conv_id AS conv, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, (i + 2)::VARCHAR AS k, 'mock conversation topic (chunk ' || (i + 2) || '/' || n || ')' AS topic, 'mock summary for chunk ' || (i + 2) || ' of ' || n || '.' AS summary FROM t),
+one AS (SELECT conv, i, '# AI Handoff Context' || chr(10) || chr(10) || '**Topic:** ' || topic || chr(10) || chr(10) || '**Summary:** ' || summary || chr(10) || chr(10) ||
+  '**Important facts:**' || chr(10) || '- mock fact from chunk ' || k || chr(10) || chr(10) || '**Goals:**' || chr(10) || '- mock goal chunk ' || k || chr(10) || chr(10) ||
+  '**Open questions:**' || chr(10) || '- mock question chunk ' || k || chr(10) || chr(10) || '**Decisions:**' || chr(10) || '- mock decision chunk ' || k || chr(10) || chr(10) ||
+  '**Next steps:**' || chr(10) || '- mock next step chunk ' || k AS h,
+  '# AI Handoff Briefing' || chr(10) || chr(10) || 'You are picking up an in-progress conversation. Continue naturally — do not recap for a human audience.' || chr(10) || chr(10) ||
+  '## Role' || chr(10) || 'Assistant — continue on: ' || topic || chr(10) || chr(10) || '## Current position' || chr(10) || summary || chr(10) || chr(10) ||
+  '## Completed work' || chr(10) || '- mock fact from chunk ' || k || chr(10) || chr(10) || '## Next action' || chr(10) || 'mock next step chunk ' || k AS v3 FROM s)
+SELECT conv, i AS chunk_index, v AS version, CASE WHEN v = 'v3' THEN v3 ELSE h END AS handoff FROM one, (VALUES ('v1'), ('v2'), ('v3')) x(v)
+""",
     "page_archetypes": f"""
 WITH a AS (SELECT page_id, lower(url) AS p, regexp_replace(regexp_extract(lower(url), '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS s, lower(left(html, 8000)) AS t FROM pages),
 b AS (SELECT *, {_paths()} AS by_path FROM a)
