@@ -154,6 +154,9 @@ def list_column(parts: list[np.ndarray], kind):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
+SALTS = 16
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, component = smallest node).
 
@@ -172,8 +175,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         mark = tuple(total)
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a hub's neighbours are parted by salt, and its minimum goes to each part
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parted = both.where("v > u").withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        star = parted.join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = written(star, "large-star")
         least = star.groupBy("u").agg(F.min("v").alias("m"))
         discard(now)
