@@ -70,24 +70,18 @@ def with_overlap(chunks: Column, overlap: int) -> Column:
     return F.aggregate(chunks, F.array().cast("array<string>"), step)
 
 
-def chunk_arrays(text: Column, options: Chunking = Chunking()) -> tuple[Column, Column]:
-    """(chunks, strategy) of a transcript."""
-    bare = T.strip(F.coalesce(text, F.lit("")))
-    base = paragraph_chunks(bare, options.chunk)
-    chunks = (
-        F.when(bare == "", F.array().cast("array<string>"))
-        .when(F.length(bare) <= options.whole, F.array(bare))
-        .otherwise(with_overlap(base, options.overlap))
-    )
-    strategy = F.when(bare == "", F.lit("empty")).when(F.length(bare) <= options.whole, F.lit("short_circuit")).otherwise(F.lit("paragraph_chunk_overlap"))
-    return chunks, strategy
-
-
 def chunk_transcripts(df: DataFrame, key: str, text: str = "text", options: Chunking = Chunking()) -> DataFrame:
-    """(key, chunk_index, chunk_total, strategy, chunk, n_chars, content_hash); no shuffle."""
-    chunks, strategy = chunk_arrays(F.col(text), options)
-    rows = df.select(key, chunks.alias("_c"), strategy.alias("strategy"))
-    flat = rows.select(key, "strategy", F.size("_c").alias("chunk_total"), F.posexplode("_c").alias("chunk_index", "chunk"))
+    """(key, chunk_index, chunk_total, strategy, chunk, n_chars, content_hash); no shuffle.
+
+    Texts up to ``options.whole`` are one chunk. The trimmed text is a projection
+    of its own, so that it is made once a row.
+    """
+    bare = F.col("_bare")
+    rows = df.select(key, T.strip(F.coalesce(text, F.lit(""))).alias("_bare")).where(bare != "")
+    short = F.length(bare) <= options.whole
+    chunks = F.when(short, F.array(bare)).otherwise(with_overlap(paragraph_chunks(bare, options.chunk), options.overlap))
+    cut = rows.select(key, F.when(short, F.lit("short_circuit")).otherwise(F.lit("paragraph_chunk_overlap")).alias("strategy"), chunks.alias("_c"))
+    flat = cut.select(key, "strategy", F.size("_c").alias("chunk_total"), F.posexplode("_c").alias("chunk_index", "chunk"))
     return flat.select(key, "chunk_index", "chunk_total", "strategy", "chunk", F.length("chunk").alias("n_chars"), T.content_hash(F.col("chunk")).alias("content_hash"))
 
 

@@ -19,14 +19,19 @@ DIMENSIONS = 64
 
 
 def hashed(chunks: DataFrame, text: str = "chunk", dimensions: int = DIMENSIONS) -> DataFrame:
-    """Chunk rows with an embedding of their distinct words."""
-    tokens = T.content_tokens(F.col(text), 2)
-    placed = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int").alias("d"), F.when(F.xxhash64(t, F.lit(1)) > 0, 1.0).otherwise(-1.0).alias("s")))
-    rows = chunks.withColumn("_p", placed)
-    total = lambda d: F.aggregate(F.filter("_p", lambda p: p["d"] == d), F.lit(0.0), lambda a, p: a + p["s"])
-    raw = rows.withColumn("_v", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), total))
-    norm = F.sqrt(ranking.dot(F.col("_v"), F.col("_v")))
-    return raw.withColumn("embedding", F.transform("_v", lambda x: x / F.greatest(norm, F.lit(1e-12)))).drop("_p", "_v")
+    """Chunk rows with an embedding of their distinct words: each hash adds 1 or -1 in its dimension."""
+
+    def spread(hashes: pd.Series) -> pd.Series:
+        def one(h: np.ndarray) -> np.ndarray:
+            h = np.asarray(h, dtype=np.int64)
+            v = np.bincount(h % dimensions, weights=np.where(h >> 32 & 1, 1.0, -1.0), minlength=dimensions)
+            return v / max(float(np.linalg.norm(v)), 1e-12)
+
+        return hashes.map(one)
+
+    vector = F.pandas_udf(spread, "array<double>")
+    hashes = F.transform(T.content_tokens(F.col(text), 2), lambda t: F.xxhash64(t))
+    return chunks.withColumn("embedding", vector(hashes))
 
 
 def k_means(points: np.ndarray, k: int, seed: int = 42, starts: int = 10, rounds: int = 50) -> np.ndarray:
@@ -63,8 +68,10 @@ def clustered(chunks: DataFrame) -> DataFrame:
     def label(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
         n = len(group)
-        k = min(max(3, min(8, -(-n // 5))), n)
-        return group.assign(cluster=k_means(np.array(group["embedding"].tolist(), dtype=float), k).astype("int32"))
+        k = max(3, min(8, -(-n // 5)))
+        # up to k chunks are all taken: each is its own cluster
+        labels = np.arange(n) if n <= k else k_means(np.array(group["embedding"].tolist(), dtype=float), k)
+        return group.assign(cluster=labels.astype("int32"))
 
     rows = chunks.select("conv", "idx", "embedding")
     return rows.groupBy("conv").applyInPandas(label, "conv long, idx int, embedding array<double>, cluster int")

@@ -22,7 +22,6 @@ OVERVIEWS = {
     "mixed": "This conversation covered several related topics over time.",
 }
 PAUSE = "The conversation reached a natural pause point without a sharp unresolved blocker."
-LISTS = ("important_facts", "decisions", *S.LISTS)
 
 
 def observed(text: Column) -> Column:
@@ -44,12 +43,16 @@ def _plain(items: Column, least: int = 1) -> Column:
 
 
 def explain(records: DataFrame, labels: DataFrame) -> DataFrame:
-    """conv and explanation. ``records`` as for the state; ``labels``: conv, label, archetype."""
-    clean = records.select("conv", "chunk_index", *[V.clean_items(F.col(c)).alias(c) for c in LISTS], *[(F.coalesce(c, F.lit("")) if c == "summary" else V.clean_voice(F.col(c))).alias(c) for c in S.TEXTS])
-    item = F.struct(F.col("chunk_index").cast("int").alias("idx"), *LISTS, *S.TEXTS)
-    rows = clean.groupBy("conv").agg(F.array_sort(F.collect_list(item)).alias("chunks")).join(labels.select("conv", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("archetype", F.lit("mixed")).alias("archetype")), "conv")
+    """conv, explanation and its parts. ``records`` as for the state; ``labels``: conv, label, archetype."""
+    named = labels.select("conv", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("archetype", F.lit("mixed")).alias("archetype"))
+    return told(S.gathered(records).join(named, "conv")).select("conv", "explanation", "overview", "topics", "learnings", "questions", "takeaways", "status")
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """Rows of gathered chunks with label and archetype, with the explanation beside what they hold."""
+    names = rows.columns
     rows = rows.withColumn("terminal", F.element_at("chunks", -1))
-    for name in LISTS:
+    for name in S.LISTS:
         rows = rows.withColumn(f"_{name}", S.distinct_told(F.col("chunks"), name))
     labels_ = F.flatten(F.transform("chunks", lambda c: F.transform(F.concat(F.array(c["topic"]), c["objective"]), topic_label)))
     rows = rows.withColumn("topics", F.slice(told_once(_plain(labels_)), 1, 14))
@@ -83,4 +86,4 @@ def explain(records: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.withColumn("overview", stop(named)).withColumn("status", status)
     parts = [("OVERVIEW", F.col("overview")), ("MAIN TOPICS", S.bullets(F.col("topics"))), ("LEARNINGS / DECISIONS", S.bullets(F.col("learnings"))), ("CURRENT STATUS", F.col("status")), ("OPEN QUESTIONS", S.bullets(F.col("questions"))), ("KEY TAKEAWAYS", S.bullets(F.col("takeaways")))]
     whole = T.strip(F.concat_ws("\n\n", *[x for title, body in parts for x in (F.lit(title), body)]))
-    return rows.select("conv", whole.alias("explanation"), "overview", "topics", "learnings", "questions", "takeaways", "status")
+    return rows.select(*names, whole.alias("explanation"), "overview", "topics", "learnings", "questions", "takeaways", "status")

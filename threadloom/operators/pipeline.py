@@ -53,10 +53,10 @@ def run(transcripts: DataFrame, options: Options = Options()) -> DataFrame:
 
     ``transcripts``: conv, conversation, label, archetype.
     """
-    found = records(transcripts, options)
-    states = state.build(found, transcripts).withColumn("briefing", state.briefing())
-    texts = explain.explain(found, transcripts).select("conv", "explanation")
-    return states.join(texts, "conv").withColumns(state.exports(F.col("briefing"), F.col("project")))
+    rows = state.build(records(transcripts, options), transcripts, keep=("chunks", "label", "archetype"))
+    rows = explain.told(rows).drop("chunks", "label", "archetype", "overview", "topics", "learnings", "questions", "takeaways", "status")
+    rows = rows.withColumn("briefing", state.briefing())
+    return rows.withColumns(state.exports(F.col("briefing"), F.col("project")))
 
 
 def benchmark(transcripts: DataFrame, options: Options = Options()) -> DataFrame:

@@ -36,7 +36,7 @@ FALLBACKS = {
 }
 NO_OBJECTIVE = "Continue the in-progress work from the current position."
 NO_POSITION = "Conversation stopped mid-thread; use completed work and next action below."
-LISTS = ("objective", "goals", "open_questions", "next_steps", "completed_work", "active_problems", "resolved_problems", "constraints")
+LISTS = ("objective", "goals", "open_questions", "next_steps", "completed_work", "active_problems", "resolved_problems", "constraints", "important_facts", "decisions")
 TEXTS = ("topic", "summary", "current_state", "continuation_context")
 
 
@@ -108,8 +108,8 @@ def open_problems(chunks: Column) -> Column:
     return kept
 
 
-def build(records: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """The state of every conversation.
+def build(records: DataFrame, transcripts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The state of every conversation, with the columns that ``keep`` names (chunks, label, archetype).
 
     ``records``: conv, chunk_index and the record's fields. ``transcripts``: conv,
     conversation, label, archetype.
@@ -145,7 +145,7 @@ def build(records: DataFrame, transcripts: DataFrame) -> DataFrame:
     current = F.coalesce(F.nullif("_position", F.lit("")), latest, F.lit(NO_POSITION))
     return rows.select(
         "conv", "n", "cutoff", F.col("label").alias("project"), title.alias("project_title"), items.alias("objective"), "objective_display", current.alias("current_state"),
-        "completed_work", "active_problems", "constraints", "next_action", F.col("_closed").alias("closed"),
+        "completed_work", "active_problems", "constraints", "next_action", F.col("_closed").alias("closed"), *keep,
     )
 
 
