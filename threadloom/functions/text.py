@@ -64,8 +64,8 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def near_duplicate(a: Column, b: Column, threshold: float = 0.55) -> Column:
-    x, y = content_tokens(a), content_tokens(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), norm_key(a) == norm_key(b)).otherwise(jaccard(x, y) >= threshold)
+    same = lambda k: F.when((F.size(k["x"]) == 0) | (F.size(k["y"]) == 0), norm_key(a) == norm_key(b)).otherwise(jaccard(k["x"], k["y"]) >= threshold)
+    return let(F.struct(content_tokens(a).alias("x"), content_tokens(b).alias("y")), same)
 
 
 def overlap_keys(x: Column, y: Column) -> Column:
@@ -77,8 +77,13 @@ def overlap_keys(x: Column, y: Column) -> Column:
     return (x != "") & (y != "") & same
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed and planned once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sentence_overlap(a: Column, b: Column) -> Column:
-    return overlap_keys(norm_key(a), norm_key(b))
+    return let(F.struct(norm_key(a).alias("a"), norm_key(b).alias("b")), lambda k: overlap_keys(k["a"], k["b"]))
 
 
 def sentences(text: Column) -> Column:

@@ -35,8 +35,7 @@ LISTS = ("objective", "completed_work", "active_problems", "resolved_problems",
 
 
 def _voiced(text: Column) -> Column:
-    observed = T.contains_any(F.lower(text), ("the slice", "the discussion is focused", "the participant"))
-    return F.when(observed, V.clean_lines(text)).otherwise(text)
+    return T.let(text, lambda t: F.when(T.contains_any(F.lower(t), S.OBSERVED), V.clean_lines(t)).otherwise(t))
 
 
 def _section(title: str, items: Column, most: int) -> Column:

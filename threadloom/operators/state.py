@@ -34,6 +34,7 @@ FALLBACKS = {
     "reddit": "Continue the community thread: respond to the latest question, offer one practical next step, and ask what constraint matters most.",
     "mixed": "Continue from the current stopping point: restate what is unfinished and take the next concrete step in the conversation.",
 }
+OBSERVED = ("the slice", "the discussion is focused", "the participant")
 NO_OBJECTIVE = "Continue the in-progress work from the current position."
 NO_POSITION = "Conversation stopped mid-thread; use completed work and next action below."
 LISTS = ("objective", "goals", "open_questions", "next_steps", "completed_work", "active_problems", "resolved_problems", "constraints", "important_facts", "decisions")
@@ -164,8 +165,7 @@ def next_action() -> Column:
     step = first(newest(("next_steps", "goals", "open_questions", "objective")), lambda x: (F.length(x) >= 10) & ~stale(x) & ~superseded(x) & apart(x))
     named = lambda x, leads: F.when(_starts(x, leads), x).otherwise(F.concat(F.lit("Address: "), x))
     problem = first(F.transform("_open", lambda x: named(x, ("continue", "address", "resolve", "fix"))), apart)
-    told = V.next_from_text(last["continuation_context"])
-    told = F.when((told != "") & ~stale(told) & apart(told), told)
+    told = T.let(V.next_from_text(last["continuation_context"]), lambda t: F.when((t != "") & ~stale(t) & apart(t), t))
     return F.coalesce(*[V.without_stop(x) for x in (F.col("_hint_next"), step, problem, told)], derived(F.col("frontier")))
 
 
@@ -185,7 +185,7 @@ def derived(chunks: Column) -> Column:
     rest = F.regexp_replace(F.substr(context, at + F.length(now)), r"^[ ,.]+|[ ,.]+$", "")
     added = F.when((now != "") & (F.length(nk) > F.length(mk) + 20) & nk.contains(mk) & (at > 0) & (F.length(rest) > 15), V.capital(rest))
     tail = F.coalesce(F.nullif(V.next_from_text(context), F.lit("")), added, F.when(F.length(context) > 30, F.element_at(T.sentences(context), -1)), F.nullif(context, F.lit("")))
-    tail = F.when(apart(tail), tail)
+    tail = T.let(tail, lambda t: F.when(apart(t), t))
     default = F.coalesce(*[F.when(F.lower(T.strip(F.col("archetype"))) == k, F.lit(v)) for k, v in FALLBACKS.items()], F.lit(FALLBACKS["mixed"]))
     return F.coalesce(*[V.without_stop(x) for x in (problem, goal, tail)], default)
 
@@ -225,9 +225,7 @@ def briefing() -> Column:
         F.lit("Active Problems:"), F.concat(bullets(c("active_problems")), F.lit("\n")), F.lit("Constraints:"), F.concat(bullets(c("constraints")), F.lit("\n")),
         F.lit("Next Action:"), c("next_action"),
     ]
-    text = T.strip(F.concat_ws("\n", *parts))
-    observed = T.contains_any(F.lower(text), ("the slice", "the discussion is focused", "the participant"))
-    return F.when(observed, V.clean_lines(text)).otherwise(text)
+    return T.let(T.strip(F.concat_ws("\n", *parts)), lambda text: F.when(T.contains_any(F.lower(text), OBSERVED), V.clean_lines(text)).otherwise(text))
 
 
 def exports(text: Column, label: Column) -> dict[str, Column]:
