@@ -77,7 +77,8 @@ def raw(text: pa.Scalar) -> bytes:
 
 
 def sequence_hash(values: np.ndarray) -> int:
-    """One 64-bit hash of a whole word sequence; 0 for none."""
+    """One 64-bit hash of a whole word sequence; 0 for none. It tells rows of one id apart; copies are
+    told by a SHA-256."""
     return int(_ROLL.windows(values, len(values))[0] ^ mix(np.array([len(values)], dtype=U64))[0]) if len(values) else 0
 
 
@@ -195,8 +196,8 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
     spark = docs.sparkSession
     python_rows(spark)
     base = written(outline(docs), "outline")
-    # one text a word sequence: its smallest id
-    first = base.where(F.col("n_words") >= rule.window).groupBy("seq").agg(F.min("doc_id").alias("doc_id"))
+    # one text a word sequence, told by its SHA-256: its smallest id
+    first = base.where(F.col("n_words") >= rule.window).groupBy("all_sha256").agg(F.min_by("seq", "doc_id").alias("seq"), F.min("doc_id").alias("doc_id"))
 
     flat = anchors(docs, rule)
     one = flat.select("seq", F.explode("h").alias("h"))
@@ -205,7 +206,7 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
     release(spark)
     placed = flat.select("doc_id", "seq", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc_id", "seq", "x.h", "x.at")
     around = placed.join(shared, "h").groupBy("doc_id", "seq").agg(F.collect_set("at").alias("at"))
-    around = written(around.join(first, ["seq", "doc_id"], "left_semi"), "around")
+    around = written(around.join(first.select("seq", "doc_id"), ["seq", "doc_id"], "left_semi"), "around")
     discard(shared)
     release(spark)
     runs = written(windows(_keyed(docs), around, rule), "windows")
@@ -239,7 +240,7 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
     trimmed = _keyed(docs).join(judged.hint("merge"), "doc_id").select("doc_id", "text", "seq", "at").mapInArrow(cut, "doc_id long, seq long, removed long, sha string, left string")
     trimmed = written(trimmed.dropDuplicates(["doc_id", "seq"]), "trimmed")
     discard(judged)
-    own = base.join(first.withColumnRenamed("doc_id", "lead"), "seq", "left")
+    own = base.join(first.select("all_sha256", F.col("doc_id").alias("lead")), "all_sha256", "left")
     copy = (F.col("n_words") >= rule.window) & (F.col("doc_id") > F.col("lead"))
     done = own.join(trimmed, ["doc_id", "seq"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
