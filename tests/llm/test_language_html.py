@@ -104,6 +104,15 @@ def test_unmarked_page_by_ratios():
     assert got == "\n".join(f"Sentence {i}, with some length, and a full stop. And one more, too." for i in range(6))
 
 
+def test_a_mark_elsewhere_does_not_shut_out_the_body_text():
+    lines = [f"Sentence {i}, with some length, and a full stop. And one more, too." for i in range(6)]
+    body = "".join(f"<div>{x}</div>" for x in lines)
+    for card in ("<article><p>Card.</p></article>", "<div role=main>Card.</div>"):
+        assert html.main_text(f"<body><div id=c>{body}</div>{card}</body>").split("\n") == [*lines, "Card."]
+    # short text outside the marked part has no mark to lift it
+    assert html.main_text(f"<body><div>Top</div><main>{body}</main><section>x</section></body>").split("\n") == lines
+
+
 @pytest.mark.parametrize("page,want", [
     (None, ""), ("", ""), ("plain &am text", "plain &am text"), ("<p", "<p"), ("<!-- open <p>a</p>", ""), ("<script>if (a<b) x", ""),
     ("<p>a<br>b</p>", "a b"), ('<article><p title="a>b">x</p></article>', "x"), ("<article>a < b & c</article>", "a < b & c"), ("<nav>only menu</nav>", ""),

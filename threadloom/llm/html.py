@@ -4,10 +4,11 @@ Every text block has a root-to-leaf path of block tags. Per path of a page, the
 text length, the punctuation and the link text of its blocks are summed and set
 against the number of blocks: long, punctuated, unlinked paths are content. The
 two ratios are fused to a product, smoothed over neighbouring blocks in page
-order, and paths below a threshold go. What markup itself says comes first:
-navigation, forms, scripts and the like count for nothing, and where a page
-marks its article or main part, only paths within that part compete, all of
-whose share of text is content however short a block.
+order, and paths below a threshold go. What markup itself says is read too:
+navigation, forms, scripts and the like count for nothing. An article or main
+part is one input to the score and shuts out nothing: its paths, however short
+their blocks, are lifted by the threshold unless they are mere links, and text
+outside it is held to the same ratios as on a page without one.
 
 Defined results
 - null or empty html, or no content: empty text, 0 characters
@@ -70,6 +71,11 @@ class Block:
     linked: int = 0
     text: str = ""
 
+    @property
+    def key(self) -> tuple[str, bool]:
+        """What ratios are summed by: the path, apart in and outside the marked part."""
+        return self.path, self.main
+
 
 def _barred(name: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element's own name or attributes bar it; whether it is marked as the main part."""
@@ -179,36 +185,33 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    marked = [b for b in found if b.main]
-    if marked:
-        found = marked
-    paths: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0])
+    paths: dict[tuple[str, bool], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0])
     for b in found:
-        sums = paths[b.path]
+        sums = paths[b.key]
         sums[0] += len(b.text)
         sums[1] += len(PUNCTUATION.findall(b.text))
         sums[2] += min(b.linked, len(b.text))
         sums[3] += 1
     # text-to-path and punctuation-to-path ratios, fused; linked text does not count
     fused = {p: (chars - links) / n * (1 + marks / n) * (1 - links / chars) for p, (chars, marks, links, n) in paths.items()}
-    if marked:
-        keep = {p for p, (chars, _, links, _) in paths.items() if links < 0.9 * chars or len(paths) == 1}
-    else:
-        raw = [fused[b.path] for b in found]
-        weight = (0.25, 0.5, 0.25)
-        smooth = [sum(w * raw[min(max(i + j - 1, 0), len(raw) - 1)] for j, w in enumerate(weight)) for i in range(len(raw))]
-        score: dict[str, list[float]] = defaultdict(list)
-        for b, s, own in zip(found, smooth, raw, strict=True):
-            score[b.path].append(min(s, 2 * own))
-        mean = sum(raw) / len(raw)
-        spread = math.sqrt(sum((r - mean) ** 2 for r in raw) / len(raw))
-        bar = min(mean, spread) if spread else 0.0
-        keep = {p for p, s in score.items() if sum(s) / len(s) >= bar and fused[p] > 0}
-        # a heading belongs to the content that follows it
-        for b, after in zip(found, found[1:], strict=False):
-            if re.search(r"/h[1-6]$", b.path) and after.path in keep:
-                keep.add(b.path)
-    return "\n".join(b.text for b in found if b.path in keep)
+    raw = [fused[b.key] for b in found]
+    weight = (0.25, 0.5, 0.25)
+    smooth = [sum(w * raw[min(max(i + j - 1, 0), len(raw) - 1)] for j, w in enumerate(weight)) for i in range(len(raw))]
+    score: dict[tuple[str, bool], list[float]] = defaultdict(list)
+    for b, s, own in zip(found, smooth, raw, strict=True):
+        score[b.key].append(min(s, 2 * own))
+    mean = sum(raw) / len(raw)
+    spread = math.sqrt(sum((r - mean) ** 2 for r in raw) / len(raw))
+    bar = min(mean, spread) if spread else 0.0
+    keep = {p for p, s in score.items() if sum(s) / len(s) >= bar and fused[p] > 0}
+    # a mark adds the bar itself to the score: any path of the marked part that is not mere links reaches it
+    marked = [p for p in paths if p[1]]
+    keep |= {p for p in marked if paths[p][2] < 0.9 * paths[p][0] or len(marked) == 1}
+    # a heading belongs to the content that follows it
+    for b, after in zip(found, found[1:], strict=False):
+        if re.search(r"/h[1-6]$", b.path) and after.key in keep:
+            keep.add(b.key)
+    return "\n".join(b.text for b in found if b.key in keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
