@@ -8,11 +8,13 @@ kept, and returns a DataFrame; all but the last return the columns of
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import language, mixing, neardup, substring, tokenise
 from threadloom.llm.common import written
+from threadloom.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,9 +36,20 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return substring.without_repeats(docs.select(*COLUMNS), substring.Rule(window=50))
 
 
+def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The weights that labels give; none where the corpus has no such table."""
+    try:
+        labels = table(spark, sf_dir, "labels")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return mixing.label_weights(labels)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source to its target; a document comes as often as the mix takes it."""
-    mixed = mixing.mix(docs.select(*COLUMNS), carry=("text", "lang", "n_chars")).where("epochs > 0")
+    """Takes each source to its target by the weights of ``labels``; a document comes as often as the mix takes it."""
+    mixed = mixing.mix(docs.select(*COLUMNS), label_weights(spark, sf_dir), carry=("text", "lang", "n_chars")).where("epochs > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "epochs"))).select(*COLUMNS)
 
 

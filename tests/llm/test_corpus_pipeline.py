@@ -94,6 +94,17 @@ def test_mixing_meets_targets(stages):
     assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
 
 
+def test_mixing_draws_by_the_quality_of_labels(spark, tmp_path):
+    rows = [(i, "a b c d", "en", "z", 7) for i in range(1000)] + [(i, "a", "en", "a", 1) for i in range(1000, 4000)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1000)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    odd = {}
+    for sf_dir in ("unused", str(tmp_path)):
+        taken = [r["doc_id"] % 2 for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).where("source = 'z'").collect()]
+        odd[sf_dir] = sum(taken) / len(taken)
+    assert 0.4 < odd["unused"] < 0.6 and odd[str(tmp_path)] > 0.7
+
+
 def test_tokens_as_the_library(stages):
     before, after = stages["byte_bpe"]
     coder = tokenise.bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -56,6 +56,11 @@ def unit(*columns) -> Column:
     return (F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def label_weights(labels: DataFrame) -> DataFrame:
+    """doc_id and the weight of its label: 2.0 for quality 1, 0.5 for quality 0, else 1."""
+    return labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("quality"))
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, bins: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and epochs of every row, and what ``carry`` names.
 
