@@ -113,6 +113,19 @@ def test_a_mark_elsewhere_does_not_shut_out_the_body_text():
     assert html.main_text(f"<body><div>Top</div><main>{body}</main><section>x</section></body>").split("\n") == lines
 
 
+def test_short_text_among_content_of_an_unmarked_page():
+    assert html.main_text(PAGE % STORY) == WANT
+    assert html.main_text(PAGE % f"<div><div>{STORY}</div></div>") == WANT
+    long = "Some words of a sentence, and more of them. " * 7
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(9))
+    for n, m in ((5, 5), (20, 1)):
+        text, items = [f"{i} {long}".strip() for i in range(n)], [f"Item {i} of a list in the article." for i in range(m)]
+        ps, lis = "".join(f"<p>{x}</p>" for x in text), "".join(f"<li>{x}</li>" for x in items)
+        more = "<table><tr><td>cell<td>7</table><blockquote>Short.</blockquote><figure><figcaption>Caption</figcaption></figure>"
+        got = html.main_text(f"<body><div>Top</div><ul>{links}</ul><div><div>{ps}</div><ul>{lis}</ul><ul>{links}</ul>{more}<p>{long}</p></div><div>x</div></body>")
+        assert got.split("\n") == [*text, *items, "cell", "7", "Short.", "Caption", long.strip()]
+
+
 @pytest.mark.parametrize("page,want", [
     (None, ""), ("", ""), ("plain &am text", "plain &am text"), ("<p", "<p"), ("<!-- open <p>a</p>", ""), ("<script>if (a<b) x", ""),
     ("<p>a<br>b</p>", "a b"), ('<article><p title="a>b">x</p></article>', "x"), ("<article>a < b & c</article>", "a < b & c"), ("<nav>only menu</nav>", ""),

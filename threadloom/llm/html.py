@@ -4,7 +4,9 @@ Every text block has a root-to-leaf path of block tags. Per path of a page, the
 text length, the punctuation and the link text of its blocks are summed and set
 against the number of blocks: long, punctuated, unlinked paths are content. The
 two ratios are fused to a product, smoothed over neighbouring blocks in page
-order, and paths below a threshold go. What markup itself says is read too:
+order, and paths below a threshold go. Short text within the element that holds
+the content (list items, cells, captions) stays unless it is mere links. What
+markup itself says is read too:
 navigation, forms, scripts and the like count for nothing. An article or main
 part is one input to the score and shuts out nothing: its paths, however short
 their blocks, are lifted by the threshold unless they are mere links, and text
@@ -61,12 +63,16 @@ class Node:
     path: str
     barred: bool
     main: bool
+    up: Node | None = None
+    mass: float = 0.0
+    content: bool = False
 
 
 @dataclass(slots=True)
 class Block:
     path: str
     main: bool
+    node: Node
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -108,7 +114,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not decoded.strip():
                 return
-            current = Block(stack[-1].path, stack[-1].main)
+            current = Block(stack[-1].path, stack[-1].main, stack[-1])
             out.append(current)
         current.parts.append(decoded)
         if linked:
@@ -163,7 +169,7 @@ def blocks(page: str) -> list[Block]:
         pop_to(("p",), ("td", "th", "li", "button", "article", "section", "div", "blockquote"))
         barred, main = _barred(name, m["attrs"])
         top = stack[-1]
-        stack.append(Node(name, f"{top.path}/{name}", top.barred or barred, (top.main or main) and not (top.barred or barred)))
+        stack.append(Node(name, f"{top.path}/{name}", top.barred or barred, (top.main or main) and not (top.barred or barred), top))
     text(page[at:])
     kept = []
     for b in out:
@@ -211,7 +217,33 @@ def main_text(page: str | None) -> str:
     for b, after in zip(found, found[1:], strict=False):
         if re.search(r"/h[1-6]$", b.path) and after.key in keep:
             keep.add(b.key)
-    return "\n".join(b.text for b in found if b.key in keep)
+    _hold_content(found, keep)
+    return "\n".join(b.text for b in found if b.key in keep or b.node.content and b.linked < 0.9 * len(b.text))
+
+
+def _hold_content(found: list[Block], keep: set[tuple[str, bool]]) -> None:
+    """Marks the elements that hold the content, all within them too: the deepest
+    that nine tenths of the kept text has around it, and the parent of every kept paragraph."""
+    order: dict[int, Node] = {}  # every element around a block, the outer before the inner
+    for b in found:
+        line, node = [], b.node
+        while node is not None and id(node) not in order:
+            line.append(node)
+            node = node.up
+        order.update((id(n), n) for n in reversed(line))
+        if b.key in keep:
+            around = b.node.up or b.node
+            around.mass += len(b.text)
+            around.content |= b.node.name == "p"
+    nodes = list(order.values())
+    total = sum(n.mass for n in nodes)
+    for n in reversed(nodes):
+        if n.up is not None:
+            n.up.mass += n.mass
+    if total:
+        next(n for n in reversed(nodes) if n.mass >= 0.9 * total).content = True
+    for n in nodes:
+        n.content |= n.up is not None and n.up.content
 
 
 def extract(pages: DataFrame) -> DataFrame:
