@@ -1,9 +1,11 @@
+import math
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
 import zlib
+from pyspark.sql import functions as F
 
 from threadloom.llm import mixing, sharding
 
@@ -74,3 +76,27 @@ def test_quality_draws_more_often(docs, spark):
     out = [r for r in mixing.mix(df, quality).collect() if r.source == "z" and r.taken]
     odd = sum(r.doc_id % 2 for r in out)
     assert odd > 2 * (len(out) - odd)
+
+
+def test_later_documents_fill_what_a_long_one_leaves(docs, spark):
+    rows = [(i, "w " * (400 if i % 10 == 0 else i % 7 + 1)) for i in range(300)]
+    df = docs(rows, source="z").union(docs([(i, "w " * 9) for i in range(1000, 2500)], source="a"))
+    quality = spark.createDataFrame([(i, 2.0 if i % 3 else 0.5) for i in range(300)], "doc_id long, quality double")
+    passed_over = 0
+    for seed in range(4):
+        out = mixing.mix(df, quality, seed=seed, bins=8).collect()
+        z = {r.doc_id: r for r in out if r.source == "z"}
+        units = df.where("source = 'z'").select("doc_id", mixing.unit(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("u")).collect()
+        left, want, over = round(z[0].target), set(), False
+        for r in sorted(units, key=lambda r: -math.log(r.u) / (2.0 if r.doc_id % 3 else 0.5)):
+            if left > 0 and z[r.doc_id].size <= 2 * left:
+                left -= z[r.doc_id].size
+                want.add(r.doc_id)
+                passed_over += over
+            elif left > 0:
+                over = True
+        assert {k for k, r in z.items() if r.taken} == want
+        assert z[0].target - sum(r.taken for r in z.values()) <= 1
+        carried = mixing.mix(df, quality, seed=seed, bins=8, carry=("text",)).where("source = 'z' AND taken > 0").collect()
+        assert {r.doc_id for r in carried} == want
+    assert passed_over > 0

@@ -4,7 +4,9 @@ Every source gets a target in words. Complete epochs come first: a source is
 taken whole as often as it fits into its target. The rest is a weighted sample
 without replacement: documents get exponential keys divided by their quality
 weight, are sorted by them within the source and taken while the prefix sum
-of their sizes comes nearer to the rest of the target.
+of their sizes comes nearer to the rest of the target. Where a document is passed
+over because it would overshoot, later ones in that order fill what it leaves:
+each that brings the sum nearer to the rest.
 
 Defined results
 - null source: a source of its own, last in order; null text: size 0
@@ -16,6 +18,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Up to so many sources, a row of 40 bytes each, the solved targets are broadcast.
 BROADCAST_SOURCES = 20_000
+SOURCE = ["_src", "_null"]
+CELL = [*SOURCE, "_bin"]
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> dict[str | None, Fraction]:
@@ -66,48 +71,88 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17, weigh
 
     ``quality`` holds weights (doc_id, quality); several of one id are averaged.
 
-    Two passes. The first sums words by source: one row a source goes to the
+    Two passes over texts. The first sums words by source: one row a source goes to the
     driver, where the targets are solved. In the second no source is sorted in
     one task: the key range is cut into ``bins`` equal steps of 1 - exp(-key),
     whose sums place each bin, and rows are sorted within (source, bin) only.
+    What fills a gap is found on sizes alone, by ``fillers``.
     """
     spark = docs.sparkSession
     base = docs.select(
         "doc_id", "source", *carry, words().alias("size"),
         unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).alias("_u"),
     )
-    if not carry:  # a few dozen bytes a row: read texts once
-        base = written(base, "sizes")
-    if quality is None:
-        base = base.withColumn("_q", F.lit(1.0))
-    else:
-        one = quality.groupBy("doc_id").agg(F.avg("quality").alias("_q"))
-        base = base.join(one, "doc_id", "left").withColumn("_q", F.coalesce("_q", F.lit(1.0)))
-    sums = [(r["source"], int(r["n"])) for r in base.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    narrow = written(base.drop(*carry), "sizes")  # a few dozen bytes a row: read texts once, or twice to carry them
+    if not carry:
+        base = narrow
+    one = None if quality is None else quality.groupBy("doc_id").agg(F.avg("quality").alias("_q"))
+    sums = [(r["source"], int(r["n"])) for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     goal = targets(sums, weights, most)
     plan = []
     for name, size in sums:
         epochs = int(goal[name] // size) if size else 0
         plan.append((name, size, float(goal[name]), epochs, int(round(goal[name] - epochs * size))))
     known = spark.createDataFrame(plan, "_s string, source_size long, target double, _epochs int, _rest long")
-    if len(plan) <= BROADCAST_SOURCES:  # beyond, a join that AQE may split at hot sources
-        known = F.broadcast(known)
-    key = -F.log("_u") / F.when(F.col("_q") > 0, F.col("_q")).otherwise(1.0)
-    keyed = (
-        base.join(known, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_key", key)
-        .withColumn("_bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("_key"))) * bins)).cast("int"))
-        .withColumn("_src", F.coalesce("source", F.lit("")))
-        .withColumn("_null", F.col("source").isNull())
-    )
-    cell = ["_src", "_null", "_bin"]
-    sizes = keyed.groupBy(*cell).agg(F.sum("size").alias("_sum"))
-    earlier = Window.partitionBy("_src", "_null").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*cell, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(*cell).orderBy("_key", "doc_id", "_u")
-    placed = keyed.withColumn("_end", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).join(starts, cell)
-    begin = F.col("_start") + F.col("_end") - F.col("size")
-    # taken while it brings the sum nearer to the rest: at least half of the row lies before it
-    chosen = (F.col("_epochs") < most) & (F.col("size") > 0) & (2 * (F.col("_rest") - begin) >= F.col("size")) & (F.col("_rest") > begin)
+    few = F.broadcast if len(plan) <= BROADCAST_SOURCES else lambda rows: rows  # beyond, a join that AQE may split at hot sources
+    known = few(known)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        weighed = rows.withColumn("_q", F.lit(1.0)) if one is None else rows.join(one, "doc_id", "left").withColumn("_q", F.coalesce("_q", F.lit(1.0)))
+        key = -F.log("_u") / F.when(F.col("_q") > 0, F.col("_q")).otherwise(1.0)
+        return (
+            weighed.join(known, F.col("source").eqNullSafe(F.col("_s")))
+            .withColumn("_key", key)
+            .withColumn("_bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("_key"))) * bins)).cast("int"))
+            .withColumn("_src", F.coalesce("source", F.lit("")))
+            .withColumn("_null", F.col("source").isNull())
+        )
+
+    sizes = keyed(narrow).groupBy(*CELL).agg(F.sum("size").alias("_sum"))
+    earlier = Window.partitionBy(*SOURCE).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*CELL, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+
+    def place(rows: DataFrame) -> DataFrame:
+        """Rows with their source's plan, and where each begins and stands in the order of keys."""
+        within = Window.partitionBy(*CELL).orderBy("_key", "doc_id", "_u")
+        summed = keyed(rows).withColumn("_end", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", F.row_number().over(within))
+        # taken while it brings the sum nearer to the rest: at least half of the row lies before it
+        open_ = (F.col("_epochs") < most) & (F.col("size") > 0)
+        near = (2 * (F.col("_rest") - F.col("_begin")) >= F.col("size")) & (F.col("_rest") > F.col("_begin"))
+        return (
+            summed.join(starts, CELL)
+            .withColumn("_begin", F.col("_start") + F.col("_end") - F.col("size"))
+            .withColumn("_open", open_)
+            .withColumn("_chosen", open_ & near)
+        )
+
+    more = few(written(fillers(place(narrow), few), "fillers"))  # a few rows a source
+    placed = place(base).join(more, [*CELL, "_at"], "left")
+    chosen = F.col("_chosen") | F.col("_fills").isNotNull()
     times = F.when(F.col("size") > 0, F.col("_epochs") + chosen.cast("int")).otherwise(0)
     return placed.select("doc_id", "source", *carry, "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("epochs"))
+
+
+def fillers(placed: DataFrame, few: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
+    """Places (source, bin, rank) of the rows that fill what a row passed over leaves of its source's rest.
+
+    Later rows are met in order; one of at most twice what is left is taken. Such a
+    row was preceded only by taken ones among those of its size or less, so with
+    a gap of g words none comes after the first g / size + 1 of its own size. That
+    bounds what one task sees of a source by about g log g rows, whatever its size.
+    """
+    gap = placed.where(F.col("_open") & ~F.col("_chosen") & (F.col("_begin") < F.col("_rest"))).select(*SOURCE, (F.col("_rest") - F.col("_begin")).alias("_gap"))
+    able = placed.where(F.col("_open") & (F.col("_begin") >= F.col("_rest"))).select(*CELL, "_at", "size").join(few(gap), SOURCE)
+    able = able.where(F.col("size") <= 2 * F.col("_gap"))
+    for alike in (Window.partitionBy(*CELL, "size").orderBy("_at"), Window.partitionBy(*SOURCE, "size").orderBy("_bin", "_at")):
+        able = able.withColumn("_nth", F.row_number().over(alike)).where(F.col("_nth") <= F.floor(F.col("_gap") / F.col("size")) + 1)
+
+    listed = able.groupBy(*SOURCE).agg(F.first("_gap").alias("_gap"), F.sort_array(F.collect_list(F.struct("_bin", "_at", "size"))).alias("_rows"))
+
+    def meet(state: Column, row: Column) -> Column:
+        left, size = state["left"], row["size"]
+        taken = F.struct((left - size).alias("left"), F.concat(state["took"], F.array(F.struct(row["_bin"].alias("_bin"), row["_at"].alias("_at")))).alias("took"))
+        return F.when((left > 0) & (size <= 2 * left), taken).otherwise(state)
+
+    start = F.struct(F.col("_gap").cast("long").alias("left"), F.array().cast("array<struct<_bin:int,_at:int>>").alias("took"))
+    took = listed.select(*SOURCE, F.explode(F.aggregate("_rows", start, meet)["took"]).alias("_t"))
+    return took.select(*SOURCE, F.col("_t._bin").alias("_bin"), F.col("_t._at").alias("_at"), F.lit(True).alias("_fills"))
