@@ -20,9 +20,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language (no text, or no letter in it); a missing lang is filled in."""
+    """Drops documents in no language (no letter, or foreign to all learned ones); a missing lang is filled in."""
     model = language.fit(language.sample(docs, ~language.held_out("doc_id")))
-    judged = language.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != "und")
+    judged = language.in_a_language(docs.select(*COLUMNS), model)
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadloom.llm import mixing, tokenise
+from threadloom.llm import language, mixing, tokenise
 
 from test_neardup import brute as near_groups
 from test_substring import brute as passages_left
@@ -59,6 +59,24 @@ def test_language_rejects_only_what_has_no_letter(stages):
     assert all(r["lang"] == "en" for r in after)
 
 
+def test_language_without_a_learnable_label(spark):
+    rows = [(k, t, None, s, n) for k, t, _, s, n in corpus(7)]
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "unused").collect()
+    assert {r[0] for r in rows} - {r["doc_id"] for r in kept} == {86, 87, 88, 89}
+    assert all(r["lang"] is None for r in kept)
+
+
+def test_language_rejects_what_is_foreign_to_all_learned(spark):
+    foreign = "слова другого языка, которых нет ни в одной выборке"
+    rows = corpus(7) + [(100, foreign, None, "a", 0), (101, foreign, "en", "a", 0), (102, foreign, "ru", "a", 0), (103, "ж", None, "a", 0)]
+    learnt = [r for r in rows if r[0] < 100]
+    model = language.fit({"en": [t.encode() for _, t, *_ in learnt if t]})
+    kept = language.in_a_language(spark.createDataFrame(rows, SCHEMA), model).collect()
+    assert {r[0] for r in rows} - {r["doc_id"] for r in kept} == {86, 87, 88, 89, 100, 101}
+    stage = corpus_pipeline.identify_language(spark, spark.createDataFrame(learnt + rows[-4:-3], SCHEMA), "unused")
+    assert 100 not in {r["doc_id"] for r in stage.collect()}
+
+
 def test_near_duplicates_as_brute_force(stages):
     before, after = stages["minhash_near_dedup"]
     want = [k for k, _, _, kept in near_groups([(r["doc_id"], r["text"]) for r in before], 5, 80) if kept]

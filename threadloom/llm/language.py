@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import pieces, python_rows
 
 ORDER = 3
+#: Bits by which plain bytes must be shorter than every language's code to speak against all of them.
+FOREIGN_ODDS = 64.0
 ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 600, 1_500_000
 
 
@@ -128,10 +130,14 @@ def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 18) -> np.n
     return out
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text)))
+
+
 def judge(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text: the shortest code, and its share of 2^-length among all."""
     raw = [(t or "").encode() for t in texts]
-    lettered = [bool(t) and (any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t))) for t in texts]
+    lettered = [has_letter(t) for t in texts]
     if not model.languages:
         return ["und"] * len(texts), [0.0] * len(texts)
     bits = code_lengths(model, [r if ok else b"" for r, ok in zip(raw, lettered, strict=True)])
@@ -189,6 +195,37 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     return source.mapInArrow(run, schema)
 
 
+def in_a_language(docs: DataFrame, model: Model, odds: float = FOREIGN_ODDS) -> DataFrame:
+    """Documents in a language, with lang_pred beside their columns; one pass, no shuffle.
+
+    Text without a letter is in none. Nor is text whose shortest code is ``odds``
+    bits longer than its plain bytes, so that the model speaks against every
+    language it knows; a label of a language it doesn't know stands. A model of no
+    language predicts null and rejects by letters alone.
+    """
+    spark = docs.sparkSession
+    python_rows(spark)
+    frozen = spark.sparkContext.broadcast(model)
+    schema = docs.select("*").schema.add("lang_pred", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = frozen.value
+        for batch in pieces(batches):
+            texts = batch["text"].to_pylist()
+            kept, best = [has_letter(t) for t in texts], [None] * len(texts)
+            if model.languages:
+                raw = [t.encode() if ok else b"" for t, ok in zip(texts, kept, strict=True)]
+                bits = code_lengths(model, raw)
+                best = [model.languages[i] for i in bits.argmin(axis=1)]
+                over = bits.min(axis=1) - 8 * np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+                unknown = [lang is not None and lang not in model.languages for lang in batch["lang"].to_pylist()]
+                kept = [ok and (x < odds or u) for ok, x, u in zip(kept, over, unknown, strict=True)]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string())], names=schema.names)
+            yield out.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(key: str = "doc_id"):
     """Rows never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2
