@@ -100,3 +100,45 @@ def test_word_hashes_follow_words():
         assert len(got) == len(words)
         assert dict(zip(words, got)) == dict(zip(reversed(words), reversed(got))) and len(set(got)) == len(set(words))
     assert len(hash_words(b"")) == 0 and len(hash_words(b"  ")) == 0
+
+
+def test_rows_of_one_id_link_all_their_classes(docs):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(9))
+    rows = [(1, words("a")), (2, words("b")), (3, words("c")), (5, words("a")), (5, words("b")), (5, words("c")), (None, words("n")), (None, words("m"))]
+    got = neardup.near_duplicates(docs(rows), neardup.Rule(width=3, percent=85)).collect()
+    assert {r.component_id for r in got if r.doc_id is not None} == {1}
+    assert sorted(r.kept for r in got if r.doc_id is None) == [True, True]  # texts without an id are documents of their own
+    kept = neardup.without_near_duplicates(docs([*rows, (5, words("d")), (7, words("f")), (7, words("e"))]))
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept.collect()) == [(0, "m"), (0, "n"), (1, "a"), (7, "e")]
+
+
+def test_built_words_of_one_polynomial_hash_differ():
+    from threadloom.llm.common import hash_words
+
+    for k in (10, 11, 12):  # Thue-Morse words collide modulo 2^64 under every base
+        signs = [bin(i).count("1") % 2 for i in range(1 << k)]
+        a, b = (bytes(97 + (x ^ flip) for x in signs) for flip in (0, 1))
+        x, y = hash_words(a + b" " + b).tolist()
+        assert x != y and hash_words(b"z " + a).tolist()[1] == x
+
+
+def test_large_families(docs, monkeypatch):
+    """Families beyond a block: copies of one text, a chain of neighbours, and texts that share much and are not linked."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PART", 7)
+    monkeypatch.setattr(neardup, "REPS", 2)
+    monkeypatch.setattr(neardup, "OWN_REPS", 1)
+    rng, rows = random.Random(4), []
+    base = [f"b{i}" for i in range(100)]
+    for i in range(40):  # mutual likeness about 0.7 to 0.95
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 5, 6])):
+            w[rng.randrange(100)] = f"x{i}{rng.random()}"
+        rows.append(" ".join(w))
+    line = [f"c{i}" for i in range(400)]
+    rows += [" ".join(line[i * 4 : i * 4 + 100]) for i in range(60)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    for width, percent in ((3, 85), (5, 80)):
+        got = neardup.near_duplicates(docs(rows), neardup.Rule(width=width, percent=percent))
+        assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == brute(rows, width, percent)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -18,44 +20,94 @@ U64 = np.uint64
 _MASK = (1 << 64) - 1
 
 
-def python_rows(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound the rows that one Arrow batch brings to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Setting under which Spark deletes a query's shuffle files once the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees; an own one only where the session names none."""
+    """The folder every executor sees: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets one below its warehouse; a cluster
+    gets an error, as its workers would each write to a disk of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return named.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost
-    executors recompute nothing before this point, and sizes are known to AQE."""
+    executors recompute nothing before this point, and sizes are known to AQE.
+
+    The shuffle files of the write go when it ends. The table itself goes by
+    ``discard`` or, where a returned DataFrame still reads it, when the driver's
+    Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    if not _left:
+        atexit.register(_discard_left)
+    _left[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
+#: Written tables that still exist.
+_left: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` whose results have been written on in their turn."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written_path)
+        _left.pop(df.written_path, None)
+
+
+def _discard_left() -> None:
+    """At the driver's end, delete what results read until then; a session that has ended first leaves it."""
+    for path, spark in list(_left.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the JVM may be gone by now
+            return
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
-    import gc
+BITMAP_BITS = 1 << 25
+_BUCKET = 8 * 4096
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def among(rows: DataFrame, ids: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``ids``: a filter before a shuffle.
+
+    The ids are hashed to a bitmap of ``bits`` bits, 4 MB whatever their number,
+    which is broadcast. It lets every listed id pass, so the join behind it stays
+    what decides; above some 10^8 ids it lets most rows pass and only the join works.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    marks = (
+        ids.select(place.alias("_p")).distinct()
+        .groupBy(F.floor(F.col("_p") / _BUCKET).cast("int").alias("_map"))
+        .agg(F.bitmap_construct_agg(F.pmod("_p", F.lit(_BUCKET))).alias("_bits"))
+    )
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.pmod("_p", F.lit(_BUCKET)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod("_p", F.lit(8)).cast("int")) == 1
+    looked = rows.withColumn("_p", place).withColumn("_map", F.floor(F.col("_p") / _BUCKET).cast("int"))
+    return looked.join(F.broadcast(marks), "_map").where(hit).select(*rows.columns)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,6 +156,8 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _NEXT_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _BYTES = Rolling(0xA24BAED4963EE407)
+#: Longer words get a BLAKE2b hash: polynomials modulo 2^64 collide for built strings of a thousand bytes.
+LONG_WORD = 64
 
 
 def hash_words(raw: bytes, block: int = 1 << 20) -> np.ndarray:
@@ -127,7 +181,11 @@ def hash_words(raw: bytes, block: int = 1 << 20) -> np.ndarray:
         up, down = _BYTES.powers(len(b))
         prefix = np.zeros(len(b) + 1, dtype=U64)
         np.cumsum((b + U64(1)) * up[: len(b)], out=prefix[1:])
-        out.append(mix((prefix[ends] - prefix[starts]) * down[starts] ^ (ends - starts).astype(U64)))
+        sizes = ends - starts
+        found = mix((prefix[ends] - prefix[starts]) * down[starts] ^ sizes.astype(U64))
+        for i in np.flatnonzero(sizes > LONG_WORD):
+            found[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        out.append(found)
     return out[0] if len(out) == 1 else np.concatenate([np.empty(0, dtype=U64), *out])
 
 
@@ -165,7 +223,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     no neighbourhood is ever gathered. Every step is written to the shared
     folder. Self-loops keep lone nodes.
     """
-    spark = edges.sparkSession
     lone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
@@ -185,7 +242,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         moved = star.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         discard(star)
-        release(spark)
     else:
         raise RuntimeError("connected components did not converge")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

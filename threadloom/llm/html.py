@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, python_rows
+from .common import pieces
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -248,7 +248,6 @@ def _hold_content(found: list[Block], keep: set[tuple[str, bool]]) -> None:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page; one pass, no shuffle."""
-    python_rows(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

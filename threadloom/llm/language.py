@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, python_rows
+from .common import pieces
 
 ORDER = 3
 #: Bits by which plain bytes must be shorter than every language's code to speak against all of them.
@@ -176,7 +176,6 @@ def sample(docs: DataFrame, learnable, rows: int = ROWS_PER_LANGUAGE, most_bytes
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: every column) with lang_pred and score beside it; one pass, no shuffle."""
     spark = docs.sparkSession
-    python_rows(spark)
     frozen = spark.sparkContext.broadcast(model)  # a few MB, bounded by the sample
     names = docs.columns if keep is None else keep
     fresh = [n for n in ("lang_pred", "score") if n in names]
@@ -204,7 +203,6 @@ def in_a_language(docs: DataFrame, model: Model, odds: float = FOREIGN_ODDS) ->
     language predicts null and rejects by letters alone.
     """
     spark = docs.sparkSession
-    python_rows(spark)
     frozen = spark.sparkContext.broadcast(model)
     schema = docs.select("*").schema.add("lang_pred", "string")
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, discard, hash_words, list_column, mix, pieces, python_rows, release, signed, written
+from .common import U64, Rolling, discard, hash_words, list_column, mix, pieces, signed, written
 
 NO_ID = (1 << 63) - 1
 _ROLL, _AGAIN = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
@@ -194,7 +194,6 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
     """doc_id, n_words, n_removed, kept_sha256 of every row; with ``texts`` also kept_text
     (the kept words of rows that lost some, else null) and the text's mark."""
     spark = docs.sparkSession
-    python_rows(spark)
     base = written(outline(docs), "outline")
     # one text a word sequence, told by its SHA-256: its smallest id
     first = base.where(F.col("n_words") >= rule.window).groupBy("all_sha256").agg(F.min_by("seq", "doc_id").alias("seq"), F.min("doc_id").alias("doc_id"))
@@ -203,22 +202,18 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
     one = flat.select("seq", F.explode("h").alias("h"))
     shared = one.groupBy("h").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a <> b").select("h")
     shared = written(shared, "shared-anchors")
-    release(spark)
     placed = flat.select("doc_id", "seq", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc_id", "seq", "x.h", "x.at")
     around = placed.join(shared, "h").groupBy("doc_id", "seq").agg(F.collect_set("at").alias("at"))
     around = written(around.join(first.select("seq", "doc_id"), ["seq", "doc_id"], "left_semi"), "around")
     discard(shared)
-    release(spark)
     runs = written(windows(_keyed(docs), around, rule), "windows")
     discard(around)
-    release(spark)
 
     each = runs.select("doc_id", "seq", F.explode(F.arrays_zip("at", "h1", "h2")).alias("x")).select("doc_id", "seq", "x.at", "x.h1", "x.h2")
     least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead < other").drop("other")
     judged = each.join(least, ["h1", "h2"]).where("doc_id > lead").groupBy("doc_id", "seq").agg(F.collect_set("at").alias("at"))
     judged = written(judged, "judged")
     discard(runs)
-    release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

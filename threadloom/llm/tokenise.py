@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, python_rows
+from .common import pieces
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 
@@ -143,7 +143,6 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, columns: tuple[str, ..
     schema = pa.schema([("doc_id", pa.int64()), *[(c, KINDS[c][0]) for c in columns]])
     ddl = ", ".join(["doc_id long", *[f"{c} {KINDS[c][1]}" for c in columns]])
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    python_rows(docs.sparkSession)
 
     def row(coder: Bpe, key, ids: bytes) -> tuple:
         return key, *[VALUES[c](coder, ids) for c in columns]
