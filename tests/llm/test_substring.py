@@ -77,3 +77,14 @@ def test_texts_follow(docs):
 def test_rule_rejects_what_is_no_cover():
     with pytest.raises(ValueError):
         substring.Rule(period=31, cover=(0, 1, 2))
+
+
+def test_many_copies_and_a_very_long_text(docs, duck):
+    base = [f"w{i}" for i in range(70)]
+    long = [f"l{i % 5000}" for i in range(30_000)]  # repeats within itself are not another document's
+    rows = [(i, " ".join(base)) for i in range(30)] + [(40, " ".join(["a", *base, "b"])), (41, " ".join(long)), (42, " ".join([*long[:60], "end"])), (43, "x" * 300_000)]
+    df = docs(rows)
+    want = duck(sql.OP1, documents=df.toPandas())
+    got = substring.deduplicate(df).toPandas()
+    key = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert got[key].sort_values(key).values.tolist() == want[key].sort_values(key).values.tolist()

@@ -25,8 +25,10 @@ Defined results
 - fewer words than a window: nothing removed
 - repeated ids: rows of one id do not judge each other
 - null id: later than every other id; stays null
-- empty table: no rows; extra columns pass through ``deduplicate``, which may not
-  hold the names it adds
+- ties: of equal passages in one document all places are judged alike
+- very long texts: hashed block by block, one text at a time
+- empty table: no rows; extra columns are dropped by ``deduplicate`` and kept by
+  ``without_repeats``, whatever their names
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, discard, hash_words, list_column, mix, pieces, signed, written
+from .common import SALTS, U64, Rolling, among, discard, hash_words, list_column, pieces, signed, written
 
 NO_ID = (1 << 63) - 1
 _ROLL, _AGAIN = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
@@ -77,9 +79,8 @@ def raw(text: pa.Scalar) -> bytes:
 
 
 def sequence_hash(values: np.ndarray) -> int:
-    """One 64-bit hash of a whole word sequence; 0 for none. It tells rows of one id apart; copies are
-    told by a SHA-256."""
-    return int(_ROLL.windows(values, len(values))[0] ^ mix(np.array([len(values)], dtype=U64))[0]) if len(values) else 0
+    """One 64-bit hash of a whole word sequence. It tells rows of one id apart; copies are told by a SHA-256."""
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -107,23 +108,26 @@ def outline(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, seq, hashes, first places) of the distinct anchors of every text of at least a window."""
+    """(doc_id, seq, h) of every text of at least a window: the hash at each anchor place, null where the text has it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            ids, seqs, hashes, places = [], [], [], []
+            ids, seqs, hashes = [], [], []
             for key, text in zip(batch["doc_id"], batch["text"], strict=True):
                 values = hash_words(raw(text))
                 at = rule.places(len(values))
                 if len(at):
-                    h, first = np.unique(_ROLL.windows(values, rule.anchor)[at], return_index=True)
+                    h = _ROLL.windows(values, rule.anchor)[at]
+                    again = np.ones(len(h), dtype=bool)
+                    again[np.unique(h, return_index=True)[1]] = False
                     ids.append(key.as_py())
                     seqs.append(sequence_hash(values))
-                    hashes.append(signed(h))
-                    places.append(at[first].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(seqs, dtype=U64).view(np.int64)), list_column(hashes, pa.int64()), list_column(places, pa.int32())], names=["doc_id", "seq", "h", "at"])
+                    hashes.append(pa.array(signed(h), mask=again))
+            offsets = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
+            flat = pa.concat_arrays(hashes) if hashes else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(seqs, dtype=U64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "seq", "h"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, seq long, h array<long>, at array<int>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, seq long, h array<long>")
 
 
 def windows(docs: DataFrame, around: DataFrame, rule: Rule) -> DataFrame:
@@ -154,7 +158,12 @@ def windows(docs: DataFrame, around: DataFrame, rule: Rule) -> DataFrame:
                 second.append(signed(two[chosen]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), list_column(firsts, pa.int32()), list_column(first, pa.int64()), list_column(second, pa.int64())], names=["doc_id", "seq", "at", "h1", "h2"])
 
-    return docs.join(around.hint("merge"), "doc_id").select("doc_id", "text", "seq", "at").mapInArrow(run, "doc_id long, seq long, at array<int>, h1 array<long>, h2 array<long>")
+    return _beside(docs, around).mapInArrow(run, "doc_id long, seq long, at array<int>, h1 array<long>, h2 array<long>")
+
+
+def _beside(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text, seq, at: the texts that ``found`` speaks of; others stay where they are."""
+    return among(docs, found.select("doc_id"), "doc_id").join(found.hint("merge"), "doc_id").select("doc_id", "text", "seq", "at")
 
 
 def repeats(hashes: np.ndarray, places: np.ndarray, chosen: list[int]) -> np.ndarray:
@@ -196,16 +205,20 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
     spark = docs.sparkSession
     base = written(outline(docs), "outline")
     # one text a word sequence, told by its SHA-256: its smallest id
-    first = base.where(F.col("n_words") >= rule.window).groupBy("all_sha256").agg(F.min_by("seq", "doc_id").alias("seq"), F.min("doc_id").alias("doc_id"))
+    first = base.where(F.col("n_words") >= rule.window).groupBy("all_sha256").agg(F.min_by("seq", "doc_id").alias("seq"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
-    flat = anchors(docs, rule)
-    one = flat.select("seq", F.explode("h").alias("h"))
+    flat = written(anchors(docs, rule), "anchors")  # read twice: to count, and to find the places of what counts
+    one = flat.select("seq", F.explode("h").alias("h")).where("h IS NOT NULL")
     shared = one.groupBy("h").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a <> b").select("h")
     shared = written(shared, "shared-anchors")
-    placed = flat.select("doc_id", "seq", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc_id", "seq", "x.h", "x.at")
-    around = placed.join(shared, "h").groupBy("doc_id", "seq").agg(F.collect_set("at").alias("at"))
+    nth = flat.select("doc_id", "seq", F.posexplode("h").alias("nth", "h")).where("h IS NOT NULL")
+    cover = F.array(*[F.lit(c) for c in sorted(rule.cover)])
+    size = len(rule.cover)
+    at = (F.floor(F.col("nth") / size) * rule.period + F.get(cover, F.pmod("nth", F.lit(size)))).cast("int")
+    around = nth.join(shared, "h").groupBy("doc_id", "seq").agg(F.collect_set(at).alias("at"))
+    # of equal texts only the first is looked at again
     around = written(around.join(first.select("seq", "doc_id"), ["seq", "doc_id"], "left_semi"), "around")
-    discard(shared)
+    discard(shared, flat)
     runs = written(windows(_keyed(docs), around, rule), "windows")
     discard(around)
 
@@ -232,10 +245,13 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(), texts: bool = False) -> Da
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "seq", "removed", "sha", "left"])
 
-    trimmed = _keyed(docs).join(judged.hint("merge"), "doc_id").select("doc_id", "text", "seq", "at").mapInArrow(cut, "doc_id long, seq long, removed long, sha string, left string")
+    trimmed = _beside(_keyed(docs), judged).mapInArrow(cut, "doc_id long, seq long, removed long, sha string, left string")
     trimmed = written(trimmed.dropDuplicates(["doc_id", "seq"]), "trimmed")
     discard(judged)
-    own = base.join(first.select("all_sha256", F.col("doc_id").alias("lead")), "all_sha256", "left")
+    # texts with copies meet their first in parts, so that one of many copies is not one task's
+    salt = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)).cast("int")
+    copied = first.where("copies > 1").select("all_sha256", F.col("doc_id").alias("lead"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    own = base.withColumn("_salt", salt).join(copied, ["all_sha256", "_salt"], "left").withColumn("lead", F.coalesce("lead", "doc_id"))
     copy = (F.col("n_words") >= rule.window) & (F.col("doc_id") > F.col("lead"))
     done = own.join(trimmed, ["doc_id", "seq"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
