@@ -139,3 +139,87 @@ def test_rows(spark):
     out = sorted(map(tuple, html.extract(df).collect()), key=repr)
     assert out == [(1, "u", WANT, len(WANT)), (2, None, "", 0), (2, None, "", 0)]
     assert html.extract(df.limit(0)).count() == 0
+
+
+PARAGRAPHS = [f"Sentence {i}, with some length, and a full stop. And one more, too." for i in range(8)]
+
+
+@pytest.mark.parametrize("wrapped", [
+    '<div class="site has-sidebar"><div class="entry">%s</div></div>', '<div class="no-sidebar"><article>%s</article></div>',
+    '<article><div class="social-studies">%s</div></article>', '<div class="widget"><div class=nav>%s</div></div>', "<div>%s</div>", "<section><div><div>%s</div></div></section>",
+])
+def test_a_wrapper_with_the_name_of_a_part_keeps_its_article(wrapped):
+    body = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    for beside in ("", '<div class="ad">Buy, now, and cheap. At the shop, today.</div>', "<nav><a href=x>menu</a></nav>"):
+        if "ad" in beside and "widget" in wrapped:
+            continue  # both bear names of parts, and nothing on the page else
+        assert html.main_text(f"<body>{beside}{wrapped % body}{beside}</body>").split("\n") == PARAGRAPHS
+
+
+def test_short_items_stay_and_hinted_parts_go():
+    body = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    more = "<ul><li>one</li><li>two</li></ul><pre>x = 1</pre><blockquote>Said.</blockquote><table><tr><td>1<td>2</table>"
+    advert = '<div class="ad-slot">Buy this, now. Really, buy this thing, today or tomorrow, at the shop.</div>'
+    said = "<div class=comment><p>I like it, much, and more than so, really so, and a lot, you know, as ever.</p></div>" * 30
+    for around in ("<div class=c>%s</div>", "<article>%s</article>"):
+        page = f"<body>{around % (body + more + advert + body)}<div class='comments'>{said}</div></body>"
+        assert html.main_text(page).split("\n") == [*PARAGRAPHS, "one", "two", "x = 1", "Said.", "1", "2", *PARAGRAPHS]
+    few = '<body><div class="ad">Other, words, here. Yes, they are.</div><article><h1>Title.</h1></article></body>'
+    assert html.main_text(few) == "Title."
+
+
+def test_broken_and_deep_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div>" * 200_000 + "text", '<a href="' * 120_000, "<p>" * 100_000 + "x", "<b>x</b><i>" * 50_000, "<ul><li>" * 50_000 + "y", "<a b='\"'\">z" * 50_000, "</div>" * 100_000, "<p 'x>y" * 100_000):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 10
+
+
+def test_paths_against_a_plain_reading():
+    """Random trees of plain elements: the kept paths by sums over a parsed tree, in quadratic time."""
+    import random
+    from xml.etree import ElementTree
+
+    rng = random.Random(6)
+
+    def grow(depth):
+        tag = rng.choice(["div", "section", "ul", "p", "h2"]) if depth else "body"
+        if tag in ("p", "h2") or depth > 3:
+            text = " ".join(rng.choice(["word", "a", "longer,", "end."]) for _ in range(rng.randint(1, 40)))
+            return f"<p>{f'<a>{text}</a>' if rng.random() < 0.2 else text}</p>"
+        return f"<{tag}>{''.join(grow(depth + 1) for _ in range(rng.randint(1, 5)))}</{tag}>"
+
+    for _ in range(60):
+        page = grow(0)
+        leaves = []
+
+        def walk(node, path, leaves=leaves):
+            path = (*path, node.tag)
+            if node.tag == "p":
+                text = "".join(node.itertext())
+                leaves.append((path, text, len(text) if len(node) else 0))
+            for child in node:
+                if child.tag != "a":
+                    walk(child, path)
+
+        walk(ElementTree.fromstring(page), ())
+        ratio = []
+        for path, _, _ in leaves:
+            same = [x for x in leaves if x[0] == path]
+            chars, links, n = sum(len(x[1]) for x in same), sum(x[2] for x in same), len(same)
+            marks = sum(x[1].count(",") + x[1].count(".") for x in same)
+            ratio.append((chars - links) / n * (1 + marks / n) * (1 - links / chars))
+        mean = sum(ratio) / len(ratio)
+        bar = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)))
+        want = set()
+        for path in {x[0] for x in leaves}:
+            at = [i for i, x in enumerate(leaves) if x[0] == path]
+            near = [min(0.25 * ratio[max(i - 1, 0)] + 0.5 * ratio[i] + 0.25 * ratio[min(i + 1, len(ratio) - 1)], 2 * ratio[i]) for i in at]
+            if ratio[at[0]] > 0 and sum(near) / len(near) >= bar:
+                want |= {leaves[i][1] for i in at}
+        found = html.blocks(page)
+        keep = html.content_paths(found)
+        assert [b.text for b in found] == [x[1] for x in leaves]
+        assert {b.text for b in found if b.node.path in keep} == want

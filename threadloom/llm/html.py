@@ -4,17 +4,26 @@ Every text block has a root-to-leaf path of block tags. Per path of a page, the
 text length, the punctuation and the link text of its blocks are summed and set
 against the number of blocks: long, punctuated, unlinked paths are content. The
 two ratios are fused to a product, smoothed over neighbouring blocks in page
-order, and paths below a threshold go. Short text within the element that holds
-the content (list items, cells, captions) stays unless it is mere links. What
-markup itself says is read too:
-navigation, forms, scripts and the like count for nothing. An article or main
-part is one input to the score and shuts out nothing: its paths, however short
-their blocks, are lifted by the threshold unless they are mere links, and text
-outside it is held to the same ratios as on a page without one.
+order, and averaged over the path; paths below a threshold go. Then the element
+that holds the content is found, the deepest with nine tenths of the kept text,
+and short text within it (list items, cells, quotations, captions, code) stays
+unless it is mere links.
+
+What markup says comes in as follows. Elements that HTML gives another purpose
+(navigation, forms, scripts, headers, footers, asides) hold no article text and
+are left out. A class, id or role that names such a part ("ad", "site-footer",
+"comment-list") is a hint only: it weighs the ratios of all it contains by
+``HINTED``, and it keeps short text from staying for its surroundings' sake. It
+can't shut a wrapper out: where a whole page stands below a hint, all ratios
+shrink and so does the threshold. ``article``, ``main`` and ``role=main`` are a
+hint the other way: they add the threshold to the score of the paths within,
+however short their blocks, unless these are mere links.
 
 Defined results
 - null or empty html, or no content: empty text, 0 characters
 - unclosed and stray tags: repaired as browsers do for paragraphs, items and cells
+- very long pages, deep nesting, broken tags: time and memory in proportion to the page
+- ties of elements for the content: the one that begins last
 - repeated rows: each is read; empty table: no rows; extra columns are dropped
 """
 
@@ -23,7 +32,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,20 +41,17 @@ from pyspark.sql import DataFrame
 
 from .common import pieces
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|xmp|noembed|noframes|iframe|svg|math|template|noscript)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Elements whose content is no markup, or no text of the page.
+RAW = frozenset("script style textarea title xmp noembed noframes iframe svg math template noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements that never hold an article's own text.
 BARRED = frozenset("head nav header footer aside form button select option menu dialog object embed canvas audio video map fieldset".split())
-#: Words of class, id or role that mark such parts.
-MARKS = frozenset(
+#: Words that name such parts in a class, id or role.
+PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar search searchbox "
     "header masthead topbar footer contentinfo copyright legal sidebar aside complementary widget widgets "
@@ -53,16 +59,29 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations teaser teasers hidden".split()
 )
+#: Words that may follow such a word in one name: "comment-list" is a part, "social-studies" is not.
+HOLDERS = frozenset("area bar block body box buttons card column container content form group icons inner item items links list message panel row section slot text thread title unit wrap wrapper zone".split())
+#: Words that turn such a name into a remark about the page: "no-sidebar".
+REMARKS = frozenset("has no with without is not hide show single".split())
+HINTED = 1 / 50
+#: Share of linked text from which a text is mere links.
+LINKED = 0.9
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
+HEADING = re.compile(r"h[1-6]")
+#: Elements that hold an article's text where it has no element of its own around it.
+TEXT_ELEMENTS = frozenset("p ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption caption h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass(slots=True)
 class Node:
+    """An open or closed element; ``path`` numbers its root-to-leaf path, hints and marks included."""
+
     name: str
-    path: str
-    barred: bool
-    main: bool
+    path: int
+    barred: bool = False
+    hinted: bool = False
+    marked: bool = False
     up: Node | None = None
     mass: float = 0.0
     content: bool = False
@@ -70,22 +89,23 @@ class Node:
 
 @dataclass(slots=True)
 class Block:
-    path: str
-    main: bool
     node: Node
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
-    @property
-    def key(self) -> tuple[str, bool]:
-        """What ratios are summed by: the path, apart in and outside the marked part."""
-        return self.path, self.main
+
+def names_a_part(name: str) -> bool:
+    """Whether one class, id or role names a part beside the article."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
+    while words and (words[-1] in HOLDERS or words[-1].isdigit()) and len(words) > 1:
+        words.pop()
+    return bool(words) and words[-1] in PARTS and not REMARKS.intersection(words)
 
 
-def _barred(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element's own name or attributes bar it; whether it is marked as the main part."""
-    barred, main = name in BARRED, name in ("article", "main")
+def reading(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element is barred, hinted at as another part, or marked as the main one."""
+    barred, hinted, marked = name in BARRED, False, name in ("article", "main")
     if attrs.strip():
         for key, *values in ATTRIBUTE.findall(attrs):
             value, key = "".join(values).lower(), key.lower()
@@ -93,17 +113,52 @@ def _barred(name: str, attrs: str) -> tuple[bool, bool]:
                 barred |= "display:none" in value.replace(" ", "")
             elif key in ("hidden", "aria-hidden"):
                 barred |= value != "false"
-            else:
-                main |= key == "role" and value == "main"
-                if name not in ("html", "body", "main"):
-                    marks = set(re.split(r"[^a-z0-9]+", value)) & MARKS
-                    barred |= bool(marks if name != "article" else marks & {"comment", "ad", "advert", "related", "teaser", "sponsored"})
-    return barred, main
+            elif key in ("class", "id", "role"):
+                marked |= key == "role" and value == "main"
+                hinted |= name not in ("html", "body") and any(map(names_a_part, value.split()))
+    return barred, hinted, marked and not hinted
+
+
+def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """The page as (text before, closing, tag name, attributes), the name empty for what is no tag; one pass."""
+    at, trusted, last = 0, True, page.rfind(">")
+    seen = 0
+    while True:
+        begin = page.find("<", seen)
+        if begin < 0:
+            yield page[at:], False, "", ""
+            return
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            yield page[at:begin], False, "", ""
+            at = seen = end + 3 if end >= 0 else len(page)
+            continue
+        m = OPENING.match(page, begin)
+        if begin > last or m is None and page[begin + 1 : begin + 2] not in ("!", "?", "/"):
+            seen = begin + 1  # no tag: text
+            continue
+        if m is None:
+            end = page.find(">", begin)
+            yield page[at:begin], False, "", ""
+            at = seen = end + 1
+            continue
+        # a quotation that never ends leaves no tag to its right trusted with quotations
+        end = ATTRIBUTES.match(page, m.end()).end() if trusted else page.find(">", m.end())
+        if trusted and page[end : end + 1] != ">":
+            trusted, end = False, page.find(">", m.end())
+        name = m[2].lower()
+        yield page[at:begin], bool(m[1]), name, page[m.end() : end]
+        at = seen = end + 1
+        if name in RAW and not m[1]:
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = seen = close.end() if close else len(page)
 
 
 def blocks(page: str) -> list[Block]:
     """The unbarred text blocks of a page, in page order."""
-    stack, out, linked = [Node("", "", False, False)], [], 0
+    stack, out, linked = [Node("", 0)], [], 0
+    opened: Counter[str] = Counter()
+    numbers: dict[tuple, int] = {}
     current: Block | None = None
 
     def text(raw: str) -> None:
@@ -114,63 +169,71 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not decoded.strip():
                 return
-            current = Block(stack[-1].path, stack[-1].main, stack[-1])
+            current = Block(stack[-1])
             out.append(current)
         current.parts.append(decoded)
         if linked:
             current.linked += len(decoded.strip())
 
+    def push(name: str, attrs: str, inline: bool = False) -> None:
+        top = stack[-1]
+        barred, hinted, marked = reading(name, attrs)
+        if inline and not (barred or hinted):
+            return
+        barred, hinted, marked = top.barred or barred, top.hinted or hinted, (top.marked or marked) and not hinted
+        number = numbers.setdefault((top.path, "" if inline else name, hinted, marked), len(numbers) + 1)
+        stack.append(Node(name, number, barred, hinted, marked, top))
+        opened[name] += 1
+
     def pop_to(names: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in until:
-                return
-            if stack[i].name in names:
-                del stack[i:]
-                return
+        if any(opened[n] for n in names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in until:
+                    return
+                if stack[i].name in names:
+                    for node in stack[i:]:
+                        opened[node.name] -= 1
+                    del stack[i:]
+                    return
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m["raw"] or m[0].startswith("<!--"):
-                continue
+    for before, closing, name, attrs in tags(page):
+        text(before)
+        if not name or name in RAW:
             continue
-        name, closing = name.lower(), bool(m["close"])
         if name == "br":
             text(" ")
             continue
         if name == "a":
             linked = 0 if closing else 1
         if name in INLINE:
-            barred = False if closing or name in VOID else _barred(name, m["attrs"])[0]
             if closing:
-                if any(n.name == name for n in stack):
-                    pop_to((name,))
-            elif barred:
-                stack.append(Node(name, stack[-1].path, True, stack[-1].main))
+                if opened[name]:
+                    pop_to((name,), ("article", "main", "body"))
+                    if current is not None and stack[-1].barred != current.node.barred:
+                        current = None
+            elif name not in VOID:
+                depth = len(stack)
+                push(name, attrs, inline=True)
+                if len(stack) > depth and not stack[-1].barred:
+                    current = None
             continue
         current = None
         if name in VOID:
             continue
         if closing:
             if name not in ("html", "body"):
-                pop_to((name,), ("article", "main", "body") if name in ("p", "li", "div") and not any(n.name == name for n in stack[_floor(stack) :]) else ())
+                pop_to((name,), ("article", "main", "body") if name in ("p", "li", "div") else ())
             continue
         if name == "body":
             pop_to(("head",))
-        elif name == "head" and any(n.name == "body" for n in stack):
+        elif name == "head" and opened["body"]:
             continue
         if name in CLOSES:
             shut, within = CLOSES[name]
             for one in shut.split():
                 pop_to((one,), within)
         pop_to(("p",), ("td", "th", "li", "button", "article", "section", "div", "blockquote"))
-        barred, main = _barred(name, m["attrs"])
-        top = stack[-1]
-        stack.append(Node(name, f"{top.path}/{name}", top.barred or barred, (top.main or main) and not (top.barred or barred), top))
-    text(page[at:])
+        push(name, attrs)
     kept = []
     for b in out:
         b.text = " ".join("".join(b.parts).split())
@@ -179,51 +242,54 @@ def blocks(page: str) -> list[Block]:
     return kept
 
 
-def _floor(stack: list[Node]) -> int:
-    """Where the innermost article, main part or body begins."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].name in ("article", "main", "body", ""):
-            return i
-    return 0
-
-
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
-    paths: dict[tuple[str, bool], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0])
+def content_paths(found: list[Block]) -> set[int]:
+    """The paths whose fused, smoothed ratios reach the threshold. Where a path without a hint
+    does, those with one must also reach the mean, as few blocks make a low threshold."""
+    paths: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0])
+    weight = {}
     for b in found:
-        sums = paths[b.key]
+        sums = paths[b.node.path]
         sums[0] += len(b.text)
         sums[1] += len(PUNCTUATION.findall(b.text))
         sums[2] += min(b.linked, len(b.text))
         sums[3] += 1
+        weight[b.node.path] = HINTED if b.node.hinted else 1.0
     # text-to-path and punctuation-to-path ratios, fused; linked text does not count
-    fused = {p: (chars - links) / n * (1 + marks / n) * (1 - links / chars) for p, (chars, marks, links, n) in paths.items()}
-    raw = [fused[b.key] for b in found]
-    weight = (0.25, 0.5, 0.25)
-    smooth = [sum(w * raw[min(max(i + j - 1, 0), len(raw) - 1)] for j, w in enumerate(weight)) for i in range(len(raw))]
-    score: dict[tuple[str, bool], list[float]] = defaultdict(list)
-    for b, s, own in zip(found, smooth, raw, strict=True):
-        score[b.key].append(min(s, 2 * own))
+    fused = {p: weight[p] * (chars - links) / n * (1 + marks / n) * (1 - links / chars) for p, (chars, marks, links, n) in paths.items()}
+    raw = [fused[b.node.path] for b in found]
+    beside = [raw[0], *raw, raw[-1]]
+    smooth: dict[int, list[float]] = defaultdict(list)
+    for b, left, own, right in zip(found, beside, raw, beside[2:], strict=False):
+        smooth[b.node.path].append(min(0.25 * left + 0.5 * own + 0.25 * right, 2 * own))
     mean = sum(raw) / len(raw)
     spread = math.sqrt(sum((r - mean) ** 2 for r in raw) / len(raw))
-    bar = min(mean, spread) if spread else 0.0
-    keep = {p for p, s in score.items() if sum(s) / len(s) >= bar and fused[p] > 0}
-    # a mark adds the bar itself to the score: any path of the marked part that is not mere links reaches it
-    marked = [p for p in paths if p[1]]
-    keep |= {p for p in marked if paths[p][2] < 0.9 * paths[p][0] or len(marked) == 1}
+    bar = min(mean, spread)
+    scores = {p: sum(s) / len(s) if fused[p] > 0 else -1.0 for p, s in smooth.items()}
+    for p in {b.node.path for b in found if b.node.marked}:
+        if paths[p][2] < LINKED * paths[p][0]:
+            scores[p] += bar
+    keep = {p for p, score in scores.items() if score >= bar}
+    hinted = {b.node.path for b in found if b.node.hinted}
+    return keep if keep <= hinted else {p for p in keep if p not in hinted or scores[p] >= max(bar, mean)}
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    if not found:
+        return ""
+    keep = content_paths(found)
     # a heading belongs to the content that follows it
     for b, after in zip(found, found[1:], strict=False):
-        if re.search(r"/h[1-6]$", b.path) and after.key in keep:
-            keep.add(b.key)
+        if HEADING.fullmatch(b.node.name) and after.node.path in keep and b.node.hinted == after.node.hinted:
+            keep.add(b.node.path)
     _hold_content(found, keep)
-    return "\n".join(b.text for b in found if b.key in keep or b.node.content and b.linked < 0.9 * len(b.text))
+    return "\n".join(b.text for b in found if b.node.path in keep or b.node.content and b.linked < LINKED * len(b.text))
 
 
-def _hold_content(found: list[Block], keep: set[tuple[str, bool]]) -> None:
+def _hold_content(found: list[Block], keep: set[int]) -> None:
     """Marks the elements that hold the content, all within them too: the deepest
-    that nine tenths of the kept text has around it, and the parent of every kept paragraph."""
+    that nine tenths of the kept text has around it, and the parent of every kept paragraph.
+    A hint that begins within them ends the mark."""
     order: dict[int, Node] = {}  # every element around a block, the outer before the inner
     for b in found:
         line, node = [], b.node
@@ -231,7 +297,7 @@ def _hold_content(found: list[Block], keep: set[tuple[str, bool]]) -> None:
             line.append(node)
             node = node.up
         order.update((id(n), n) for n in reversed(line))
-        if b.key in keep:
+        if b.node.path in keep:
             around = b.node.up or b.node
             around.mass += len(b.text)
             around.content |= b.node.name == "p"
@@ -241,9 +307,12 @@ def _hold_content(found: list[Block], keep: set[tuple[str, bool]]) -> None:
         if n.up is not None:
             n.up.mass += n.mass
     if total:
-        next(n for n in reversed(nodes) if n.mass >= 0.9 * total).content = True
+        holds = next(n for n in reversed(nodes) if n.mass >= 0.9 * total)
+        holds.content = True
     for n in nodes:
-        n.content |= n.up is not None and n.up.content
+        if n.up is not None and n.up.content and not n.content:
+            bare = n.up.name in ("", "html", "body") and not n.up.marked  # a page is no element of the article's own
+            n.content = (n.hinted == n.up.hinted) and (not bare or n.name in TEXT_ELEMENTS or n.mass > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
