@@ -77,8 +77,29 @@ def test_edge_rows(docs, spark):
     empty = language.identify(docs([]), language.fit({}))
     assert empty.count() == 0
     assert language.identify(df, language.fit({})).where("lang_pred <> 'und'").count() == 0
+    clash = language.identify(df.withColumnRenamed("lang", "score"), model)
+    assert sorted(clash.columns) == sorted(set(clash.columns)) and clash.where("score BETWEEN 0 AND 1").count() == 6
+
+
+def test_size_follows_the_languages_own_contexts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    samples = {}
+    for k in range(16):  # alphabets that hardly overlap
+        letters = [chr(0x400 + 6 * k + j) for j in range(9)]
+        samples[f"l{k}"] = ["".join(rng.choice([*letters, " "]) for _ in range(20_000)).encode()]
+    model = language.fit(samples)
+    own = sum(len(b) for b in model.bits)
+    dense = len(model.rows[0]) * len(samples)
+    assert own < dense / 4
+    assert language.code_lengths(model, samples["l3"]).argmin() == model.languages.index("l3")
+    monkeypatch.setattr(language, "MOST_MODEL_BYTES", 1000)
     with pytest.raises(ValueError):
-        language.identify(df.withColumnRenamed("lang", "score"), model)
+        language.fit(samples)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    df = spark.createDataFrame([(i, "word", lang) for i, lang in enumerate("aaabbc")], "doc_id long, text string, lang string")
+    assert sorted(language.sample(df, language.F.lit(True))) == ["a", "b"]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head>

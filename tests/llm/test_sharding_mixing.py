@@ -100,3 +100,22 @@ def test_later_documents_fill_what_a_long_one_leaves(docs, spark):
         carried = mixing.mix(df, quality, seed=seed, bins=8, carry=("text",)).where("source = 'z' AND taken > 0").collect()
         assert {r.doc_id for r in carried} == want
     assert passed_over > 0
+
+
+def test_weights_of_any_scale_part_a_source_alike(docs, spark):
+    """Row by row against a plain sampler, under weights of a thousand and odd ones."""
+    rows = [(i, "w " * (i % 5 + 1)) for i in range(1500)]
+    df = docs(rows, source="z").union(docs([(i, "w " * 9) for i in range(2000, 4500)], source="a"))
+    odd = {0: float("nan"), 1: float("inf"), 2: -1.0, 3: 0.0, 4: None}
+    weight = {i: odd.get(i % 50, 1000.0 if i % 3 else 1.0) for i in range(1500)}
+    quality = spark.createDataFrame(list(weight.items()), "doc_id long, quality double")
+    out = {r.doc_id: r for r in mixing.mix(df, quality).collect() if r.source == "z"}
+    units = df.where("source = 'z'").select("doc_id", mixing.unit(F.lit(17), F.col("doc_id").cast("string"), "text").alias("u")).collect()
+    fair = lambda q: q if q is not None and 0 < q < float("inf") else 1.0
+    left, want = round(out[0].target) % out[0].source_size, set()
+    for r in sorted(units, key=lambda r: (-math.log(r.u) / fair(weight[r.doc_id]), r.doc_id)):
+        if left > 0 and out[r.doc_id].size <= 2 * left:
+            left -= out[r.doc_id].size
+            want.add(r.doc_id)
+    full = round(out[0].target) // out[0].source_size
+    assert {k for k, r in out.items() if r.taken > full * r.size} == want

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that parts words, as a regular expression class: space and \t \n \v \f \r.
@@ -110,6 +110,12 @@ def among(rows: DataFrame, ids: DataFrame, key: str, bits: int = BITMAP_BITS) ->
     return looked.join(F.broadcast(marks), "_map").where(hit).select(*rows.columns)
 
 
+def cuts_below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of ``cuts``, a sorted array of up to ``most`` values, are at most ``value``; a binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(max(most, 1).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit (splitmix64's finaliser)."""
     x = x ^ (x >> U64(30))

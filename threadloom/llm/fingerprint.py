@@ -14,6 +14,9 @@ Defined results
   alike only to itself
 - fewer than five words: the whole sequence is the one shingle
 - repeated rows: equal texts have equal fingerprints
+- ties of doc_id: the next document follows by a hash of the text; repeated rows of
+  one id and text lie in one bucket, however many they are
+- very long texts: one array of shingle hashes a row, 8 bytes a word
 - empty table: no rows; extra columns are dropped
 """
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, cuts_below
 
 BINS, BITS, WIDTH, ATTEMPTS = 256, 4, 5, 12
 _SHIFT = 64 - BINS.bit_length() + 1
@@ -92,52 +95,61 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(estimate)
 
 
-CELLS, BUCKET_ROWS = 4096, 1000
-_LOW = -(1 << 63)
+#: Rows a bucket should have, and the most buckets: beyond their product buckets grow.
+BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
+
+
+def _lookup(docs: DataFrame, rows: list[tuple], ddl: str) -> DataFrame:
+    return F.broadcast(docs.sparkSession.createDataFrame(rows, ddl))  # a row a bucket: 2 x MOST_BUCKETS of 40 bytes at most
 
 
 def _buckets(docs: DataFrame) -> DataFrame:
-    """``docs`` with _bucket, non-decreasing in doc_id, and _ghost copies.
+    """``docs`` with _h, _bucket, non-decreasing in (doc_id, _h), and _ghost copies.
 
-    The id range is cut into ``CELLS`` equal steps, counted once (at most CELLS
-    rows reach the driver), and neighbouring cells are packed to buckets of about
-    ``BUCKET_ROWS`` rows. The first row of each bucket is also sent to the bucket
-    before it as a ghost, and that of the first bucket to the last one.
+    Buckets lie between approximate quantiles of the ids, wherever these lie. An id
+    that alone fills more than a bucket, a missing one say, is parted by the hash
+    of its texts. What the driver sees are cuts and counts, a row a bucket. The
+    first row of each bucket is also sent to the bucket before it as a ghost, and
+    that of the first bucket to the last one.
     """
-    spark = docs.sparkSession
-    key = F.coalesce("doc_id", F.lit(_LOW))
-    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = (float(ends["lo"]), float(ends["hi"])) if ends["lo"] is not None else (0.0, 0.0)
-    step = (F.col("doc_id").cast("double") - lo) * (CELLS / (hi - lo + 1.0))
-    cell = F.least(F.lit(CELLS - 1), F.coalesce(F.floor(step), F.lit(0))).cast("int")  # least() would pass over a null
-    held = docs.withColumn("_cell", cell)
-    found = sorted(held.groupBy("_cell").agg(F.count("*").alias("n"), F.min(key).alias("first")).collect())
-    plan, rows = [], BUCKET_ROWS
-    for r in found:
-        if rows >= BUCKET_ROWS:
-            plan.append([])
-            rows = 0
-        plan[-1].append((r["_cell"], r["first"]))
-        rows += r["n"]
-    last = len(plan) - 1
-    packed = [(c, b, cells[0][1], b - 1 if b else last) for b, cells in enumerate(plan) for c, _ in cells]
-    lookup = spark.createDataFrame(packed, "_cell int, _bucket int, _first long, _before int")
-    homes = F.when(key == F.col("_first"), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")), F.struct(F.col("_before").alias("b"), F.lit(True).alias("g")))).otherwise(
-        F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")))
-    )
-    dealt = held.join(F.broadcast(lookup), "_cell").withColumn("_home", F.explode(homes))  # at most CELLS rows
-    return dealt.withColumn("_bucket", F.col("_home.b")).withColumn("_ghost", F.col("_home.g")).drop("_home", "_cell", "_first", "_before")
+    total = docs.count()
+    rows = max(BUCKET_ROWS, -(-total // MOST_BUCKETS))
+    n = max(1, -(-total // rows))
+    shares = [k / n for k in range(1, n)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * n)).alias("c")).first()["c"] if shares else []
+    found = found or []
+    own = {a + 1 for a, b in zip(found, found[1:], strict=False) if a == b and a < (1 << 63) - 1}  # ids that fill buckets by themselves
+    cuts = sorted({*found, *own})
+    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(cuts_below(listed, F.col("doc_id"), len(cuts)) + 1)
+    held = docs.withColumn("_h", F.xxhash64("text")).withColumn("_cell", cell)
+    plan, base = [], 0
+    for r in sorted(held.groupBy("_cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()):
+        parts = -(-r["n"] // rows) if r["lo"] == r["hi"] else 1
+        plan.append((r["_cell"], base, parts))
+        base += parts
+    share = F.col("_h").cast("double") / 2.0**64 + 0.5
+    bucket = F.col("_base") + F.least(F.col("_parts") - 1, F.floor(share * F.col("_parts"))).cast("int")
+    held = held.join(_lookup(docs, plan, "_cell int, _base int, _parts int"), "_cell").withColumn("_bucket", bucket).drop("_cell", "_base", "_parts")
+    row = F.struct(F.col("doc_id").isNotNull().alias("n"), F.col("doc_id").alias("id"), F.col("_h").alias("h"))
+    firsts = sorted(held.groupBy("_bucket").agg(F.min(row).alias("f")).collect())
+    before = [(r["_bucket"], r["f"]["id"], r["f"]["h"], firsts[i - 1]["_bucket"]) for i, r in enumerate(firsts)]
+    home = lambda b, ghost: F.struct(F.col(b).alias("b"), F.lit(ghost).alias("g"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_first"))
+    homes = F.when(is_first, F.array(home("_bucket", False), home("_before", True))).otherwise(F.array(home("_bucket", False)))
+    dealt = held.join(_lookup(docs, before, "_bucket int, _id long, _first long, _before int"), "_bucket").withColumn("_home", F.explode(homes))
+    return dealt.withColumn("_bucket", F.col("_home.b")).withColumn("_ghost", F.col("_home.g")).drop("_home", "_id", "_first", "_before")
 
 
 def pair_with_next(docs: DataFrame) -> DataFrame:
     """Every row beside the text and fingerprint of the next in ascending doc_id (null first;
     ties by text hash; after the last, the first). Texts move once, by bucket."""
-    order = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "_h")
     return (
         _buckets(docs)
         .select("*", F.lead("text").over(order).alias("_next_text"), F.lead("fingerprint").over(order).alias("_next_fingerprint"))
         .where(~F.col("_ghost"))
-        .drop("_bucket", "_ghost")
+        .drop("_bucket", "_ghost", "_h")
     )
 
 

@@ -6,14 +6,18 @@ weighs as many counts as the context has distinct followers), down to a
 uniform distribution. The statistics are frozen after fitting; a text's score
 under a language is its exact code length in bits, and the shortest wins.
 
-Fitting reads a bounded sample: at most ``rows_per_language`` labelled rows of a
-language, picked by a hash of their id, and at most ``bytes_per_language`` bytes of
-them. Everything else sees every row and every byte.
+Fitting reads a bounded sample: of the ``MOST_LANGUAGES`` most frequent languages about
+``rows`` labelled rows each, picked by a hash of their id and text, and of these
+whole texts up to ``most_bytes`` bytes, or one longer text where it comes first; all
+languages share ``SAMPLE_BYTES``. So the model is bounded whatever the corpus, and its
+size is checked before it is broadcast. Everything else sees every row and every byte.
 
 Defined results
 - null text, or one without a letter (empty too): ``und`` with score 0
 - equally short codes: the language first by code point
-- repeated rows: each is judged; extra columns pass through ``identify`` as they are
+- repeated rows: each is judged; extra columns pass through ``identify`` as they are,
+  but for ``lang_pred`` and ``score``, which it replaces
+- very long texts: scored block by block
 - no labelled row at all: every text is ``und``; empty table: no rows
 """
 
@@ -34,22 +38,33 @@ from .common import pieces
 ORDER = 3
 #: Bits by which plain bytes must be shorter than every language's code to speak against all of them.
 FOREIGN_ODDS = 64.0
-ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 600, 1_500_000
+#: The sample: rows and bytes of a language, bytes of all, and languages, the most frequent first.
+ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE, SAMPLE_BYTES, MOST_LANGUAGES = 600, 1_500_000, 48_000_000, 256
+MOST_MODEL_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
 class Model:
-    """Frozen trees, tabulated: the longest known context of three symbols, and
-    for each known context and next symbol the code length in every language."""
+    """Frozen trees, tabulated: the longest known context of three symbols, and for each
+    language the code lengths of every next symbol in the contexts that language has seen.
+
+    A language's table grows with its own contexts alone; one number a context tells
+    which of its rows, that of the longest suffix it knows, stands for it.
+    """
 
     languages: tuple[str, ...]
     symbol: np.ndarray  # byte -> symbol; 0 stands for bytes that no sample has
-    context: np.ndarray  # three symbols, read as one number -> row of bits
-    bits: np.ndarray  # [context, symbol, language]
+    context: np.ndarray  # three symbols, read as one number -> context
+    rows: tuple[np.ndarray, ...]  # a language: context -> row of its bits
+    bits: tuple[np.ndarray, ...]  # a language: [row, symbol]
 
     @property
     def width(self) -> int:
-        return self.bits.shape[1]
+        return int(self.symbol.max(initial=0)) + 1
+
+    @property
+    def nbytes(self) -> int:
+        return self.context.nbytes + sum(x.nbytes for x in (*self.rows, *self.bits))
 
 
 def fit(samples: dict[str, list[bytes]]) -> Model:
@@ -78,18 +93,25 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
         trees.append(tree)
     known = sorted({(order, c) for tree in trees for order in range(ORDER + 1) for c in tree[order]} | {(0, 0)})
     place = {key: i for i, key in enumerate(known)}
-    bits = np.zeros((len(known), width, len(languages)), dtype=np.float32)
-    for k, tree in enumerate(trees):
-        for (order, c), i in place.items():  # shorter contexts come first
-            below = bits[place[_shorter(order, c, width, place)], :, k] if order else np.full(width, np.log2(256.0), dtype=np.float32)
+    above = [place[_shorter(order, c, width, place)] if order else 0 for order, c in known]
+    all_rows, all_bits = [], []
+    for tree in trees:
+        rows, table = np.zeros(len(known), dtype=np.int32), []
+        for i, (order, c) in enumerate(known):  # shorter contexts come first
+            below = table[rows[above[i]]] if order else np.full(width, np.log2(256.0), dtype=np.float32)
             followers = tree[order].get(c)
-            if not followers:
-                bits[i, :, k] = below
+            if not followers and order:
+                rows[i] = rows[above[i]]
                 continue
-            total = sum(followers.values()) + len(followers)
-            row = below + np.log2(total / len(followers))
-            row[list(followers)] = np.log2(total / np.fromiter(followers.values(), dtype=np.float64))
-            bits[i, :, k] = row
+            rows[i] = len(table)
+            if followers:
+                total = sum(followers.values()) + len(followers)
+                own = below + np.float32(np.log2(total / len(followers)))
+                own[list(followers)] = np.log2(total / np.fromiter(followers.values(), dtype=np.float64))
+                below = own
+            table.append(below)
+        all_rows.append(rows)
+        all_bits.append(np.stack(table))
     context = np.zeros(width**ORDER, dtype=np.int32)
     all_contexts = np.arange(width**ORDER)
     for order in range(1, ORDER + 1):
@@ -99,7 +121,10 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
                 row[c] = i
         found = row[all_contexts % width**order]
         context[found >= 0] = found[found >= 0]
-    return Model(languages, symbol, context, bits)
+    model = Model(languages, symbol, context, tuple(all_rows), tuple(all_bits))
+    if model.nbytes > MOST_MODEL_BYTES:
+        raise ValueError(f"a model of {model.nbytes} bytes is too large to broadcast; fit on a smaller sample")
+    return model
 
 
 def _shorter(order: int, c: int, width: int, place: dict) -> tuple[int, int]:
@@ -114,8 +139,7 @@ def _shorter(order: int, c: int, width: int, place: dict) -> tuple[int, int]:
 def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 18) -> np.ndarray:
     """[text, language]: exact code lengths in bits, by the whole of every text.
 
-    Texts are laid end to end, each after ``ORDER`` absent symbols, and scored in
-    blocks of bounded size.
+    Texts are scored in blocks of bounded size, each text after ``ORDER`` absent symbols.
     """
     out = np.zeros((len(texts), len(model.languages)), dtype=np.float64)
     w = model.width
@@ -126,7 +150,8 @@ def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 18) -> np.n
             part = s[at : at + block + ORDER]
             n = len(part) - ORDER
             c = model.context[(part[:n] * w + part[1 : n + 1]) * w + part[2 : n + 2]]
-            out[i] += model.bits.reshape(-1, len(model.languages))[c * w + part[ORDER:]].sum(axis=0, dtype=np.float64)
+            for k, (rows, bits) in enumerate(zip(model.rows, model.bits, strict=True)):
+                out[i, k] += bits.ravel()[rows[c] * w + part[ORDER:]].sum(dtype=np.float64)
     return out
 
 
@@ -156,16 +181,16 @@ def sample(docs: DataFrame, learnable, rows: int = ROWS_PER_LANGUAGE, most_bytes
     brings about ``rows`` rows of each, in the order of that hash.
     """
     labelled = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return {}
+    most_bytes = min(most_bytes, SAMPLE_BYTES // len(counts))
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for language, n in counts.items():
-        wanted = wanted | ((F.col("lang") == language) & (hashed < int((1 << 30) * min(1.0, rows / n))))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, rows / r["n"]))) for r in counts], "lang string, _limit long")
+    labelled = labelled.join(F.broadcast(limits), "lang").where(hashed < F.col("_limit"))  # MOST_LANGUAGES rows
     found: dict[str, list[bytes]] = defaultdict(list)
     taken: dict[str, int] = defaultdict(int)
-    for row in labelled.where(wanted).select("lang", "text", hashed.alias("h")).orderBy("h", "text").toLocalIterator():
+    for row in labelled.select("lang", "text", hashed.alias("h")).orderBy("h", "text").toLocalIterator():
         text = row["text"].encode()
         if taken[row["lang"]] + len(text) <= most_bytes or not found[row["lang"]]:
             found[row["lang"]].append(text)
@@ -176,11 +201,8 @@ def sample(docs: DataFrame, learnable, rows: int = ROWS_PER_LANGUAGE, most_bytes
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: every column) with lang_pred and score beside it; one pass, no shuffle."""
     spark = docs.sparkSession
-    frozen = spark.sparkContext.broadcast(model)  # a few MB, bounded by the sample
-    names = docs.columns if keep is None else keep
-    fresh = [n for n in ("lang_pred", "score") if n in names]
-    if fresh:
-        raise ValueError(f"columns {fresh} exist already")
+    frozen = spark.sparkContext.broadcast(model)
+    names = [n for n in (docs.columns if keep is None else keep) if n not in ("lang_pred", "score")]
     fields = [f for f in docs.schema.fields if f.name in names]
     schema = docs.select(*[f.name for f in fields]).schema.add("lang_pred", "string").add("score", "double")
     source = docs.select(*[f.name for f in fields], F.col(text).alias("__text"))

@@ -11,7 +11,8 @@ each that brings the sum nearer to the rest.
 Defined results
 - null source: a source of its own, last in order; null text: size 0
 - size 0: such a document is taken 0 words whatever its key
-- null, zero or negative quality weight: counts as 1
+- quality weight that is null, NaN, infinite, zero or negative: counts as 1
+- very long texts: one that would overshoot a target is passed over
 - ties of keys: by doc_id, then by a hash of the text; repeated rows each count
 - empty table: no rows; extra columns are dropped, so names cannot clash
 """
@@ -24,12 +25,14 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, cuts_below, written
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-#: Up to so many sources, a row of 40 bytes each, the solved targets are broadcast.
-BROADCAST_SOURCES = 20_000
+#: The solved targets and cuts of all sources are broadcast up to so many numbers, 16 MB.
+BROADCAST_NUMBERS = 2_000_000
+#: Rows of a source that one task sorts, and the fewest and most parts of a source.
+BIN_ROWS, FEWEST_BINS, MOST_BINS = 100_000, 64, 1 << 16
 SOURCE = ["_src", "_null"]
 CELL = [*SOURCE, "_bin"]
 
@@ -66,45 +69,51 @@ def label_weights(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("quality"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, bins: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, bins: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and epochs of every row, and what ``carry`` names.
 
     ``quality`` holds weights (doc_id, quality); several of one id are averaged.
 
-    Two passes over texts. The first sums words by source: one row a source goes to the
-    driver, where the targets are solved. In the second no source is sorted in
-    one task: the key range is cut into ``bins`` equal steps of 1 - exp(-key),
-    whose sums place each bin, and rows are sorted within (source, bin) only.
-    What fills a gap is found on sizes alone, by ``fillers``.
+    Texts are read once, or twice to carry them. Words are summed by source: one row a
+    source goes to the driver, where the targets are solved. Then no source is sorted
+    in one task: approximate quantiles of its keys, whatever their weights, cut it
+    into ``bins``, whose sums place each bin, and rows are sorted within (source, bin)
+    only. What fills a gap is found on sizes alone, by ``fillers``.
     """
     spark = docs.sparkSession
     base = docs.select(
         "doc_id", "source", *carry, words().alias("size"),
         unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).alias("_u"),
     )
-    narrow = written(base.drop(*carry), "sizes")  # a few dozen bytes a row: read texts once, or twice to carry them
+    weight = F.lit(1.0)
+    if quality is not None:
+        base = base.join(quality.groupBy("doc_id").agg(F.avg("quality").alias("_q")), "doc_id", "left")
+        weight = F.when((F.col("_q") > 0) & (F.col("_q") < float("inf")) & ~F.isnan("_q"), F.col("_q")).otherwise(1.0)
+    base = base.withColumn("_key", -F.log("_u") / weight).select("doc_id", "source", *carry, "size", "_u", "_key")
+    narrow = written(base.drop(*carry), "sizes")  # a few dozen bytes a row
     if not carry:
         base = narrow
-    one = None if quality is None else quality.groupBy("doc_id").agg(F.avg("quality").alias("_q"))
-    sums = [(r["source"], int(r["n"])) for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    goal = targets(sums, weights, most)
+    sums = [(r["source"], int(r["n"]), r["rows"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()]
+    goal = targets([(name, size) for name, size, _ in sums], weights, most)
+    bins = bins or min(MOST_BINS, max(FEWEST_BINS, max((n for *_, n in sums), default=0) // BIN_ROWS))
     plan = []
-    for name, size in sums:
+    for name, size, _ in sums:
         epochs = int(goal[name] // size) if size else 0
         plan.append((name, size, float(goal[name]), epochs, int(round(goal[name] - epochs * size))))
-    known = spark.createDataFrame(plan, "_s string, source_size long, target double, _epochs int, _rest long")
-    few = F.broadcast if len(plan) <= BROADCAST_SOURCES else lambda rows: rows  # beyond, a join that AQE may split at hot sources
+    solved = spark.createDataFrame(plan, "_s string, source_size long, target double, _epochs int, _rest long")
+    shares = [k / bins for k in range(1, bins)] or [0.5]
+    cuts = narrow.groupBy("source").agg(F.percentile_approx("_key", shares, max(1_000, 4 * bins)).alias("_cuts"))
+    known = written(solved.join(cuts, F.col("source").eqNullSafe(F.col("_s"))).drop("source"), "sources")
+    few = F.broadcast if len(plan) * bins <= BROADCAST_NUMBERS else lambda rows: rows  # beyond, a join that AQE may split at hot sources
     known = few(known)
 
     def keyed(rows: DataFrame) -> DataFrame:
-        weighed = rows.withColumn("_q", F.lit(1.0)) if one is None else rows.join(one, "doc_id", "left").withColumn("_q", F.coalesce("_q", F.lit(1.0)))
-        key = -F.log("_u") / F.when(F.col("_q") > 0, F.col("_q")).otherwise(1.0)
         return (
-            weighed.join(known, F.col("source").eqNullSafe(F.col("_s")))
-            .withColumn("_key", key)
-            .withColumn("_bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("_key"))) * bins)).cast("int"))
+            rows.join(known, F.col("source").eqNullSafe(F.col("_s")))
+            .withColumn("_bin", cuts_below(F.col("_cuts"), F.col("_key"), bins))
             .withColumn("_src", F.coalesce("source", F.lit("")))
             .withColumn("_null", F.col("source").isNull())
+            .drop("_cuts")
         )
 
     sizes = keyed(narrow).groupBy(*CELL).agg(F.sum("size").alias("_sum"))

@@ -5,7 +5,9 @@ shard, a row either stays or moves into the new one.
 
 Defined results
 - null key: hashed like the text ``null``; null text: 0 bytes and CRC 0 of the empty text
-- repeated rows: each keeps a slot of its own, in the same shard
+- repeated rows: each keeps a slot of its own, in the same shard; ties of key hash
+  are ordered by id, size and CRC
+- very long texts: only their size and CRC are kept
 - empty table: no rows; further columns of the input are dropped, so names cannot clash
 """
 
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 U64 = np.uint64
 
 
@@ -37,12 +41,13 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return landed.astype(np.int32)
 
 
-def shard_column(key, shards: int):
-    """Column of shards for a column of 64-bit keys."""
+def landed_in(key, shards: int):
+    """Column (shard, grown_shard) for a column of 64-bit keys: among ``shards``, and with one more."""
 
-    @F.pandas_udf("int")
-    def land(keys: pd.Series) -> pd.Series:
-        return pd.Series(jump_hash(keys.to_numpy(np.int64).view(U64), shards))
+    @F.pandas_udf("shard int, grown_shard int")
+    def land(keys: pd.Series) -> pd.DataFrame:
+        values = keys.to_numpy(np.int64).view(U64)
+        return pd.DataFrame({"shard": jump_hash(values, shards), "grown_shard": jump_hash(values, shards + 1)})
 
     return land(key)
 
@@ -53,12 +58,17 @@ def key_hash(*columns):
     return F.xxhash64(*parts)
 
 
-def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", bins: int = 256) -> DataFrame:
+#: Rows that one task ranks, and the most parts of a shard.
+BIN_ROWS, MOST_BINS = 100_000, 1 << 16
+
+
+def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", bins: int | None = None) -> DataFrame:
     """Shard, slot and size of every row.
 
     A slot is the row's place in its shard, ordered by key hash. No shard is
-    sorted in one task: its hash range is cut into ``bins``, counted first
-    (shards x bins numbers at most), and rows are ranked within a bin only.
+    sorted in one task: its hash range is cut into bins of some ``BIN_ROWS`` rows,
+    counted first, and rows are ranked within a bin only. Texts are read once,
+    ids and sizes are written and read again.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     rows = docs.select(
@@ -67,12 +77,9 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         key_hash(key).alias("_h"),
     )
-    rows = rows.select(
-        "*",
-        shard_column(F.col("_h"), shards).alias("shard"),
-        shard_column(F.col("_h"), shards + 1).alias("grown_shard"),
-        F.pmod(F.shiftright("_h", 40), F.lit(bins)).cast("int").alias("_bin"),
-    )
+    rows = written(rows.withColumn("_both", landed_in(F.col("_h"), shards)).select("*", "_both.shard", "_both.grown_shard").drop("_both"), "sharded")
+    bins = bins or min(MOST_BINS, max(16, rows.count() // (shards * BIN_ROWS)))
+    rows = rows.withColumn("_bin", F.pmod(F.shiftright("_h", 40), F.lit(bins)).cast("int"))
     counts = rows.groupBy("shard", "_bin").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "_bin", before.alias("_start"))
