@@ -46,3 +46,16 @@ def test_round_trip(docs):
     df = docs([(1, "Ein schöner Tag"), (2, ""), (3, None)])
     back = tokenise.decode(tokenise.encode(df, RANKS, PATTERN), RANKS, PATTERN)
     assert {r.doc_id: bytes(r.raw) for r in back.collect()} == {1: "Ein schöner Tag".encode(), 2: b"", 3: b""}
+
+
+def test_merges_as_the_library(library):
+    """Both forms of the merge, on pieces short and long, against the library's own."""
+    ranks, rng = tokenise.bpe(RANKS, PATTERN).ranks, random.Random(1)
+    for n in (1, 2, 5, 150, 201, 2000):
+        for letters in ("ab", "abcdefghij etz", "é中a\U0001f600", " "):
+            for _ in range(5):
+                raw = "".join(rng.choice(letters) for _ in range(n)).encode()
+                if raw not in ranks:
+                    want = library._encode_single_piece(raw)
+                    assert tokenise.merged(ranks, raw) == want and tokenise.merged_long(ranks, raw) == want
+    assert len(tokenise.merged_long(ranks, b"ab" * 100_000)) > 0

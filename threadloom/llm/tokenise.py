@@ -10,7 +10,9 @@ Defined results
 - null text: the empty text, no ids; empty table: no rows
 - repeated rows: each is encoded; extra columns are dropped, so names cannot clash
 - very long texts: above ``chunk`` characters, chunks become rows of their own
-  and are pre-tokenised by different tasks
+  and are pre-tokenised by different tasks; a shorter text is one chunk, which has
+  nothing to stitch
+- ties of rank in a piece: the leftmost pair joins first
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: Bytes up to which a piece is merged by scanning its pairs; a heap costs less beyond.
+SHORT_PIECE = 200
 
 
 class Bpe:
@@ -37,12 +42,9 @@ class Bpe:
     remembered = 100_000
 
     def __init__(self, rank_file: str, pattern: str):
-        import tiktoken
-
         with open(rank_file, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
-        self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.memory: dict[str, bytes] = {}
 
@@ -54,7 +56,7 @@ class Bpe:
                 self.memory.clear()
             raw = piece.encode()
             known = self.ranks.get(raw)
-            ids = [known] if known is not None else self.core._encode_single_piece(raw)
+            ids = [known] if known is not None else (merged if len(raw) <= SHORT_PIECE else merged_long)(self.ranks, raw)
             found = np.asarray(ids, dtype="<u4").tobytes()
             if len(raw) <= 64:
                 self.memory[piece] = found
@@ -72,6 +74,53 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+def merged(ranks: dict[bytes, int], raw: bytes) -> list[int]:
+    """Ids of one pre-token: of all neighbours that join to a token, those of the least rank
+    join first, the leftmost of several."""
+    none = len(ranks) + (1 << 32)
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    pair = [ranks.get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+    while pair and (least := min(pair)) < none:
+        i = pair.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pair[i]
+        if i < len(pair):
+            pair[i] = ranks.get(parts[i] + parts[i + 1], none)
+        if i:
+            pair[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
+def merged_long(ranks: dict[bytes, int], raw: bytes) -> list[int]:
+    """As ``merged`` by a heap of pairs over linked parts, for pieces of any length."""
+    n = len(raw)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part by its start; 0 ends a part that was joined
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(raw[i : i + 2])) is not None]
+    heapq.heapify(heap)
+
+    def offer(i: int) -> None:
+        if i >= 0 and end[i] < n:
+            last = end[end[i]]
+            if (rank := ranks.get(raw[i:last])) is not None:
+                heapq.heappush(heap, (rank, i, last))
+
+    while heap:
+        _, i, last = heapq.heappop(heap)
+        middle = end[i]
+        if not middle or middle >= n or end[middle] != last or middle == last:
+            continue  # one of its parts has changed
+        end[i], end[middle] = last, 0
+        if last < n:
+            before[last] = i
+        offer(before[i])
+        offer(i)
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[raw[at : end[at]]])
+        at = end[at]
+    return out
+
+
 @functools.cache
 def bpe(rank_file: str, pattern: str) -> Bpe:
     return Bpe(rank_file, pattern)
