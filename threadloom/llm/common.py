@@ -221,6 +221,14 @@ def list_column(parts: list[np.ndarray], kind):
 SALTS = 16
 
 
+def parted_join(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, one row a ``key``: copies of the latter go to ``SALTS`` parts, to which
+    the hash of ``by`` deals the former, so that one of many rows is not one task's."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, component = smallest node).
 

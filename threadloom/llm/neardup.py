@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Rolling, among, components, discard, list_column, mix, pieces, shingle_set, signed, written
+from .common import SPACE, U64, Rolling, among, components, discard, list_column, mix, parted_join, pieces, shingle_set, signed, written
 
 BLOCK, SHINGLES = 96, 2_000_000  # most documents of a block, and the shingles it should hold
 PART, REPS, OWN_REPS = 512, 8, 8
@@ -149,6 +149,11 @@ def _blocks(n: str, rows: int, mass: str, shingles: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(n) / rows), F.ceil(F.col(mass) / shingles)).cast("int")
 
 
+def _with_number(members: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """(lead, node) with the lead's number, 1 where ``sizes`` says no more; only leads of many are joined."""
+    return parted_join(members, sizes.where(F.col(name) > 1), "lead", "node", "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+
 def _part(parts: str) -> Column:
     return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
 
@@ -158,7 +163,7 @@ def first_units(tied: DataFrame, family: DataFrame, small: DataFrame, classes: D
     whole = family.join(small, "component", "left_semi").select(F.lit(True).alias("whole"), F.col("component").alias("key"), F.lit(0).alias("part"), F.lit(False).alias("rep"), "node")
     large = tied.join(family.join(small, "component", "left_anti"), "node", "left_semi").groupBy("node").agg(F.min("lead").alias("lead"))
     sizes = _grouped(large, classes, "lead").select("lead", _blocks("n", PART, "mass", 16 * SHINGLES).alias("parts"))
-    followers = large.join(sizes, "lead")
+    followers = _with_number(large, sizes, "parts")
     shared = followers.groupBy("lead", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(REPS))).agg(F.min("node").alias("node")).select("lead", "node")
     reps = shared.union(sizes.select("lead", F.col("lead").alias("node"))).join(sizes, "lead").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     large = F.lit(False).alias("whole"), F.col("lead").alias("key")
@@ -168,7 +173,7 @@ def first_units(tied: DataFrame, family: DataFrame, small: DataFrame, classes: D
 def block_pairs(groups: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
     """(lead, i, j, own, comp, node): the followers of every lead, once for each pair of blocks they belong to."""
     sizes = _grouped(groups, classes, "lead").select("lead", _blocks("n", BLOCK, "mass", SHINGLES).alias("blocks"))
-    homed = groups.join(sizes, "lead").join(component, "node").select("lead", "node", F.col("component").alias("comp"), "blocks", _part("blocks").alias("own"))
+    homed = _with_number(groups, sizes, "blocks").join(component, "node").select("lead", "node", F.col("component").alias("comp"), "blocks", _part("blocks").alias("own"))
     return homed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "lead", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "comp", "node"
     )
@@ -337,13 +342,13 @@ def _judged(docs: DataFrame, rule: Rule) -> DataFrame:
     twice = wordy.join(wordy.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("_most")).where("b < _most"), "doc_id")
     links = written(first_links(docs, units, rule).union(twice.where("class_id <> b").select("class_id", "b").distinct()), "first-links")
     discard(units)
-    found = written(components(links.union(tied.select("node", "node"))), "components")
+    found = written(components(links.union(family.select("node", "node"))), "components")
     discard(links)
 
     wide = tied.join(family.join(small, "component", "left_anti").select("node"), "node", "left_semi")
-    leads = found.withColumnsRenamed({"node": "lead", "component": "_of_lead"})
-    open_leads = wide.join(found, "node").join(leads, "lead", "left").where(F.col("component") != F.coalesce("_of_lead", "lead")).select("lead").distinct()
-    tied_to_open = wide.join(open_leads, "lead", "left_semi")
+    with_leads = wide.union(wide.select("lead", "lead").distinct()).join(found, "node")
+    open_leads = with_leads.groupBy("lead").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("lead")
+    tied_to_open = parted_join(wide, open_leads, "lead", "node", "left_semi")
     groups = written(tied_to_open.union(tied_to_open.select("lead", "lead").distinct()).select("node", "lead"), "open-groups")
     if groups.limit(1).count():
         named = groups.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
