@@ -15,6 +15,7 @@ class Chunking:
     chunk: int = 6000
     overlap: int = 500
     whole: int = 4500  # up to this length a text stays one chunk
+    shorten: bool = True  # a line longer than a chunk loses its end; else it is split and nothing is lost
 
 
 def _pack(items: Column, joiner: str, most: int, cut: bool) -> Column:
@@ -37,9 +38,15 @@ def _flush(acc: Column) -> Column:
     return F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
 
 
-def paragraph_chunks(text: Column, most: int) -> Column:
+def _split_long(items: Column, most: int) -> Column:
+    """Items with those longer than ``most`` characters split into pieces of that length."""
+    parts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda i: F.substr(x, i * most + 1, F.lit(most)))
+    return F.flatten(F.transform(items, parts))
+
+
+def paragraph_chunks(text: Column, most: int, shorten: bool = True) -> Column:
     """Paragraphs packed greedily; a paragraph that is too long is packed by lines, on its own,
-    and a line that is too long is shortened."""
+    and a line that is too long is shortened or split."""
     bare = T.strip(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|\r", "\n"))
     trimmed = lambda parts: F.filter(F.transform(parts, T.strip), lambda p: p != "")
     paragraphs = trimmed(F.split(bare, rf"\n{T.SPACES}*\n+"))
@@ -48,7 +55,8 @@ def paragraph_chunks(text: Column, most: int) -> Column:
     def step(acc: Column, p: Column) -> Column:
         joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
         closed = _flush(acc)
-        by_line = F.concat(closed, _flush(_pack(trimmed(F.split(p, "\n")), "\n", most, cut=True)))
+        lines = trimmed(F.split(p, "\n"))
+        by_line = F.concat(closed, _flush(_pack(lines if shorten else _split_long(lines, most), "\n", most, cut=shorten)))
         return (
             F.when(F.length(joined) <= most, F.struct(acc["done"].alias("done"), joined.alias("open")))
             .when(F.length(p) <= most, F.struct(closed.alias("done"), p.alias("open")))
@@ -79,7 +87,7 @@ def chunk_transcripts(df: DataFrame, key: str, text: str = "text", options: Chun
     bare = F.col("_bare")
     rows = df.select(key, T.strip(F.coalesce(text, F.lit(""))).alias("_bare")).where(bare != "")
     short = F.length(bare) <= options.whole
-    chunks = F.when(short, F.array(bare)).otherwise(with_overlap(paragraph_chunks(bare, options.chunk), options.overlap))
+    chunks = F.when(short, F.array(bare)).otherwise(with_overlap(paragraph_chunks(bare, options.chunk, options.shorten), options.overlap))
     cut = rows.select(key, F.when(short, F.lit("short_circuit")).otherwise(F.lit("paragraph_chunk_overlap")).alias("strategy"), chunks.alias("_c"))
     flat = cut.select(key, "strategy", F.size("_c").alias("chunk_total"), F.posexplode("_c").alias("chunk_index", "chunk"))
     return flat.select(key, "chunk_index", "chunk_total", "strategy", "chunk", F.length("chunk").alias("n_chars"), T.content_hash(F.col("chunk")).alias("content_hash"))

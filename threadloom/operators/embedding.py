@@ -58,8 +58,9 @@ def k_means(points: np.ndarray, k: int, seed: int = 42, starts: int = 10, rounds
     return np.array([order[x] for x in best])
 
 
-def clustered(chunks: DataFrame) -> DataFrame:
-    """(conv, idx, embedding) with cluster: k-means with the conversation's chunk budget as k.
+def clustered(chunks: DataFrame, budget: int | None = None) -> DataFrame:
+    """(conv, idx, embedding) with cluster: k-means with the conversation's chunk budget as k
+    (default: a fifth of its chunks, 3 to 8).
 
     One grouped map by conversation, which holds tens of chunks; the ranking that
     follows reuses its partitioning.
@@ -68,7 +69,7 @@ def clustered(chunks: DataFrame) -> DataFrame:
     def label(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
         n = len(group)
-        k = max(3, min(8, -(-n // 5)))
+        k = min(n, budget or max(3, min(8, -(-n // 5))))
         # up to k chunks are all taken: each is its own cluster
         labels = np.arange(n) if n <= k else k_means(np.array(group["embedding"].tolist(), dtype=float), k)
         return group.assign(cluster=labels.astype("int32"))

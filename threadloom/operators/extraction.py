@@ -7,7 +7,8 @@ which only selected chunks are sent. A failure is a row, not an exception.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -160,6 +161,20 @@ def model_extractor(generate: Callable[[list[str]], list[str]], rules: str = "",
     return extract_raw
 
 
+def until_repeat(stream: Iterable[str], least_facts: int = 8, least_tokens: int = 256) -> str:
+    """The text of a stream of generated tokens, ended where a fact is told twice: for a ``generate``
+    whose model falls into a loop. Only after so many facts and tokens."""
+    text, tokens = "", 0
+    for token in stream:
+        text, tokens = text + token, tokens + 1
+        if tokens >= least_tokens and '"' in token:
+            inside = re.search(r'"important_facts"\s*:\s*\[((?:\s*,?\s*"(?:[^"\\]|\\.)*")*)', text, re.S)
+            facts = [" ".join(f.lower().split()) for f in re.findall(r'"((?:[^"\\]|\\.)*)"', inside[1] if inside else "", re.S)]
+            if len(facts) >= least_facts and len(set(facts)) < len(facts):
+                break
+    return text
+
+
 def _one(generate: Callable[[list[str]], list[str]], prompt: str) -> str | None:
     try:
         return generate([prompt])[0]

@@ -30,7 +30,7 @@ def chunks(transcripts: DataFrame, options: Options = Options()) -> DataFrame:
 def selected(pieces: DataFrame, options: Options = Options()) -> DataFrame:
     """conv, n, k, strategy and selected of every conversation."""
     vectors = options.embedder(pieces.select("conv", F.col("chunk_index").alias("idx"), "chunk"))
-    return ranking.rank(embedding.clustered(vectors), options.budget)
+    return ranking.rank(embedding.clustered(vectors, options.budget), options.budget)
 
 
 def inspect(transcripts: DataFrame, options: Options = Options()) -> DataFrame:

@@ -90,13 +90,35 @@ def analysed(states: DataFrame) -> DataFrame:
     """States with duplication_rate and the three scores, and the usefulness tier."""
     c = F.col
     out = states.withColumn("_dup", duplication_rate(c("completed_work"), c("active_problems"))).withColumn("next_action_score", next_action_score(c("next_action"), c("current_state"))).withColumn("active_problems_score", active_problems_score(c("active_problems")))
-    raw = (
-        _points(F.size("objective") > 0, 2) + _points(~T.blank(c("current_state")), 2) + _points(F.size("completed_work") > 0) + _points(F.size("constraints") > 0)
-        + F.least(F.lit(2), F.floor(c("next_action_score") / 2)) + F.least(F.lit(1), F.floor(c("active_problems_score") / 3)) - F.floor(c("_dup") * 3)
-    )
-    out = out.withColumn("_raw", raw)
-    tier = F.when(c("_raw") >= 7, "high").when(c("_raw") >= 4, "medium").otherwise("low")
-    return out.withColumn("usefulness", F.greatest(F.lit(0), c("_raw")).cast("int")).withColumn("tier", tier).withColumn("duplication_rate", F.round("_dup", 3)).drop("_dup", "_raw")
+    raw = usefulness(F.size("objective") > 0, ~T.blank(c("current_state")), F.size("completed_work") > 0, F.size("constraints") > 0, c("next_action_score"), c("active_problems_score"), c("_dup"))
+    out = out.withColumn("_raw", raw).withColumn("tier", usefulness_tier(c("_raw")))
+    return out.withColumn("usefulness", F.greatest(F.lit(0), c("_raw")).cast("int")).withColumn("duplication_rate", F.round("_dup", 3)).drop("_dup", "_raw")
+
+
+def usefulness(goal: Column, place: Column, work: Column, limits: Column, action_score: Column, problems_score: Column, duplication: Column) -> Column:
+    """Points for what a state holds, its scores and its repeats."""
+    held = _points(goal, 2) + _points(place, 2) + _points(work) + _points(limits)
+    return held + F.least(F.lit(2), F.floor(action_score / 2)) + F.least(F.lit(1), F.floor(problems_score / 3)) - F.floor(duplication * 3)
+
+
+def usefulness_tier(points: Column) -> Column:
+    return F.when(points >= 7, "high").when(points >= 4, "medium").otherwise("low")
+
+
+def proxy_analysed(rows: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Rows with the columns of ``analysed`` guessed from a transcript alone, where no state was built."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    out = rows.withColumn("archetype", archetype(F.col(path), own))
+    going = F.lower(own).rlike(r"\b(done|completed|finished|next step|blocker|todo|implement)\b")
+    asking = F.substring(own, 1, 3000).rlike(r"(?m)\?\s*$") | (F.length(own) - F.length(F.replace(own, F.lit("?"), F.lit(""))) > 8)
+    out = out.withColumn("_going", going).withColumn("_asking", asking & ~going)
+    g, loose = F.col("_going"), F.col("_asking")
+    out = out.withColumn("next_action_score", F.when(g, 2).when(loose, 1).otherwise(2)).withColumn("active_problems_score", F.when(g, 3).otherwise(2)).withColumn("duplication_rate", F.when(loose, 0.35).otherwise(0.1))
+    raw = usefulness(g | ~loose, F.length(own) > 500, g, F.lit(False), F.col("next_action_score"), F.col("active_problems_score"), F.col("duplication_rate"))
+    out = out.withColumn("_raw", F.greatest(F.lit(0), raw).cast("int"))
+    low = loose & F.col("archetype").isin("medical", "informational_QA", "casual_chat")
+    tier = F.when(low, "low").otherwise(usefulness_tier(F.col("_raw")))
+    return out.withColumn("usefulness", F.when(low, F.least(F.col("_raw"), F.lit(3))).otherwise(F.col("_raw"))).withColumn("tier", tier).drop("_raw", "_going", "_asking")
 
 
 def path_archetype(path: Column) -> Column:
@@ -113,15 +135,21 @@ def path_archetype(path: Column) -> Column:
     return F.coalesce(*rules, F.lit("other"))
 
 
-def content_archetype(text: Column) -> Column:
-    low = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 8000))
+#: Characters of a text that tell its archetype by default.
+HEAD = 8000
+
+
+def content_archetype(text: Column, most: int | None = HEAD) -> Column:
+    """By the first ``most`` characters; None: by the whole text."""
+    own = F.coalesce(text, F.lit(""))
+    low = F.lower(own if most is None else F.substring(own, 1, most))
     return F.coalesce(*[F.when(low.rlike(pattern), F.lit(name)) for name, pattern in CONTENT], F.lit("other"))
 
 
-def archetype(path: Column, text: Column) -> Column:
+def archetype(path: Column, text: Column, most: int | None = HEAD) -> Column:
     """By path, and where that tells nothing, by content."""
     by_path = path_archetype(path)
-    return F.when(by_path != "other", by_path).otherwise(content_archetype(text))
+    return F.when(by_path != "other", by_path).otherwise(content_archetype(text, most))
 
 
 def archetype_report(rows: DataFrame) -> DataFrame:

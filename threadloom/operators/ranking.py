@@ -8,8 +8,6 @@ conversation's arrays, which hold tens of chunks.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,25 +169,3 @@ def cluster_head_tail(rows: DataFrame, most: int = 8) -> DataFrame:
     kept = placed.where("representative").withColumn("score", F.round(0.6 * recency + 0.4 * F.col("mass"), 6))
     place = F.row_number().over(conv().orderBy(F.col("score").desc(), F.col("idx").desc()))
     return kept.withColumn("place", place).where(F.col("place") <= most).select("conv", "idx", "cluster", "cluster_size", "score", "place")
-
-
-def changepoints_reference(series: list[float]) -> list[int]:
-    """The same search in plain Python, for tests."""
-    n = len(series)
-    if n < 4:
-        return []
-    price, cost, cut = PENALTY * math.log(max(n, 2)), [0.0], [0]
-    for end in range(1, n + 1):
-        options = []
-        for start in range(end):
-            part = series[start:end]
-            mean = sum(part) / len(part)
-            options.append((round(cost[start] + sum((x - mean) ** 2 for x in part) + price, 12), start))
-        best = min(options)
-        cost.append(best[0])
-        cut.append(best[1])
-    out, at = [], n
-    while cut[at] > 0:
-        at = cut[at]
-        out.insert(0, at)
-    return out

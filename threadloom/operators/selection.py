@@ -60,6 +60,24 @@ def head_tail(rows: DataFrame, most: int = 12, head_ratio: float = 0.67) -> Data
     return kept.withColumn("selected", (F.col("n") <= most) | (F.col("pos") < head) | (F.col("pos") >= F.col("n") - tail))
 
 
+def choose(rows: DataFrame, most: int = 12, strategy: str = "adaptive") -> DataFrame:
+    """conv, n, strategy and the selected places of (conv, idx, text), blank chunks left out.
+
+    ``strategy``: adaptive, head_tail or head. Up to three chunks are all taken.
+    """
+    kept = rows.where(~T.blank(F.col("text"))).withColumn("pos", F.row_number().over(order()) - 1)
+    if strategy == "adaptive":
+        picked = adaptive(scores(kept.select("conv", F.col("pos").alias("idx"), "text")).withColumn("pos", F.col("idx")), most)
+    elif strategy in ("head_tail", "head"):
+        placed = head_tail(rows, most) if strategy == "head_tail" else kept.withColumn("n", F.count("*").over(conv())).withColumn("selected", F.col("pos") < most)
+        picked = placed.groupBy("conv").agg(F.first("n").cast("int").alias("n"), F.array_sort(F.collect_list(F.when(F.col("selected"), F.col("pos").cast("int")))).alias("selected"))
+    else:
+        raise ValueError(f"no selection strategy {strategy!r}")
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    few = F.col("n") <= 3
+    return picked.select("conv", "n", F.when(few, "full").otherwise(strategy).alias("strategy"), F.when(few, every).otherwise(F.col("selected")).alias("selected"))
+
+
 def coverage(selected: DataFrame) -> DataFrame:
     """conv with counts, characters, coverage ratio and span of a selection."""
     size = F.length("text")

@@ -64,6 +64,11 @@ def _tail(n: int) -> Column:
     return F.right(F.col("conversation"), F.lit(n))
 
 
+def _last(text: Column, what: str) -> Column:
+    """Where the last ``what`` begins, from 0; -1 if there is none."""
+    return F.when(text.contains(what), F.length(text) - F.locate(what[::-1], F.reverse(text)) - (len(what) - 1)).otherwise(F.lit(-1))
+
+
 def signals(rows: DataFrame) -> DataFrame:
     """What the transcript's end says, as columns _closed, _hint_next, _hint_position, _pivot, _quiz_words, _moved_on."""
     last = F.col("terminal")
@@ -85,8 +90,7 @@ def signals(rows: DataFrame) -> DataFrame:
     )
     late, recent = _tail(8000), F.lower(_tail(6000))
     before = F.regexp_extract(late, rf"(?s)\A(.*?){PIVOT.replace('(?i)', '(?i:', 1)})", 1)
-    asked = F.greatest(F.length(late) - F.locate("?", F.reverse(late)), F.lit(-1))
-    asked = F.when(late.contains("?"), asked).otherwise(F.lit(-1))
+    asked = F.greatest(_last(late, "?"), _last(F.lower(late), "what do you think"))
     region = F.when((asked >= 0) & (F.length(before) > asked), F.substr(late, asked + 1, F.length(before) - asked))
     words = F.filter(T.words(F.lower(F.coalesce(region, F.lit("")))), lambda w: F.length(w) > 5)
     moved = recent.rlike(PIVOT) | (recent.contains("continue") & recent.contains("fetch")) | F.col("conversation").rlike(COURSE)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import saliency as S
 from ..functions import text as T
-from ..operators import chunking, ranking, selection
+from ..operators import chunking, embedding, ranking, selection
 from ..session import table
 
 GROUP = 20  # embeddings of one conversation
@@ -29,7 +29,17 @@ def r6(*names: str):
 
 
 def chunk_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.chunk_transcripts(table(spark, sf_dir, "documents"), "doc_id")
+    """Chunks of whole documents: a line longer than a chunk is split."""
+    return _chunks(spark, sf_dir, chunking.Chunking(shorten=False))
+
+
+def chunk_transcripts_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker's first form, in which a line longer than a chunk loses its end."""
+    return _chunks(spark, sf_dir, chunking.Chunking())
+
+
+def _chunks(spark: SparkSession, sf_dir: str, options: chunking.Chunking) -> DataFrame:
+    rows = chunking.chunk_transcripts(table(spark, sf_dir, "documents"), "doc_id", options=options)
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "strategy", F.col("n_chars").cast("long").alias("n_chars"), "content_hash")
 
 
@@ -80,7 +90,20 @@ def dropped_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adaptive_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = selection.scores(turns(spark, sf_dir).select("conv", "idx", "text")).withColumn("pos", F.col("idx"))
-    return selection.adaptive(rows, most=6).select("conv", F.col("n").cast("long").alias("n"), F.array_join(F.transform("selected", lambda i: i.cast("string")), ",").alias("selected"))
+    return selection.adaptive(rows, most=7).select("conv", F.col("n").cast("long").alias("n"), F.array_join(F.transform("selected", lambda i: i.cast("string")), ",").alias("selected"))
+
+
+def selection_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each strategy of the dispatcher selects."""
+    rows = turns(spark, sf_dir).select("conv", "idx", "text")
+    made = [selection.choose(rows, 7, s).withColumn("asked", F.lit(s)) for s in ("adaptive", "head_tail", "head")]
+    return made[0].union(made[1]).union(made[2]).select("conv", "asked", F.col("n").cast("long").alias("n"), "strategy", F.array_join(F.transform("selected", lambda i: i.cast("string")), ",").alias("selected"))
+
+
+def cluster_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk nearest to the mean of each cluster."""
+    rows = embedding.nearest_to_centre(vectors(spark, sf_dir).select("conv", "idx", "embedding", "cluster"))
+    return rows.select("conv", F.col("cluster").cast("long").alias("cluster"), F.col("centroid").cast("long").alias("centroid"))
 
 
 def displacement_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +122,7 @@ def rank_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "strategy", text("selected"), text("cuts"))
 
 
-QUERIES = [chunk_transcripts, transcripts, turn_overlap, text_measures, saliency_scores, evolution_likelihood, head_tail_selection, dropped_ranges, adaptive_selection, displacement_series, cluster_head_tail, rank_chunks]
+QUERIES = [chunk_transcripts, chunk_transcripts_shortened, transcripts, turn_overlap, text_measures, saliency_scores, evolution_likelihood, head_tail_selection, dropped_ranges, adaptive_selection, selection_strategies, displacement_series, cluster_head_tail, cluster_centres, rank_chunks]
 
 # ---- the same results in SQL ----
 
@@ -163,10 +186,12 @@ s AS (SELECT conv, idx AS pos, text, count(*) OVER (PARTITION BY conv) AS n FROM
 h AS (SELECT *, n <= {most} OR pos < {head} OR pos >= n - {most - head} AS selected FROM s)"""
 
 
-SQL = {
-    "chunk_transcripts": """
+def _chunks_sql(shorten: bool) -> str:
+    lines = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    split = lines if shorten else f"flatten(list_transform({lines}, lambda x: list_transform(range(0, (length(x) - 1) // 6000 + 1), lambda k: substr(x, k * 6000 + 1, 6000))))"
+    return """
 WITH RECURSIVE d AS (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM documents),
-long AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM d WHERE length(t) > 6000),
+long AS (SELECT doc_id, t, {split} AS l FROM d WHERE length(t) > 6000),
 pack(doc_id, l, i, open, done) AS (
   SELECT doc_id, l, 1, '', []::VARCHAR[] FROM long
   UNION ALL
@@ -188,6 +213,80 @@ lap(doc_id, c, i, chunk) AS (
 SELECT doc_id, (i - 1)::BIGINT AS chunk_index, CASE WHEN length(t) <= 4500 THEN 'short_circuit' ELSE 'paragraph_chunk_overlap' END AS strategy,
        length(chunk) AS n_chars, left(sha256(trim(chunk, ' ' || chr(10) || chr(9))), 16) AS content_hash
 FROM lap JOIN d USING (doc_id)
+""".replace("{split}", split)
+
+
+def _greedy_sql(most: int) -> str:
+    """CTE ad: conv, n and the places of the adaptive selection."""
+    head, middle, tail = selection.slots(most)
+    jac = "(CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_concat({0}, {1}))) END)"
+    near = "(abs(x[1].pos - acc[-1].pos) <= 1 AND x[1].s < 1.08 * acc[-1].s)"
+    alike = f"(x[1].s < 0.52 AND len(list_filter(acc, lambda k: {jac.format('k.tok', 'x[1].tok')} >= 0.72)) > 0)"
+    fold = lambda start, refuse: f"list_reduce(list_transform(ranked, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) >= {middle} OR {refuse} THEN acc ELSE list_concat(acc, x) END, {start})"
+    kind = "STRUCT(pos BIGINT, s DOUBLE, tok VARCHAR[])[]"
+    return f"""{_score_sql()},
+ag AS (SELECT conv, count(*) AS n, list({{'pos': idx, 's': saliency, 'tok': tok}} ORDER BY saliency DESC, idx) AS items FROM scored GROUP BY conv),
+ai AS (SELECT conv, n, coalesce(list_filter(items, lambda c: c.pos >= {head} AND c.pos < n - {tail}), [])::{kind} AS ranked FROM ag),
+at AS (SELECT *, {fold(f'[]::{kind}', f'(len(acc) > 0 AND ({near} OR {alike}))')} AS taken FROM ai),
+au AS (SELECT *, {fold('taken', 'len(list_filter(acc, lambda k: k.pos = x[1].pos)) > 0')} AS chosen FROM at),
+ad AS (SELECT conv, n, CASE WHEN n <= {most} THEN range(0, n) ELSE list_sort(list_concat(list_filter(range(0, n), lambda p: p < {head} OR p >= n - {tail}), list_transform(chosen, lambda c: c.pos))) END AS selected FROM au)"""
+
+
+def _rank_sql() -> str:
+    nearest = "coalesce(list_max(list_transform(picked, lambda p: list_sum(list_transform(list_zip(c.e, p.e), lambda z: z[1] * z[2])))), 0.0)"
+    option = "greatest(q[e + 2] - q[st + 1] - (s[e + 2] - s[st + 1]) * (s[e + 2] - s[st + 1]) / (e + 1 - st), 0.0)"
+    return f"""
+WITH RECURSIVE {FEATURES},
+pk AS (SELECT *, {_peak('delta')}, {_peak('kappa')} FROM z),
+ser AS (SELECT conv, any_value(n) AS n, list(delta ORDER BY idx) AS x, {ranking.PENALTY}::DOUBLE * ln(greatest(any_value(n), 2)) AS p FROM pk GROUP BY conv),
+pre AS (SELECT conv, n, p, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(x[1:i]), 0.0)) AS s, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda y: y * y)), 0.0)) AS q FROM ser),
+dp(conv, n, p, s, q, e, cost, cut) AS (
+  SELECT conv, n, p, s, q, 0::BIGINT, [0.0::DOUBLE], [0::BIGINT] FROM pre
+  UNION ALL
+  SELECT conv, n, p, s, q, e + 1, list_append(cost, b.c), list_append(cut, b.k)
+  FROM (SELECT *, list_sort(list_transform(range(0, e + 1), lambda st: {{'c': round(cost[st + 1] + {option} + p, 12), 'k': st}}))[1] AS b FROM dp WHERE e < n)
+),
+bk(conv, cut, at, cuts) AS (
+  SELECT conv, cut, cut[n + 1], []::BIGINT[] FROM dp WHERE e = n
+  UNION ALL
+  SELECT conv, cut, cut[at + 1], list_concat([at], cuts) FROM bk WHERE at > 0
+),
+cp AS (SELECT bk.conv, CASE WHEN ser.n < 4 THEN [] ELSE cuts END AS cuts FROM bk JOIN ser USING (conv) WHERE at = 0),
+bd AS (SELECT pk.*, cuts, list_contains(cuts, idx) OR list_contains(cuts, idx - 1) OR peak_delta OR peak_kappa OR cluster_start OR representative AS boundary, idx = n - 1 OR (n > 15 AND idx = n - 2) AS locked FROM pk JOIN cp USING (conv)),
+sc AS (SELECT *, {ranking.WEIGHT_SHIFT}::DOUBLE * z_delta + {ranking.WEIGHT_RECENCY}::DOUBLE * recency + {ranking.WEIGHT_MASS}::DOUBLE * mass + {ranking.WEIGHT_BOUNDARY}::DOUBLE * boundary::INT AS score FROM bd),
+it AS (SELECT conv, any_value(n) AS n, any_value(cuts) AS cuts, least(any_value(n), greatest(3, least(8, ceil(any_value(n) / 5.0))))::BIGINT AS k, list({{'i': idx, 'score': score, 'e': e}} ORDER BY score DESC, idx DESC) AS items,
+       coalesce(list({{'i': idx, 'score': score, 'e': e}} ORDER BY idx) FILTER (WHERE locked), []) AS locks, coalesce(list({{'i': idx, 'score': score, 'e': e}} ORDER BY idx) FILTER (WHERE boundary AND NOT locked), []) AS pool FROM sc GROUP BY conv),
+mm(conv, k, picked, pool) AS (
+  SELECT conv, k, locks, pool FROM it
+  UNION ALL
+  SELECT conv, k, list_append(picked, best), list_filter(pool, lambda c: c.i <> best.i)
+  FROM (SELECT *, list_sort(list_transform(pool, lambda c: {{'w': -round({ranking.MMR_LAMBDA}::DOUBLE * c.score - {1 - ranking.MMR_LAMBDA}::DOUBLE * {nearest}, 12), 'i': c.i, 'c': c}}))[1].c AS best FROM mm WHERE len(picked) < k AND len(pool) > 0)
+),
+dn AS (SELECT conv, arg_max(picked, len(picked)) AS picked FROM mm GROUP BY conv)
+SELECT conv, n, k, CASE WHEN n <= k THEN 'full' ELSE 'ranked' END AS strategy,
+       array_to_string(CASE WHEN n <= k THEN range(0, n) ELSE list_sort(list_concat(list_transform(picked, lambda c: c.i), list_transform(list_filter(items, lambda c: NOT list_contains(list_transform(picked, lambda p: p.i), c.i)), lambda c: c.i))[1:greatest(k, len(picked))]) END, ',') AS selected,
+       array_to_string(cuts, ',') AS cuts FROM it JOIN dn USING (conv)
+"""
+
+
+_HEAD_TAIL_7 = "CASE WHEN n <= 7 THEN range(0, n) ELSE list_filter(range(0, n), lambda p: p < 5 OR p >= n - 2) END"
+
+SQL = {
+    "chunk_transcripts": _chunks_sql(False),
+    "chunk_transcripts_shortened": _chunks_sql(True),
+    "adaptive_selection": f"WITH {_greedy_sql(7)} SELECT conv, n, array_to_string(selected, ',') AS selected FROM ad",
+    "selection_strategies": f"""
+WITH {_greedy_sql(7)}, s AS (
+  SELECT conv, 'adaptive' AS asked, n, selected FROM ad UNION ALL SELECT conv, 'head_tail', n, {_HEAD_TAIL_7} FROM ad UNION ALL SELECT conv, 'head', n, range(0, least(n, 7)) FROM ad)
+SELECT conv, asked, n, CASE WHEN n <= 3 THEN 'full' ELSE asked END AS strategy, array_to_string(CASE WHEN n <= 3 THEN range(0, n) ELSE selected END, ',') AS selected FROM s
+""",
+    "rank_chunks": _rank_sql(),
+    "cluster_centres": f"""
+WITH {FEATURES},
+x AS (SELECT conv, idx, cluster, unnest(e) AS v, generate_subscripts(e, 1) AS d FROM u),
+mean AS (SELECT conv, cluster, d, avg(v) AS m FROM x GROUP BY ALL),
+far AS (SELECT conv, cluster, idx, round(sum((v - m) * (v - m)), 12) AS f FROM x JOIN mean USING (conv, cluster, d) GROUP BY ALL)
+SELECT conv, cluster::BIGINT AS cluster, arg_min(idx, (f, idx)) AS centroid FROM far GROUP BY conv, cluster
 """,
     "transcripts": "SELECT conv_id, length(t) AS char_count, sha256(trim(t, ' ' || chr(10))) AS sha256 FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)",
     "turn_overlap": f"""

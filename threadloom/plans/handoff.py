@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checkpoint, explain, extraction, handoff, incremental, pipeline, quality, recap, sparse, state
 from ..session import table
+from . import told
 from .conversations import turns
 
-CREATED = "2024-01-01T00:00:00+00:00"
+def _states(spark: SparkSession, sf_dir: str, explained: bool = False) -> DataFrame:
+    rows = state.build(told.records(spark, sf_dir), told.sources(spark, sf_dir), keep=("chunks", "label", "archetype") if explained else ())
+    if explained:
+        rows = explain.told(rows).drop("chunks", "label", "archetype", "overview", "topics", "learnings", "questions", "takeaways", "status")
+    return rows.withColumn("briefing", state.briefing())
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).select("conv", F.col("idx").cast("int").alias("chunk_index"), F.col("text").alias("chunk"))
-    return extraction.extract(rows)
+def _one(name: str) -> Column:
+    return F.array_join(name, "|").alias(name)
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("conv")).agg(ordered.alias("t"))
-    text = F.array_join(F.transform("t", lambda t: t["text"]), "\n\n")
-    return rows.select("conv", text.alias("conversation"), F.concat(F.lit("conversation "), "conv").alias("label"), F.lit("mixed").alias("archetype"), F.lit("").alias("path"), F.lit(CREATED).alias("created_at"))
+def mock_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir).select("conv", F.col("idx").cast("int").alias("chunk_index"), F.col("text").alias("chunk"))
+    return extraction.extract(rows).select("conv", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("input_chars").cast("long").alias("input_chars"), "content_hash", "topic", "summary", *map(_one, ("important_facts", "goals", "open_questions", "next_steps")), "parse_ok")
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.build(_records(spark, sf_dir), _sources(spark, sf_dir)).withColumn("briefing", state.briefing())
+def regular_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records from answers that are plain, fenced, embedded, cut, of older names, or no JSON at all."""
+    return told.records(spark, sf_dir).select("conv", F.col("chunk_index").cast("long").alias("chunk_index"), *told.SCALARS, *map(_one, told.LISTS), "parse_ok", F.coalesce("error", F.lit("")).alias("error"))
 
 
-def mock_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _records(spark, sf_dir)
-    one = lambda c: F.array_join(c, "|").alias(c)
-    return out.select("conv", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("input_chars").cast("long").alias("input_chars"), "content_hash", "topic", "summary", one("important_facts"), one("goals"), one("open_questions"), one("next_steps"), "parse_ok")
+def answer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each raw answer is complete."""
+    rows = turns(spark, sf_dir).select("conv", F.col("idx").cast("int").alias("chunk_index"), F.col("text").alias("chunk"))
+    return told.cued(rows).select("conv", F.col("chunk_index").cast("long").alias("chunk_index"), extraction.repaired_audit(F.col("raw")).alias("a")).select("conv", "chunk_index", "a.*")
 
 
 def briefings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def briefings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explain.explain(_records(spark, sf_dir), _sources(spark, sf_dir)).select("conv", "explanation")
+    return explain.explain(told.records(spark, sf_dir), told.sources(spark, sf_dir)).select("conv", "explanation")
 
 
 def briefing_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +54,9 @@ def briefing_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = _states(spark, sf_dir).join(explain.explain(_records(spark, sf_dir), _sources(spark, sf_dir)).select("conv", "explanation"), "conv")
-    rows = checkpoint.records(states, _sources(spark, sf_dir))
-    return rows.select("conv", "id", "project", F.col("source.sha256").alias("sha256"), F.col("source.char_count").alias("char_count"), F.col("stats.compression_ratio").alias("compression_ratio"), F.size(checkpoint.issues(F.col("format_version"), F.col("state"))).cast("long").alias("n_issues"))
+    rows = checkpoint.records(_states(spark, sf_dir, explained=True), told.sources(spark, sf_dir))
+    cached = [F.sha2(f"cached_exports.{n}", 256).alias(n) for n in ("briefing", "explain", "claude")]
+    return rows.select("conv", "id", "project", *cached, F.array_join(F.transform("pipeline.frontier.indices", lambda i: i.cast("string")), ",").alias("frontier"), F.col("stats.explain_words").cast("long").alias("explain_words"), F.col("source.sha256").alias("sha256"), F.col("source.char_count").alias("char_count"), F.col("stats.compression_ratio").alias("compression_ratio"), F.size(checkpoint.issues(F.col("format_version"), F.col("state"))).cast("long").alias("n_issues"))
 
 
 def state_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,40 +65,41 @@ def state_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics(_records(spark, sf_dir)).select("conv", "chunks", "parse_rate", "topic_rate", "goals_rate", "objective_rate")
+    return quality.metrics(told.records(spark, sf_dir)).select("conv", "chunks", "parse_rate", "topic_rate", "goals_rate", "objective_rate")
 
 
 def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recap.merge(_records(spark, sf_dir))
-    one = lambda c: F.array_join(c, "|").alias(c)
-    return rows.select("conv", F.col("chunks").cast("long").alias("chunks"), "topic", one("goals"), one("next_steps"), one("decisions"), "summary", "parse_ok")
+    rows = recap.merge(told.records(spark, sf_dir))
+    return rows.select("conv", F.col("chunks").cast("long").alias("chunks"), "topic", *map(_one, ("goals", "next_steps", "decisions", "important_facts", "open_questions")), "summary", "parse_ok")
 
 
 def whole_briefings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = state.build_whole(_records(spark, sf_dir), _sources(spark, sf_dir))
+    rows = state.build_whole(told.records(spark, sf_dir), told.sources(spark, sf_dir))
     return rows.select("conv", "project_title", "objective_display", "current_state", "next_action")
 
 
 def handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record handed on in each version."""
-    rows = _records(spark, sf_dir).withColumn("archetype", F.lit("mixed"))
-    texts = [handoff.hand_over(rows, v).select("conv", F.col("chunk_index").cast("long").alias("chunk_index"), F.lit(v).alias("version"), "handoff") for v in ("v1", "v2", "v3")]
-    return texts[0].union(texts[1]).union(texts[2])
+    """Every record handed on in each version, all from one evaluation of the record."""
+    rows = told.records(spark, sf_dir).withColumn("archetype", told.archetype())
+    for version in ("v1", "v2", "v3"):
+        rows = handoff.hand_over(rows, version).withColumnRenamed("handoff", f"_{version}")
+    texts = F.array(*[F.struct(F.lit(v).alias("version"), F.col(f"_{v}").alias("handoff")) for v in ("v1", "v2", "v3")])
+    return rows.select("conv", F.col("chunk_index").cast("long").alias("chunk_index"), F.inline(texts))
 
 
 def sparse_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sparse.preserve(turns(spark, sf_dir).select("conv", "idx", "text"), _sources(spark, sf_dir))
+    rows = sparse.preserve(turns(spark, sf_dir).select("conv", "idx", "text"), told.sources(spark, sf_dir))
     return rows.select("conv", "mode", F.size("chunks").cast("long").alias("n_chunks"), F.array_join("rejected", ",").alias("rejected"))
 
 
 def continuation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts through the whole way: chunked, embedded, ranked, extracted, told."""
-    rows = pipeline.run(_sources(spark, sf_dir))
+    rows = pipeline.run(told.sources(spark, sf_dir))
     return rows.select("conv", F.col("n").cast("long").alias("n"), "project_title", "next_action", "briefing", "explanation", "claude")
 
 
 def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipeline.inspect(_sources(spark, sf_dir))
+    rows = pipeline.inspect(told.sources(spark, sf_dir))
     text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",").alias(c)
     return rows.select("conv", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "strategy", text("selected"), text("frontier"))
 
@@ -129,26 +133,10 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [mock_extraction, briefings, explanations, briefing_rubric, checkpoint_records, state_analysis, extraction_metrics, merged_records, whole_briefings, handoffs, sparse_modes, continuation_runs, inspections, page_archetypes, incremental_reuse, newest_events, quality_report]
+QUERIES = [mock_extraction, regular_records, answer_audit, briefings, explanations, briefing_rubric, checkpoint_records, state_analysis, extraction_metrics, merged_records, whole_briefings, handoffs, sparse_modes, continuation_runs, inspections, page_archetypes, incremental_reuse, newest_events, quality_report]
 
 # ---- the same results in SQL ----
 
-_NAMED = """
-c AS (SELECT conv_id AS conv, count(*) AS n FROM conversations GROUP BY conv_id),
-b AS (SELECT *, n + 1 AS k, 'conversation ' || conv AS label, greatest(0, n - greatest(2, least(5, ceil(n * 0.2))))::BIGINT AS cutoff FROM c),
-h AS (SELECT conv, string_agg(chr(10) || '- mock conversation topic (chunk ' || (i + 2) || '/' || n || ')', '' ORDER BY i) AS past
-      FROM (SELECT *, unnest(range(0, least(cutoff, 3))) AS i FROM b) GROUP BY conv),
-t AS (SELECT conv, n, label, 'mock next step chunk ' || k AS next_action,
-        '## PROJECT' || chr(10) || chr(10) || label || chr(10) || chr(10) || 'Objective:' || chr(10) ||
-        'mock conversation topic (chunk ' || k || '/' || n || ')' || chr(10) || '- mock goal chunk ' || k || chr(10) || '- mock question chunk ' || k || chr(10) ||
-        '- mock next step chunk ' || k || coalesce(past, '') || chr(10) || chr(10) || 'Current Position:' || chr(10) || 'mock summary for chunk ' || k || ' of ' || n || '.' || chr(10) || chr(10) ||
-        'Completed Work:' || chr(10) || 'None identified.' || chr(10) || chr(10) || 'Active Problems:' || chr(10) || 'None identified.' || chr(10) || chr(10) ||
-        'Constraints:' || chr(10) || 'None identified.' || chr(10) || chr(10) || 'Next Action:' || chr(10) || 'mock next step chunk ' || k AS briefing
-      FROM b LEFT JOIN h USING (conv))"""
-
-_TEXTS = "x AS (SELECT conv_id AS conv, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS conversation FROM conversations GROUP BY conv_id)"
-
-
 def _paths() -> str:
     rules = []
     for name, parts, stems in quality.PATHS:
@@ -163,45 +151,54 @@ WITH t AS (SELECT conv_id AS conv, row_number() OVER w - 1 AS i, count(*) OVER (
 SELECT conv, i AS chunk_index, length(text) AS input_chars, left(sha256(trim(text)), 16) AS content_hash, 'mock conversation topic (chunk ' || (i + 2) || '/' || n || ')' AS topic,
        'mock summary for chunk ' || (i + 2) || ' of ' || n || '.' AS summary, 'mock fact from chunk ' || (i + 2) AS important_facts, 'mock goal chunk ' || (i + 2) AS goals,
        'mock question chunk ' || (i + 2) AS open_questions, 'mock next step chunk ' || (i + 2) AS next_steps, true AS parse_ok FROM t
+""",
+    "regular_records": f"""
+WITH {told.RECORDS}
+SELECT conv, i AS chunk_index, {', '.join(told.SCALARS)}, {', '.join(f"array_to_string({n}, '|') AS {n}" for n in told.LISTS)}, form <> 4 AND (topic <> '' OR summary <> '') AS parse_ok,
+       CASE WHEN form <> 4 AND (topic <> '' OR summary <> '') THEN '' ELSE 'no topic or summary' END AS error FROM rec
+""",
+    "answer_audit": f"""
+WITH {told.RECORDS}
+SELECT conv, i AS chunk_index, form NOT IN (4, 5) AS topic_complete, form <> 4 AS summary_complete, CASE WHEN form = 4 THEN NULL WHEN form = 3 THEN 'current_state' ELSE 'continuation_context' END AS last_complete, form NOT IN (4, 5) AS repairable FROM rec
 """,
     "briefings": f"""
-WITH {_NAMED}
+WITH {told.STATES}, t AS (SELECT conv, next_action, trim(briefing) AS briefing, label FROM bf)
 SELECT conv, briefing, next_action,
-  'Continue this conversation (' || label || '). Treat the briefing below as your only prior context.' || chr(10) || 'Do not summarize for the user — continue naturally from the stopping point.' || chr(10) || chr(10) || briefing AS claude,
-  '# Conversation handoff — ' || label || chr(10) || chr(10) || 'Paste into a new ChatGPT thread. Continue from where the prior conversation stopped.' || chr(10) || chr(10) || briefing || chr(10) || chr(10) || '---' || chr(10) || 'Please continue the conversation from the current position.' AS chatgpt,
-  'You are picking up an in-progress conversation for: ' || label || '.' || chr(10) || 'Use this briefing as your context and continue without recapping for a human audience.' || chr(10) || chr(10) || briefing AS gemini,
-  '# AI Handoff — ' || label || chr(10) || chr(10) || briefing AS markdown
+  'Continue this conversation' || CASE WHEN label <> '' THEN ' (' || label || ')' ELSE '' END || '. Treat the briefing below as your only prior context.' || chr(10) || 'Do not summarize for the user — continue naturally from the stopping point.' || chr(10) || chr(10) || briefing AS claude,
+  '# Conversation handoff' || CASE WHEN label <> '' THEN ' — ' || label ELSE '' END || chr(10) || chr(10) || 'Paste into a new ChatGPT thread. Continue from where the prior conversation stopped.' || chr(10) || chr(10) || briefing || chr(10) || chr(10) || '---' || chr(10) || 'Please continue the conversation from the current position.' AS chatgpt,
+  'You are picking up an in-progress conversation' || CASE WHEN label <> '' THEN ' for: ' || label ELSE '' END || '.' || chr(10) || 'Use this briefing as your context and continue without recapping for a human audience.' || chr(10) || chr(10) || briefing AS gemini,
+  CASE WHEN label <> '' THEN '# AI Handoff — ' || label || chr(10) || chr(10) ELSE '' END || briefing AS markdown
 FROM t
 """,
+    "explanations": f"WITH {told.explain_sql()} SELECT conv, explanation FROM ex",
     "briefing_rubric": rf"""
-WITH {_NAMED}, w AS (SELECT conv, len(regexp_extract_all(briefing, '\S+')) AS words FROM t)
-SELECT conv, 'pass' AS verdict, (6 + CASE WHEN words >= 80 THEN 1 ELSE 0 END)::BIGINT AS score, words, CASE WHEN words < 60 THEN 'short' ELSE '' END AS issues FROM w
+WITH {told.STATES}, w AS (SELECT conv, lower(briefing) AS low, len(regexp_extract_all(briefing, '\S+')) AS words FROM bf),
+s AS (SELECT *, CASE WHEN contains(low, 'next action') THEN 2 ELSE 0 END + CASE WHEN contains(low, 'current position') THEN 2 ELSE 0 END + CASE WHEN contains(low, 'completed work') THEN 1 ELSE 0 END + CASE WHEN contains(low, 'active problems') THEN 1 ELSE 0 END + CASE WHEN words >= 80 THEN 1 ELSE 0 END AS score FROM w)
+SELECT conv, CASE WHEN score >= 6 AND contains(low, 'next action') THEN 'pass' WHEN score >= 4 THEN 'partial' ELSE 'fail' END AS verdict, score::BIGINT AS score, words,
+       concat_ws(',', CASE WHEN NOT contains(low, 'next action') THEN 'missing next action' END, CASE WHEN NOT contains(low, 'current position') THEN 'missing position' END, CASE WHEN words < 60 THEN 'short' END) AS issues FROM s
 """,
-    "checkpoint_records": f"""
-WITH {_NAMED}, {_TEXTS}, s AS (SELECT conv, label, briefing, conversation, sha256(trim(conversation, ' ' || chr(10))) AS sha FROM t JOIN x USING (conv))
-SELECT conv, left(sha256(label || ':{CREATED}:' || sha), 8) AS id, label AS project, sha AS sha256, length(conversation) AS char_count,
-       round(length(conversation)::DOUBLE / length(briefing), 1) AS compression_ratio, 0::BIGINT AS n_issues FROM s
+    "checkpoint_records": rf"""
+WITH {told.STATES}, {told.explain_sql().replace(told.RECORDS + ',' + told.SOURCES + ',', '').replace(told.CLEANED + ',', '')},
+s AS (SELECT *, CASE WHEN label = '' THEN 'conversation' ELSE label END AS p, sha256(trim(conversation, ' ' || chr(10))) AS sha FROM bf JOIN ex USING (conv))
+SELECT conv, left(sha256(p || ':{told.CREATED}:' || sha), 8) AS id, p AS project, sha256(briefing) AS briefing, sha256(explanation) AS explain,
+       sha256('Continue this conversation' || CASE WHEN label <> '' THEN ' (' || label || ')' ELSE '' END || '. Treat the briefing below as your only prior context.' || chr(10) || 'Do not summarize for the user — continue naturally from the stopping point.' || chr(10) || chr(10) || briefing) AS claude,
+       array_to_string(range(cutoff, n), ',') AS frontier, len(regexp_extract_all(explanation, '\S+')) AS explain_words, sha AS sha256, length(conversation) AS char_count,
+       round(length(conversation)::DOUBLE / length(briefing), 1) AS compression_ratio,
+       (CASE WHEN trim(next_action) = '' THEN 1 ELSE 0 END + CASE WHEN trim(current_state) = '' AND len(completed_work) = 0 THEN 1 ELSE 0 END + CASE WHEN len(objective) = 0 THEN 1 ELSE 0 END)::BIGINT AS n_issues FROM s
 """,
-    "state_analysis": """
-SELECT conv_id AS conv, 5::BIGINT AS usefulness, 'medium' AS tier, 2::BIGINT + 0 AS next_action_score, 2::BIGINT AS active_problems_score, 0.0::DOUBLE AS duplication_rate FROM conversations GROUP BY conv_id
+    "state_analysis": f"WITH {told.analysis_sql()}",
+    "extraction_metrics": f"""
+WITH {told.RECORDS}
+SELECT conv, count(*) AS chunks, {', '.join(f'round(count(*) FILTER (WHERE {c})::DOUBLE / count(*), 4) AS {n}_rate' for n, c in (('parse', "form <> 4 AND (topic <> '' OR summary <> '')"), ('topic', "topic <> ''"), ('goals', 'len(goals) > 0'), ('objective', 'len(objective) > 0')))} FROM rec GROUP BY conv
 """,
-    "extraction_metrics": "SELECT conv_id AS conv, count(*) AS chunks, 1.0::DOUBLE AS parse_rate, 1.0::DOUBLE AS topic_rate, 1.0::DOUBLE AS goals_rate, 0.0::DOUBLE AS objective_rate FROM conversations GROUP BY conv_id",
-    "whole_briefings": f"""
-WITH {_NAMED}
-SELECT conv, label AS project_title, 'mock conversation topic (chunk ' || (n + 1) || '/' || n || ')' AS objective_display, 'mock summary for chunk ' || (n + 1) || ' of ' || n || '.' AS current_state,
-       'mock goal chunk ' || (n + 1) AS next_action FROM t
+    "merged_records": f"""
+WITH {told.merged_sql()}
+SELECT conv, n AS chunks, topic, {', '.join(f"array_to_string({n}, '|') AS {n}" for n in ('goals', 'next_steps', 'decisions', 'important_facts', 'open_questions'))}, recap AS summary, parse_ok FROM mg
 """,
-    "handoffs": """
-WITH t AS (SELECT conv_id AS conv, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-s AS (SELECT *, (i + 2)::VARCHAR AS k, 'mock conversation topic (chunk ' || (i + 2) || '/' || n || ')' AS topic, 'mock summary for chunk ' || (i + 2) || ' of ' || n || '.' AS summary FROM t),
-one AS (SELECT conv, i, '# AI Handoff Context' || chr(10) || chr(10) || '**Topic:** ' || topic || chr(10) || chr(10) || '**Summary:** ' || summary || chr(10) || chr(10) ||
-  '**Important facts:**' || chr(10) || '- mock fact from chunk ' || k || chr(10) || chr(10) || '**Goals:**' || chr(10) || '- mock goal chunk ' || k || chr(10) || chr(10) ||
-  '**Open questions:**' || chr(10) || '- mock question chunk ' || k || chr(10) || chr(10) || '**Decisions:**' || chr(10) || '- mock decision chunk ' || k || chr(10) || chr(10) ||
-  '**Next steps:**' || chr(10) || '- mock next step chunk ' || k AS h,
-  '# AI Handoff Briefing' || chr(10) || chr(10) || 'You are picking up an in-progress conversation. Continue naturally — do not recap for a human audience.' || chr(10) || chr(10) ||
-  '## Role' || chr(10) || 'Assistant — continue on: ' || topic || chr(10) || chr(10) || '## Current position' || chr(10) || summary || chr(10) || chr(10) ||
-  '## Completed work' || chr(10) || '- mock fact from chunk ' || k || chr(10) || chr(10) || '## Next action' || chr(10) || 'mock next step chunk ' || k AS v3 FROM s)
-SELECT conv, i AS chunk_index, v AS version, CASE WHEN v = 'v3' THEN v3 ELSE h END AS handoff FROM one, (VALUES ('v1'), ('v2'), ('v3')) x(v)
+    "whole_briefings": f"WITH {told.whole_sql()} SELECT * FROM wh",
+    "handoffs": f"""
+WITH {told.handoff_sql()}
+SELECT conv, i AS chunk_index, v AS version, CASE v WHEN 'v1' THEN v1 WHEN 'v2' THEN v2 ELSE v3 END AS handoff FROM ho, (VALUES ('v1'), ('v2'), ('v3')) x(v)
 """,
     "page_archetypes": f"""
 WITH a AS (SELECT page_id, lower(url) AS p, regexp_replace(regexp_extract(lower(url), '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS s, lower(left(html, 8000)) AS t FROM pages),
