@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, handoff
+from . import conversations, handoff, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [conversations, handoff]
+MODULES = [conversations, handoff, stores]
 
 
 def all_queries() -> dict[str, Query]:

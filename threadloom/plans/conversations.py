@@ -227,8 +227,8 @@ def _greedy_sql(most: int) -> str:
     return f"""{_score_sql()},
 ag AS (SELECT conv, count(*) AS n, list({{'pos': idx, 's': saliency, 'tok': tok}} ORDER BY saliency DESC, idx) AS items FROM scored GROUP BY conv),
 ai AS (SELECT conv, n, coalesce(list_filter(items, lambda c: c.pos >= {head} AND c.pos < n - {tail}), [])::{kind} AS ranked FROM ag),
-at AS (SELECT *, {fold(f'[]::{kind}', f'(len(acc) > 0 AND ({near} OR {alike}))')} AS taken FROM ai),
-au AS (SELECT *, {fold('taken', 'len(list_filter(acc, lambda k: k.pos = x[1].pos)) > 0')} AS chosen FROM at),
+ah AS (SELECT *, {fold(f'[]::{kind}', f'(len(acc) > 0 AND ({near} OR {alike}))')} AS taken FROM ai),
+au AS (SELECT *, {fold('taken', 'len(list_filter(acc, lambda k: k.pos = x[1].pos)) > 0')} AS chosen FROM ah),
 ad AS (SELECT conv, n, CASE WHEN n <= {most} THEN range(0, n) ELSE list_sort(list_concat(list_filter(range(0, n), lambda p: p < {head} OR p >= n - {tail}), list_transform(chosen, lambda c: c.pos))) END AS selected FROM au)"""
 
 
@@ -246,12 +246,12 @@ dp(conv, n, p, s, q, e, cost, cut) AS (
   SELECT conv, n, p, s, q, e + 1, list_append(cost, b.c), list_append(cut, b.k)
   FROM (SELECT *, list_sort(list_transform(range(0, e + 1), lambda st: {{'c': round(cost[st + 1] + {option} + p, 12), 'k': st}}))[1] AS b FROM dp WHERE e < n)
 ),
-bk(conv, cut, at, cuts) AS (
+bk(conv, cut, place, cuts) AS (
   SELECT conv, cut, cut[n + 1], []::BIGINT[] FROM dp WHERE e = n
   UNION ALL
-  SELECT conv, cut, cut[at + 1], list_concat([at], cuts) FROM bk WHERE at > 0
+  SELECT conv, cut, cut[place + 1], list_concat([place], cuts) FROM bk WHERE place > 0
 ),
-cp AS (SELECT bk.conv, CASE WHEN ser.n < 4 THEN [] ELSE cuts END AS cuts FROM bk JOIN ser USING (conv) WHERE at = 0),
+cp AS (SELECT bk.conv, CASE WHEN ser.n < 4 THEN [] ELSE cuts END AS cuts FROM bk JOIN ser USING (conv) WHERE place = 0),
 bd AS (SELECT pk.*, cuts, list_contains(cuts, idx) OR list_contains(cuts, idx - 1) OR peak_delta OR peak_kappa OR cluster_start OR representative AS boundary, idx = n - 1 OR (n > 15 AND idx = n - 2) AS locked FROM pk JOIN cp USING (conv)),
 sc AS (SELECT *, {ranking.WEIGHT_SHIFT}::DOUBLE * z_delta + {ranking.WEIGHT_RECENCY}::DOUBLE * recency + {ranking.WEIGHT_MASS}::DOUBLE * mass + {ranking.WEIGHT_BOUNDARY}::DOUBLE * boundary::INT AS score FROM bd),
 it AS (SELECT conv, any_value(n) AS n, any_value(cuts) AS cuts, least(any_value(n), greatest(3, least(8, ceil(any_value(n) / 5.0))))::BIGINT AS k, list({{'i': idx, 'score': score, 'e': e}} ORDER BY score DESC, idx DESC) AS items,

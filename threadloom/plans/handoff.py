@@ -105,8 +105,18 @@ def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archetypes by path, else by the whole page."""
+    return _archetypes(spark, sf_dir, None)
+
+
+def page_archetypes_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' first form, in which a page's first 8,000 characters tell."""
+    return _archetypes(spark, sf_dir, quality.HEAD)
+
+
+def _archetypes(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", quality.path_archetype(F.col("url")).alias("by_path"), quality.archetype(F.col("url"), F.col("html")).alias("archetype"))
+    return rows.select("page_id", quality.path_archetype(F.col("url")).alias("by_path"), quality.archetype(F.col("url"), F.col("html"), most).alias("archetype"))
 
 
 def incremental_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +143,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [mock_extraction, regular_records, answer_audit, briefings, explanations, briefing_rubric, checkpoint_records, state_analysis, extraction_metrics, merged_records, whole_briefings, handoffs, sparse_modes, continuation_runs, inspections, page_archetypes, incremental_reuse, newest_events, quality_report]
+QUERIES = [mock_extraction, regular_records, answer_audit, briefings, explanations, briefing_rubric, checkpoint_records, state_analysis, extraction_metrics, merged_records, whole_briefings, handoffs, sparse_modes, continuation_runs, inspections, page_archetypes, page_archetypes_head, incremental_reuse, newest_events, quality_report]
 
 # ---- the same results in SQL ----
 
@@ -145,6 +155,14 @@ def _paths() -> str:
     return "CASE " + " ".join(rules) + " ELSE 'other' END"
 
 
+def _archetypes_sql(text: str) -> str:
+    return f"""
+WITH a AS (SELECT page_id, lower(url) AS p, regexp_replace(regexp_extract(lower(url), '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS s, lower({text}) AS t FROM pages),
+b AS (SELECT *, {_paths()} AS by_path FROM a)
+SELECT page_id, by_path, CASE WHEN by_path <> 'other' THEN by_path {' '.join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in quality.CONTENT)} ELSE 'other' END AS archetype FROM b
+"""
+
+
 SQL = {
     "mock_extraction": """
 WITH t AS (SELECT conv_id AS conv, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -200,11 +218,15 @@ SELECT conv, n AS chunks, topic, {', '.join(f"array_to_string({n}, '|') AS {n}"
 WITH {told.handoff_sql()}
 SELECT conv, i AS chunk_index, v AS version, CASE v WHEN 'v1' THEN v1 WHEN 'v2' THEN v2 ELSE v3 END AS handoff FROM ho, (VALUES ('v1'), ('v2'), ('v3')) x(v)
 """,
-    "page_archetypes": f"""
-WITH a AS (SELECT page_id, lower(url) AS p, regexp_replace(regexp_extract(lower(url), '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS s, lower(left(html, 8000)) AS t FROM pages),
-b AS (SELECT *, {_paths()} AS by_path FROM a)
-SELECT page_id, by_path, CASE WHEN by_path <> 'other' THEN by_path {' '.join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in quality.CONTENT)} ELSE 'other' END AS archetype FROM b
+    "sparse_modes": f"WITH {told.sparse_sql()} SELECT conv, mode, n_chunks, rejected FROM sp",
+    "inspections": f"""
+WITH RECURSIVE {told.SOURCES}, tx AS (SELECT conv, conversation AS t FROM src), {told.chunks_sql('ch', 'tx')},
+c AS (SELECT conv, count(*) AS n FROM ch GROUP BY conv)
+SELECT conv, n, least(n, greatest(3, least(8, ceil(n / 5.0))))::BIGINT AS k, 'full' AS strategy, array_to_string(range(0, n), ',') AS selected,
+       array_to_string(range(greatest(0, n - greatest(2, least(5, ceil(n * 0.2))))::BIGINT, n), ',') AS frontier FROM c
 """,
+    "page_archetypes": _archetypes_sql("html"),
+    "page_archetypes_head": _archetypes_sql("left(html, 8000)"),
     "incremental_reuse": """
 WITH t AS (SELECT conv_id AS conv, row_number() OVER w - 1 AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS n, left(sha256(trim(text)), 16) AS content_hash FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv, chunk_index, content_hash, chunk_index < n - 1 AND chunk_index % 3 <> 2 AS hit, CASE WHEN chunk_index < n - 1 AND chunk_index % 3 <> 2 THEN 'kept' END AS output FROM t

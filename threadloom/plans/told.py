@@ -15,11 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import saliency as S
 from ..functions import text as T
 from ..functions import voice as V
-from ..operators import explain, extraction, handoff, quality, recap, state
+from ..operators import explain, extraction, handoff, quality, recap, sparse, state
 from ..session import table
-from .conversations import TURNS, turns
+from .conversations import TOKENS, TURNS, _score_sql, turns
 
 CREATED = "2024-01-01T00:00:00+00:00"
 LISTS, SCALARS = extraction.LISTS, extraction.SCALARS
@@ -559,3 +560,60 @@ def analysis_sql() -> str:
 a0 AS (SELECT *, {action} AS na, {problems} AS ap, CASE WHEN len(completed_work) = 0 OR len(active_problems) = 0 THEN 0.0 ELSE {pairs}::DOUBLE / (len(completed_work) * len(active_problems)) END AS dup FROM bf),
 a1 AS (SELECT *, {point('len(objective) > 0', 2)} + {point("trim(current_state) <> ''", 2)} + {point('len(completed_work) > 0')} + {point('len(constraints) > 0')} + least(2, na // 2) + least(1, ap // 3) - floor(dup * 3)::BIGINT AS pts FROM a0)
 SELECT conv, greatest(0, pts)::BIGINT AS usefulness, CASE WHEN pts >= 7 THEN 'high' WHEN pts >= 4 THEN 'medium' ELSE 'low' END AS tier, na::BIGINT AS next_action_score, ap::BIGINT AS active_problems_score, round(dup, 3) AS duplication_rate FROM a1"""
+
+
+def chunks_sql(name: str, source: str) -> str:
+    """Recursive CTEs ending in ``name`` (conv, i, chunk): chunks with overlap of the texts of ``source`` (conv, t),
+    whose paragraphs are no longer than a chunk."""
+    n = name
+    parts = rf"list_filter(list_transform(string_split(regexp_replace(t, '\n\s*\n+', chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
+    return f"""
+{n}_d AS (SELECT conv, {strip('t')} AS t FROM {source}),
+{n}_l AS (SELECT conv, {parts} AS l FROM {n}_d WHERE length(t) > 4500),
+{n}_p(conv, l, i, open_, done) AS (
+  SELECT conv, l, 1, '', []::VARCHAR[] FROM {n}_l
+  UNION ALL
+  SELECT conv, l, i + 1, CASE WHEN open_ = '' THEN l[i] WHEN length(open_) + 2 + length(l[i]) <= 6000 THEN open_ || chr(10) || chr(10) || l[i] ELSE l[i] END,
+    CASE WHEN open_ <> '' AND length(open_) + 2 + length(l[i]) > 6000 THEN list_append(done, open_) ELSE done END FROM {n}_p WHERE i <= len(l)
+),
+{n}_b AS (SELECT conv, CASE WHEN open_ = '' THEN done ELSE list_append(done, open_) END AS c FROM {n}_p WHERE i = len(l) + 1 UNION ALL SELECT conv, [t] FROM {n}_d WHERE length(t) BETWEEN 1 AND 4500),
+{n}_o(conv, c, i, chunk) AS (
+  SELECT conv, c, 1, c[1] FROM {n}_b
+  UNION ALL
+  SELECT conv, c, i + 1, CASE WHEN starts_with(c[i + 1], tail) THEN c[i + 1] ELSE tail || chr(10) || chr(10) || c[i + 1] END
+  FROM (SELECT *, CASE WHEN length(chunk) <= 500 THEN chunk ELSE ltrim(right(chunk, 500), ' ' || chr(10)) END AS tail FROM {n}_o) WHERE i < len(c)
+),
+{n} AS (SELECT conv, (i - 1)::BIGINT AS i, chunk FROM {n}_o)"""
+
+
+def sparse_sql() -> str:
+    """CTE sp: conv, mode, n_chunks, rejected."""
+    tok = lambda x: TOKENS.format(x)
+    jac = lambda a, b: f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END)"
+    clamp = lambda x: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {x}))"
+    fixed = "0.16::DOUBLE * unresolved_pressure + 0.14::DOUBLE * reasoning_shift + 0.12::DOUBLE * architecture + 0.08::DOUBLE * failure + 0.08::DOUBLE * operational + 0.10::DOUBLE * conceptual_gravity + 0.10::DOUBLE * transition + 0.06::DOUBLE * constraint_binding"
+    known = "array_to_string(acc.kept, chr(10))"
+    most = f"greatest(x.near, {jac('x.tok', tok(known))})"
+    score = f"round({clamp(f'0.18::DOUBLE * x.moved + 0.10::DOUBLE * round({clamp(f"1.0::DOUBLE - {most}")}, 4) - 0.08::DOUBLE * round({clamp(most)}, 4) + x.fixed')}, 4)"
+    step = f"list_transform([{score}], lambda v: {{'kept': CASE WHEN v >= {S.RETAIN} THEN list_append(acc.kept, x.text)[greatest(1, len(acc.kept) - 2):greatest(1, len(acc.kept) - 2) + 3] ELSE acc.kept END, 'scores': list_append(acc.scores, v), 'text': '', 'tok': []::VARCHAR[], 'near': 0.0::DOUBLE, 'moved': 0.0::DOUBLE, 'fixed': 0.0::DOUBLE}})[1]"
+    item = f"{{'kept': []::VARCHAR[], 'scores': []::DOUBLE[], 'text': text, 'tok': tok::VARCHAR[], 'near': o::DOUBLE, 'moved': trajectory_delta::DOUBLE, 'fixed': ({fixed})::DOUBLE}}"
+    start = "{'kept': []::VARCHAR[], 'scores': []::DOUBLE[], 'text': '', 'tok': []::VARCHAR[], 'near': 0.0::DOUBLE, 'moved': 0.0::DOUBLE, 'fixed': 0.0::DOUBLE}"
+    say = lambda when, what: f"CASE WHEN {when} THEN {q(what)} END"
+    against = [
+        say("n <= 1", "already_single_chunk"), say(f"chars > {sparse.MAX_CHARS}", f"total_chars_gt_{sparse.MAX_CHARS}"), say(f"n > {sparse.MAX_CHUNKS}", f"original_chunks_gt_{sparse.MAX_CHUNKS}"), say(f"spread > {sparse.MAX_SPREAD}", f"saliency_variance_gt_{sparse.MAX_SPREAD}"),
+        say(f"evo >= {sparse.MAX_EVOLUTION}", f"evolution_likelihood_gte_{sparse.MAX_EVOLUTION}"), say("failing >= 3 AND n >= 4", "multi_chunk_failure_density"), say("evo >= 0.55 AND n >= 3 AND chars >= 2800", "high_operational_evolution_likelihood"),
+    ]
+    reasons = " + ".join(f"({c})::INT" for c in (f"chars <= {sparse.MAX_CHARS}", f"n <= {sparse.MAX_CHUNKS}", "thread", f"spread <= {sparse.MAX_SPREAD}", f"evo < {sparse.MAX_EVOLUTION}"))
+    return f"""{_score_sql()},{SOURCES},
+e AS (SELECT conv, failure, CASE WHEN transition > 0.35 AND failure < 0.12 THEN greatest(failure * 1.1::DOUBLE, operational * 0.5::DOUBLE, 0.22::DOUBLE)
+      ELSE greatest(failure * 1.15::DOUBLE, reasoning_shift * 0.9::DOUBLE, operational * 0.85::DOUBLE, transition * 0.45::DOUBLE) END AS v FROM scored),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY v DESC) AS r, count(*) OVER (PARTITION BY conv) AS n FROM e),
+a AS (SELECT conv, avg(v) FILTER (WHERE r <= greatest(2, n // 2)) AS m, any_value(n) AS n, count(*) FILTER (WHERE failure >= 0.2) AS f FROM r GROUP BY conv),
+ev AS (SELECT conv, round(least(1.0::DOUBLE, CASE WHEN n >= 2 AND f < 2 THEN least(m, 0.36::DOUBLE) ELSE m END), 4) AS evolution FROM a),
+rs AS (SELECT conv, count(*) AS n, list_reduce(list({item} ORDER BY idx), lambda acc, x: {step}, {start}).scores AS scores, count(*) FILTER (WHERE failure >= 0.22) AS failing, count(*) FILTER (WHERE regexp_matches(text, {java(sparse.ISSUE)}))::DOUBLE / count(*) AS issue FROM scored GROUP BY conv),
+rt AS (SELECT *, length({strip('conversation')}) AS chars, CASE WHEN n < 2 THEN 0.0 ELSE round(sqrt(list_sum(list_transform(scores, lambda s: (s - list_sum(scores) / n) * (s - list_sum(scores) / n))) / n), 4) END AS spread,
+       issue >= 0.5 AND n <= {sparse.MAX_CHUNKS} AS thread FROM rs JOIN ev USING (conv) JOIN src USING (conv)),
+ru AS (SELECT *, CASE WHEN thread THEN least(evolution, 0.34) ELSE evolution END AS evo FROM rt),
+rv AS (SELECT *, concat_ws(',', {', '.join(against)}) AS rejected, {reasons} AS reasons FROM ru),
+sp AS (SELECT conv, CASE WHEN rejected = '' AND reasons >= 3 THEN 'sparse_preserved' ELSE 'normal' END AS mode,
+       CASE WHEN rejected = '' AND reasons >= 3 THEN least(n, CASE WHEN n > 4 OR chars > {sparse.TWO_CHARS} THEN 2 ELSE 1 END) ELSE n END AS n_chunks, rejected FROM rv)"""

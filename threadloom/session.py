@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -15,6 +19,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets one below its warehouse; a cluster
+    gets an error, as its workers would each write to a disk of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return named.rstrip("/")
+
+
+#: Scratch paths that still exist, with the sessions that made them.
+_scratch: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. It is deleted by ``delete_scratch``, or when the driver's Python ends."""
+    if not _scratch:
+        atexit.register(_delete_all)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _scratch.pop(path, None)
+
+
+def _delete_all() -> None:
+    """At the driver's end, delete what results read until then; a JVM that has ended first leaves it."""
+    for path, spark in list(_scratch.items()):
+        try:
+            delete_scratch(spark, path)
+        except Exception:  # noqa: BLE001 - the JVM may be gone by now
+            return
+
+
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and single-machine runs; clusters bring their own."""
     builder = (
