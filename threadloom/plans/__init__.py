@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,4 +18,9 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {name: materialised(sql) for m in MODULES for name, sql in m.SQL.items()}
+
+
+def materialised(sql: str) -> str:
+    """The steps of a query, each computed once: inlined into each other, their expressions multiply."""
+    return re.sub(r"(?m)^(\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", sql)
