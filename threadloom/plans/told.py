@@ -183,8 +183,13 @@ def without_stop(x: str) -> str:
     return f"rtrim({x}, '.')"
 
 
+def upper(x: str) -> str:
+    """In capitals, where a sharp s is two letters."""
+    return f"replace(upper({x}), 'ẞ', 'SS')"
+
+
 def capital(x: str) -> str:
-    return f"upper(left({x}, 1)) || substr({x}, 2)"
+    return f"{upper(f'left({x}, 1)')} || substr({x}, 2)"
 
 
 def sentences(x: str) -> str:
