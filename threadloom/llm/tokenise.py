@@ -21,7 +21,8 @@ import base64
 import functools
 import hashlib
 import heapq
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,31 +37,45 @@ CHUNK, OVERLAP = 1 << 15, 1 << 10
 SHORT_PIECE = 200
 
 
+class Memory(dict):
+    """Encoded pieces by text, of bounded number: a miss encodes, and those not asked for lately go.
+
+    Pieces are looked up by ``map`` over ``__getitem__``, so that a hit runs no Python code.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.pop(piece, None)
+        if found is None:
+            found = self.encode(piece)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = found
+        return found
+
+
 class Bpe:
     """Ranks and pattern of one vocabulary, with a bounded memory of encoded pieces."""
 
-    remembered = 100_000
+    remembered = 150_000  # in each of two generations, some 200 bytes each
 
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.memory: dict[str, bytes] = {}
+        self.piece = Memory(self._encoded, self.remembered).__getitem__
 
-    def piece(self, piece: str) -> bytes:
+    def _encoded(self, piece: str) -> bytes:
         """Little-endian 32-bit ids of one pre-token."""
-        found = self.memory.get(piece)
-        if found is None:
-            if len(self.memory) >= self.remembered:
-                self.memory.clear()
-            raw = piece.encode()
-            known = self.ranks.get(raw)
-            ids = [known] if known is not None else (merged if len(raw) <= SHORT_PIECE else merged_long)(self.ranks, raw)
-            found = np.asarray(ids, dtype="<u4").tobytes()
-            if len(raw) <= 64:
-                self.memory[piece] = found
-        return found
+        raw = piece.encode()
+        known = self.ranks.get(raw)
+        ids = [known] if known is not None else (merged if len(raw) <= SHORT_PIECE else merged_long)(self.ranks, raw)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
         if len(text) <= chunk:
