@@ -81,18 +81,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17, weigh
     only. What fills a gap is found on sizes alone, by ``fillers``.
     """
     spark = docs.sparkSession
-    base = docs.select(
-        "doc_id", "source", *carry, words().alias("size"),
-        unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).alias("_u"),
-    )
+    own = unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).alias("_u")
+    base = docs.select("doc_id", "source", *carry, own)
+    rows = docs.select("doc_id", "source", words().alias("size"), own)
     weight = F.lit(1.0)
     if quality is not None:
-        base = base.join(quality.groupBy("doc_id").agg(F.avg("quality").alias("_q")), "doc_id", "left")
+        rows = rows.join(quality.groupBy("doc_id").agg(F.avg("quality").alias("_q")), "doc_id", "left")
         weight = F.when((F.col("_q") > 0) & (F.col("_q") < float("inf")) & ~F.isnan("_q"), F.col("_q")).otherwise(1.0)
-    base = base.withColumn("_key", -F.log("_u") / weight).select("doc_id", "source", *carry, "size", "_u", "_key")
-    narrow = written(base.drop(*carry), "sizes")  # a few dozen bytes a row
-    if not carry:
-        base = narrow
+    rows = rows.withColumn("_key", -F.log("_u") / weight).select("doc_id", "source", "size", "_u", "_key")
+    narrow = written(rows, "sizes")  # a few dozen bytes a row
     sums = [(r["source"], int(r["n"]), r["rows"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()]
     goal = targets([(name, size) for name, size, _ in sums], weights, most)
     bins = bins or min(MOST_BINS, max(FEWEST_BINS, max((n for *_, n in sums), default=0) // BIN_ROWS))
@@ -135,10 +132,25 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17, weigh
         )
 
     more = few(written(fillers(place(narrow), few), "fillers"))  # a few rows a source
-    placed = place(base).join(more, [*CELL, "_at"], "left")
+    placed = place(narrow).join(more, [*CELL, "_at"], "left")
     chosen = F.col("_chosen") | F.col("_fills").isNotNull()
-    times = F.when(F.col("size") > 0, F.col("_epochs") + chosen.cast("int")).otherwise(0)
-    return placed.select("doc_id", "source", *carry, "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("epochs"))
+    least = F.when(F.col("size") > 0, F.col("_epochs")).otherwise(0)
+    rows = placed.select("doc_id", "source", "_u", "size", "source_size", "target", least.alias("_least"), ((F.col("size") > 0) & chosen).alias("_more"))
+    if carry:
+        rows = _beside_texts(rows, base, carry)
+    times = F.col("_least") + F.col("_more").cast("int")
+    return rows.select("doc_id", "source", *carry, "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("epochs"))
+
+
+def _beside_texts(decided: DataFrame, base: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """What was decided beside the columns of ``carry``. Texts move once, to the decision on their id, source
+    and text; of rows alike in these as many are taken as were chosen, the first by their other columns."""
+    key = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_no_id": F.col("doc_id").isNull(), "_src": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()}
+    names = [*key, "_u"]
+    told = [F.first(c).alias(c) for c in ("size", "source_size", "target", "_least")]
+    sums = decided.withColumns(key).groupBy(*names).agg(*told, F.count_if("_more").alias("_chosen"))
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(*[c for c in carry if c != "text"] or [F.lit(0)]))
+    return base.withColumns(key).join(sums.hint("merge"), names).withColumn("_more", nth <= F.col("_chosen"))
 
 
 def fillers(placed: DataFrame, few: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
