@@ -3,6 +3,15 @@
 Every stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept, and returns a DataFrame; all but the last return the columns of
 ``documents``.
+
+Defined results of every stage
+- null text: no letter, so the language stage drops it; the later stages take it as empty
+- null doc_id, lang or source: stays null; near-duplicates tell such rows apart by
+  their text, passages take them as later than all others, the mix as a source of
+  their own where the source is null
+- ties and repeated rows: as the operators say; of near-duplicates the smallest id stays
+- very long texts: whole; empty table: no rows; extra columns, whatever their names,
+  are dropped
 """
 
 from __future__ import annotations

@@ -12,6 +12,9 @@ Defined results
 - order of turns: by turn (null first), then role, then text; repeated rows count as turns
 - null role or text: rendered empty, hashed apart from the empty text
 - null conv_id: one conversation of its own
+- ties: of equal conversations the smallest id stays
+- very long conversations: one is a task's, as its prompt is one value of at most 2 GB;
+  very long turns are hashed where they are read
 - empty table: no rows; extra columns are dropped, so names cannot clash
 """
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import delete_scratch, scratch
+
 #: White space that parts words, as a regular expression class: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,20 +24,6 @@ _MASK = (1 << 64) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets one below its warehouse; a cluster
-    gets an error, as its workers would each write to a disk of their own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost
     executors recompute nothing before this point, and sizes are known to AQE.
@@ -47,44 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    if not _left:
-        atexit.register(_discard_left)
-    _left[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
-#: Written tables that still exist.
-_left: dict[str, SparkSession] = {}
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` whose results have been written on in their turn."""
     for df in tables:
-        _delete(df.sparkSession, df.written_path)
-        _left.pop(df.written_path, None)
-
-
-def _discard_left() -> None:
-    """At the driver's end, delete what results read until then; a session that has ended first leaves it."""
-    for path, spark in list(_left.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may be gone by now
-            return
+        delete_scratch(df.sparkSession, df.written_path)
 
 
 BITMAP_BITS = 1 << 25

@@ -23,7 +23,6 @@ Defined results
 
 from __future__ import annotations
 
-import functools
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -249,8 +248,3 @@ def in_a_language(docs: DataFrame, model: Model, odds: float = FOREIGN_ODDS) ->
 def held_out(key: str = "doc_id"):
     """Rows never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2
-
-
-@functools.cache
-def _unknown() -> Model:
-    return fit({})
