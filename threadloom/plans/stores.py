@@ -233,12 +233,18 @@ def explanation_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stale_mocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored records that stem from the mock extractor."""
-    mocked = extraction.extract(turns(spark, sf_dir).select("conv", F.col("idx").cast("int").alias("chunk_index"), F.col("text").alias("chunk")).where("conv % 3 = 0"))
-    rows = told.records(spark, sf_dir).where("conv % 3 > 0").unionByName(mocked)
+
+    def either(chunks: DataFrame) -> DataFrame:
+        both = told.cued(extraction.mock(chunks).withColumnRenamed("raw", "_mock"))
+        return both.withColumn("raw", F.when(F.col("conv") % 3 == 0, F.col("_mock")).otherwise(F.col("raw"))).drop("_mock")
+
+    rows = extraction.extract(turns(spark, sf_dir).select("conv", F.col("idx").cast("int").alias("chunk_index"), F.col("text").alias("chunk")), extractor=either)
     made = checkpoint.records(_states_of(rows, told.sources(spark, sf_dir)), told.sources(spark, sf_dir))
     backend = F.when(F.col("conv") % 10 == 1, F.lit("Mock")).otherwise(F.lit("model"))
     stored = made.select(F.col("conv").alias("file"), F.struct("project", "cached_exports", F.struct(backend.alias("extractor_backend")).alias("engine")).alias("record"))
-    return checkpoints.mock_records(stored).select(F.col("file").alias("conv"), "project")
+    path = scratch(spark, "stored")
+    stored.write.parquet(path)
+    return checkpoints.mock_records(spark.read.parquet(path)).select(F.col("file").alias("conv"), "project")
 
 
 QUERIES = [transcript_files, first_transcripts, session_manifest, cached_sessions, job_lists, checkpoint_store, migrated_records, flat_records, resumed_texts, session_artifacts, exported_texts, copied_blocks, prior_texts, transcript_growth,

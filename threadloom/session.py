@@ -72,6 +72,7 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call sites in every expression
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
