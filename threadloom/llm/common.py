@@ -22,6 +22,8 @@ _MASK = (1 << 64) - 1
 
 #: Setting under which Spark deletes a query's shuffle files once the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of each write; they are put back after it. Small Arrow batches keep Python workers small.
+_WRITING = {_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,12 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name, None) for name in _WRITING}
     try:
+        for name, value in _WRITING.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
