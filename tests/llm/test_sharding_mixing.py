@@ -119,3 +119,13 @@ def test_weights_of_any_scale_part_a_source_alike(docs, spark):
             want.add(r.doc_id)
     full = round(out[0].target) // out[0].source_size
     assert {k for k, r in out.items() if r.taken > full * r.size} == want
+
+
+def test_sharding_sql_agrees(docs, duck):
+    from threadloom.llm import sql
+
+    df = docs([(i, f"text {i % 7} é") for i in range(300)] + [(5, "again"), (7, None), (None, "x")])
+    want, got = duck(sql.OP2, documents=df.toPandas().astype({"doc_id": "Int64"})), sharding.shard(df).toPandas()
+    key = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rows = lambda d: sorted(map(repr, d[key].astype({"doc_id": "Int64"}).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, U64, Rolling, among, components, discard, list_column, mix, parted_join, pieces, shingle_set, signed, written
 
-BLOCK, SHINGLES = 96, 2_000_000  # most documents of a block, and the shingles it should hold
+BLOCK, SHINGLES = 96, 1_000_000  # most documents of a block, and the shingles it should hold
 PART, REPS, OWN_REPS = 192, 8, 8
 MISS = 1e-5
 _ROLL = Rolling(0x9E3779B97F4A7C15)

@@ -72,4 +72,27 @@ SELECT query_id, rank, vec_id, distance FROM (
 ) WHERE rank <= 10
 """
 
-BY_QUERY = {"op1_substring": OP1, "op3_chat": OP3, "op7_neardup": OP7, "op9_hamming": OP9}
+#: CRC-32 by its table, byte by byte, and jump hashing by recursion.
+OP2 = """
+WITH RECURSIVE
+step(v, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT v, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY v) AS t FROM step WHERE k = 8),
+hexed AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
+byte AS MATERIALIZED (SELECT doc_id, size, list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT) AS y FROM hexed),
+row_ AS MATERIALIZED (
+  SELECT doc_id, size, xor(list_reduce(y, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32,
+         ('0x' || left(md5(coalesce(doc_id::VARCHAR, 'null')), 15))::BIGINT AS h FROM byte, tab
+),
+jump(h, shards, key, landed, done) AS (
+  SELECT DISTINCT h, shards, h::UHUGEINT, 0::BIGINT, false FROM row_, (VALUES (24), (25)) n(shards)
+  UNION ALL
+  SELECT h, shards, s, CASE WHEN nx < shards THEN nx ELSE landed END, nx >= shards
+  FROM (SELECT *, floor((landed + 1) * (2147483648.0::DOUBLE / ((s >> 33)::DOUBLE + 1.0)))::BIGINT AS nx FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616::UHUGEINT AS s FROM jump WHERE NOT done))
+),
+home AS (SELECT h, max(landed) FILTER (WHERE shards = 24)::INT AS shard, max(landed) FILTER (WHERE shards = 25)::INT AS grown_shard FROM jump WHERE done GROUP BY h)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY (h >> 40) % greatest(16, (SELECT count(*) FROM row_) // 2400000), h, doc_id, size, text_crc32) - 1 AS slot, grown_shard
+FROM row_ JOIN home USING (h)
+"""
+
+BY_QUERY = {"op1_substring": OP1, "op2_sharding": OP2, "op3_chat": OP3, "op7_neardup": OP7, "op9_hamming": OP9}
