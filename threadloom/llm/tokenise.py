@@ -61,7 +61,7 @@ class Memory(dict):
 class Bpe:
     """Ranks and pattern of one vocabulary, with a bounded memory of encoded pieces."""
 
-    remembered = 80_000  # in each of two generations, some 200 bytes each
+    remembered = 120_000  # in each of two generations, some 200 bytes each
 
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as lines:
