@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, fingerprint, hamming, html, language, mixing, neardup, sharding, sql, substring, tokenise
+from . import chat, codebooks, divergence, embeddings, fingerprint, hamming, html, language, mixing, neardup, sharding, sql, substring, tokenise
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -62,8 +62,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring, op2_sharding, op3_chat, op4_tokenise, op5_fingerprint, op6_language, op7_neardup, op8_mixing, op9_hamming, op10_html]
+    own = [op1_substring, op2_sharding, op3_chat, op4_tokenise, op5_fingerprint, op6_language, op7_neardup, op8_mixing, op9_hamming, op10_html, op11_embeddings, op12_divergence, op13_codebooks]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -95,4 +95,64 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM row_ JOIN home USING (h)
 """
 
-BY_QUERY = {"op1_substring": OP1, "op2_sharding": OP2, "op3_chat": OP3, "op7_neardup": OP7, "op9_hamming": OP9}
+#: Shares and distances in whole numbers, over every group and kept term.
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS all_n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+vocabulary AS (SELECT lang, count(*) AS v, sum(all_n) AS all_total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, term, coalesce(n, 0) AS n,
+         (1 + (1000000000 * (coalesce(n, 0)::HUGEINT + 2)) // (coalesce(total, 0) + 2 * v))::BIGINT AS p,
+         (1 + (1000000000 * (all_n::HUGEINT + 2)) // (all_total + 2 * v))::BIGINT AS q
+  FROM g JOIN kept USING (lang) JOIN vocabulary USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN total USING (lang, source)
+),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+ranked AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN far ON far.lang = g.lang AND far.source = g.source AND far.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM dense WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def product_codebooks(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """Learning and encoding, one pair of common table expressions a round."""
+    far = "list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT n, p, min(d * {entries} + e) AS best FROM (SELECT n, x.p, e, {far} AS d FROM x JOIN b{r} b ON x.p = b.p) GROUP BY n, p)")
+        if r < rounds:
+            steps.append(
+                f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(fresh, c) AS c FROM b{r} b LEFT JOIN (SELECT p, e, list((s - ((s % m) + m) % m) // m ORDER BY i) AS fresh FROM ("
+                f"SELECT p, e, i, sum(v) AS s, count(*) AS m FROM (SELECT x.p, best % {entries} AS e, unnest(y) AS v, unnest(range(len(y))) AS i FROM x JOIN a{r} USING (n, p)) GROUP BY p, e, i) GROUP BY p, e) f ON f.p = b.p AND f.e = b.e)"
+            )
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS n, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS z
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+x AS MATERIALIZED (SELECT n, p, z[p * len(z) // {parts} + 1:(p + 1) * len(z) // {parts}] AS y FROM v, range({parts}) r(p)),
+b0 AS MATERIALIZED (SELECT p, n - 1 AS e, y AS c FROM x WHERE n <= {entries}),
+{', '.join(steps)},
+coded AS (SELECT n, string_agg(printf('%02x', (best % {entries})::INT), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY n),
+book AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c)::BIGINT AS c, unnest(range(len(c))) AS i FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (n), book
+"""
+
+
+OP13 = product_codebooks()
+
+BY_QUERY = {"op1_substring": OP1, "op2_sharding": OP2, "op3_chat": OP3, "op7_neardup": OP7, "op9_hamming": OP9, "op12_divergence": OP12, "op13_codebooks": OP13}
