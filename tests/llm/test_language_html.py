@@ -162,6 +162,78 @@ def test_rows(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+ICONS = [
+    '<svg class="i"/>', "<svg class='i'><path d='M0'/><title>x</title></svg>", "<svg><svg><text>in</text></svg><text>out</text></svg>", "<!-->", "<!--->", "<!-- a --!>",
+    "<template><p>no, not this, at all.</p></template>", "<noscript>", "<noscript><p>Turn it on, please.</p></noscript>", "<template>", "<svg>", "<math/>", "<div><svg><g></div>",
+]
+
+
+@pytest.mark.parametrize("icon", ICONS)
+def test_markup_that_holds_no_text_of_the_page(icon):
+    for page in (PAGE % f"{icon}<article>{STORY}</article>", PAGE % f"<article>{icon}{STORY}</article>", (PAGE % f"<article>{STORY}</article>").replace("<body>", f"<body>{icon}"), PAGE % f"<article><div>{icon}</div>{STORY}</article>"):
+        assert html.main_text(page) == WANT, page
+
+
+def test_formulas_are_text():
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></mrow><annotation>x=2</annotation></math>"
+    assert html.main_text(f"<article><p>where {formula} holds</p></article>") == "where x=2 holds"
+    for icon in ("<svg><g><path/></g></svg>", "<noscript><div>a</div></noscript>", "<template><li>a</template>", "<svg/>"):
+        assert html.main_text(f"<article><p>a {icon} b</p><p>c</p></article>") == "a b\nc"
+
+
+def test_readers_comments_by_structure():
+    said = "".join(f'<div class=item><span class="author">Ann {i}</span> <time>May</time><p>I think, and so on, that it is so, as I said. {i}</p></div>' for i in range(3))
+    body = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    for section in (f"<section id=responses><h3>Said</h3>{said}</section>", f"<section id=r7><h3>Said</h3>{said}</section>", f"<ol>{said.replace('div', 'li')}</ol>"):
+        assert html.main_text(f"<body><article>{body}{section}</article></body>").split("\n") == PARAGRAPHS
+    # sections of an article that name no writer stay, as does the one writer of the article
+    plain = "".join(f"<section class=s><h2>Part {i}</h2><p>{x}</p></section>" for i, x in enumerate(PARAGRAPHS))
+    assert len(html.main_text(f"<article><p class=author>By Ann, <time>May</time>.</p>{plain}</article>").split("\n")) == 2 * len(PARAGRAPHS) + 1
+
+
+def plain_holders(found, keep):
+    """Which elements hold the content, by the definition: every pair of element and block is looked at."""
+    def line(node):
+        return [] if node is None else [*line(node.up), node]
+
+    lines = {id(b): line(b.node) for b in found}
+    order = []
+    for b in found:
+        order += [n for n in lines[id(b)] if not any(n is m for m in order)]
+    kept = [b for b in found if b.node.path in keep]
+    mass = {id(n): sum(len(b.text) for b in kept if any(n is m for m in line(b.node.up or b.node))) for n in order}
+    total = sum(len(b.text) for b in kept)
+    content = {id(b.node.up or b.node) for b in kept if b.node.name == "p"}
+    if total:
+        content.add(id([n for n in order if mass[id(n)] >= 0.9 * total][-1]))
+    for n in order:
+        up = n.up
+        if up is not None and id(up) in content and n.hinted == up.hinted and (up.marked or up.name not in ("", "html", "body") or n.name in html.TEXT_ELEMENTS or mass[id(n)] > 0):
+            content.add(id(n))
+    return content
+
+
+def test_holders_of_the_content_against_a_plain_reading():
+    import random
+
+    rng = random.Random(7)
+
+    def grow(depth):
+        tag = rng.choice(["div", "section", "ul", "table", "p", "h2", "article"]) if depth else "body"
+        name = rng.choice(["", "", "", " class=ad", " id=x"])
+        if tag in ("p", "h2") or depth > 3:
+            return f"<{rng.choice(['p', 'li', 'div'])}{name}>{' '.join(rng.choice(['word', 'a', 'longer,', 'end.']) for _ in range(rng.randint(1, 40)))}"
+        return f"<{tag}{name}>{''.join(grow(depth + 1) for _ in range(rng.randint(1, 5)))}</{tag}>"
+
+    for _ in range(150):
+        found = html.blocks(grow(0))
+        if found:
+            keep = html.content_paths(found)
+            want = plain_holders(found, keep)
+            html._hold_content(found, keep)
+            assert {id(n) for n in html.around(found) if n.content} == want
+
+
 PARAGRAPHS = [f"Sentence {i}, with some length, and a full stop. And one more, too." for i in range(8)]
 
 

@@ -19,9 +19,17 @@ shrink and so does the threshold. ``article``, ``main`` and ``role=main`` are a
 hint the other way: they add the threshold to the score of the paths within,
 however short their blocks, unless these are mere links.
 
+Reader comments are told by names too ("responses", an item type of Comment), and by
+structure: siblings of one kind that each name a writer and a date or deed ("reply", "vote")
+are left out, with the element that holds mostly such siblings. A single comment without any
+such name stays.
+
 Defined results
 - null or empty html, or no content: empty text, 0 characters
 - unclosed and stray tags: repaired as browsers do for paragraphs, items and cells
+- drawings, templates and noscript: left out up to their end, that of what is around them, or for a
+  drawing the next element of text; without any end tag on the rest of the page they hold nothing
+- formulas are text; comments may be empty, and one without an end takes the rest, as in browsers
 - very long pages, deep nesting, broken tags: time and memory in proportion to the page
 - ties of elements for the content: the one that begins last
 - repeated rows: each is read; empty table: no rows; extra columns are dropped
@@ -42,20 +50,25 @@ from pyspark.sql import DataFrame
 from .common import pieces
 
 OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+EMPTY_COMMENT, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-#: Elements whose content is no markup, or no text of the page.
-RAW = frozenset("script style textarea title xmp noembed noframes iframe svg math template noscript".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
+#: Elements with markup that is no text of the page. Without an end tag they hold nothing.
+UNSHOWN = frozenset("svg template noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded semantics annotation svg template noscript".split())
+#: Start tags that end a drawing left open: it holds none of them.
+FLOW = frozenset("article section main header footer nav aside form p div ul ol li dl dt dd table blockquote pre figure h1 h2 h3 h4 h5 h6 body hr".split())
 #: Elements that never hold an article's own text.
-BARRED = frozenset("head nav header footer aside form button select option menu dialog object embed canvas audio video map fieldset".split())
+BARRED = frozenset("svg template noscript annotation head nav header footer aside form button select option menu dialog object embed canvas audio video map fieldset".split())
 #: Words that name such parts in a class, id or role.
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar search searchbox "
     "header masthead topbar footer contentinfo copyright legal sidebar aside complementary widget widgets "
-    "comment comments commentlist disqus reply replies respond discussion feedback "
+    "comment comments commentlist disqus reply replies respond response responses discussion feedback talkback guestbook "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations teaser teasers hidden".split()
 )
@@ -63,6 +76,9 @@ PARTS = frozenset(
 HOLDERS = frozenset("area bar block body box buttons card column container content form group icons inner item items links list message panel row section slot text thread title unit wrap wrapper zone".split())
 #: Words that turn such a name into a remark about the page: "no-sidebar".
 REMARKS = frozenset("has no with without is not hide show single".split())
+#: Words in classes and the like that name who wrote a contribution, and when or what to do with it.
+WRITERS = frozenset("author user username usercard avatar nick nickname commenter byline poster profile".split())
+DEEDS = frozenset("date datetime time timestamp ago posted reply permalink report like likes vote votes upvote".split())
 HINTED = 1 / 50
 #: Share of linked text from which a text is mere links.
 LINKED = 0.9
@@ -85,6 +101,9 @@ class Node:
     up: Node | None = None
     mass: float = 0.0
     content: bool = False
+    sign: str = ""
+    marks: int = 0
+    beside: bool = False
 
 
 @dataclass(slots=True)
@@ -103,9 +122,11 @@ def names_a_part(name: str) -> bool:
     return bool(words) and words[-1] in PARTS and not REMARKS.intersection(words)
 
 
-def reading(name: str, attrs: str) -> tuple[bool, bool, bool]:
-    """Whether an element is barred, hinted at as another part, or marked as the main one."""
+def reading(name: str, attrs: str) -> tuple[bool, bool, bool, int, str]:
+    """Whether an element is barred, hinted at as another part, or marked as the main one;
+    1 for a writer's mark and 2 for one of a deed, added up; and its classes."""
     barred, hinted, marked = name in BARRED, False, name in ("article", "main")
+    marks, classes = 2 * (name == "time"), ""
     if attrs.strip():
         for key, *values in ATTRIBUTE.findall(attrs):
             value, key = "".join(values).lower(), key.lower()
@@ -116,22 +137,27 @@ def reading(name: str, attrs: str) -> tuple[bool, bool, bool]:
             elif key in ("class", "id", "role"):
                 marked |= key == "role" and value == "main"
                 hinted |= name not in ("html", "body") and any(map(names_a_part, value.split()))
-    return barred, hinted, marked and not hinted
+            if key in ("class", "rel", "itemprop", "itemtype"):
+                words = set(re.split(r"[^a-z0-9]+", value))
+                marks |= (not words.isdisjoint(WRITERS)) | 2 * (not words.isdisjoint(DEEDS))
+                hinted |= key[:4] == "item" and "comment" in words
+                classes = value if key == "class" else classes
+    return barred, hinted, marked and not hinted, marks, classes
 
 
-def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
-    """The page as (text before, closing, tag name, attributes), the name empty for what is no tag; one pass."""
+def tags(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """The page as (text before, closing, tag name, attributes, place), the name empty for what is no tag; one pass."""
     at, trusted, last = 0, True, page.rfind(">")
     seen = 0
     while True:
         begin = page.find("<", seen)
         if begin < 0:
-            yield page[at:], False, "", ""
+            yield page[at:], False, "", "", begin
             return
         if page.startswith("<!--", begin):
-            end = page.find("-->", begin + 4)
-            yield page[at:begin], False, "", ""
-            at = seen = end + 3 if end >= 0 else len(page)
+            end = EMPTY_COMMENT.match(page, begin + 4) or COMMENT_END.search(page, begin + 4)
+            yield page[at:begin], False, "", "", begin
+            at = seen = end.end() if end else len(page)
             continue
         m = OPENING.match(page, begin)
         if begin > last or m is None and page[begin + 1 : begin + 2] not in ("!", "?", "/"):
@@ -139,7 +165,7 @@ def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
             continue
         if m is None:
             end = page.find(">", begin)
-            yield page[at:begin], False, "", ""
+            yield page[at:begin], False, "", "", begin
             at = seen = end + 1
             continue
         # a quotation that never ends leaves no tag to its right trusted with quotations
@@ -147,7 +173,7 @@ def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
         if trusted and page[end : end + 1] != ">":
             trusted, end = False, page.find(">", m.end())
         name = m[2].lower()
-        yield page[at:begin], bool(m[1]), name, page[m.end() : end]
+        yield page[at:begin], bool(m[1]), name, page[m.end() : end], begin
         at = seen = end + 1
         if name in RAW and not m[1]:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -159,6 +185,7 @@ def blocks(page: str) -> list[Block]:
     stack, out, linked = [Node("", 0)], [], 0
     opened: Counter[str] = Counter()
     numbers: dict[tuple, int] = {}
+    ends: dict[str, int] = {}
     current: Block | None = None
 
     def text(raw: str) -> None:
@@ -175,14 +202,21 @@ def blocks(page: str) -> list[Block]:
         if linked:
             current.linked += len(decoded.strip())
 
+    def mark(node: Node | None, marks: int) -> None:
+        while node is not None and marks & ~node.marks:
+            node.marks |= marks
+            node = node.up
+
     def push(name: str, attrs: str, inline: bool = False) -> None:
         top = stack[-1]
-        barred, hinted, marked = reading(name, attrs)
+        barred, hinted, marked, marks, classes = reading(name, attrs)
         if inline and not (barred or hinted):
+            mark(top, marks)
             return
         barred, hinted, marked = top.barred or barred, top.hinted or hinted, (top.marked or marked) and not hinted
         number = numbers.setdefault((top.path, "" if inline else name, hinted, marked), len(numbers) + 1)
-        stack.append(Node(name, number, barred, hinted, marked, top))
+        stack.append(Node(name, number, barred, hinted, marked, top, sign=f"{name} {classes}"))
+        mark(stack[-1], marks)
         opened[name] += 1
 
     def pop_to(names: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
@@ -196,13 +230,25 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     return
 
-    for before, closing, name, attrs in tags(page):
+    for before, closing, name, attrs, place in tags(page):
         text(before)
         if not name or name in RAW:
             continue
         if name == "br":
             text(" ")
             continue
+        if name in UNSHOWN and not closing:
+            if attrs.endswith("/") and name == "svg":
+                continue
+            if name not in ends:  # looked up once a page
+                last = None
+                for last in re.finditer(rf"</{name}(?=[\s/>])", page, re.I):
+                    pass
+                ends[name] = last.start() if last else -1
+            if ends[name] < place:
+                continue
+        if opened["svg"] and not opened["foreignobject"] and name in FLOW and not closing:
+            pop_to(("svg",))
         if name == "a":
             linked = 0 if closing else 1
         if name in INLINE:
@@ -211,18 +257,23 @@ def blocks(page: str) -> list[Block]:
                     pop_to((name,), ("article", "main", "body"))
                     if current is not None and stack[-1].barred != current.node.barred:
                         current = None
-            elif name not in VOID:
+            elif name in VOID:
+                mark(stack[-1], reading(name, attrs)[3])
+            elif not attrs.endswith("/") or name[0] != "m":
                 depth = len(stack)
                 push(name, attrs, inline=True)
                 if len(stack) > depth and not stack[-1].barred:
                     current = None
             continue
-        current = None
+        if not stack[-1].barred:  # what is left out parts no text
+            current = None
         if name in VOID:
             continue
         if closing:
             if name not in ("html", "body"):
                 pop_to((name,), ("article", "main", "body") if name in ("p", "li", "div") else ())
+                if current is not None and current.node is not stack[-1] and not stack[-1].barred:
+                    current = None
             continue
         if name == "body":
             pop_to(("head",))
@@ -231,15 +282,51 @@ def blocks(page: str) -> list[Block]:
         if name in CLOSES:
             shut, within = CLOSES[name]
             for one in shut.split():
-                pop_to((one,), within)
-        pop_to(("p",), ("td", "th", "li", "button", "article", "section", "div", "blockquote"))
+                pop_to((one,), (*within, *UNSHOWN))
+        pop_to(("p",), ("td", "th", "li", "button", "article", "section", "div", "blockquote", *UNSHOWN))
         push(name, attrs)
     kept = []
     for b in out:
         b.text = " ".join("".join(b.parts).split())
         if b.text:
             kept.append(b)
-    return kept
+    return without_contributions(kept)
+
+
+def without_contributions(found: list[Block]) -> list[Block]:
+    """The blocks without readers' contributions: two or more siblings of one kind that each name a
+    writer and a date or deed. What holds mostly such siblings goes too, with its heading."""
+    order = around(found)
+    mass: Counter[int] = Counter()
+    kinds: dict[tuple[int, str], list[Node]] = defaultdict(list)
+    for b in found:
+        mass[id(b.node)] += len(b.text)
+    for node in reversed(order):
+        if node.up is not None:
+            mass[id(node.up)] += mass[id(node)]
+            if node.name not in ("html", "body", "main"):
+                kinds[id(node.up), node.sign].append(node)
+    for alike in kinds.values():
+        if len(alike) > 1 and all(n.marks == 3 for n in alike):
+            up, own = alike[0].up, sum(mass[id(n)] for n in alike)
+            up.beside |= up.name not in ("", "html", "body", "main", "article") and 2 * own > mass[id(up)]
+            for n in alike:
+                n.beside = True
+    for node in order:
+        node.beside |= node.up is not None and node.up.beside
+    return [b for b in found if not b.node.beside]
+
+
+def around(found: list[Block]) -> list[Node]:
+    """Every element around a block, the outer before the inner."""
+    order: dict[int, Node] = {}
+    for b in found:
+        line, node = [], b.node
+        while node is not None and id(node) not in order:
+            line.append(node)
+            node = node.up
+        order.update((id(n), n) for n in reversed(line))
+    return list(order.values())
 
 
 def content_paths(found: list[Block]) -> set[int]:
@@ -290,18 +377,12 @@ def _hold_content(found: list[Block], keep: set[int]) -> None:
     """Marks the elements that hold the content, all within them too: the deepest
     that nine tenths of the kept text has around it, and the parent of every kept paragraph.
     A hint that begins within them ends the mark."""
-    order: dict[int, Node] = {}  # every element around a block, the outer before the inner
+    nodes = around(found)
     for b in found:
-        line, node = [], b.node
-        while node is not None and id(node) not in order:
-            line.append(node)
-            node = node.up
-        order.update((id(n), n) for n in reversed(line))
         if b.node.path in keep:
-            around = b.node.up or b.node
-            around.mass += len(b.text)
-            around.content |= b.node.name == "p"
-    nodes = list(order.values())
+            holder = b.node.up or b.node
+            holder.mass += len(b.text)
+            holder.content |= b.node.name == "p"
     total = sum(n.mass for n in nodes)
     for n in reversed(nodes):
         if n.up is not None:
