@@ -81,7 +81,7 @@ def unit(column: pa.Array) -> np.ndarray:
 
 
 def units(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # by a power of two, which rounds nothing
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
