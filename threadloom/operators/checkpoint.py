@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import state as S
 
+if TYPE_CHECKING:
+    from ..sources.store import Store
+    from . import pipeline
+
 FORMAT_VERSION = 2
 #: Marks of texts that the mock backend wrote.
 MOCK_MARKS = ("mock conversation topic", "mock goal chunk", "mock summary for chunk")
@@ -95,5 +101,27 @@ def resume(df: DataFrame, project: str, form: str = "briefing") -> DataFrame:
     return own.select("project", text.alias("text"))
 
 
+def looked_up(store: Store, project: str, form: str = "briefing") -> DataFrame:
+    """``resume`` from a store: one bucket's files are read, no model and no other project."""
+    return resume(store.lookup(project), project, form)
+
+
+def refreshed(store: Store, project: str, version: int, now: str, options: pipeline.Options | None = None, transcripts: DataFrame | None = None) -> DataFrame:
+    """Run one stored project anew, append its record as ``version``, and resume with its briefing.
+
+    ``transcripts``: conv and conversation in place of the stored snapshot. A project
+    that is not stored, or has neither, gives no rows and writes an empty version.
+    """
+    from . import pipeline as P
+
+    old = store.lookup(project).select("conv", "label", "created_at", F.col("source.path").alias("path"), F.col("engine.archetype").alias("archetype"), F.col("source.transcript_snapshot").alias("_snap"))
+    given = old if transcripts is None else old.join(transcripts.select("conv", F.col("conversation").alias("_given")), "conv", "left")
+    text = F.col("_snap") if transcripts is None else F.coalesce("_given", "_snap")
+    sources = given.withColumn("conversation", text).where(~T.blank(F.col("conversation"))).drop("_snap", "_given")
+    made = records(P.run(sources, options or P.Options()), sources).withColumn("updated_at", F.lit(now)).withColumn("project", F.lit(project))
+    store.append(made, version)
+    return looked_up(store, project)
+
+
 def looks_mock(text: Column, backend: Column) -> Column:
     return T.contains_any(F.lower(F.coalesce(text, F.lit(""))), MOCK_MARKS) | (F.lower(F.coalesce(backend, F.lit(""))) == "mock")

@@ -46,11 +46,15 @@ def band(n: Column) -> Column:
     return F.when(n <= 0, F.lit(0)).otherwise(F.greatest(F.lit(2), F.least(F.lit(5), F.ceil(n * F.lit(0.2))))).cast("int")
 
 
+def cleaned(records: DataFrame, *keep: str) -> DataFrame:
+    """conv, chunk_index and the record's fields without voice and repeats; narrow."""
+    return records.select("conv", "chunk_index", *keep, *[V.clean_items(F.col(c)).alias(c) for c in LISTS], *[(F.coalesce(c, F.lit("")) if c == "summary" else V.clean_voice(F.col(c))).alias(c) for c in TEXTS])
+
+
 def gathered(records: DataFrame) -> DataFrame:
     """conv, chunks (ordered records with cleaned fields), n."""
-    cleaned = records.select("conv", "chunk_index", *[V.clean_items(F.col(c)).alias(c) for c in LISTS], *[(F.coalesce(c, F.lit("")) if c == "summary" else V.clean_voice(F.col(c))).alias(c) for c in TEXTS])
     item = F.struct(F.col("chunk_index").cast("int").alias("idx"), *LISTS, *TEXTS)
-    return cleaned.groupBy("conv").agg(F.array_sort(F.collect_list(item)).alias("chunks"), (F.max("chunk_index") + 1).cast("int").alias("n"))
+    return cleaned(records).groupBy("conv").agg(F.array_sort(F.collect_list(item)).alias("chunks"), (F.max("chunk_index") + 1).cast("int").alias("n"))
 
 
 def distinct_told(chunks: Column, name: str) -> Column:
@@ -119,7 +123,12 @@ def build(records: DataFrame, transcripts: DataFrame, keep: tuple[str, ...] = ()
     ``records``: conv, chunk_index and the record's fields. ``transcripts``: conv,
     conversation, label, archetype.
     """
-    rows = gathered(records).join(transcripts.select("conv", F.coalesce("conversation", F.lit("")).alias("conversation"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("archetype", F.lit("mixed")).alias("archetype")), "conv")
+    return build_gathered(gathered(records), transcripts, keep)
+
+
+def build_gathered(rows: DataFrame, transcripts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``build`` from rows of ``gathered``, or of a merged partial state."""
+    rows = rows.join(transcripts.select("conv", F.coalesce("conversation", F.lit("")).alias("conversation"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("archetype", F.lit("mixed")).alias("archetype")), "conv")
     cutoff = F.greatest(F.lit(0), F.col("n") - band(F.col("n")))
     rows = rows.withColumn("cutoff", cutoff).withColumn("_front", F.filter("chunks", lambda c: c["idx"] >= F.col("cutoff")))
     rows = rows.withColumn("frontier", F.when(F.size("_front") > 0, F.col("_front")).otherwise(F.slice("chunks", -1, 1))).withColumn("history", F.filter("chunks", lambda c: c["idx"] < F.col("cutoff")))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, handoff, rules, stores
+from . import conversations, growing, handoff, rules, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [conversations, handoff, stores, rules]
+MODULES = [conversations, handoff, stores, growing, rules]
 
 
 def all_queries() -> dict[str, Query]:
