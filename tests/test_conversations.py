@@ -1,6 +1,8 @@
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +75,9 @@ def test_paragraph_chunks(spark, seed):
     rng = random.Random(seed)
     text = "".join(rng.choice(["ab ", "c" * rng.randint(1, 30), "\n", "\n\n", "\r\n \r\n", "é\t", "\n \n\n"]) for _ in range(120))
     for most in (10, 25, 80):
-        assert one(spark, chunking.paragraph_chunks(F.col("t"), most), t=text) == paragraphs(text, most)
+        assert one(spark, chunking.paragraph_chunks(F.col("t"), most, shorten=True), t=text) == paragraphs(text, most)
+        whole = one(spark, chunking.paragraph_chunks(F.col("t"), most), t=text)
+        assert max(map(len, whole)) <= most and re.sub(r"\s", "", "".join(whole)) == re.sub(r"\s", "", text)  # nothing is lost by default
 
 
 def test_overlap_and_branches(spark):
@@ -113,6 +117,24 @@ def test_changepoints(spark):
         assert row.select(ranking.changepoints(F.col("s"), F.col("n")).alias("c")).first().c == changepoints_plain(series)
 
 
+def test_pruned_cuts_equal_a_search_of_all_starts():
+    rng = random.Random(8)
+    for n in (4, 17, 60, 120):
+        for series in ([rng.gauss(0, 0.3) + 2 * (i // 13 % 3) for i in range(n)], [0.0] * n, [float(i % 2) for i in range(n)], [rng.choice([0.0, 0.5, 1.0]) for _ in range(n)], [float(i // 5 % 2) for i in range(n)]):
+            price = ranking.PENALTY * math.log(max(n, 2))
+            assert ranking.optimal_cuts(np.array(series), price) == changepoints_plain(series)
+
+
+def test_cuts_of_a_hundred_thousand_points():
+    rng = np.random.default_rng(2)
+    level = np.repeat(rng.normal(0, 5, 2000), 50)
+    began = time.perf_counter()
+    cuts = ranking.optimal_cuts(level + rng.normal(0, 0.1, len(level)), ranking.PENALTY * math.log(len(level)))
+    assert time.perf_counter() - began < 30
+    want = set((np.flatnonzero(np.diff(level)) + 1).tolist())
+    assert len(want ^ set(cuts)) < 0.1 * len(want)
+
+
 def plain_mmr(items, k):
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     picked = [c for c in items if c["locked"]]

@@ -15,7 +15,7 @@ class Chunking:
     chunk: int = 6000
     overlap: int = 500
     whole: int = 4500  # up to this length a text stays one chunk
-    shorten: bool = True  # a line longer than a chunk loses its end; else it is split and nothing is lost
+    shorten: bool = False  # whether a line longer than a chunk loses its end; else it is split and nothing is lost
 
 
 def _pack(items: Column, joiner: str, most: int, cut: bool) -> Column:
@@ -44,7 +44,7 @@ def _split_long(items: Column, most: int) -> Column:
     return F.flatten(F.transform(items, parts))
 
 
-def paragraph_chunks(text: Column, most: int, shorten: bool = True) -> Column:
+def paragraph_chunks(text: Column, most: int, shorten: bool = False) -> Column:
     """Paragraphs packed greedily; a paragraph that is too long is packed by lines, on its own,
     and a line that is too long is shortened or split."""
     bare = T.strip(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|\r", "\n"))

@@ -110,7 +110,7 @@ def proxy_analysed(rows: DataFrame, path: str = "path", text: str = "text") -> D
     own = F.coalesce(F.col(text), F.lit(""))
     out = rows.withColumn("archetype", archetype(F.col(path), own))
     going = F.lower(own).rlike(r"\b(done|completed|finished|next step|blocker|todo|implement)\b")
-    asking = F.substring(own, 1, 3000).rlike(r"(?m)\?\s*$") | (F.length(own) - F.length(F.replace(own, F.lit("?"), F.lit(""))) > 8)
+    asking = own.rlike(r"(?m)\?\s*$") | (F.length(own) - F.length(F.replace(own, F.lit("?"), F.lit(""))) > 8)
     out = out.withColumn("_going", going).withColumn("_asking", asking & ~going)
     g, loose = F.col("_going"), F.col("_asking")
     out = out.withColumn("next_action_score", F.when(g, 2).when(loose, 1).otherwise(2)).withColumn("active_problems_score", F.when(g, 3).otherwise(2)).withColumn("duplication_rate", F.when(loose, 0.35).otherwise(0.1))
@@ -135,18 +135,18 @@ def path_archetype(path: Column) -> Column:
     return F.coalesce(*rules, F.lit("other"))
 
 
-#: Characters of a text that tell its archetype by default.
+#: Characters of a text that tell its archetype in the rules' first form.
 HEAD = 8000
 
 
-def content_archetype(text: Column, most: int | None = HEAD) -> Column:
+def content_archetype(text: Column, most: int | None = None) -> Column:
     """By the first ``most`` characters; None: by the whole text."""
     own = F.coalesce(text, F.lit(""))
     low = F.lower(own if most is None else F.substring(own, 1, most))
     return F.coalesce(*[F.when(low.rlike(pattern), F.lit(name)) for name, pattern in CONTENT], F.lit("other"))
 
 
-def archetype(path: Column, text: Column, most: int | None = HEAD) -> Column:
+def archetype(path: Column, text: Column, most: int | None = None) -> Column:
     """By path, and where that tells nothing, by content."""
     by_path = path_archetype(path)
     return F.when(by_path != "other", by_path).otherwise(content_archetype(text, most))

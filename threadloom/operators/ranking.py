@@ -2,17 +2,24 @@
 
 Input rows are (conv, idx, embedding, cluster): idx counts a conversation's
 chunks from 0. Series operators are windows over (conv, idx) and share one
-shuffle; the changepoint search and the greedy selection are folds over a
-conversation's arrays, which hold tens of chunks.
+shuffle. The changepoint search is a helper on the series of a conversation, one number a chunk,
+in time near its length where the series has changes in proportion, quadratic (vectorised) where it has
+none. The greedy selection is a fold over a conversation's candidates.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values
 MMR_LAMBDA, PEAK_Z, PENALTY = 0.7, 1.0, 0.5
+#: Costs this near to each other are not told apart by pruning.
+MARGIN = 1e-9
 WEIGHT_SHIFT, WEIGHT_RECENCY, WEIGHT_MASS, WEIGHT_BOUNDARY = 0.30, 0.30, 0.20, 0.20
 
 
@@ -71,37 +78,38 @@ def cluster_columns(rows: DataFrame) -> DataFrame:
     return marked.withColumn("cluster_start", changed).withColumn("representative", stands).drop("_first", "_last")
 
 
-def changepoints(series: Column, n: Column) -> Column:
-    """Optimal partition of a series into segments of constant mean, with a price per segment.
+def optimal_cuts(series: np.ndarray, price: float) -> list[int]:
+    """Optimal partition of a series into segments of constant mean, with a price a segment; the first of equal cuts.
 
-    A fold over end points: the state holds the best cost and the last cut of every
-    prefix; segment costs come from prefix sums. The first of equal cuts is taken.
+    Segment costs come from prefix sums. A start is dropped once another end is cheaper without the
+    price of a segment between, as it can't come first again (pruned exact search, Killick et al., 2012); those
+    within ``MARGIN`` stay, so rounding to 12 digits meets the same ties as a search of all starts.
     """
-    price = PENALTY * F.log(F.greatest(n, F.lit(2)).cast("double"))
-    sums = lambda f: F.aggregate(series, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + f(x))))
-    table = F.struct(sums(lambda x: x).alias("s"), sums(lambda x: x * x).alias("q"), price.alias("p"))
-
-    def solve(t: Column) -> Column:
-        def extend(state: Column, end: Column) -> Column:
-            def option(best: Column, start: Column) -> Column:
-                total = F.get(t["s"], end) - F.get(t["s"], start)
-                spread = F.get(t["q"], end) - F.get(t["q"], start) - total * total / (end - start)
-                return F.struct(F.round(best + F.greatest(spread, F.lit(0.0)) + t["p"], 12).alias("cost"), start.alias("cut"))
-
-            best = F.array_min(F.transform(state["cost"], lambda c, i: option(c, i)))
-            return F.struct(F.concat(state["cost"], F.array(best["cost"])).alias("cost"), F.concat(state["cut"], F.array(best["cut"])).alias("cut"))
+    n = len(series)
+    total, squares = np.concatenate([[0.0], np.cumsum(series)]), np.concatenate([[0.0], np.cumsum(series * series)])
+    cost, cut = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int64)
+    starts = np.zeros(1, dtype=np.int64)
+    for end in range(1, n + 1):
+        sums = total[end] - total[starts]
+        spread = np.maximum(squares[end] - squares[starts] - sums * sums / (end - starts), 0.0)
+        options = np.round(cost[starts] + spread + price, 12)
+        best = int(options.argmin())  # starts ascend, so the first of equal ones
+        cost[end], cut[end] = options[best], starts[best]
+        starts = np.append(starts[cost[starts] + spread <= cost[end] + MARGIN], end)
+    out, at = [], int(cut[n])
+    while at > 0:
+        out.append(at)
+        at = int(cut[at])
+    return out[::-1]
+
+
+def _cuts(series: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([[] if k < 4 else optimal_cuts(np.asarray(s, dtype=np.float64), PENALTY * math.log(max(k, 2))) for s, k in zip(series, n, strict=True)])
 
-        start = F.struct(F.array(F.lit(0.0)).alias("cost"), F.array(F.lit(0)).alias("cut"))
-        cuts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, extend, lambda s: s["cut"])
 
-        def back(found: Column, _: Column) -> Column:
-            last = F.when(F.size(found["b"]) == 0, F.element_at(found["c"], -1)).otherwise(F.get(found["c"], F.get(found["b"], F.lit(0))))
-            return F.when(last > 0, F.struct(F.concat(F.array(last), found["b"]).alias("b"), found["c"].alias("c"))).otherwise(found)
-
-        begin = F.struct(F.array().cast("array<int>").alias("b"), cuts.alias("c"))
-        return F.aggregate(F.sequence(F.lit(1), n.cast("int")), begin, back, lambda f: f["b"])
-
-    return F.when(n < 4, F.array().cast("array<int>")).otherwise(F.get(F.transform(F.array(table), solve), F.lit(0)))
+def changepoints(series: Column, n: Column) -> Column:
+    """Where the segments of a series of ``n`` values begin, but for the first; none below 4 values."""
+    return F.pandas_udf(_cuts, "array<int>")(series, n)
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -114,8 +122,10 @@ def features(rows: DataFrame) -> DataFrame:
 def scored(rows: DataFrame) -> DataFrame:
     """With cuts (the conversation's changepoints), boundary, locked, candidate and score."""
     base = features(rows)
-    series = F.collect_list("delta").over(order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    base = base.withColumn("cuts", changepoints(series, F.col("n")))
+    # once a conversation, not once a row; the rows lie by conversation already, so neither step shuffles
+    series = base.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("idx", "delta"))).alias("_s"), F.first("n").alias("_n"))
+    cuts = series.select("conv", changepoints(F.transform("_s", lambda x: x["delta"]), F.col("_n")).alias("cuts"))
+    base = base.join(cuts, "conv")
     at = F.col("idx").cast("int")
     boundary = F.array_contains("cuts", at) | F.array_contains("cuts", at - 1) | F.col("peak_delta") | F.col("peak_kappa") | F.col("cluster_start") | F.col("representative")
     locked = (F.col("idx") == F.col("n") - 1) | ((F.col("n") > 15) & (F.col("idx") == F.col("n") - 2))
@@ -128,20 +138,29 @@ def mmr(items: Column, k: Column) -> Column:
 
     Locked ones come first; each step adds the open candidate with the best of
     0.7 score - 0.3 (largest cosine to a chosen one); what is missing then comes
-    by score, ties to the later chunk.
+    by score, ties to the later chunk. Candidates carry their largest cosine so far, so
+    a choice of k takes k cosines a candidate.
     """
-    start = F.struct(F.filter(items, lambda c: c["locked"]).alias("picked"), F.filter(items, lambda c: c["candidate"] & ~c["locked"]).alias("pool"))
+    locked = F.filter(items, lambda c: c["locked"])
+    idle = F.filter(items, lambda c: c["candidate"] & ~c["locked"])
+    nearest = lambda c: F.array_max(F.transform(locked, lambda p: dot(c["embedding"], p["embedding"])))
+    pool = F.transform(idle, lambda c: F.struct(c["idx"].alias("idx"), c["score"].alias("score"), c["embedding"].alias("embedding"), nearest(c).alias("near")))
+    start = F.struct(F.transform(locked, lambda c: c["idx"]).alias("picked"), pool.alias("pool"))
 
     def step(state: Column, _: Column) -> Column:
         def worth(c: Column) -> Column:
-            nearest = F.coalesce(F.array_max(F.transform(state["picked"], lambda p: dot(c["embedding"], p["embedding"]))), F.lit(0.0))
-            return F.struct(F.round(MMR_LAMBDA * c["score"] - (1 - MMR_LAMBDA) * nearest, 12).alias("worth"), (-c["idx"]).alias("early"), c.alias("c"))
+            return F.struct(F.round(MMR_LAMBDA * c["score"] - (1 - MMR_LAMBDA) * F.coalesce(c["near"], F.lit(0.0)), 12).alias("worth"), (-c["idx"]).alias("early"), c.alias("c"))
+
+        def grown(best: Column) -> Column:
+            # of each open candidate only the cosine to the one just chosen is new
+            left = F.filter(state["pool"], lambda c: c["idx"] != best["idx"])
+            pool = F.transform(left, lambda c: F.struct(c["idx"].alias("idx"), c["score"].alias("score"), c["embedding"].alias("embedding"), F.greatest(c["near"], dot(c["embedding"], best["embedding"])).alias("near")))
+            return F.struct(F.concat(state["picked"], F.array(best["idx"])).alias("picked"), pool.alias("pool"))
 
         best = F.array_max(F.transform(state["pool"], worth))["c"]
-        grown = F.struct(F.concat(state["picked"], F.array(best)).alias("picked"), F.filter(state["pool"], lambda c: c["idx"] != best["idx"]).alias("pool"))
-        return F.when((F.size(state["picked"]) < k) & (F.size(state["pool"]) > 0), grown).otherwise(state)
+        return F.when((F.size(state["picked"]) < k) & (F.size(state["pool"]) > 0), F.get(F.transform(F.array(best), grown), F.lit(0))).otherwise(state)
 
-    picked = F.aggregate(F.sequence(F.lit(1), k), start, step, lambda s: F.transform(s["picked"], lambda c: c["idx"]))
+    picked = F.aggregate(F.sequence(F.lit(1), k), start, step, lambda s: s["picked"])
     rest = lambda p: F.transform(
         F.reverse(F.array_sort(F.transform(F.filter(items, lambda c: ~F.array_contains(p, c["idx"])), lambda c: F.struct(c["score"].alias("s"), c["idx"].alias("i"))))), lambda x: x["i"]
     )

@@ -30,12 +30,12 @@ def r6(*names: str):
 
 def chunk_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole documents: a line longer than a chunk is split."""
-    return _chunks(spark, sf_dir, chunking.Chunking(shorten=False))
+    return _chunks(spark, sf_dir, chunking.Chunking())
 
 
 def chunk_transcripts_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunker's first form, in which a line longer than a chunk loses its end."""
-    return _chunks(spark, sf_dir, chunking.Chunking())
+    return _chunks(spark, sf_dir, chunking.Chunking(shorten=True))
 
 
 def _chunks(spark: SparkSession, sf_dir: str, options: chunking.Chunking) -> DataFrame:

@@ -148,7 +148,7 @@ _BODIES = {"Objective": "objective_display", "Current Position": "current_state"
 
 def _archetype_by_path() -> str:
     return "CASE archetype WHEN 'tutorial' THEN 'tutorial' WHEN 'journal' THEN 'journal' WHEN 'research' THEN 'research' WHEN 'debugging' THEN 'coding' WHEN 'github' THEN 'coding' WHEN 'reddit' THEN 'casual_chat' ELSE " + (
-        "CASE " + " ".join(f"WHEN regexp_matches(lower(left(text, 8000)), '{p}') THEN '{n}'" for n, p in quality.CONTENT) + " ELSE 'other' END END"
+        "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in quality.CONTENT) + " ELSE 'other' END END"
     )
 
 
@@ -199,7 +199,7 @@ SELECT conv, sha256(array_to_string(c, chr(10) || chr(10))) AS one, sha256(array
     "proxy_scores": f"""
 WITH {SOURCES}, t AS (SELECT conv, archetype, conversation || CASE WHEN conv % 2 = 0 THEN chr(10) || 'Is it so?' ELSE ' todo' END AS text FROM src),
 g AS (SELECT *, {_archetype_by_path()} AS kind, regexp_matches(lower(text), '\\b(done|completed|finished|next step|blocker|todo|implement)\\b') AS g,
-      regexp_matches(left(text, 3000), '(?m)\\?\\s*$') OR length(text) - length(replace(text, '?', '')) > 8 AS asking FROM t),
+      regexp_matches(text, '(?m)\\?\\s*$') OR length(text) - length(replace(text, '?', '')) > 8 AS asking FROM t),
 l AS (SELECT *, asking AND NOT g AS loose FROM g),
 n AS (SELECT *, CASE WHEN g THEN 2 WHEN loose THEN 1 ELSE 2 END AS na, CASE WHEN g THEN 3 ELSE 2 END AS ap, CASE WHEN loose THEN 0.35 ELSE 0.1 END::DOUBLE AS dup FROM l),
 u AS (SELECT *, greatest(0, CASE WHEN g OR NOT loose THEN 2 ELSE 0 END + CASE WHEN length(text) > 500 THEN 2 ELSE 0 END + CASE WHEN g THEN 1 ELSE 0 END + least(2, na // 2) + least(1, ap // 3) - floor(dup * 3)::INT) AS pts, loose AND kind IN ('medical', 'informational_QA', 'casual_chat') AS low FROM n)
