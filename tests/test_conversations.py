@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import time
 
 import numpy as np

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checkpoint, partial
-from ..session import scratch
+from ..operators import checkpoint, compare, measured, partial, pipeline
+from ..session import scratch, table
 from ..sources.store import Store
 from ..streaming import updates as stream
 from . import told
@@ -100,10 +100,66 @@ def refreshed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select("conv", "version", F.length("source.transcript_snapshot").cast("long").alias("chars"), F.substring("updated_at", 1, 10).alias("day"), (T.word_count(F.col("cached_exports.briefing")) > 0).alias("told"))
 
 
-QUERIES = [streamed_updates, merged_states, versioned_store, refreshed_records]
+def _other(records: DataFrame) -> DataFrame:
+    """What a second extractor might give: fails on some chunks, lacks others, tells some fields otherwise."""
+    broken = (F.col("conv") + F.col("chunk_index")) % 5 == 1
+    none = F.array().cast("array<string>")
+    rows = records.where((F.col("conv") + 2 * F.col("chunk_index")) % 7 != 3)
+    changed = {
+        "objective": F.reverse("objective"),
+        "decisions": F.when(F.size("decisions") > 0, F.slice("decisions", 2, 100)).otherwise(F.col("decisions")),
+        "current_state": F.when(F.col("chunk_index") % 2 == 0, F.lit("")).when(F.col("conv") % 2 == 0, F.col("current_state")).otherwise(F.concat(F.lit("So "), "current_state")),
+        "goals": F.concat("goals", F.array(F.lit("One more goal"))),
+    }
+    for n in compare.FIELDS:
+        empty = F.lit("") if n in ("topic", "summary", "current_state", "continuation_context") else none
+        rows = rows.withColumn(n, F.when(broken, empty).otherwise(changed.get(n, F.col(n))))
+    return rows.withColumn("parse_ok", F.col("parse_ok") & ~broken)
+
+
+def compared_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two extractors merged by chunk: outcome, and the verdict on four fields."""
+    records = told.records(spark, sf_dir)
+    rows = compare.compared(compare.merged(records, _other(records)))
+    of = lambda n: F.get(F.col("fields"), compare.FIELDS.index(n))["verdict"].alias(n)
+    return rows.select("conv", F.col("chunk_index").cast("long").alias("chunk_index"), "outcome", *map(of, ("objective", "decisions", "current_state", "goals")))
+
+
+def long_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations long enough to be ranked: 25 documents after one another, whole, in paragraphs of at most 3,000 characters."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    bare = T.strip(F.coalesce("text", F.lit("")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 3000).cast("int")), lambda i: F.substr(F.col("text"), i * 3000 + 1, F.lit(3000)))
+    placed = docs.select((F.col("doc_id") / 25).cast("long").alias("conv"), "doc_id", bare.alias("text")).withColumn("text", F.array_join(parts, "\n\n"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda d: d["text"])
+    return placed.groupBy("conv").agg(F.array_join(texts, "\n\n").alias("conversation")).select("conv", "conversation", F.concat(F.lit("long "), "conv").alias("label"), F.lit("mixed").alias("archetype"))
+
+
+def observed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was observed while transcripts of documents were run: rows of each stage, characters cut, chunks chosen
+    by rank, records parsed. Times are measured too and not compared."""
+    run = measured.full(long_transcripts(spark, sf_dir), texts=False)
+    rows = run.rows(spark)
+    return rows.where("ms > 0").select("stage", F.col("position").cast("long").alias("position"), "rows", "measure")
+
+
+def incremental_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base, full and incremental runs over transcripts of documents that grow by a fifth, all chunks extracted:
+    calls of the extractor, and how the two results of each grown transcript compare."""
+    everything = pipeline.Options(budget=1 << 30)
+    rows, _, _ = measured.compared(long_transcripts(spark, sf_dir), everything)
+    return rows.select("conv", "calls_full", "calls_incremental", "quality_ratio", "completed_work", "active_problems", "constraints", "same_action")
+
+
+QUERIES = [streamed_updates, merged_states, versioned_store, refreshed_records, compared_extractors, observed_run, incremental_benchmark]
 
 # ---- the same results in SQL ----
 
+_LONG = f"""src AS (
+  SELECT doc_id // 25 AS conv, array_to_string(list(array_to_string(list_transform(range(0, length(t) // 3000 + 1), lambda i: substr(t, i * 3000 + 1, 3000)), chr(10) || chr(10)) ORDER BY doc_id), chr(10) || chr(10)) AS conversation
+  FROM (SELECT doc_id, {told.strip("coalesce(text, '')")} AS t FROM documents WHERE doc_id IS NOT NULL) GROUP BY conv
+)"""
+
 SQL = {
     "streamed_updates": f"""
 WITH {TURNS},
@@ -142,5 +198,43 @@ FROM t WHERE conv % 5 <> 0 OR turns % 2 = 1
 WITH {told.SOURCES}
 SELECT conv, (CASE WHEN label = 'conversation 2' THEN 2 ELSE 1 END)::BIGINT AS version, length(conversation)::BIGINT AS chars,
        CASE WHEN label = 'conversation 2' THEN '2024-03-03' ELSE '{told.CREATED[:10]}' END AS day, true AS told FROM src WHERE label <> ''
+""",
+    "compared_extractors": f"""
+WITH {told.RECORDS},
+k AS (
+  SELECT conv, i, topic <> '' OR summary <> '' AS ok, list_transform(list_filter(objective, lambda x: trim(x) <> ''), lambda x: {told.key('x')}) AS o, decisions AS d, current_state AS s, goals AS g,
+         (conv + i) % 5 = 1 AS broken, (conv + 2 * i) % 7 = 3 AS lacking FROM rec
+),
+v AS (
+  SELECT conv, i, ok AS a, ok AND NOT broken AND NOT lacking AS b, broken OR lacking AS none,
+         list_distinct(o) AS oa, list_distinct(list_transform(d, lambda x: {told.key('x')})) AS da, list_distinct(list_transform(d[2:], lambda x: {told.key('x')})) AS db,
+         {told.key('s')} AS sa, CASE WHEN i % 2 = 0 THEN '' WHEN conv % 2 = 0 THEN {told.key('s')} ELSE {told.key("'So ' || s")} END AS sb, list_distinct(list_transform(g, lambda x: {told.key('x')})) AS ga FROM k
+)
+SELECT conv, i AS chunk_index, CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' WHEN b THEN 'right' ELSE 'none' END AS outcome,
+  CASE WHEN len(oa) = 0 THEN 'empty' WHEN none THEN 'left' ELSE 'same' END AS objective,
+  CASE WHEN len(da) = 0 THEN 'empty' WHEN none OR len(db) = 0 THEN 'left' WHEN len(db) = len(da) THEN 'same' ELSE 'differ' END AS decisions,
+  CASE WHEN sa = '' AND (none OR sb = '') THEN 'empty' WHEN none OR sb = '' THEN 'left' WHEN sa = sb THEN 'same' WHEN sa = '' THEN 'right' ELSE 'differ' END AS current_state,
+  CASE WHEN none AND len(ga) = 0 THEN 'empty' WHEN none THEN 'left' WHEN len(ga) = 0 THEN 'right' WHEN list_contains(ga, 'one more goal') THEN 'same' ELSE 'differ' END AS goals
+FROM v
+""",
+    "observed_run": f"""
+WITH RECURSIVE {_LONG},
+{told.chunks_sql('ch', "(SELECT conv, conversation AS t FROM src)")},
+c AS (SELECT conv, count(*) AS n, sum(length(chunk)) AS chars FROM ch GROUP BY conv),
+k AS (SELECT *, CASE WHEN n <= 0 THEN 0 ELSE least(n, greatest(3, least(8, ceil(n / 5.0)))) END AS k FROM c)
+SELECT 'chunks' AS stage, 0 AS position, sum(n)::BIGINT AS rows, sum(chars)::BIGINT AS measure FROM k
+UNION ALL SELECT 'ranked', 1, count(*), sum(k)::BIGINT FROM k
+UNION ALL SELECT 'records', 2, sum(k)::BIGINT, sum(k)::BIGINT FROM k
+""",
+    "incremental_benchmark": f"""
+WITH RECURSIVE {_LONG},
+g AS (SELECT conv, conversation, {told.strip('conversation')} AS bare FROM src),
+more AS (SELECT conv, conversation, bare || chr(10) || chr(10) || {told.strip("right(bare, greatest(1, floor(length(bare) * 0.2)::INT))")} AS grown FROM g),
+{told.chunks_sql('old', "(SELECT conv, conversation AS t FROM src)")},
+{told.chunks_sql('new', "(SELECT conv, grown AS t FROM more)")},
+h AS (SELECT new.conv, new.i, {told.strip('new.chunk')} AS c, {told.strip('old.chunk')} AS o, starts_with(grown, conversation) AND length(grown) > length(conversation) AS ok
+      FROM new JOIN more ON more.conv = new.conv LEFT JOIN old ON old.conv = new.conv AND old.i = new.i)
+SELECT conv, count(*) AS calls_full, count(*) FILTER (WHERE NOT ok OR o IS NULL OR o <> c) AS calls_incremental, 1.0::DOUBLE AS quality_ratio,
+       1.0::DOUBLE AS completed_work, 1.0::DOUBLE AS active_problems, 1.0::DOUBLE AS constraints, true AS same_action FROM h GROUP BY conv
 """,
 }
