@@ -73,7 +73,7 @@ def update(transcripts: DataFrame, prior: Run, prior_texts: DataFrame, options:
     Transcripts that do not continue ``prior_texts`` (conv, conversation) are run in full within it.
     """
     run = Run()
-    texts = lambda df: df.select("conv", F.col("conversation").alias("text"))
+    texts = lambda df: df.select("conv", T.strip(F.coalesce("conversation", F.lit(""))).alias("text"))
     good = incremental.growth(texts(prior_texts), texts(transcripts)).where("append_only").select("conv")
     pieces = run.step("chunks", pipeline.chunks(transcripts, options), F.length("chunk"))
     ranked = run.step("ranked", pipeline.selected(pieces, options), F.size("selected"))

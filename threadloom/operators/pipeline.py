@@ -88,7 +88,7 @@ def update(transcripts: DataFrame, prior: DataFrame, cache: DataFrame, options:
     and ranked anew over the whole text; a selected chunk whose hash is cached is
     reused, the others are extracted. What is not append-only is rejected.
     """
-    texts = lambda df: df.select("conv", F.col("conversation").alias("text"))
+    texts = lambda df: df.select("conv", T.strip(F.coalesce("conversation", F.lit(""))).alias("text"))
     judged = incremental.growth(texts(prior), texts(transcripts))
     good = transcripts.join(judged.where("append_only").select("conv"), "conv", "left_semi")
     rejected = judged.where("NOT append_only").select("conv", F.lit("not append-only: run it in full").alias("error"))

@@ -229,10 +229,10 @@ UNION ALL SELECT 'records', 2, sum(k)::BIGINT, sum(k)::BIGINT FROM k
     "incremental_benchmark": f"""
 WITH RECURSIVE {_LONG},
 g AS (SELECT conv, conversation, {told.strip('conversation')} AS bare FROM src),
-more AS (SELECT conv, conversation, bare || chr(10) || chr(10) || {told.strip("right(bare, greatest(1, floor(length(bare) * 0.2)::INT))")} AS grown FROM g),
+more AS (SELECT conv, bare, bare || chr(10) || chr(10) || {told.strip("right(bare, greatest(1, floor(length(bare) * 0.2)::INT))")} AS grown FROM g),
 {told.chunks_sql('old', "(SELECT conv, conversation AS t FROM src)")},
 {told.chunks_sql('new', "(SELECT conv, grown AS t FROM more)")},
-h AS (SELECT new.conv, new.i, {told.strip('new.chunk')} AS c, {told.strip('old.chunk')} AS o, starts_with(grown, conversation) AND length(grown) > length(conversation) AS ok
+h AS (SELECT new.conv, new.i, {told.strip('new.chunk')} AS c, {told.strip('old.chunk')} AS o, starts_with(grown, bare) AND length(grown) > length(bare) AS ok
       FROM new JOIN more ON more.conv = new.conv LEFT JOIN old ON old.conv = new.conv AND old.i = new.i)
 SELECT conv, count(*) AS calls_full, count(*) FILTER (WHERE NOT ok OR o IS NULL OR o <> c) AS calls_incremental, 1.0::DOUBLE AS quality_ratio,
        1.0::DOUBLE AS completed_work, 1.0::DOUBLE AS active_problems, 1.0::DOUBLE AS constraints, true AS same_action FROM h GROUP BY conv
