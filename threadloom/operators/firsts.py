@@ -37,18 +37,23 @@ def alike(rows: DataFrame, group: str, place: str, text: str, threshold: float =
     items = items.withColumn("_load", hashed)
     key = F.when(F.size("_load") == 0, F.concat(F.lit("k"), T.norm_key(F.col("_text")))).otherwise(F.array_join("_load", ","))
     items = _classes(items, key)
-    each = items.select("_id", "_place", "_text", "_g", "_load", F.explode("_load").alias("_token"))
+    each = items.select("_id", "_g", F.explode("_load").alias("_token"))
     counts = each.groupBy("_g", "_token").agg(F.count("*").alias("_n"))
-    ranked = each.select("_id", "_g", "_token").join(counts, ["_g", "_token"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_token"))).alias("_rare"))
+    ranked = each.join(counts, ["_g", "_token"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_token"))).alias("_rare"))
     most = (F.size("_rare") - F.ceil(threshold * F.size("_rare") - 1e-9) + 1).cast("int")
     prefix = F.slice(F.transform("_rare", lambda p: p["_token"]), F.lit(1), most)
-    members = items.join(ranked.select("_id", prefix.alias("_buckets")), "_id").select("_id", "_g", "_place", "_text", "_load", F.explode("_buckets").alias("_bucket"))
+    members = ranked.select("_id", F.size("_rare").alias("_n"), F.posexplode(prefix).alias("_at", "_bucket")).join(items.select("_id", "_g", "_place", "_nth"), "_id")
+
+    def could(a: dict[str, Column], b: dict[str, Column]) -> Column:
+        """By size and place: of two items whose first common token is this one, no more than what follows is common."""
+        common = F.least(a["_n"] - a["_at"], b["_n"] - b["_at"])
+        enough = common >= threshold / (1 + threshold) * (a["_n"] + b["_n"]) - 1e-9
+        return enough & (F.least(a["_n"], b["_n"]) >= threshold * F.greatest(a["_n"], b["_n"]) - 1e-9)
 
     def near(a: Column, b: Column) -> Column:
-        least, greatest = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-        return (least >= threshold * greatest - 1e-9) & (T.jaccard(a, b) >= threshold)
+        return T.jaccard(a, b) >= threshold
 
-    return _kept(items, members, F.size("_load") == 0, near, front).toDF(group, place, text)
+    return _kept(items, members, F.size("_load") == 0, could, near, front).toDF(group, place, text)
 
 
 def told_once(rows: DataFrame, group: str, place: str, text: str, front: int = FRONT) -> DataFrame:
@@ -62,12 +67,11 @@ def told_once(rows: DataFrame, group: str, place: str, text: str, front: int = F
     x = F.col("_load")
     count = F.length(x) - (HEAD - 1)
     windows = F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substr(x, i, F.lit(HEAD))))))
-    own = ("_id", "_g", "_place", "_text", "_load")
     heads = items.where(count > 0).select("_g", F.xxhash64(F.substring("_load", 1, HEAD)).alias("_bucket")).distinct()
     inner = items.select("_id", "_g", F.explode(windows).alias("_bucket")).join(heads, ["_g", "_bucket"], "left_semi")
     start = items.select("_id", "_g", F.xxhash64(F.lit("start"), F.substring("_load", 1, START)).alias("_bucket"))
-    members = inner.union(start.select(inner.columns)).join(items.select(*(c for c in own if c != "_g")), "_id").select(*own, "_bucket")
-    return _kept(items, members, F.lit(False), T.overlap_keys, front).toDF(group, place, text)
+    members = inner.union(start.select(inner.columns)).drop("_g").join(items.select("_id", "_g", "_place", "_nth", F.lit(0).alias("_n"), F.lit(0).alias("_at")), "_id")
+    return _kept(items, members, F.lit(False), lambda a, b: F.lit(True), T.overlap_keys, front).toDF(group, place, text)
 
 
 def _items(rows: DataFrame, group: str, place: str, text: str, shown: Callable[[Column], Column]) -> DataFrame:
@@ -76,14 +80,21 @@ def _items(rows: DataFrame, group: str, place: str, text: str, shown: Callable[[
 
 
 def _classes(items: DataFrame, key: Column) -> DataFrame:
-    """The first item of each (group, key). Items of one key are near the same others, so
+    """The first item of each (group, key), written, with its number among those of its place. Items of one key are near the same others, so
     that a later one is kept never: either the first is, or what drops it drops both."""
     keyed = items.withColumn("_id", F.md5(F.concat_ws(":", "_g", key)))
     first = F.min(F.struct("_place", "_text", "_load", "_group")).alias("_first")
-    return keyed.groupBy("_id", "_g").agg(first).select("_id", "_g", "_first.*")
+    firsts = keyed.groupBy("_id", "_g").agg(first).select("_id", "_g", "_first.*")
+    return _written(firsts.withColumn("_nth", F.row_number().over(Window.partitionBy("_g", "_place").orderBy("_text", "_id"))), "firsts-items")[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _kept(items: DataFrame, members: DataFrame, alone: Column, near: Callable[[Column, Column], Column], front: int) -> DataFrame:
+def _kept(items: DataFrame, members: DataFrame, alone: Column, could: Callable, near: Callable[[Column, Column], Column], front: int) -> DataFrame:
     """Group, place and text of the items kept; those ``alone`` have no buckets.
 
     Ordered rounds over what is undecided, written each. An item of which every bucket holds at most
@@ -93,39 +104,44 @@ def _kept(items: DataFrame, members: DataFrame, alone: Column, near: Callable[[C
     large a bucket; where a round decides little, the next compares four times as many.
     """
     spark = items.sparkSession
-    paths: list[str] = []
+    loads = items.select("_id", "_load")
+    spare: list[str] = []
 
     def written(df: DataFrame, name: str) -> DataFrame:
-        paths.append(scratch(spark, name))
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
+        df, path = _written(df, name)
+        if name != "firsts-kept":
+            spare.append(path)
+        return df
 
-    items = written(items, "firsts-items")
     kept = [items.where(alone).select("_id")]
-    open_, left, lasting = members, None, len(paths)
+    open_, left = members, None
     while left is None or left > 0:
-        begun = len(paths)
-        within = Window.partitionBy("_g", "_bucket").orderBy(F.col("_place").asc_nulls_first(), "_text", "_id")
+        done = list(spare)
+        within = Window.partitionBy("_g", "_bucket").orderBy(F.col("_place").asc_nulls_first(), "_nth")
         ranked = written(open_.withColumn("_rank", F.row_number().over(within)), "firsts-ranked")
         if left is None:
             left = ranked.select("_id").distinct().count()
-        early = ranked.where(F.col("_rank") <= front + 1).select("_g", "_bucket", F.col("_id").alias("_by"), F.col("_rank").alias("_r"), F.col("_load").alias("_l"))
-        pairs = ranked.join(early, ["_g", "_bucket"]).where((F.col("_r") < F.col("_rank")) & near(F.col("_l"), F.col("_load")))
-        links = written(pairs.select("_id", "_by").distinct(), "firsts-links")
+        early = ranked.where(F.col("_rank") <= front + 1).select("_g", "_bucket", *[F.col(c).alias(f"{c}_by") for c in ("_id", "_rank", "_n", "_at")])
+        later, before = ({c: F.col(c + end) for c in ("_n", "_at")} for end in ("", "_by"))
+        pairs = ranked.join(early, ["_g", "_bucket"]).where((F.col("_rank_by") < F.col("_rank")) & could(before, later)).select("_id", "_id_by").distinct()
+        both = pairs.join(loads, "_id").join(loads.select(F.col("_id").alias("_id_by"), F.col("_load").alias("_load_by")), "_id_by")
+        links = written(both.where(near(F.col("_load_by"), F.col("_load"))).select("_id", "_id_by"), "firsts-links")
         met = ranked.groupBy("_id").agg(F.max("_rank").alias("_last")).where(F.col("_last") <= front + 1).select("_id")
         sure = written(met.join(links.select("_id"), "_id", "left_anti"), "firsts-kept")
-        gone = links.join(sure.select(F.col("_id").alias("_by")), "_by", "left_semi").select("_id").distinct()
+        gone = links.join(sure.select(F.col("_id").alias("_id_by")), "_id_by", "left_semi").select("_id").distinct()
         decided = written(sure.union(gone), "firsts-decided")
         kept.append(sure)
         n = decided.count()
         if n * 4 < left:
             front *= 4
         left -= n
-        open_ = written(ranked.drop("_rank").join(decided, "_id", "left_anti"), "firsts-open") if left else None
-        spare = [p for p in paths[lasting:] if "/firsts-kept-" not in p and (left == 0 or "/firsts-open-" not in p or paths.index(p) < begun)]
-        for p in spare:
-            delete_scratch(spark, p)
-            paths.remove(p)
+        if left:
+            open_ = ranked.drop("_rank").join(decided, "_id", "left_anti")
+        for path in done:  # what rounds before the last one read
+            delete_scratch(spark, path)
+            spare.remove(path)
+    for path in spare:
+        delete_scratch(spark, path)
     chosen = kept[0]
     for more in kept[1:]:
         chosen = chosen.union(more)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checkpoint, compare, measured, partial, pipeline
+from ..operators import checkpoint, compare, firsts, measured, partial, pipeline
 from ..session import scratch, table
 from ..sources.store import Store
 from ..streaming import updates as stream
@@ -151,7 +151,20 @@ def incremental_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv", "calls_full", "calls_incremental", "quality_ratio", "completed_work", "active_problems", "constraints", "same_action")
 
 
-QUERIES = [streamed_updates, merged_states, versioned_store, refreshed_records, compared_extractors, observed_run, incremental_benchmark]
+def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that no kept one of their language before repeats by half and more of its words."""
+    kept = firsts.alike(table(spark, sf_dir, "documents"), "lang", "doc_id", "text")
+    return kept.select("lang", "doc_id", F.sha2("text", 256).alias("text"))
+
+
+def distinct_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of a role that tell what none before it told, by conversation, turn and place."""
+    spoken = turns(spark, sf_dir).select("conv", "idx", "role", F.posexplode(T.sentences(F.col("text"))).alias("nth", "sentence"))
+    kept = firsts.told_once(spoken.withColumn("place", F.struct("conv", "idx", "nth")), "role", "place", "sentence")
+    return kept.select("role", "place.conv", "place.idx", F.col("place.nth").cast("long").alias("nth"), "sentence")
+
+
+QUERIES = [streamed_updates, merged_states, versioned_store, refreshed_records, compared_extractors, observed_run, incremental_benchmark, distinct_documents, distinct_statements]
 
 # ---- the same results in SQL ----
 
@@ -161,6 +174,22 @@ _LONG = f"""src AS (
 )"""
 
 SQL = {
+    "distinct_documents": f"""
+WITH d AS (SELECT lang, doc_id, {told.collapse("coalesce(text, '')")} AS t FROM documents),
+k AS (SELECT lang, doc_id, t, lower(t) AS k, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]{{3,}}')) AS w FROM d WHERE t <> ''),
+l AS (SELECT lang, list([{{'id': doc_id, 't': t, 'k': k, 'w': w}}] ORDER BY doc_id NULLS FIRST, t) AS items FROM k GROUP BY lang),
+f AS (SELECT lang, list_reduce(items, lambda a, b: CASE WHEN len(list_filter(a, lambda x: CASE WHEN len(x.w) = 0 OR len(b[1].w) = 0 THEN x.k = b[1].k WHEN least(len(x.w), len(b[1].w)) < 0.55 * greatest(len(x.w), len(b[1].w)) THEN false ELSE len(list_intersect(x.w, b[1].w)) / (len(x.w) + len(b[1].w) - len(list_intersect(x.w, b[1].w))) >= 0.55::DOUBLE END)) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM l),
+o AS (SELECT lang, unnest(kept) AS x FROM f)
+SELECT lang, x.id AS doc_id, sha256(x.t) AS text FROM o""",
+    "distinct_statements": f"""
+WITH {TURNS},
+s AS (SELECT conv, idx, role, {told.sentences("coalesce(text, '')")} AS ss FROM turns),
+e AS (SELECT conv, idx, role, unnest(ss) AS sentence, unnest(range(len(ss))) AS nth FROM s),
+k AS (SELECT *, {told.key("sentence")} AS k FROM e),
+l AS (SELECT role, list([{{'conv': conv, 'idx': idx, 'nth': nth, 's': sentence, 'k': k, 'h': substr(k, 1, 80), 'n': length(k)}}] ORDER BY conv NULLS FIRST, idx, nth) AS items FROM k WHERE k <> '' GROUP BY role),
+f AS (SELECT role, list_reduce(items, lambda a, b: CASE WHEN len(list_filter(a, lambda x: x.h = b[1].h OR (x.n <= b[1].n AND x.n >= 40 AND contains(b[1].k, x.k)) OR (b[1].n <= x.n AND b[1].n >= 40 AND contains(x.k, b[1].k)))) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM l),
+o AS (SELECT role, unnest(kept) AS x FROM f)
+SELECT role, x.conv AS conv, x.idx AS idx, x.nth AS nth, x.s AS sentence FROM o""",
     "streamed_updates": f"""
 WITH {TURNS},
 t AS (SELECT conv, idx, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv) AS n FROM turns),
