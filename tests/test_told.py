@@ -1,5 +1,9 @@
 """Whether the driver's conversations reach every branch of the state, hand-off and selection rules."""
 
+import random
+import re
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +75,39 @@ def test_a_stream_of_tokens_ends_at_a_repeated_fact():
     assert extraction.until_repeat(iter(tokens)) == "".join(tokens)
 
 
+def ended_plainly(stream, least_facts, least_tokens):
+    """The whole text read again at each quote."""
+    text = ""
+    for n, token in enumerate(stream, 1):
+        text += token
+        if n >= least_tokens and '"' in token:
+            inside = re.search(r'"important_facts"\s*:\s*\[((?:\s*,?\s*"(?:[^"\\]|\\.)*")*)', text, re.S)
+            facts = [" ".join(f.lower().split()) for f in re.findall(r'"((?:[^"\\]|\\.)*)"', inside[1] if inside else "", re.S)]
+            if len(facts) >= least_facts and len(set(facts)) < len(facts):
+                break
+    return text
+
+
+def test_streams_end_where_the_whole_text_says_so():
+    rng, ended = random.Random(4), 0
+    parts = ['"important_facts"', " ", ":", "[", "]", ",", '"', "a", "B", "\\", '\\"', '"a"', '"b"', '", "', "\n", '"important', '_facts": [', *['"a", ', '"b", ', '"A", '] * 6]
+    for _ in range(3000):
+        start = rng.choice((['{"important_facts": ['], ['{"important_facts"', " ", ":", " ["], [], ['"important_facts" x ', '"important_facts":[']))
+        tokens = [*start, *(rng.choice(parts) for _ in range(rng.randint(0, 25)))]
+        least = rng.randint(1, 4), rng.randint(1, 8)
+        want = ended_plainly(tokens, *least)
+        assert extraction.until_repeat(iter(tokens), *least) == want, tokens
+        ended += want != "".join(tokens)
+    assert ended > 200
+
+
+def test_a_long_stream_is_read_once():
+    tokens = ['{"important_facts": [', *(t for i in range(100_000) for t in (f'"fact {i}"', ", ")), '"fact 7"', ', "more"']
+    begun = time.monotonic()
+    assert extraction.until_repeat(iter(tokens)) == "".join(tokens[:-1])
+    assert time.monotonic() - begun < 20
+
+
 def test_proxies(spark):
     rows = spark.createDataFrame([("/x/tutorial/a.txt", "todo " + "w" * 600), ("/x/reddit/a.txt", "why?\n" * 10), ("/x/y", "fine")], "path string, text string")
     got = {r.path[3:6]: (r.archetype, r.usefulness, r.tier, r.next_action_score, r.duplication_rate) for r in quality.proxy_analysed(rows).collect()}

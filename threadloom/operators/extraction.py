@@ -161,18 +161,33 @@ def model_extractor(generate: Callable[[list[str]], list[str]], rules: str = "",
     return extract_raw
 
 
+FACTS = re.compile(r'"important_facts"\s*:\s*\[')
+PENDING = re.compile(r'"important_facts"\s*:?\s*\Z')
+FACT = re.compile(r'\s*,?\s*"((?:[^"\\]|\\.)*)"', re.S)
+
+
 def until_repeat(stream: Iterable[str], least_facts: int = 8, least_tokens: int = 256) -> str:
     """The text of a stream of generated tokens, ended where a fact is told twice: for a ``generate``
-    whose model falls into a loop. Only after so many facts and tokens."""
-    text, tokens = "", 0
+    whose model falls into a loop. Only after so many facts and tokens. Takes time in proportion to the text."""
+    told, rest, open_, seen, facts, again = [], "", False, set(), 0, False
     for token in stream:
-        text, tokens = text + token, tokens + 1
-        if tokens >= least_tokens and '"' in token:
-            inside = re.search(r'"important_facts"\s*:\s*\[((?:\s*,?\s*"(?:[^"\\]|\\.)*")*)', text, re.S)
-            facts = [" ".join(f.lower().split()) for f in re.findall(r'"((?:[^"\\]|\\.)*)"', inside[1] if inside else "", re.S)]
-            if len(facts) >= least_facts and len(set(facts)) < len(facts):
-                break
-    return text
+        told.append(token)
+        rest += token
+        if '"' not in token and "[" not in token:
+            continue
+        if not open_:  # what can't become the list's head any more is not read again
+            head = FACTS.search(rest)
+            name = rest.rfind('"important_facts"')
+            pending = name >= 0 and PENDING.match(rest, name)
+            open_ = head is not None
+            rest = rest[head.end() if head else name if pending else max(0, len(rest) - len('"important_facts"')) :]
+        while open_ and (fact := FACT.match(rest)):  # an item is read once, when its end has come
+            rest, facts, key = rest[fact.end() :], facts + 1, " ".join(fact[1].lower().split())
+            again = again or key in seen
+            seen.add(key)
+        if len(told) >= least_tokens and '"' in token and facts >= least_facts and again:
+            break
+    return "".join(told)
 
 
 def _one(generate: Callable[[list[str]], list[str]], prompt: str) -> str | None:
