@@ -190,3 +190,42 @@ def test_adaptive_keeps_ends_and_best(spark):
     chosen = selection.adaptive(scored, most=6).first().selected
     assert len(chosen) == 6 and chosen[:3] == [0, 1, 2] and chosen[-2:] == [18, 19] and 9 in chosen
     assert selection.evolution(scored).first().evolution <= 0.36
+
+
+def test_scores_follow_their_sql_at_foreign_letters_and_halves(spark):
+    import duckdb
+
+    from threadloom.plans import conversations
+
+    texts = ["ätest te öa", "testä erli", "stau testö und test", "bugé, a bug", "not\rso but still", "ſtill later", "Now instead we moved to it"]
+    # 30 words each, of which all but i are those of the turn before: overlaps whose scores end in halves
+    words = [" ".join(f"word{k}" for k in range(i, i + 30)) for i in range(0, 60, 3)]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)] + [(2, i, "user", t) for i, t in enumerate(words)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = selection.scores(frame.select(F.col("conv_id").alias("conv"), F.col("turn").cast("int").alias("idx"), "text")).select("conv", "idx", *conversations.SCORES).orderBy("conv", "idx").collect()
+    conn = duckdb.connect()
+    conn.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    conn.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert [tuple(r) for r in got] == conn.sql(conversations.SQL["saliency_scores"] + " ORDER BY conv, idx").fetchall()
+
+
+def test_rounded_as_sql_does(spark):
+    import duckdb
+
+    values = [0.27595, 0.5 / 3, 1.00005, 2.675, -0.27595, 1e-9, float("inf"), 123456.78905, 0.00125] + [k / 20000 for k in range(1, 2001, 2)]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", T.rounded("v", 4).alias("x")).orderBy("i").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in values]
+
+
+@pytest.mark.parametrize("name", ["adaptive_selection", "selection_strategies"])
+def test_selections_follow_their_sql_at_foreign_letters(spark, tmp_path, name):
+    import duckdb
+
+    from threadloom.plans import conversations
+
+    rows = [(c, i, "user", " ".join(f"w{c}x{i}y{k}" for k in range(8)) + (" ätest" if i == 7 else "")) for c in range(2) for i in range(10)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = getattr(conversations, name)(spark, str(tmp_path))
+    conn = duckdb.connect()
+    conn.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(conn.sql(conversations.SQL[name]).fetchall())

@@ -18,6 +18,12 @@ SPACES = r"[\s\x1c-\x1f\x85\p{Z}]"
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """A double rounded to decimal places as SQL engines and C do, on the scaled value: ``F.round`` takes the decimal digits
+    of a double for exact, so that 0.27595, which is a little less, goes up."""
+    return F.round(F.col(x) * 10.0**places if isinstance(x, str) else x * 10.0**places) / F.lit(10.0**places)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
