@@ -33,7 +33,7 @@ def scores(rows: DataFrame) -> DataFrame:
 
 def saliency_spread(rows: DataFrame) -> DataFrame:
     """conv, chunks and the population standard deviation of saliency."""
-    spread = F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.round(F.stddev_pop("saliency"), 4))
+    spread = F.when(F.count("*") < 2, F.lit(0.0)).otherwise(T.rounded(F.stddev_pop("saliency"), 4))
     return scores(rows).groupBy("conv").agg(F.count("*").alias("chunks"), spread.alias("spread"))
 
 
@@ -49,7 +49,7 @@ def evolution(scored: DataFrame) -> DataFrame:
     mean = F.avg(F.when(F.col("r") <= F.col("_top"), F.col("v")))
     failing = F.count_if(F.col("failure") >= 0.2)
     capped = F.when((F.first("n") >= 2) & (failing < 2), F.least(mean, F.lit(0.36))).otherwise(mean)
-    return top.groupBy("conv").agg(F.round(F.least(F.lit(1.0), capped), 4).alias("evolution"))
+    return top.groupBy("conv").agg(T.rounded(F.least(F.lit(1.0), capped), 4).alias("evolution"))
 
 
 def head_tail(rows: DataFrame, most: int = 12, head_ratio: float = 0.67) -> DataFrame:
@@ -84,8 +84,8 @@ def coverage(selected: DataFrame) -> DataFrame:
     chosen = F.when(F.col("selected"), F.col("pos"))
     return selected.groupBy("conv").agg(
         F.count("*").alias("chunks"), F.count_if("selected").alias("chosen"), F.sum(size).alias("chars"), F.sum(F.when(F.col("selected"), size).otherwise(0)).alias("chars_chosen"),
-        F.round(F.sum(F.when(F.col("selected"), size).otherwise(0)) / F.greatest(F.sum(size), F.lit(1)), 4).alias("coverage_ratio"),
-        F.round((F.max(chosen) - F.min(chosen) + 1) / F.count("*"), 4).alias("continuity"),
+        T.rounded(F.sum(F.when(F.col("selected"), size).otherwise(0)) / F.greatest(F.sum(size), F.lit(1)), 4).alias("coverage_ratio"),
+        T.rounded((F.max(chosen) - F.min(chosen) + 1) / F.count("*"), 4).alias("continuity"),
     )
 
 

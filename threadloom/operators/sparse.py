@@ -33,7 +33,7 @@ def retained_scores(rows: DataFrame) -> DataFrame:
     def step(acc: Column, c: Column) -> Column:
         known = T.jaccard(c["tok"], T.token_set(F.array_join(acc["kept"], "\n")))
         most = F.greatest(c["near"], known)
-        score = S.clamp01(0.18 * c["moved"] + 0.10 * F.round(S.clamp(1.0 - most), 4) - 0.08 * F.round(S.clamp(most), 4) + c["fixed"])
+        score = S.clamp01(0.18 * c["moved"] + 0.10 * T.rounded(S.clamp(1.0 - most), 4) - 0.08 * T.rounded(S.clamp(most), 4) + c["fixed"])
         kept = F.when(score >= S.RETAIN, F.slice(F.concat(acc["kept"], F.array(c["text"])), F.greatest(F.lit(1), F.size(acc["kept"]) - 2), F.lit(4))).otherwise(acc["kept"])
         return F.struct(kept.alias("kept"), F.concat(acc["scores"], F.array(score)).alias("scores"))
 
@@ -45,7 +45,7 @@ def spread(scores: Column) -> Column:
     n = F.size(scores)
     mean = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / n
     squares = F.aggregate(scores, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.round(F.sqrt(squares / n), 4))
+    return F.when(n < 2, F.lit(0.0)).otherwise(T.rounded(F.sqrt(squares / n), 4))
 
 
 def assess(rows: DataFrame, transcripts: DataFrame) -> DataFrame:
