@@ -40,7 +40,7 @@ def records(states: DataFrame, sources: DataFrame, tier: str = "full") -> DataFr
         F.length("conversation").cast("long").alias("char_count"), F.lit(0).alias("message_count"), F.col("conversation").alias("transcript_snapshot"),
     )
     cached = {"briefing": T.strip(F.col("briefing")), "explain": T.strip(F.col("explanation")), **S.exports(F.col("briefing"), F.col("project"))}
-    ratio = F.when(F.length("briefing") > 0, F.round(F.length("conversation") / F.length("briefing"), 1)).otherwise(F.lit(0.0))
+    ratio = F.when(F.length("briefing") > 0, T.rounded(F.length("conversation") / F.length("briefing"), 1)).otherwise(F.lit(0.0))
     stats = F.struct(T.word_count(F.col("briefing")).alias("briefing_words"), T.word_count(F.col("explanation")).alias("explain_words"), ratio.alias("compression_ratio"))
     columns = [
         F.col("conv"), F.lit(FORMAT_VERSION).alias("format_version"), T.checkpoint_id(F.col("_project"), F.col("created_at"), F.col("_sha")).alias("id"),

@@ -62,7 +62,7 @@ def compared(rows: DataFrame) -> DataFrame:
         a, b = _keys(F.col("left"), name), _keys(F.col("right"), name)
         common, all_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
         verdict = F.when(all_ == 0, "empty").when(common == all_, "same").when(F.size(b) == 0, "left").when(F.size(a) == 0, "right").otherwise("differ")
-        return F.struct(F.lit(name).alias("field"), verdict.alias("verdict"), F.round(F.when(all_ == 0, F.lit(1.0)).otherwise(common / all_), 4).alias("likeness"))
+        return F.struct(F.lit(name).alias("field"), verdict.alias("verdict"), T.rounded(F.when(all_ == 0, F.lit(1.0)).otherwise(common / all_), 4).alias("likeness"))
 
     return rows.select("conv", "chunk_index", outcome.alias("outcome"), F.array(*map(told, FIELDS)).alias("fields"))
 
@@ -71,7 +71,7 @@ def agreement(rows: DataFrame) -> DataFrame:
     """One row a field over all of ``compared``: counts of its verdicts and mean likeness where both sides parsed."""
     each = rows.where("outcome = 'both'").select(F.explode("fields").alias("f"))
     count = lambda v: F.count_if(F.col("f.verdict") == v).alias(v)
-    return each.groupBy(F.col("f.field").alias("field")).agg(*map(count, ("same", "empty", "left", "right", "differ")), F.round(F.avg("f.likeness"), 4).alias("likeness"))
+    return each.groupBy(F.col("f.field").alias("field")).agg(*map(count, ("same", "empty", "left", "right", "differ")), T.rounded(F.avg("f.likeness"), 4).alias("likeness"))
 
 
 def handoff_blocks(records: DataFrame, version: str = "auto") -> DataFrame:

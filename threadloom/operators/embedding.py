@@ -83,5 +83,5 @@ def nearest_to_centre(rows: DataFrame) -> DataFrame:
     dims = rows.select("conv", "cluster", F.posexplode("embedding").alias("d", "x")).groupBy("conv", "cluster", "d").agg(F.avg("x").alias("x"))
     means = dims.groupBy("conv", "cluster").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("m"))
     far = F.aggregate(F.zip_with("embedding", "m", lambda a, b: (a - b["x"]) * (a - b["x"])), F.lit(0.0), lambda s, x: s + x)
-    best = F.min(F.struct(F.round(far, 12).alias("f"), "idx"))
+    best = F.min(F.struct(T.rounded(far, 12).alias("f"), "idx"))
     return rows.join(means, ["conv", "cluster"]).groupBy("conv", "cluster").agg(best["idx"].alias("centroid"))

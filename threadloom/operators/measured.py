@@ -98,7 +98,7 @@ def compared(transcripts: DataFrame, options: pipeline.Options = pipeline.Option
     score = lambda df, name: df.select("conv", quality.briefing_quality(F.col("briefing"))["score"].alias(name))
     calls = runs["full"].tables["records"].groupBy("conv").agg(F.count("*").alias("calls_full"))
     anew = runs["incremental"].tables["records"].groupBy("conv").agg(F.sum("fresh").cast("long").alias("calls_incremental"))
-    ratio_ = F.when(F.col("_f") > 0, F.round(F.col("_i") / F.col("_f"), 3)).otherwise(F.lit(1.0))
+    ratio_ = F.when(F.col("_f") > 0, T.rounded(F.col("_i") / F.col("_f"), 3)).otherwise(F.lit(1.0))
     rows = pipeline.parity(one, other).join(score(one, "_f"), "conv").join(score(other, "_i"), "conv").join(calls, "conv").join(anew, "conv")
     began = time.monotonic()
     first = other.select("conv", "briefing").limit(1).collect()

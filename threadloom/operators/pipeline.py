@@ -66,14 +66,14 @@ def benchmark(transcripts: DataFrame, options: Options = Options()) -> DataFrame
 
 
 def benchmark_summary(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("runs"), F.count_if(F.col("verdict") == "pass").alias("passed"), F.count_if(F.col("verdict") == "fail").alias("failed"), F.round(F.avg("briefing_words"), 2).alias("mean_words"))
+    return rows.agg(F.count("*").alias("runs"), F.count_if(F.col("verdict") == "pass").alias("passed"), F.count_if(F.col("verdict") == "fail").alias("failed"), T.rounded(F.avg("briefing_words"), 2).alias("mean_words"))
 
 
 def parity(base: DataFrame, other: DataFrame) -> DataFrame:
     """conv with the likeness of two runs' states."""
     b = other.select("conv", *[F.col(c).alias(f"_{c}") for c in ("completed_work", "active_problems", "constraints", "next_action")])
     joined = base.join(b, "conv")
-    return joined.select("conv", *[F.round(quality.field_jaccard(F.col(c), F.col(f"_{c}")), 4).alias(c) for c in ("completed_work", "active_problems", "constraints")], quality.same_action(F.col("next_action"), F.col("_next_action")).alias("same_action"))
+    return joined.select("conv", *[T.rounded(quality.field_jaccard(F.col(c), F.col(f"_{c}")), 4).alias(c) for c in ("completed_work", "active_problems", "constraints")], quality.same_action(F.col("next_action"), F.col("_next_action")).alias("same_action"))
 
 
 def grown(transcripts: DataFrame, ratio: float = 0.2) -> DataFrame:

@@ -92,7 +92,7 @@ def analysed(states: DataFrame) -> DataFrame:
     out = states.withColumn("_dup", duplication_rate(c("completed_work"), c("active_problems"))).withColumn("next_action_score", next_action_score(c("next_action"), c("current_state"))).withColumn("active_problems_score", active_problems_score(c("active_problems")))
     raw = usefulness(F.size("objective") > 0, ~T.blank(c("current_state")), F.size("completed_work") > 0, F.size("constraints") > 0, c("next_action_score"), c("active_problems_score"), c("_dup"))
     out = out.withColumn("_raw", raw).withColumn("tier", usefulness_tier(c("_raw")))
-    return out.withColumn("usefulness", F.greatest(F.lit(0), c("_raw")).cast("int")).withColumn("duplication_rate", F.round("_dup", 3)).drop("_dup", "_raw")
+    return out.withColumn("usefulness", F.greatest(F.lit(0), c("_raw")).cast("int")).withColumn("duplication_rate", T.rounded("_dup", 3)).drop("_dup", "_raw")
 
 
 def usefulness(goal: Column, place: Column, work: Column, limits: Column, action_score: Column, problems_score: Column, duplication: Column) -> Column:
@@ -157,10 +157,10 @@ def archetype_report(rows: DataFrame) -> DataFrame:
     one from the cache goes before others."""
     own = Window.partitionBy("name").orderBy(F.when(F.col("source") == "cache", 0).otherwise(1), "position")
     kept = rows.withColumn("_r", F.row_number().over(own)).where("_r = 1")
-    share = lambda tier: F.round(100 * F.count_if(F.col("tier") == tier) / F.count("*"), 1)
+    share = lambda tier: T.rounded(100 * F.count_if(F.col("tier") == tier) / F.count("*"), 1)
     return kept.groupBy("archetype").agg(
-        F.count("*").alias("n"), *[F.round(F.avg(c), 2).alias(f"avg_{c}") for c in ("usefulness", "next_action_score", "active_problems_score")],
-        F.round(F.avg("duplication_rate"), 3).alias("avg_duplication_rate"), share("high").alias("pct_high"), share("low").alias("pct_low"),
+        F.count("*").alias("n"), *[T.rounded(F.avg(c), 2).alias(f"avg_{c}") for c in ("usefulness", "next_action_score", "active_problems_score")],
+        T.rounded(F.avg("duplication_rate"), 3).alias("avg_duplication_rate"), share("high").alias("pct_high"), share("low").alias("pct_low"),
     )
 
 
@@ -185,7 +185,7 @@ def incremental_verdict(full_s: Column, speedup: Column, quality_ratio: Column,
 def metrics(records: DataFrame) -> DataFrame:
     """Per conversation: chunks, parse rate, and the shares of records with each field filled."""
     filled = lambda c: F.size(c) > 0 if c not in ("topic", "summary", "current_state", "continuation_context") else ~T.blank(F.col(c))
-    rate = lambda x: F.round(F.count_if(x) / F.count("*"), 4)
+    rate = lambda x: T.rounded(F.count_if(x) / F.count("*"), 4)
     names = ("topic", "summary", "goals", "decisions", "open_questions", "next_steps", "objective", "current_state")
     return records.groupBy("conv").agg(F.count("*").alias("chunks"), rate(F.col("parse_ok")).alias("parse_rate"), *[rate(filled(n)).alias(f"{n}_rate") for n in names])
 
@@ -194,4 +194,4 @@ def stage_shares(rows: DataFrame) -> DataFrame:
     """Time by stage with its share of the whole, from (stage, ms)."""
     sums = rows.groupBy("stage").agg(F.sum("ms").alias("ms"), F.count("*").alias("calls"))
     total = F.sum("ms").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return sums.withColumn("share", F.round(100 * F.col("ms") / F.greatest(total, F.lit(1e-9)), 2))
+    return sums.withColumn("share", T.rounded(100 * F.col("ms") / F.greatest(total, F.lit(1e-9)), 2))

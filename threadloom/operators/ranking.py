@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Fixed values
 MMR_LAMBDA, PEAK_Z, PENALTY = 0.7, 1.0, 0.5
 #: Costs this near to each other are not told apart by pruning.
@@ -149,7 +151,7 @@ def mmr(items: Column, k: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         def worth(c: Column) -> Column:
-            return F.struct(F.round(MMR_LAMBDA * c["score"] - (1 - MMR_LAMBDA) * F.coalesce(c["near"], F.lit(0.0)), 12).alias("worth"), (-c["idx"]).alias("early"), c.alias("c"))
+            return F.struct(T.rounded(MMR_LAMBDA * c["score"] - (1 - MMR_LAMBDA) * F.coalesce(c["near"], F.lit(0.0)), 12).alias("worth"), (-c["idx"]).alias("early"), c.alias("c"))
 
         def grown(best: Column) -> Column:
             # of each open candidate only the cosine to the one just chosen is new
@@ -185,6 +187,6 @@ def cluster_head_tail(rows: DataFrame, most: int = 8) -> DataFrame:
     """The ``most`` best cluster representatives of each conversation by recency and cluster size."""
     placed = cluster_columns(rows).withColumn("n", F.count("*").over(conv()))
     recency = F.col("idx") / F.greatest(F.col("n") - 1, F.lit(1))
-    kept = placed.where("representative").withColumn("score", F.round(0.6 * recency + 0.4 * F.col("mass"), 6))
+    kept = placed.where("representative").withColumn("score", T.rounded(0.6 * recency + 0.4 * F.col("mass"), 6))
     place = F.row_number().over(conv().orderBy(F.col("score").desc(), F.col("idx").desc()))
     return kept.withColumn("place", place).where(F.col("place") <= most).select("conv", "idx", "cluster", "cluster_size", "score", "place")

@@ -25,7 +25,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r6(*names: str):
-    return [(F.round(n, 6) + F.lit(0.0)).alias(n) for n in names]
+    return [(T.rounded(n, 6) + F.lit(0.0)).alias(n) for n in names]
 
 
 def chunk_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def turn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token overlap of every turn with the one before."""
     own = Window.partitionBy("conv").orderBy("idx")
     rows = turns(spark, sf_dir).withColumn("tok", T.token_set(F.col("text"))).withColumn("prev", F.lag("tok").over(own)).where("prev IS NOT NULL")
-    return rows.select("conv", F.col("idx").cast("long").alias("idx"), *[F.round(x, 6).alias(n) for n, x in (("jaccard", T.jaccard(F.col("tok"), F.col("prev"))), ("containment", T.containment(F.col("tok"), F.col("prev"))))])
+    return rows.select("conv", F.col("idx").cast("long").alias("idx"), *[T.rounded(x, 6).alias(n) for n, x in (("jaccard", T.jaccard(F.col("tok"), F.col("prev"))), ("containment", T.containment(F.col("tok"), F.col("prev"))))])
 
 
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     joined = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return joined.groupBy("lang").agg(
-        F.count("*").alias("n"), F.count("quality").alias("labelled"), F.round(F.avg("quality"), 4).alias("quality_rate"), F.round(F.avg("toxic"), 4).alias("toxic_rate"), F.round(F.avg("n_chars"), 2).alias("avg_chars")
+        F.count("*").alias("n"), F.count("quality").alias("labelled"), T.rounded(F.avg("quality"), 4).alias("quality_rate"), T.rounded(F.avg("toxic"), 4).alias("toxic_rate"), T.rounded(F.avg("n_chars"), 2).alias("avg_chars")
     )
 
 

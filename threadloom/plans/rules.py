@@ -109,7 +109,7 @@ def proxy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums of events by hour and type."""
     out = growth.event_counts(table(spark, sf_dir, "events"))
-    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", T.rounded("total", 4).alias("total"))
 
 
 def streamed_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
