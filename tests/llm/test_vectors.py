@@ -198,3 +198,22 @@ def test_audit_against_sql(spark, duck, monkeypatch, groups_):
     assert ("la", "p", "pair", "q", 0, 1) in got and any(r[1] == "empty" and r[2] == "pair" for r in got)
     assert any(r["term"] == "\U0001f600z" and r["in_docs"] == r["n"] for r in divergence.term_counts(df).collect())
     assert divergence.audit(df.limit(0)).count() == 0
+
+
+def test_ids_and_counts_are_not_broadcast_by_the_driver(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, plain = [], DataFrameWriter.parquet
+
+    def parquet(self, *a, **b):
+        seen.append((spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold")))
+        return plain(self, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    pairs = groups(5, [20, 30, 1], [0.1, 0.3, 0.1])
+    df = spark.createDataFrame(rows(pairs), VECTORS)
+    got = embeddings.near_duplicates(df)
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_links(pairs)
+    assert set(seen) == {("256k", "256k")}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # joins that the caller's settings would plan
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "256k"

@@ -22,8 +22,9 @@ _MASK = (1 << 64) - 1
 
 #: Setting under which Spark deletes a query's shuffle files once the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Settings of each write; they are put back after it. Small Arrow batches keep Python workers small.
-_WRITING = {_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
+#: Settings of each write; they are put back after it. Small Arrow batches keep Python workers small. Tables of ids and
+#: counts take a hundred times their file's size as a broadcast relation, which the driver builds: only tiny ones are broadcast unasked.
+_WRITING = {_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "256k"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

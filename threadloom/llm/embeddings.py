@@ -409,4 +409,4 @@ def near_duplicates(vectors: DataFrame, rule: Rule = Rule()) -> DataFrame:
     own = counted.groupBy("node").agg(F.sum("n").alias("counted"))
     full = parted_join(ids.join(own, "node", "left"), least, "component", "node")
     result = full.select("vec_id", (F.col("all") + F.coalesce("counted", F.lit(0))).alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return result.union(alone)
+    return written(result, "embedding-links").union(alone)  # written, so that its joins have the settings of a write
