@@ -99,3 +99,25 @@ def test_one_large_group(spark):
     got = run(spark, firsts.alike, rows)
     assert [p for _, p, _ in sorted(got, key=lambda r: r[1])] == list(range(500))
     assert time.monotonic() - begun < 300
+
+
+def test_items_that_share_a_few_rare_words_are_not_compared(spark, monkeypatch):
+    from threadloom.operators import firsts
+
+    made, plain = {}, firsts._written
+
+    def written(df, name):
+        out = plain(df, name)
+        made.setdefault(name, []).append((out[0].count(), sorted(out[0].columns)))
+        return out
+
+    monkeypatch.setattr(firsts, "_written", written)
+    # every two neighbours share a rare word, all share 12 frequent ones; the last repeats the first but for one word
+    own = lambda i: [f"own{i}x{k}" for k in range(20)]
+    common = [f"common{k}" for k in range(12)]
+    texts = [" ".join([*own(i), f"rare{i // 2}", *common]) for i in range(40)] + [" ".join([*own(0)[1:], "rare0", *common])]
+    df = spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)], "g string, i long, t string")
+    kept = firsts.alike(df, "g", "i", "t")
+    assert sorted(r.i for r in kept.collect()) == list(range(40))
+    assert sum(n for n, _ in made["firsts-pairs"]) == 1
+    assert all(c == ["_at", "_bucket", "_id", "_n", "_rank"] for _, c in made["firsts-ranked"])  # numbers only

@@ -12,66 +12,109 @@ item, other columns are left out; no rows give none.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.bitmap import among
 from ..session import delete_scratch, scratch
 
 HEAD, START = 40, 80  # fixed values: what counts as told again
 FRONT = 64
+SLOTS, TURNS = 1 << 18, 16
 
 
-def alike(rows: DataFrame, group: str, place: str, text: str, threshold: float = 0.55, front: int = FRONT) -> DataFrame:
+def alike(rows: DataFrame, group: str, place: str, text: str, threshold: float = 0.55, front: int = 4 * FRONT) -> DataFrame:
     """(group, place, text) of the items that no kept item before repeats to a Jaccard likeness of ``threshold``.
 
     Texts come back with single spaces. Tokens are compared by 64-bit hashes. Of two
     items as alike as that, each has a token of the other among its n - ceil(threshold n) + 1
-    rarest, so these are an item's buckets.
+    first in any one order of all tokens, so these are an item's buckets. The order here is by how
+    often tokens occur, counted in ``SLOTS`` slots: where two share one, only the buckets are larger.
     """
+    def load(shown: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(T.content_tokens(shown), lambda t: F.xxhash64(t))))
+
     items = _items(rows, group, place, text, T.collapse)
-    tokens = T.content_tokens(F.col("_text"))
-    hashed = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
-    items = items.withColumn("_load", hashed)
-    key = F.when(F.size("_load") == 0, F.concat(F.lit("k"), T.norm_key(F.col("_text")))).otherwise(F.array_join("_load", ","))
-    items = _classes(items, key)
-    each = items.select("_id", "_g", F.explode("_load").alias("_token"))
-    counts = each.groupBy("_g", "_token").agg(F.count("*").alias("_n"))
-    ranked = each.join(counts, ["_g", "_token"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_token"))).alias("_rare"))
-    most = (F.size("_rare") - F.ceil(threshold * F.size("_rare") - 1e-9) + 1).cast("int")
-    prefix = F.slice(F.transform("_rare", lambda p: p["_token"]), F.lit(1), most)
-    members = ranked.select("_id", F.size("_rare").alias("_n"), F.posexplode(prefix).alias("_at", "_bucket")).join(items.select("_id", "_g", "_place", "_nth"), "_id")
+    tokens = load(F.col("_text"))
+    key = F.when(F.size(tokens) == 0, F.concat(F.lit("k"), T.norm_key(F.col("_text")))).otherwise(F.array_join(tokens, ","))
+    items = _classes(items, key, load)
+    buckets = items.select("_id", F.xxhash64("_g").alias("_seed"), "_load")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            count += np.bincount(_bucket_values(batch)[1] & (SLOTS - 1), minlength=SLOTS)
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["slot", "n"])
+
+    counts = buckets.mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # ``SLOTS`` rows at most
+    often = np.zeros(SLOTS, dtype=np.int64)
+    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    shared = items.sparkSession.sparkContext.broadcast(often)
+
+    def firsts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, value, sizes = _bucket_values(batch)
+            by = np.lexsort((value, shared.value[value & (SLOTS - 1)], row))
+            row, value = row[by], value[by]
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            most = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            use = at < most[row]
+            row = row[use]
+            ids = batch["_id"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(value[use]), pa.array(sizes[row].astype(np.int32)), pa.array(at[use].astype(np.int32))], names=["_id", "_bucket", "_n", "_at"])
+
+    members = buckets.mapInArrow(firsts_of, "_id long, _bucket long, _n int, _at int")
 
     def could(a: dict[str, Column], b: dict[str, Column]) -> Column:
-        """By size and place: of two items whose first common token is this one, no more than what follows is common."""
-        common = F.least(a["_n"] - a["_at"], b["_n"] - b["_at"])
-        enough = common >= threshold / (1 + threshold) * (a["_n"] + b["_n"]) - 1e-9
-        return enough & (F.least(a["_n"], b["_n"]) >= threshold * F.greatest(a["_n"], b["_n"]) - 1e-9)
+        return F.least(a["_n"], b["_n"]) >= threshold * F.greatest(a["_n"], b["_n"]) - 1e-9
+
+    def enough(n: Column, m: Column, at: Column, by: Column, common: Column) -> Column:
+        """What two items can have in common at most: the buckets they share, all of which are counted, and of what follows the last of
+        these no more than either has left, nor than lies outside the prefixes, as one of these ends before it."""
+        rest = lambda size: F.ceil(threshold * size - 1e-9) - 1
+        most = common + F.least(n - 1 - at, m - 1 - by, F.greatest(rest(n), rest(m)))
+        return most >= threshold / (1 + threshold) * (n + m) - 1e-9
 
     def near(a: Column, b: Column) -> Column:
         return T.jaccard(a, b) >= threshold
 
-    return _kept(items, members, F.size("_load") == 0, could, near, front).toDF(group, place, text)
+    return _kept(items, members, could, enough, near, front).toDF(group, place, text)
+
+
+def _bucket_values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (.., _seed, _load): for each token the row, and a number for it within its group (splitmix64); tokens a row."""
+    loads = batch["_load"]
+    sizes = np.asarray(loads.value_lengths(), dtype=np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    x = np.asarray(loads.flatten(), dtype=np.int64).view(np.uint64) ^ batch["_seed"].to_numpy().view(np.uint64)[row]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return row, (x ^ (x >> np.uint64(31))).view(np.int64), sizes
 
 
 def told_once(rows: DataFrame, group: str, place: str, text: str, front: int = FRONT) -> DataFrame:
     """(group, place, text) of the items that tell what no kept item before tells, by ``functions.text.overlap_keys``.
 
     Texts come back as they are. Buckets are the first 80 characters, and every
-    window of 40 characters with which an item of the group begins.
+    window of 40 characters with which an item of the group begins; a bitmap of these
+    beginnings keeps most other windows from the join.
     """
-    items = _items(rows, group, place, text, lambda c: c).withColumn("_load", T.norm_key(F.col("_text")))
-    items = _classes(items, F.col("_load"))
+    items = _items(rows, group, place, text, lambda c: c)
+    items = _classes(items, T.norm_key(F.col("_text")), T.norm_key)
     x = F.col("_load")
     count = F.length(x) - (HEAD - 1)
-    windows = F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substr(x, i, F.lit(HEAD))))))
-    heads = items.where(count > 0).select("_g", F.xxhash64(F.substring("_load", 1, HEAD)).alias("_bucket")).distinct()
-    inner = items.select("_id", "_g", F.explode(windows).alias("_bucket")).join(heads, ["_g", "_bucket"], "left_semi")
-    start = items.select("_id", "_g", F.xxhash64(F.lit("start"), F.substring("_load", 1, START)).alias("_bucket"))
-    members = inner.union(start.select(inner.columns)).drop("_g").join(items.select("_id", "_g", "_place", "_nth", F.lit(0).alias("_n"), F.lit(0).alias("_at")), "_id")
-    return _kept(items, members, F.lit(False), lambda a, b: F.lit(True), T.overlap_keys, front).toDF(group, place, text)
+    windows = F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64("_g", F.substr(x, i, F.lit(HEAD))))))
+    heads = items.where(count > 0).select(F.xxhash64("_g", F.substring("_load", 1, HEAD)).alias("_bucket")).distinct()
+    inner = among(items.select("_id", F.explode(windows).alias("_bucket")), heads, "_bucket").join(heads, "_bucket", "left_semi")
+    start = items.select("_id", F.xxhash64(F.lit("start"), "_g", F.substring("_load", 1, START)).alias("_bucket"))
+    members = inner.select("_id", "_bucket").union(start).select("_id", "_bucket", F.lit(0).alias("_n"), F.lit(0).alias("_at"))
+    return _kept(items, members, lambda a, b: F.lit(True), None, T.overlap_keys, front).toDF(group, place, text)
 
 
 def _items(rows: DataFrame, group: str, place: str, text: str, shown: Callable[[Column], Column]) -> DataFrame:
@@ -79,32 +122,51 @@ def _items(rows: DataFrame, group: str, place: str, text: str, shown: Callable[[
     return rows.where(~T.blank(F.col(text))).select(F.col(group).alias("_group"), of.alias("_g"), F.col(place).alias("_place"), shown(F.col(text)).alias("_text"))
 
 
-def _classes(items: DataFrame, key: Column) -> DataFrame:
-    """The first item of each (group, key), written, with its number among those of its place. Items of one key are near the same others, so
-    that a later one is kept never: either the first is, or what drops it drops both."""
-    keyed = items.withColumn("_id", F.md5(F.concat_ws(":", "_g", key)))
-    first = F.min(F.struct("_place", "_text", "_load", "_group")).alias("_first")
-    firsts = keyed.groupBy("_id", "_g").agg(first).select("_id", "_g", "_first.*")
-    return _written(firsts.withColumn("_nth", F.row_number().over(Window.partitionBy("_g", "_place").orderBy("_text", "_id"))), "firsts-items")[0]
+def _classes(items: DataFrame, key: Column, load: Callable[[Column], Column]) -> DataFrame:
+    """The first item of each (group, key), written, with what it is compared by and a number in the order of places and texts.
+    Items of one key are near the same others, so that a later one is kept never: either the first is, or what drops it drops both."""
+    keyed = items.withColumn("_key", F.unhex(F.md5(F.concat_ws(":", "_g", key))))
+    firsts = keyed.groupBy("_key", "_g").agg(F.min(F.struct("_place", "_text", "_group")).alias("_first")).select("_key", "_g", "_first.*")
+    order = [F.col("_place").asc_nulls_first(), F.col("_text"), F.col("_key")]
+    # the numbers of sorted ranges rise from one to the next
+    numbered = firsts.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_id"), "_g", "_group", "_place", "_text")
+    return _written(numbered.withColumn("_load", load(F.col("_text"))), "firsts-items")[0]
+
+
+#: Settings of each write: shuffle files go when it ends, Python workers get small batches, and the driver builds no large relations.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "256k",
+}
 
 
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def _kept(items: DataFrame, members: DataFrame, alone: Column, could: Callable, near: Callable[[Column, Column], Column], front: int) -> DataFrame:
-    """Group, place and text of the items kept; those ``alone`` have no buckets.
+def _kept(items: DataFrame, members: DataFrame, could: Callable, enough: Callable | None, near: Callable[[Column, Column], Column], front: int) -> DataFrame:
+    """Group, place and text of the items kept.
 
     Ordered rounds over what is undecided, written each. An item of which every bucket holds at most
     ``front`` earlier ones has met all that could drop it: it is kept where none of
-    them is near, and what is near a kept one goes. The first undecided item of a
-    group is always such a one. A round compares at most ``front`` + 1 pairs a member, however
+    them is near, and what is near a kept one goes. The first undecided item
+    is always such a one, and an item alone in its buckets is kept at once. A round compares at most ``front`` + 1 pairs a member, however
     large a bucket; where a round decides little, the next compares four times as many.
+    Pairs are counted over their buckets in ``TURNS`` turns, so that no more than a part of them is on disk; what ``enough`` leaves is compared. An undecided
+    item beside a met one shares only buckets in which they meet, so its count is full; others' links decide nothing in this round.
+    Members are (_id, _bucket, _n, _at); buckets of different groups may meet, their items don't.
     """
     spark = items.sparkSession
-    loads = items.select("_id", "_load")
+    loads = items.select("_id", "_g", "_load")
     spare: list[str] = []
 
     def written(df: DataFrame, name: str) -> DataFrame:
@@ -113,20 +175,28 @@ def _kept(items: DataFrame, members: DataFrame, alone: Column, could: Callable,
             spare.append(path)
         return df
 
-    kept = [items.where(alone).select("_id")]
-    open_, left = members, None
-    while left is None or left > 0:
+    kept: list[DataFrame] = []
+    open_, todo, left = members, items.select("_id"), items.count()
+    while left:
         done = list(spare)
-        within = Window.partitionBy("_g", "_bucket").orderBy(F.col("_place").asc_nulls_first(), "_nth")
-        ranked = written(open_.withColumn("_rank", F.row_number().over(within)), "firsts-ranked")
-        if left is None:
-            left = ranked.select("_id").distinct().count()
-        early = ranked.where(F.col("_rank") <= front + 1).select("_g", "_bucket", *[F.col(c).alias(f"{c}_by") for c in ("_id", "_rank", "_n", "_at")])
+        within = Window.partitionBy("_bucket").orderBy("_id")
+        placed = open_.withColumn("_rank", F.row_number().over(within)).withColumn("_next", F.lead("_id").over(within))
+        ranked = written(placed.where((F.col("_rank") > 1) | F.col("_next").isNotNull()).drop("_next"), "firsts-ranked")
+        early = ranked.where(F.col("_rank") <= front + 1).select("_bucket", *[F.col(c).alias(f"{c}_by") for c in ("_id", "_rank", "_n", "_at")])
         later, before = ({c: F.col(c + end) for c in ("_n", "_at")} for end in ("", "_by"))
-        pairs = ranked.join(early, ["_g", "_bucket"]).where((F.col("_rank_by") < F.col("_rank")) & could(before, later)).select("_id", "_id_by").distinct()
-        both = pairs.join(loads, "_id").join(loads.select(F.col("_id").alias("_id_by"), F.col("_load").alias("_load_by")), "_id_by")
-        links = written(both.where(near(F.col("_load_by"), F.col("_load"))).select("_id", "_id_by"), "firsts-links")
-        met = ranked.groupBy("_id").agg(F.max("_rank").alias("_last")).where(F.col("_last") <= front + 1).select("_id")
+        pairs = None
+        for turn in range(TURNS):
+            own = ranked.where(F.pmod(F.xxhash64("_id"), F.lit(TURNS)) == turn)
+            met_in = own.join(early, "_bucket").where((F.col("_rank_by") < F.col("_rank")) & could(before, later))
+            each = met_in.groupBy("_id", "_id_by").agg(*[F.max(c).alias(c) for c in ("_n", "_n_by", "_at", "_at_by")], F.count("*").alias("_c")) if enough else met_in
+            if enough:
+                each = each.where(enough(*map(F.col, ("_n", "_n_by", "_at", "_at_by", "_c"))))
+            part = written(each.select("_id", "_id_by").distinct(), "firsts-pairs")
+            pairs = part if pairs is None else pairs.union(part)
+        both = pairs.join(loads, "_id").join(loads.select(F.col("_id").alias("_id_by"), F.col("_g").alias("_g_by"), F.col("_load").alias("_load_by")), "_id_by")
+        links = written(both.where((F.col("_g") == F.col("_g_by")) & near(F.col("_load_by"), F.col("_load"))).select("_id", "_id_by"), "firsts-links")
+        unmet = ranked.where(F.col("_rank") > front + 1).select("_id").distinct()
+        met = todo.join(unmet, "_id", "left_anti")
         sure = written(met.join(links.select("_id"), "_id", "left_anti"), "firsts-kept")
         gone = links.join(sure.select(F.col("_id").alias("_id_by")), "_id_by", "left_semi").select("_id").distinct()
         decided = written(sure.union(gone), "firsts-decided")
@@ -137,11 +207,14 @@ def _kept(items: DataFrame, members: DataFrame, alone: Column, could: Callable,
         left -= n
         if left:
             open_ = ranked.drop("_rank").join(decided, "_id", "left_anti")
+            todo = written(todo.join(decided, "_id", "left_anti"), "firsts-todo")
         for path in done:  # what rounds before the last one read
             delete_scratch(spark, path)
             spare.remove(path)
     for path in spare:
         delete_scratch(spark, path)
+    if not kept:
+        return items.select("_group", "_place", "_text")
     chosen = kept[0]
     for more in kept[1:]:
         chosen = chosen.union(more)
