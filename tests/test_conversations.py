@@ -229,3 +229,12 @@ def test_selections_follow_their_sql_at_foreign_letters(spark, tmp_path, name):
     conn = duckdb.connect()
     conn.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(map(tuple, got.collect())) == sorted(conn.sql(conversations.SQL[name]).fetchall())
+
+
+def test_first_repeat_of_many_words_takes_linear_time(spark):
+    rows = spark.createDataFrame([(0, ["a", "B", "", " ", "b"]), (1, ["", " "]), (2, []), (3, None), (4, ["x", "", "y"])], "i int, w array<string>")
+    assert [r.x for r in rows.orderBy("i").select(T.first_repeat(F.col("w")).alias("x")).collect()] == [4, -1, -1, None, -1]
+    many = spark.range(1, numPartitions=1).select(F.transform(F.sequence(F.lit(0), F.lit(100_000)), lambda i: F.concat(F.lit("w"), (i % 100_000).cast("string"))).alias("w"))
+    began = time.time()
+    assert many.select(T.first_repeat(F.col("w")).alias("x")).first().x == 100_000
+    assert time.time() - began < 15

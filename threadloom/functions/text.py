@@ -169,10 +169,18 @@ def sanitized_error(message: Column) -> Column:
 
 
 def first_repeat(items: Column) -> Column:
-    """Place (from 0) of the first item whose key occurred before; -1 if there is none."""
-    keys = F.transform(items, norm_key)
-    again = F.transform(keys, lambda k, i: (k != "") & (F.array_position(keys, k) <= i))
-    return (F.array_position(again, F.lit(True)) - 1).cast("int")
+    """Place (from 0) of the first item whose key occurred before; -1 if there is none.
+
+    Keys with their places and the same keys without repeats agree up to the first repeat.
+    """
+    keyed = F.filter(F.transform(items, lambda x, i: F.struct(norm_key(x).alias("k"), i.alias("i"))), lambda p: p["k"] != "")
+
+    def place(told: Column) -> Column:
+        keys = F.transform(told, lambda p: p["k"])
+        differ = F.zip_with(keys, F.array_distinct(keys), lambda a, b: ~a.eqNullSafe(b))
+        return F.coalesce(F.get(told, (F.array_position(differ, F.lit(True)) - 1).cast("int"))["i"], F.lit(-1))
+
+    return F.when(items.isNotNull(), let(keyed, place)).cast("int")
 
 
 def sections(text: Column, headers: tuple[str, ...]) -> Column:
