@@ -62,20 +62,31 @@ def clustered(chunks: DataFrame, budget: int | None = None) -> DataFrame:
     """(conv, idx, embedding) with cluster: k-means with the conversation's chunk budget as k
     (default: a fifth of its chunks, 3 to 8).
 
-    One grouped map by conversation, which holds tens of chunks; the ranking that
-    follows reuses its partitioning.
+    A conversation's vectors are one row of an Arrow batch, which holds many conversations. Rows are
+    dealt to a set number of tasks: they are small for the work in them, so a number by their bytes would be
+    one or two. The ranking that follows reuses this partitioning.
     """
 
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        n = len(group)
-        k = min(n, budget or max(3, min(8, -(-n // 5))))
-        # up to k chunks are all taken: each is its own cluster
-        labels = np.arange(n) if n <= k else k_means(np.array(group["embedding"].tolist(), dtype=float), k)
-        return group.assign(cluster=labels.astype("int32"))
-
-    rows = chunks.select("conv", "idx", "embedding")
-    return rows.groupBy("conv").applyInPandas(label, "conv long, idx int, embedding array<double>, cluster int")
+    def label(points: pd.Series) -> pd.Series:
+        def one(vectors: np.ndarray | None) -> np.ndarray:
+            if vectors is None:
+                return np.zeros(0, dtype=np.int32)
+            n = len(vectors)
+            return k_means(np.array(vectors.tolist(), dtype=float), min(n, budget or max(3, min(8, -(-n // 5))))).astype(np.int32)
+
+        return points.map(one, na_action=None)
+
+    spark = chunks.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = chunks.select("conv", F.struct("idx", "embedding").alias("_c")).repartition(tasks, "conv")
+    whole = rows.groupBy("conv").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    n = F.size("_c")
+    k = F.lit(budget) if budget else F.greatest(F.lit(3), F.least(F.lit(8), F.ceil(n / 5)))
+    # up to k chunks are all taken: each is its own cluster, and no vector goes to Python
+    many = whole.withColumn("_labels", F.pandas_udf(label, "array<int>")(F.when(n > k, F.transform("_c", lambda c: c["embedding"]))))
+    own = F.when(n > k, F.col("_labels")).otherwise(F.transform("_c", lambda c, i: i))
+    flat = many.select("conv", F.inline(F.zip_with("_c", own, lambda c, l: F.struct(c["idx"].cast("int").alias("idx"), c["embedding"].alias("embedding"), l.alias("cluster")))))
+    return flat.select(F.col("conv").cast("long"), "idx", "embedding", "cluster")
 
 
 def nearest_to_centre(rows: DataFrame) -> DataFrame:
