@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: Runs of SPACES but for a single plain space: what collapsing changes. Most texts hold none and are not built anew.
+RUNS = rf"[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]{SPACES}*+| {SPACES}++"
 
 
 #: The characters of SPACES, for trims that need no regular expression.
@@ -39,12 +41,12 @@ def blank(text: Column) -> Column:
 
 def norm_key(text: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed: the key of equality."""
-    return strip(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"{SPACES}+", " "))
+    return strip(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), RUNS, " "))
 
 
 def collapse(text: Column) -> Column:
     """As ``norm_key``, case kept."""
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SPACES}+", " "))
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), RUNS, " "))
 
 
 def token_set(text: Column) -> Column:

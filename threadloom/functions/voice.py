@@ -36,6 +36,8 @@ OBSERVER = [
     (r"\b[Tt]his slice\b", "This section"),
     (r"\bPeople (\w+ing)\b", "People are $1"),
 ]
+#: What a text must hold for any pattern of OBSERVER to match; the first that matches finds the text as it came.
+MARKS = ("articipant", "slice", "he discussion", "he conversation", "he tutor", "he learner", "o one has yet", "he cluster", "People ")
 SUMMARY_LEADS = [
     (r"^[Tt]he slice (discusses|explains|covers|is about|outlines)\s+", "The session $1 "),
     (r"^[Tt]his section (discusses|explains|covers|is about|outlines)\s+", "The session $1 "),
@@ -55,10 +57,10 @@ NEXT_LEADS = (
 
 
 def clean_voice(text: Column) -> Column:
-    out = T.strip(F.coalesce(text, F.lit("")))
+    out = T.strip(text)
     for pattern, said in OBSERVER:
         out = F.regexp_replace(out, pattern, said)
-    return T.collapse(out)
+    return T.collapse(F.when(T.contains_any(text, MARKS), out).otherwise(text))
 
 
 def clean_lines(text: Column) -> Column:

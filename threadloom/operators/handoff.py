@@ -122,9 +122,11 @@ def sized_briefing(records: DataFrame) -> DataFrame:
     tail = F.when(beyond & (F.length(rest) > 20), F.array(V.capital(rest))).otherwise(F.array().cast("array<string>"))
     options = F.transform(F.concat(told, c("c_objective"), address, c("c_next_steps"), answer, tail, F.array(default)), V.clean_voice)
     place = c("_place")
-    spoken = T.sentences(place)
-    apart = lambda x: ~((place != "") & T.sentence_overlap(x, place)) & ~F.exists(spoken, lambda s: T.sentence_overlap(x, s))
-    action = V.without_stop(F.coalesce(F.get(F.filter(options, lambda x: (F.length(x) >= 10) & apart(x)), F.lit(0)), default))
+    # the keys of the position and its sentences are made once, not once an option
+    spoken = F.transform(F.concat(F.array(place), T.sentences(place)), T.norm_key)
+    apart = lambda x, keys: T.let(T.norm_key(x), lambda k: ~F.exists(keys, lambda s: T.overlap_keys(k, s)))
+    open_ = T.let(spoken, lambda keys: F.filter(options, lambda x: (F.length(x) >= 10) & apart(x, keys)))
+    action = V.without_stop(F.coalesce(F.get(open_, F.lit(0)), default))
     told_once = lambda n, most: F.slice(V.distinct_sentences(c(n)), 1, most)
     start = F.struct(
         place.alias("position"), action.alias("action"), told_once("c_completed_work", 8).alias("completed"), told_once("c_active_problems", 8).alias("open"),
