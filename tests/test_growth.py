@@ -30,6 +30,33 @@ def test_clusters_in_more_tasks_than_their_bytes_would_give(spark):
     assert embedding.clustered(rows, 1 << 30).where("cluster <> idx").count() == 0
 
 
+def test_many_transcripts_in_few_files(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("x/"), "id", F.when(F.col("id") % 2 == 0, ".txt").otherwise(".json")).alias("path"), F.when(F.col("id") % 2 == 0, F.concat(F.lit(" t "), "id")).otherwise(F.to_json(F.struct(F.col("id").cast("string").alias("body")))).alias("value"))
+    transcripts.write_packed(rows, str(tmp_path / "packed"), buckets=4)
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) == 4
+    got = {r.label: r.text for r in transcripts.read_packed_transcripts(spark, str(tmp_path / "packed")).collect()}
+    assert got == {str(i): f"t {i}" if i % 2 == 0 else str(i) for i in range(200)}
+    assert [r.label for r in transcripts.read_packed_transcripts(spark, str(tmp_path / "packed"), limit=3).collect()] == ["0", "10", "100"]
+
+
+def test_many_sessions_in_few_files_and_a_session_replaces_its_own(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), checkpoints.ARTIFACTS, key="session", buckets=4)
+    files = spark.range(100).select(F.concat(F.lit("s"), "id").alias("session"), F.explode(F.array(F.lit("a.txt"), F.lit("b.txt"))).alias("name"), F.lit("old").alias("text"))
+    checkpoints.store_artifacts(files, store, 1)
+    assert len(list((tmp_path / "store").rglob("*.parquet"))) == 4
+    checkpoints.store_artifacts(spark.createDataFrame([("s7", "a.txt", "new")], "session string, name string, text string"), store, 2)
+    got = {(r.session, r.name): r.text for r in checkpoints.stored_artifacts(store).collect()}
+    assert len(got) == 199 and got["s7", "a.txt"] == "new" and ("s7", "b.txt") not in got and got["s8", "b.txt"] == "old"
+
+
+def test_json_records_do_not_pass_through_yaml(spark):
+    record = {"checkpoint": {"format_version": 2, "project": "p", "filler": [f"word {i}: {{x}}" for i in range(4000)], "state": {"objective": ["o"], "current_state": "c", "next_action": "n"}}}
+    rows = spark.range(0, 120, 1, 4).select(F.concat(F.lit("r"), "id", F.lit(".json")).alias("file"), F.current_timestamp().alias("modified"), F.lit(json.dumps(record)).alias("value"))
+    began = time.monotonic()
+    found = checkpoints.read_rows(rows).where("record.project = 'p' AND size(issues) = 0").collect()
+    assert len(found) == 120 and time.monotonic() - began < 12
+
+
 def _plain(text):
     out = T.strip(F.coalesce(text, F.lit("")))
     for pattern, said in V.OBSERVER:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checkpoint, handoff, incremental, quality
+from .store import Store
 
 #: What is read of a record; further fields stay in ``raw``.
 RECORD = (
@@ -28,8 +29,10 @@ def _yaml_to_json(value: Column) -> Column:
     def one(text: str | None) -> str | None:
         import yaml
 
+        if not text:
+            return "null"
         try:
-            return json.dumps(yaml.safe_load(text or ""), default=str)
+            return json.dumps(yaml.safe_load(text), default=str)
         except yaml.YAMLError:
             return None
 
@@ -47,8 +50,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     up. A file that is none of these has a null record and says so in ``issues``.
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,yaml,yml}").text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value"))
-    raw = F.when(F.lower("file").endswith(".json"), F.col("value")).otherwise(_yaml_to_json(F.col("value")))
+    return read_rows(files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value")))
+
+
+def read_rows(rows: DataFrame) -> DataFrame:
+    """``read_records`` of rows (file, modified, value), such as the members of packed files."""
+    is_json = F.lower("file").endswith(".json")
+    # Python sees every row whatever the condition around it says, so JSON goes there as nothing
+    raw = F.when(is_json, F.col("value")).otherwise(_yaml_to_json(F.when(is_json, F.lit("")).otherwise(F.col("value"))))
     rows = rows.withColumn("raw", raw).drop("value")
     inside = F.get_json_object("raw", "$.checkpoint")
     is_flat = inside.isNull() & F.get_json_object("raw", "$.project").isNotNull() & F.get_json_object("raw", "$.objective").isNotNull() & F.get_json_object("raw", "$.format_version").isNull()
@@ -113,6 +122,21 @@ def write_artifacts(files: DataFrame, path: str) -> None:
     files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").json(path)
 
 
+ARTIFACTS = "session string, files array<struct<name:string,text:string>>"
+
+
+def store_artifacts(files: DataFrame, store: Store, version: int) -> None:
+    """Files as a version of a store of ``ARTIFACTS`` with the session as its key: at most as many files as it has buckets
+    however many sessions, and a session written again replaces its own."""
+    held = F.array_sort(F.collect_list(F.struct("name", "text"))).alias("files")
+    store.append(files.where("session IS NOT NULL").groupBy("session").agg(held), version)
+
+
+def stored_artifacts(store: Store) -> DataFrame:
+    """(session, name, text) of every session's newest files."""
+    return store.view().select("session", F.inline("files"))
+
+
 def label_of(path: Column, explicit: Column) -> Column:
     """An explicit label, else the file's stem; none for standard input."""
     from .transcripts import stem

@@ -32,13 +32,38 @@ def read_transcripts(spark: SparkSession, path: str, glob: str = "*.{txt,json}",
     cuts in (0: all). Empty transcripts are left out.
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    named = files.withColumn("path", F.input_file_name()).withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)))
+    return _read(files.withColumn("path", F.input_file_name()), limit)
+
+
+def _read(files: DataFrame, limit: int) -> DataFrame:
+    """``read_transcripts`` of rows (path, value)."""
+    named = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)))
     text = F.when(F.col("suffix") == "json", json_text(F.col("value"))).otherwise(F.col("value"))
     rows = named.select("path", stem(F.col("path")).alias("label"), "suffix", T.strip(text).alias("text")).where("text <> ''")
     rows = rows.withColumn("sha256", F.sha2("text", 256)).withColumn("char_count", F.length("text"))
     return rows.orderBy(F.col("suffix") != "txt", "path").limit(limit) if limit else rows
 
 
+#: How many files hold what is packed, however many members that are.
+BUCKETS = 64
+
+
+def write_packed(members: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Files as members (path, value) of at most ``buckets`` Parquet files, dealt by a hash of their paths: a store of
+    objects takes and lists some files quickly, a file for each of a million conversations takes it hours."""
+    members.where("path IS NOT NULL").select("path", "value").repartition(buckets, "path").write.parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """The members (path, value) below a path."""
+    return spark.read.schema("path string, value string").parquet(path)
+
+
+def read_packed_transcripts(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """``read_transcripts`` of packed files, told apart by the suffixes of the members' paths."""
+    return _read(read_packed(spark, path).where(F.lower("path").rlike(r"\.(txt|json)$")), limit)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(session, path, category, priority, cache_id) of a JSON manifest; an entry may be a bare path."""
     raw = spark.read.text(path, wholetext=True)
