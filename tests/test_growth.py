@@ -84,3 +84,61 @@ def test_patterns_are_left_out_where_none_can_match(spark):
 
     seconds("plain"), seconds("marked")
     assert min(seconds("plain") for _ in range(3)) < 0.7 * min(seconds("marked") for _ in range(3))
+
+
+class _Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class _Map:
+    """Counts the calls that would go to the state's process."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattribute__(self, name):
+        if name not in ("held", "calls"):
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.held.pop(key, None)
+
+
+def test_state_is_read_and_written_once_a_trigger():
+    own = updates.Updates(lambda chunk, place, total: f"r {chunk}")
+    own.extent, own.places = _Value(), _Map()
+    asked = []
+    own.extract = lambda chunk, place, total: asked.append(chunk) or f"r {chunk}"
+    make = lambda version, n: {"conv": 1, "version": version, "text": "x" * n, "pieces": [{"place": i, "hash": f"h{i}", "chunk": f"c{i}"} for i in range(n)]}
+    first = pd.concat(own.handleInputRows((1,), iter([pd.DataFrame([make(v, 50 + v) for v in range(1, 6)])]), None))
+    assert own.places.calls <= 60 and len(own.places.held) == 55 and len(asked) == 55
+    assert (first["kind"] == "extracted").sum() == 55 and len(first) == sum(50 + v for v in range(1, 6))
+    before = own.places.calls
+    again = pd.concat(own.handleInputRows((1,), iter([pd.DataFrame([make(6, 56), make(6, 10), make(7, 3)])]), None))
+    assert own.places.calls - before <= 4 and list(again["kind"]).count("reused") == 55 and list(again["kind"]).count("rejected") == 1

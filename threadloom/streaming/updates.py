@@ -8,8 +8,8 @@ snapshot is rejected, as an update of an edited text would be wrong. Versions se
 so replays are harmless. Conversations that stay idle are dropped from the state, and
 start from a store's rows where they come back (``initial_state``).
 
-State lives in RocksDB (``rocks_db``): it is bounded by disk, and a snapshot reads the
-places it names only. One trigger's snapshots of one conversation are in memory at once.
+State lives in RocksDB (``rocks_db``): it is bounded by disk. One trigger's snapshots of one
+conversation are in memory at once, and beside them its places, which are read and written once a trigger.
 
 Defined results
 - null or blank text: accepted by nothing, rejected; null pieces: none
@@ -74,7 +74,9 @@ class Updates(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows))
         arrived = arrived.assign(_n=arrived["text"].str.len()).sort_values(["version", "_n", "text"], ascending=[True, False, False])
-        version, chars, prefix = self.extent.get() if self.extent.exists() else (-1, 0, prefix_hash(""))
+        extent = self.extent.get()
+        version, chars, prefix = extent if extent is not None else (-1, 0, prefix_hash(""))
+        stored, held = None, {}
         out = []
         for row in arrived.itertuples():
             if row.version <= version:
@@ -83,26 +85,33 @@ class Updates(StatefulProcessor):
             if not (len(row.text) > chars and prefix_hash(row.text[:chars]) == prefix):
                 out.append((key[0], version, "rejected", len(row.text), None, None, None, None))
                 continue
+            if stored is None:  # read once a trigger, written once: each step to the state and back is a call to another process
+                stored = {k[0]: (v[0], v[1]) for k, v in self.places.iterator()} if extent is not None else {}
+                held = stored
             chars, prefix = len(row.text), prefix_hash(row.text)
-            out += [(key[0], version, kind, chars, prefix, place, h, record) for kind, place, h, record in self._chunks(row.pieces)]
+            named = list(self._chunks(row.pieces, held))
+            held = {place: (h, record) for _, place, h, record in named}  # places that are not named were cut otherwise
+            out += [(key[0], version, kind, chars, prefix, place, h, record) for kind, place, h, record in named]
         self.extent.update((version, chars, prefix))
+        for place in (stored or {}).keys() - held.keys():
+            self.places.removeKey((place,))
+        for place, now in held.items():
+            if stored.get(place) != now:
+                self.places.updateValue((place,), now)
         self._wake(timerValues)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in UPDATES.split(", ")])
 
-    def _chunks(self, pieces) -> Iterator[tuple]:
-        named = set()
+    def _chunks(self, pieces, held: dict[int, tuple]) -> Iterator[tuple]:
+        now = dict(held)
         for piece in pieces if pieces is not None else ():
             place, h, chunk = int(piece["place"]), piece["hash"], piece["chunk"] or ""
-            named.add(place)
-            known = self.places.getValue((place,)) if self.places.containsKey((place,)) else None
+            known = now.get(place)
             if known is not None and known[0] == h:
                 yield "reused", place, h, known[1]
             else:
                 record = self.extract(chunk, place, len(pieces))
-                self.places.updateValue((place,), (h, record))
+                now[place] = (h, record)
                 yield "extracted", place, h, record
-        for gone in [k[0] for k in self.places.keys() if k[0] not in named]:  # chunks were cut otherwise
-            self.places.removeKey((gone,))
 
     def _wake(self, timerValues) -> None:
         if self.idle_ms is not None:
