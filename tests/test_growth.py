@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import voice as V
-from threadloom.operators import embedding
+from threadloom.operators import embedding, ranking
 from threadloom.sources import checkpoints, transcripts
 from threadloom.sources.store import Store
 from threadloom.streaming import updates
@@ -30,6 +30,14 @@ def test_clusters_in_more_tasks_than_their_bytes_would_give(spark):
     assert embedding.clustered(rows, 1 << 30).where("cluster <> idx").count() == 0
 
 
+def test_ranking_clusters_once(spark):
+    rows = spark.createDataFrame([(c, i, [float(i % 3), 1.0 + c]) for c in range(4) for i in range(12)], "conv long, idx int, embedding array<double>")
+    ranked = ranking.rank(embedding.clustered(rows))
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repart") == 1 and "Join" not in plan
+    assert [(r.n, r.k, len(r.selected)) for r in ranked.collect()] == [(12, 3, 3)] * 4
+
+
 def test_many_transcripts_in_few_files(spark, tmp_path):
     rows = spark.range(200).select(F.concat(F.lit("x/"), "id", F.when(F.col("id") % 2 == 0, ".txt").otherwise(".json")).alias("path"), F.when(F.col("id") % 2 == 0, F.concat(F.lit(" t "), "id")).otherwise(F.to_json(F.struct(F.col("id").cast("string").alias("body")))).alias("value"))
     transcripts.write_packed(rows, str(tmp_path / "packed"), buckets=4)

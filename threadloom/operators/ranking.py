@@ -124,10 +124,11 @@ def features(rows: DataFrame) -> DataFrame:
 def scored(rows: DataFrame) -> DataFrame:
     """With cuts (the conversation's changepoints), boundary, locked, candidate and score."""
     base = features(rows)
-    # once a conversation, not once a row; the rows lie by conversation already, so neither step shuffles
-    series = base.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("idx", "delta"))).alias("_s"), F.first("n").alias("_n"))
-    cuts = series.select("conv", changepoints(F.transform("_s", lambda x: x["delta"]), F.col("_n")).alias("cuts"))
-    base = base.join(cuts, "conv")
+    # once a conversation, not once a row; a join of the cuts to the rows would make all that is below a second time
+    rest = [c for c in base.columns if c not in ("conv", "idx")]
+    whole = base.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("idx", *rest))).alias("_rows"), F.first("n").alias("_n"))
+    cut = whole.withColumn("cuts", changepoints(F.transform("_rows", lambda x: x["delta"]), F.col("_n")))
+    base = cut.select("conv", "cuts", F.inline("_rows")).select(*base.columns, "cuts")
     at = F.col("idx").cast("int")
     boundary = F.array_contains("cuts", at) | F.array_contains("cuts", at - 1) | F.col("peak_delta") | F.col("peak_kappa") | F.col("cluster_start") | F.col("representative")
     locked = (F.col("idx") == F.col("n") - 1) | ((F.col("n") > 15) & (F.col("idx") == F.col("n") - 2))
