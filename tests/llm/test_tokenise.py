@@ -59,3 +59,27 @@ def test_merges_as_the_library(library):
                     want = library._encode_single_piece(raw)
                     assert tokenise.merged(ranks, raw) == want and tokenise.merged_long(ranks, raw) == want
     assert len(tokenise.merged_long(ranks, b"ab" * 100_000)) > 0
+
+
+def test_many_pieces_are_merged_together(library):
+    """Pre-tokens of many texts that aren't remembered are encoded in one call, each once, as the library does."""
+    coder, rng = tokenise.Bpe(RANKS, PATTERN), random.Random(2)
+    calls = []
+    coder.memory = tokenise.Memory(lambda missing: calls.append(missing) or coder._encoded(missing), 500)
+    for _ in range(4):
+        texts = ["".join(rng.choice(["a", "b", "th", "er", "é", "中", "\U0001f600", "12", "!", " ", "x" * 70]) for _ in range(rng.randint(0, 60))) for _ in range(50)]
+        got = coder.memory.join([coder.cut(text) for text in texts])
+        assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in got] == list(map(library.encode_ordinary, texts))
+    assert len(calls) == 4 and all(len(set(missing)) == len(missing) for missing in calls)
+    assert not any(len(piece) > tokenise.REMEMBERED_PIECE for piece in coder.memory.now)
+
+
+def test_pairs_of_any_vocabulary():
+    """Against the merge of one piece; a byte without a rank is met only where it is left over."""
+    ranks = {bytes([i]): 2 * i for i in range(256) if i != ord("q")} | {b"ab": 1, b"qu": 3, b"abab": 5, b"ba": 7, b"abqu": 9, b"aa": 11}
+    pairs, rng = tokenise.Pairs(ranks), random.Random(3)
+    raws = [b"", *["".join(rng.choice(["a", "b", "qu", "z"]) for _ in range(rng.randint(0, 20))).encode() for _ in range(300)]]
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in pairs.merged(raws)] == [tokenise.merged(ranks, raw) for raw in raws]
+    assert pairs.merged([]) == []
+    with pytest.raises(KeyError):
+        pairs.merged([b"aq"])

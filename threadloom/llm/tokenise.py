@@ -33,29 +33,39 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: Bytes up to which a piece is merged together with others, a pair of each at a time; longer ones would need more rounds.
+PAIRED_PIECE = 48
 #: Bytes up to which a piece is merged by scanning its pairs; a heap costs less beyond.
 SHORT_PIECE = 200
+#: Characters up to which an encoded piece is remembered, and pieces that are looked up together.
+REMEMBERED_PIECE, STEP = 64, 1 << 16
 
 
-class Memory(dict):
-    """Encoded pieces by text, of bounded number: a miss encodes, and those not asked for lately go.
+class Memory:
+    """Encoded pieces by text, of bounded number: those not asked for lately go.
 
-    Pieces are looked up by ``map`` over ``__getitem__``, so that a hit runs no Python code.
+    What is missing of many pieces is encoded together, and pieces are looked up by ``map`` over
+    a dictionary, so that a hit runs no Python code.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int):
-        self.encode, self.most, self.older = encode, most, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.pop(piece, None)
-        if found is None:
-            found = self.encode(piece)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int):
+        self.encode, self.most, self.now, self.older = encode, most, {}, {}
+
+    def join(self, texts: list[list[str]]) -> list[bytes]:
+        """The encoded pieces of each text, joined."""
+        wanted = set().union(*texts)
+        fresh = wanted.difference(self.now)
+        if len(self.now) + len(fresh) > self.most:
+            self.now, self.older, fresh = {}, self.now, wanted
+        known = fresh.intersection(self.older)
+        self.now.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        missing = list(fresh - known)
+        self.now.update(zip(missing, self.encode(missing), strict=True))
+        out = [b"".join(map(self.now.__getitem__, pieces)) for pieces in texts]
+        for piece in missing:
+            if len(piece) > REMEMBERED_PIECE:
+                del self.now[piece]
+        return out
 
 
 class Bpe:
@@ -68,27 +78,111 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.piece = Memory(self._encoded, self.remembered).__getitem__
-
-    def _encoded(self, piece: str) -> bytes:
-        """Little-endian 32-bit ids of one pre-token."""
-        raw = piece.encode()
-        known = self.ranks.get(raw)
-        ids = [known] if known is not None else (merged if len(raw) <= SHORT_PIECE else merged_long)(self.ranks, raw)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
+        self.memory = Memory(self._encoded, self.remembered)
+        self.pairs = Pairs(self.ranks)
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each pre-token."""
+        out, short = [], []
+        for place, raw in enumerate(map(str.encode, pieces)):
+            known = self.ranks.get(raw)
+            if known is None and len(raw) <= PAIRED_PIECE:
+                short.append((place, raw))
+                out.append(b"")
+                continue
+            ids = [known] if known is not None else (merged if len(raw) <= SHORT_PIECE else merged_long)(self.ranks, raw)
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        for (place, _), ids in zip(short, self.pairs.merged([raw for _, raw in short]), strict=True):
+            out[place] = ids
+        return out
+
+    def cut(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+        """The pre-tokens of a text."""
         if len(text) <= chunk:
-            return b"".join(map(self.piece, self.pattern.findall(text)))
+            return self.pattern.findall(text)
         cuts = chunk_starts(len(text), chunk)
         parts = [(at, boundaries(self.pattern, text[at : at + chunk + overlap], at, at + chunk + overlap >= len(text))) for at in cuts]
-        ends = stitch(self.pattern, text, parts)
-        return b"".join(map(self.piece, map(text.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        return between(text, stitch(self.pattern, text, parts))
+
+    def joined(self, pieces: list[str]) -> bytes:
+        """Ids of one text's pre-tokens, of any number: some at a time, so that the memory stays bounded."""
+        return b"".join(self.memory.join([pieces[at : at + STEP]])[0] for at in range(0, len(pieces), STEP))
+
+    def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
+        return self.joined(self.cut(text, chunk, overlap))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+class Pairs:
+    """Merges of many short pre-tokens at once: a round joins one pair of each, the one that ``merged`` would."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.top = max(ranks.values()) + 1
+        parts = {bytes([i]): self.top + i for i in range(256)} | ranks  # a byte without a rank may still be joined
+        self.single = np.array([parts[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.width = self.top + 256
+        keys = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = parts.get(token[:i]), parts.get(token[i:])
+                if left is not None and right is not None:
+                    keys[left * self.width + right] = rank
+        self.keys = np.array(sorted(keys), dtype=np.int64)
+        self.found = np.array([*map(keys.__getitem__, self.keys.tolist()), self.width], dtype=np.int64)
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what each pair joins to; ``width`` where it joins to nothing."""
+        key = left * self.width + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.found[at], self.width)
+
+    def merged(self, raws: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each."""
+        out: list[bytes] = [b""] * len(raws)
+        sizes = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws))
+        places = np.flatnonzero(sizes)
+        sizes = sizes[places]
+        ids = self.single[np.frombuffer(b"".join(raws), dtype=np.uint8)]
+        ends = np.cumsum(sizes)
+        rank = np.append(self.ranks(ids[:-1], ids[1:]), self.width) if len(ids) else ids
+        rank[ends - 1] = self.width  # a pair's rank stands at its left part
+        while len(places):
+            starts = ends - sizes
+            least = np.minimum.reduceat(rank, starts)
+            open_ = least < self.width
+            if not open_.all():
+                done = np.flatnonzero(~open_)
+                owner = np.repeat(open_, sizes)
+                left = ids[~owner]
+                if (left >= self.top).any():
+                    raise KeyError("a byte has no rank")
+                raw, till = left.astype("<u4").tobytes(), (np.cumsum(sizes[done]) * 4).tolist()
+                for place, a, b in zip(places[done].tolist(), [0, *till[:-1]], till, strict=True):
+                    out[place] = raw[a:b]
+                ids, rank, places, sizes, least = ids[owner], rank[owner], places[open_], sizes[open_], least[open_]
+                ends = np.cumsum(sizes)
+                if not len(places):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(least, sizes))
+            at = hits[np.searchsorted(hits, ends - sizes)]  # the leftmost of each
+            ids[at] = rank[at]
+            stays = np.ones(len(ids), dtype=bool)
+            stays[at + 1] = False
+            at -= np.arange(len(at))  # its place once the joined parts before it are gone
+            ids, rank, sizes = ids[stays], rank[stays], sizes - 1
+            ends = np.cumsum(sizes)
+            last = np.zeros(len(ids) + 1, dtype=bool)
+            last[ends - 1] = True
+            rank[at] = self.width
+            right, before = at[~last[at]], at[(at > 0) & ~last[at - 1]]
+            rank[right] = self.ranks(ids[right], ids[right + 1])
+            rank[before - 1] = self.ranks(ids[before - 1], ids[before])
+        return out
+
+
 def merged(ranks: dict[bytes, int], raw: bytes) -> list[int]:
     """Ids of one pre-token: of all neighbours that join to a token, those of the least rank
     join first, the leftmost of several."""
@@ -188,6 +282,10 @@ def stitch(pattern, text: str, parts: list[tuple[int, np.ndarray]]) -> list[int]
     return [*sure.tolist(), *rest]
 
 
+def between(text: str, ends: list[int]) -> list[str]:
+    return list(map(text.__getitem__, map(slice, [0, *ends[:-1]], ends)))
+
+
 KINDS = {"n_tokens": (pa.int64(), "long"), "ids": (pa.list_(pa.int32()), "array<int>"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
 VALUES = {
     "n_tokens": lambda coder, ids: len(ids) // 4,
@@ -213,9 +311,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, columns: tuple[str, ..
 
     # vocabularies are loaded with the first rows, not in workers whose partition is empty
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, 1 << 20):
             coder = bpe(rank_file, pattern)
-            out = [row(coder, key.as_py(), coder.encode(text.as_py(), chunk, overlap)) for key, text in zip(batch["doc_id"], batch["text"], strict=True)]
+            ids = coder.memory.join([coder.cut(text.as_py(), chunk, overlap) for text in batch["text"]])
+            out = [row(coder, key, own) for key, own in zip(batch["doc_id"].to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +328,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, columns: tuple[str, ..
         group = group.sort_by("start")
         text = "".join(p.as_py()[:chunk] for p in group["part"])
         parts = list(zip(group["start"].to_pylist(), (np.asarray(e.as_py(), dtype=np.int64) for e in group["ends"]), strict=True))
-        ends = stitch(coder.pattern, text, parts)
-        ids = b"".join(map(coder.piece, map(text.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        ids = coder.joined(between(text, stitch(coder.pattern, text, parts)))
         out = [[x] for x in row(coder, group["doc_id"][0].as_py(), ids)]
         values = [pa.array(c, t) for c, t in zip(out, schema.types, strict=True)]
         return pa.Table.from_arrays([group["_copies"][:1].combine_chunks(), *values], names=["_copies", *schema.names])
