@@ -191,3 +191,11 @@ def test_resume_with_refresh(spark, tmp_path):
     assert row["version"] == 2 and row["updated_at"].startswith("2024-05") and "printer" in row["source"]["transcript_snapshot"]
     assert checkpoint.refreshed(store, "no such project", 3, "2024-05-05T00:00:00+00:00").count() == 0
     assert store.view().count() == 3
+
+
+def test_a_task_writes_one_bucket(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), "project string, text string", buckets=16)
+    store.append(spark.range(500).selectExpr("concat('p', id) AS project", "'x' AS text"), 1)
+    files = [f for f in (tmp_path / "store").rglob("part-*.parquet")]
+    assert len(files) == 16 and len({f.name.split("-")[1] for f in files}) == 16
+    assert store.view().count() == 500

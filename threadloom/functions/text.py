@@ -90,6 +90,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def full(text: Column) -> Column:
+    """A text, null where it is empty."""
+    return let(text, lambda t: F.when(t != "", t))
+
+
 def sentence_overlap(a: Column, b: Column) -> Column:
     return let(F.struct(norm_key(a).alias("a"), norm_key(b).alias("b")), lambda k: overlap_keys(k["a"], k["b"]))
 
@@ -117,6 +122,19 @@ def keep_first(items: Column, same) -> Column:
     return F.aggregate(items, empty, lambda kept, x: F.when(F.exists(kept, lambda k: same(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
+def told_once(items: Column) -> Column:
+    """Items that tell (``overlap_keys``) what none before tells; each is made a key once, with its length and head."""
+
+    def keyed(x: Column) -> Column:
+        return let(norm_key(x), lambda k: F.struct(k.alias("k"), F.length(k).alias("n"), F.substring(k, 1, 80).alias("h"), x.alias("v")))
+
+    def same(a: Column, b: Column) -> Column:
+        within = F.when(a["n"] <= b["n"], (a["n"] >= 40) & b["k"].contains(a["k"])).otherwise((b["n"] >= 40) & a["k"].contains(b["k"]))
+        return (a["n"] > 0) & (b["n"] > 0) & ((a["h"] == b["h"]) | within)
+
+    return F.transform(keep_first(F.transform(items, keyed), same), lambda p: p["v"])
+
+
 def distinct_by_key(items: Column, limit: int | None = None) -> Column:
     """Trimmed items with distinct ``norm_key``; the first of each stays."""
     keyed = F.transform(F.filter(items, lambda x: ~blank(x)), lambda x: F.struct(norm_key(x).alias("k"), strip(x).alias("v")))
@@ -209,4 +227,4 @@ def clip_words(text: Column, most: int) -> Column:
 
 
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
+    return let(text, lambda t: reduce(lambda a, b: a | b, [t.contains(n) for n in needles]))

@@ -57,6 +57,10 @@ NEXT_LEADS = (
 
 
 def clean_voice(text: Column) -> Column:
+    return T.let(text, _voiced)
+
+
+def _voiced(text: Column) -> Column:
     out = T.strip(text)
     for pattern, said in OBSERVER:
         out = F.regexp_replace(out, pattern, said)
@@ -65,7 +69,7 @@ def clean_voice(text: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """``clean_voice`` line by line."""
-    return T.strip(F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), clean_voice), "\n"))
+    return T.strip(F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), _voiced), "\n"))
 
 
 def clean_summary(text: Column) -> Column:
@@ -77,7 +81,7 @@ def clean_summary(text: Column) -> Column:
 
 def clean_items(items: Column) -> Column:
     """The non-blank items of a list, cleaned."""
-    return F.filter(F.transform(F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: ~T.blank(x)), clean_voice), lambda x: x != "")
+    return F.filter(F.transform(F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: ~T.blank(x)), _voiced), lambda x: x != "")
 
 
 def without_stop(text: Column) -> Column:
@@ -90,19 +94,18 @@ def capital(text: Column) -> Column:
 
 def next_from_text(text: Column) -> Column:
     """What follows the first phrase of ``NEXT_LEADS`` (in that order) that the text holds; else empty."""
-    low, found = F.lower(F.coalesce(text, F.lit(""))), []
-    for lead in NEXT_LEADS:
-        at = F.locate(lead, low)
-        rest = without_stop(T.strip(F.substr(text, at + len(lead))))
-        found.append(F.when((at > 0) & (rest != ""), capital(rest)))
-    return F.coalesce(*found, F.lit(""))
+
+    def after(t: Column, low: Column, lead: str) -> Column:
+        rest = lambda at: without_stop(T.strip(F.substr(t, at + len(lead))))
+        return T.let(F.locate(lead, low), lambda at: F.when(at > 0, T.let(rest(at), lambda r: F.when(r != "", capital(r)))))
+
+    said = F.struct(text.alias("t"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    return T.let(said, lambda s: F.coalesce(*[after(s["t"], s["low"], lead) for lead in NEXT_LEADS], F.lit("")))
 
 
 def distinct_sentences(parts: Column) -> Column:
     """Cleaned sentences of 12 characters and more; of those that tell the same, the first."""
-    cleaned = F.filter(F.transform(parts, clean_voice), lambda s: F.length(s) >= 12)
-    keyed = F.transform(cleaned, lambda s: F.struct(T.norm_key(s).alias("k"), s.alias("v")))
-    return F.transform(T.keep_first(keyed, lambda a, b: T.overlap_keys(a["k"], b["k"])), lambda p: p["v"])
+    return T.told_once(F.filter(F.transform(parts, _voiced), lambda s: F.length(s) >= 12))
 
 
 def position(state: Column, context: Column, summary: Column, topic: Column) -> Column:
@@ -110,6 +113,6 @@ def position(state: Column, context: Column, summary: Column, topic: Column) ->
     summary, else the topic."""
     merged = F.array_join(distinct_sentences(F.concat(T.sentences(state), T.sentences(context))), " ")
     return F.coalesce(
-        F.nullif(merged, F.lit("")), F.nullif(clean_summary(summary), F.lit("")),
+        T.full(merged), T.full(clean_summary(summary)),
         F.when(topic != "", F.concat(F.lit("The session covers "), without_stop(topic), F.lit("."))), F.lit(""),
     )

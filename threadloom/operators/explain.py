@@ -29,13 +29,12 @@ def observed(text: Column) -> Column:
 
 
 def topic_label(text: Column) -> Column:
-    bare = F.regexp_replace(V.clean_voice(text), r"(?i)^(topic|objective|goal)\s*:\s*", "")
-    return F.when(F.length(bare) > 90, F.concat(F.regexp_replace(F.substring(bare, 1, 87), r"[ ,;]+\z", ""), F.lit("…"))).otherwise(bare)
+    short = lambda bare: F.when(F.length(bare) > 90, F.concat(F.regexp_replace(F.substring(bare, 1, 87), r"[ ,;]+\z", ""), F.lit("…"))).otherwise(bare)
+    return T.let(F.regexp_replace(V.clean_voice(text), r"(?i)^(topic|objective|goal)\s*:\s*", ""), short)
 
 
 def told_once(items: Column) -> Column:
-    keyed = F.transform(items, lambda x: F.struct(T.norm_key(x).alias("k"), x.alias("v")))
-    return F.transform(T.keep_first(keyed, lambda a, b: T.overlap_keys(a["k"], b["k"])), lambda p: p["v"])
+    return T.told_once(items)
 
 
 def _plain(items: Column, least: int = 1) -> Column:
@@ -67,15 +66,16 @@ def told(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("takeaways", F.slice(told_once(F.concat(facts, threads, F.slice("learnings", 1, 3))), 1, 8))
 
     last = F.col("terminal")
-    own = V.clean_summary(last["summary"])
+    rows = rows.withColumn("_own", V.clean_summary(last["summary"])).withColumn("_stands", V.position(last["current_state"], last["continuation_context"], last["summary"], last["topic"]))
+    own, place = F.col("_own"), F.col("_stands")
     covered = F.when(F.size("topics") == 1, F.concat(F.lit("This conversation focused on "), V.without_stop(F.get("topics", F.lit(0))), F.lit("."))).when(
         F.size("topics") > 1, F.concat(F.lit("This conversation covered "), V.without_stop(F.array_join(F.slice("topics", 1, 4), ", ")), F.lit("."))
     )
     default = F.coalesce(*[F.when(F.col("archetype") == k, F.lit(v)) for k, v in OVERVIEWS.items()], F.lit(OVERVIEWS["mixed"]))
-    lead = F.coalesce(F.when((F.length(own) > 40) & ~observed(own), own), F.get("_summaries", F.lit(0)), covered, default)
+    rows = rows.withColumn("_opening", F.coalesce(F.when((F.length(own) > 40) & ~observed(own), own), F.get("_summaries", F.lit(0)), covered, default))
+    lead = F.col("_opening")
     named = F.when((F.col("label") != "") & ~F.lower(lead).contains(F.lower("label")), F.concat(V.without_stop(lead), F.lit(" ("), F.col("label"), F.lit(")."))).otherwise(lead)
     stop = lambda x: F.concat(V.without_stop(x), F.lit("."))
-    place = V.position(last["current_state"], last["continuation_context"], last["summary"], last["topic"])
     context = last["continuation_context"]
     latest = lambda name, before: F.when(F.size(name) > 0, F.concat(F.lit(before), stop(F.element_at(name, -1))))
     status = F.coalesce(

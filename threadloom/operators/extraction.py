@@ -48,16 +48,14 @@ def mock(chunks: DataFrame) -> DataFrame:
 def json_body(raw: Column) -> Column:
     """The object within a model's answer: out of a code fence, first to last brace, without trailing commas."""
     whole = F.coalesce(raw, F.lit(""))
-    fenced = F.regexp_extract(whole, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    inner = F.when(fenced != "", fenced).otherwise(whole)
+    inner = F.coalesce(F.when(whole.contains("```"), T.full(F.regexp_extract(whole, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1))), whole)
     cut = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
     return F.regexp_replace(cut, r",\s*([}\]])", "$1")
 
 
 def parse(raw: Column) -> Column:
     """A VARIANT of the object, null where there is none."""
-    value = F.try_parse_json(json_body(raw))
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    return T.let(F.try_parse_json(json_body(raw)), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def _string_at(raw: Column, name: str) -> Column:
@@ -99,7 +97,10 @@ def _scalar(value: Column, name: str) -> Column:
 
 
 def _first_full(options: list[Column], empty: Callable[[Column], Column]) -> Column:
-    return F.coalesce(*[F.when(~empty(o), o) for o in options], options[0])
+    """The first option that is not empty, else the first; each is made once, and only if those before it are empty."""
+    first, *rest = options
+    later = lambda left: T.let(left[0], lambda o: F.when(~empty(o), o).otherwise(later(left[1:]))) if left else F.lit(None)
+    return T.let(first, lambda o: F.when(~empty(o), o).otherwise(F.coalesce(later(rest), o))) if rest else first
 
 
 def normalised(value: Column) -> dict[str, Column]:

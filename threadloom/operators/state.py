@@ -59,9 +59,7 @@ def gathered(records: DataFrame) -> DataFrame:
 
 def distinct_told(chunks: Column, name: str) -> Column:
     """A list field over all chunks in order: items of 8 characters and more that tell something new."""
-    items = F.filter(F.flatten(F.transform(chunks, lambda c: c[name])), lambda x: F.length(x) >= 8)
-    keyed = F.transform(items, lambda x: F.struct(T.norm_key(x).alias("k"), x.alias("v")))
-    return F.transform(T.keep_first(keyed, lambda a, b: T.overlap_keys(a["k"], b["k"])), lambda p: p["v"])
+    return T.told_once(F.filter(F.flatten(F.transform(chunks, lambda c: c[name])), lambda x: F.length(x) >= 8))
 
 
 def _tail(n: int) -> Column:
@@ -77,7 +75,9 @@ def signals(rows: DataFrame) -> DataFrame:
     """What the transcript's end says, as columns _closed, _hint_next, _hint_position, _pivot, _quiz_words, _moved_on."""
     last = F.col("terminal")
     said = F.concat_ws(" ", last["current_state"], last["continuation_context"], last["summary"], last["topic"])
-    end = F.right(T.strip(F.col("conversation")), F.lit(5000))
+    # parts of the transcript that several rules read are columns of their own, so that each is cut once
+    rows = rows.withColumns({"_end": F.right(T.strip(F.col("conversation")), F.lit(5000)), "_late": _tail(8000), "_recent": F.lower(_tail(6000))})
+    end, late, recent = F.col("_end"), F.col("_late"), F.col("_recent")
     course = V.without_stop(V.clean_voice(F.regexp_extract(end, COURSE, 1)))
     thanks = end.rlike(r"(?i)that makes sense\.?\s*thank you")
     offers = F.regexp_extract_all(end, F.lit(OFFER), F.lit(1))
@@ -92,10 +92,10 @@ def signals(rows: DataFrame) -> DataFrame:
     place = F.when(thanks, F.lit("Thread resolved — implement the agreed CI/CD workflow changes.")).when(
         has_course, F.concat(F.lit("Learner should resume the tutorial from "), course, F.lit(" (prior lessons through Event Handling are complete)."))
     )
-    late, recent = _tail(8000), F.lower(_tail(6000))
     before = F.regexp_extract(late, rf"(?s)\A(.*?){PIVOT.replace('(?i)', '(?i:', 1)})", 1)
-    asked = F.greatest(_last(late, "?"), _last(F.lower(late), "what do you think"))
-    region = F.when((asked >= 0) & (F.length(before) > asked), F.substr(late, asked + 1, F.length(before) - asked))
+    asked = F.greatest(_last(late, "?"), T.let(F.lower(late), lambda low: _last(low, "what do you think")))
+    told = F.struct(asked.alias("asked"), F.length(before).alias("until"))
+    region = T.let(told, lambda p: F.when((p["asked"] >= 0) & (p["until"] > p["asked"]), F.substr(late, p["asked"] + 1, p["until"] - p["asked"])))
     words = F.filter(T.words(F.lower(F.coalesce(region, F.lit("")))), lambda w: F.length(w) > 5)
     moved = recent.rlike(PIVOT) | (recent.contains("continue") & recent.contains("fetch")) | F.col("conversation").rlike(COURSE)
     return rows.withColumns({"_closed": said.rlike(CLOSURE) | _tail(4000).rlike(CLOSURE), "_hint_next": hint, "_hint_position": place, "_pivot": late.rlike(PIVOT), "_quiz_words": words, "_moved_on": moved})
@@ -103,12 +103,12 @@ def signals(rows: DataFrame) -> DataFrame:
 
 def stale(item: Column) -> Column:
     """A quiz question that the conversation has left behind."""
-    return T.contains_any(T.norm_key(item), QUIZ) & F.col("_moved_on")
+    return F.col("_moved_on") & T.contains_any(T.norm_key(item), QUIZ)
 
 
 def superseded(item: Column) -> Column:
-    key = T.norm_key(item)
-    return F.col("_pivot") & (F.exists("_quiz_words", lambda w: key.contains(w)) | stale(item))
+    left = lambda key: F.exists("_quiz_words", lambda w: key.contains(w)) | (F.col("_moved_on") & T.contains_any(key, QUIZ))
+    return F.col("_pivot") & T.let(T.norm_key(item), left)
 
 
 def open_problems(chunks: Column) -> Column:
@@ -117,6 +117,17 @@ def open_problems(chunks: Column) -> Column:
     return kept
 
 
+def unresolved(problems: Column, resolved: Column) -> Column:
+    """The problems that no resolved one tells."""
+    apart = lambda keys: F.filter(problems, lambda a: T.let(T.norm_key(a), lambda k: ~F.exists(keys, lambda r: T.overlap_keys(k, r))))
+    return T.let(F.transform(resolved, T.norm_key), apart)
+
+
+def _apart(text: Column) -> Column:
+    """Whether a text tells something else than the position, whose key is ``_place``."""
+    return (F.col("_position") == "") | ~T.let(T.norm_key(text), lambda k: T.overlap_keys(k, F.col("_place")))
+
+
 def build(records: DataFrame, transcripts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The state of every conversation, with the columns that ``keep`` names (chunks, label, archetype).
 
@@ -135,9 +146,9 @@ def build_gathered(rows: DataFrame, transcripts: DataFrame, keep: tuple[str, ...
     rows = signals(rows.withColumn("terminal", F.element_at("frontier", -1)).drop("_front"))
     last = F.col("terminal")
     rows = rows.withColumn("completed_work", distinct_told(F.col("chunks"), "completed_work")).withColumn("constraints", distinct_told(F.col("chunks"), "constraints"))
-    rows = rows.withColumn("_position", F.coalesce("_hint_position", V.position(last["current_state"], last["continuation_context"], last["summary"], last["topic"])))
+    rows = rows.withColumn("_position", F.coalesce("_hint_position", V.position(last["current_state"], last["continuation_context"], last["summary"], last["topic"]))).withColumn("_place", T.norm_key(F.col("_position")))
     rows = rows.withColumn("_resolved", distinct_told(F.col("frontier"), "resolved_problems")).withColumn("_open", open_problems(F.col("frontier")))
-    rows = rows.withColumn("active_problems", F.filter("_open", lambda a: ~F.exists("_resolved", lambda r: T.sentence_overlap(a, r))))
+    rows = rows.withColumn("active_problems", unresolved(F.col("_open"), F.col("_resolved")))
 
     lead = F.concat(
         F.filter(F.array(last["topic"]), lambda t: (t != "") & ~stale(t)),
@@ -171,34 +182,32 @@ def next_action() -> Column:
     """The first that applies of: the transcript's hint, the newest open step or goal of the frontier,
     its open problems, what its last context says comes next, then the same without the
     frontier's conditions, then the archetype's default."""
-    place, last = F.col("_position"), F.col("terminal")
-    apart = lambda x: (place == "") | ~T.sentence_overlap(x, place)
+    last = F.col("terminal")
     newest = lambda names: F.flatten(F.transform(F.reverse("frontier"), lambda c: F.concat(*[F.reverse(c[n]) for n in names])))
     first = lambda items, keep: F.get(F.filter(items, keep), F.lit(0))
-    step = first(newest(("next_steps", "goals", "open_questions", "objective")), lambda x: (F.length(x) >= 10) & ~stale(x) & ~superseded(x) & apart(x))
+    step = first(newest(("next_steps", "goals", "open_questions", "objective")), lambda x: (F.length(x) >= 10) & ~stale(x) & ~superseded(x) & _apart(x))
     named = lambda x, leads: F.when(_starts(x, leads), x).otherwise(F.concat(F.lit("Address: "), x))
-    problem = first(F.transform("_open", lambda x: named(x, ("continue", "address", "resolve", "fix"))), apart)
-    told = T.let(V.next_from_text(last["continuation_context"]), lambda t: F.when((t != "") & ~stale(t) & apart(t), t))
+    problem = first(F.transform("_open", lambda x: named(x, ("continue", "address", "resolve", "fix"))), _apart)
+    told = T.let(V.next_from_text(last["continuation_context"]), lambda t: F.when((t != "") & ~stale(t) & _apart(t), t))
     return F.coalesce(*[V.without_stop(x) for x in (F.col("_hint_next"), step, problem, told)], derived(F.col("frontier")))
 
 
 def derived(chunks: Column) -> Column:
     """The next action from records alone: newest open problem, newest goal, what the last context
     adds to the last state, the archetype's default; each apart from ``_position``."""
-    place, last = F.col("_position"), F.element_at(chunks, -1)
-    apart = lambda x: (place == "") | ~T.sentence_overlap(x, place)
+    last = F.element_at(chunks, -1)
     newest = lambda names: F.flatten(F.transform(F.reverse(chunks), lambda c: F.concat(*[F.reverse(c[n]) for n in names])))
     first = lambda items, keep: F.get(F.filter(items, keep), F.lit(0))
     named = lambda x: F.when(_starts(x, ("resolve", "address", "fix", "answer")), x).otherwise(F.concat(F.lit("Address: "), x))
-    problem = first(F.transform(newest(("active_problems",)), named), apart)
-    goal = first(newest(GOALS), lambda x: (F.length(x) >= 10) & apart(x))
+    problem = first(F.transform(newest(("active_problems",)), named), _apart)
+    goal = first(newest(GOALS), lambda x: (F.length(x) >= 10) & _apart(x))
     context, now = last["continuation_context"], last["current_state"]
     nk, mk = T.norm_key(context), T.norm_key(now)
     at = F.position(F.lower(F.substring(now, 1, 40)), F.lower(context))
     rest = F.regexp_replace(F.substr(context, at + F.length(now)), r"^[ ,.]+|[ ,.]+$", "")
     added = F.when((now != "") & (F.length(nk) > F.length(mk) + 20) & nk.contains(mk) & (at > 0) & (F.length(rest) > 15), V.capital(rest))
-    tail = F.coalesce(F.nullif(V.next_from_text(context), F.lit("")), added, F.when(F.length(context) > 30, F.element_at(T.sentences(context), -1)), F.nullif(context, F.lit("")))
-    tail = T.let(tail, lambda t: F.when(apart(t), t))
+    tail = F.coalesce(T.full(V.next_from_text(context)), added, F.when(F.length(context) > 30, F.element_at(T.sentences(context), -1)), F.nullif(context, F.lit("")))
+    tail = T.let(tail, lambda t: F.when(_apart(t), t))
     default = F.coalesce(*[F.when(F.lower(T.strip(F.col("archetype"))) == k, F.lit(v)) for k, v in FALLBACKS.items()], F.lit(FALLBACKS["mixed"]))
     return F.coalesce(*[V.without_stop(x) for x in (problem, goal, tail)], default)
 
@@ -208,15 +217,20 @@ def build_whole(records: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels``: conv, label, archetype. The columns are those that ``briefing`` needs.
     """
-    rows = gathered(records).join(labels.select("conv", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("archetype", F.lit("mixed")).alias("archetype")), "conv")
+    return build_whole_gathered(gathered(records), labels)
+
+
+def build_whole_gathered(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``build_whole`` from rows of ``gathered``."""
+    rows = rows.join(labels.select("conv", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("archetype", F.lit("mixed")).alias("archetype")), "conv")
     last = F.element_at("chunks", -1)
     for name in ("objective", "completed_work", "constraints"):
         rows = rows.withColumn(name, distinct_told(F.col("chunks"), name))
     rows = rows.withColumn("_open", distinct_told(F.col("chunks"), "active_problems")).withColumn("_resolved", distinct_told(F.col("chunks"), "resolved_problems"))
-    rows = rows.withColumn("active_problems", F.filter("_open", lambda a: ~F.exists("_resolved", lambda r: T.sentence_overlap(a, r))))
+    rows = rows.withColumn("active_problems", unresolved(F.col("_open"), F.col("_resolved")))
     latest = F.when(F.size("completed_work") > 0, F.concat(F.lit("Work in progress. Latest completed: "), F.element_at("completed_work", -1)))
     place = V.position(last["current_state"], last["continuation_context"], last["summary"], last["topic"])
-    rows = rows.withColumn("_position", F.coalesce(F.nullif(place, F.lit("")), latest, F.lit("")))
+    rows = rows.withColumn("_position", F.coalesce(T.full(place), latest, F.lit(""))).withColumn("_place", T.norm_key(F.col("_position")))
     goals = F.when(F.size("objective") == 1, F.get("objective", F.lit(0))).when(F.size("objective") > 1, bullets(F.slice("objective", 1, 12))).when(last["topic"] != "", last["topic"]).otherwise(F.lit(NO_OBJECTIVE))
     title = F.coalesce(F.nullif(T.strip(F.col("label")), F.lit("")), F.nullif(last["topic"], F.lit("")), F.lit("Assistant continuation"))
     return rows.select(

@@ -53,9 +53,9 @@ class Store:
         return sorted(v for v in found if fs.exists(self._path(kind, f"version={v}", "_SUCCESS")))
 
     def _write(self, rows: DataFrame, kind: str, version: int) -> None:
-        # repartition deals a bucket to one task, so it is one file; a sort lets column statistics prune within it
+        # a bucket is one task's and a task has one bucket, so it is one file; a sort lets column statistics prune within it
         placed = rows.withColumn("bucket", self._bucket(F.col(self.key)))
-        sorted_ = placed.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", self.key)
+        sorted_ = placed.repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", self.key)
         sorted_.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.path}/{kind}/version={version}")
 
     def append(self, rows: DataFrame, version: int, deleted: Column | None = None) -> None:
