@@ -121,3 +121,28 @@ def test_items_that_share_a_few_rare_words_are_not_compared(spark, monkeypatch):
     assert sorted(r.i for r in kept.collect()) == list(range(40))
     assert sum(n for n, _ in made["firsts-pairs"]) == 1
     assert all(c == ["_at", "_bucket", "_id", "_n", "_rank"] for _, c in made["firsts-ranked"])  # numbers only
+
+
+@pytest.mark.parametrize("driven", [0, 1 << 20])
+def test_frequent_words_alone_make_no_buckets(spark, monkeypatch, driven):
+    """Texts of frequent words, near copies in chains among them, dealt to many parts in many turns: an item is dealt as a row, whatever its tokens."""
+    for name, value in (("LEAST", 50), ("MOST", 50), ("ABREAST", 3), ("DRIVEN", driven)):
+        monkeypatch.setattr(firsts, name, value)
+    made, plain = {}, firsts._written
+
+    def written(df, name):
+        out = plain(df, name)
+        made.setdefault(name, []).append(out[0].count())
+        return out
+
+    monkeypatch.setattr(firsts, "_written", written)
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(300)]
+    texts = [rng.sample(words, 120) for _ in range(300)]
+    for i in range(240):  # each near the one before, few near those before that
+        own = texts[-1] if i % 8 else rng.choice(texts)
+        texts.append(own[30:] + rng.sample([w for w in words if w not in own], 30))
+    rows = [("a", i, " ".join(t)) for i, t in enumerate(texts)]
+    got = run(spark, firsts.alike, rows, front=2)
+    assert got == fold(rows, alike, collapsed) and 300 < len(got) < len(rows)
+    assert max(made["firsts-ranked"]) <= len(rows) and sum(made["firsts-pairs"]) < 20 * len(rows)

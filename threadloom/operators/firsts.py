@@ -1,9 +1,9 @@
-"""Keep-first among near-copies for groups of any size: an index of what near items must share, and ordered rounds.
+"""Keep-first among near-copies for groups of any size: bits or an index of what near items must share, and ordered rounds.
 
 The folds of ``functions.text.keep_first`` compare each item of a row with all kept
-ones, which suits tens of items. Here items are rows, a group may hold any share of
-them, and only items with a common bucket are ever compared: the rarest tokens for
-``alike`` (prefix filtering), heads of 40 and 80 characters for ``told_once``.
+ones, which suits tens of items. Here items are rows and a group may hold any share of
+them. For ``alike`` all pairs of a group and of like size meet, by bits; for ``told_once`` only items with
+a common bucket: heads of 40 and 80 characters.
 The results are those of the folds. Both functions take rows (group, place, text):
 items with a null or blank text are dropped, null groups are one group, a null place
 comes first, items of one place are in order of their text, repeated rows are one
@@ -12,90 +12,142 @@ item, other columns are left out; no rows give none.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import parity
 from ..functions import text as T
 from ..functions.bitmap import among
 from ..session import delete_scratch, scratch
 
 HEAD, START = 40, 80  # fixed values: what counts as told again
 FRONT = 64
-SLOTS, TURNS = 1 << 18, 16
+TURNS = 16
+#: Items of a group that meet as one part, parts that meet all others in a turn, and links that the driver follows at once.
+LEAST, MOST, ABREAST, DRIVEN = 4096, 1 << 16, 16, 1 << 20
 
 
-def alike(rows: DataFrame, group: str, place: str, text: str, threshold: float = 0.55, front: int = 4 * FRONT) -> DataFrame:
+def alike(rows: DataFrame, group: str, place: str, text: str, threshold: float = 0.55, front: int = 16) -> DataFrame:
     """(group, place, text) of the items that no kept item before repeats to a Jaccard likeness of ``threshold``.
 
-    Texts come back with single spaces. Tokens are compared by 64-bit hashes. Of two
-    items as alike as that, each has a token of the other among its n - ceil(threshold n) + 1
-    first in any one order of all tokens, so these are an item's buckets. The order here is by how
-    often tokens occur, counted in ``SLOTS`` slots: where two share one, only the buckets are larger.
+    Texts come back with single spaces. Tokens are compared by 64-bit hashes. An item's
+    bits are the parities of its tokens dealt to a power of two of slots, four times as many as
+    tokens at least: two items differ in no fewer tokens than bits, so most pairs are told apart
+    by their bits alone (``functions.parity``), a few numbers a pair, in any order of frequencies. What the bits leave is compared by tokens.
+    Each round gives an undecided item its first ``front`` earlier ones by bits, and the next goes on behind them.
     """
     def load(shown: Column) -> Column:
         return F.array_sort(F.array_distinct(F.transform(T.content_tokens(shown), lambda t: F.xxhash64(t))))
 
-    items = _items(rows, group, place, text, T.collapse)
-    tokens = load(F.col("_text"))
-    key = F.when(F.size(tokens) == 0, F.concat(F.lit("k"), T.norm_key(F.col("_text")))).otherwise(F.array_join(tokens, ","))
+    items = _items(rows, group, place, text, T.collapse).withColumn("_tokens", load(F.col("_text")))
+    key = F.when(F.size("_tokens") == 0, F.concat(F.lit("k"), T.norm_key(F.col("_text")))).otherwise(F.array_join("_tokens", ","))
     items = _classes(items, key, load)
-    buckets = items.select("_id", F.xxhash64("_g").alias("_seed"), "_load")
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
-            count += np.bincount(_bucket_values(batch)[1] & (SLOTS - 1), minlength=SLOTS)
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], names=["slot", "n"])
-
-    counts = buckets.mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # ``SLOTS`` rows at most
-    often = np.zeros(SLOTS, dtype=np.int64)
-    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    shared = items.sparkSession.sparkContext.broadcast(often)
-
-    def firsts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, value, sizes = _bucket_values(batch)
-            by = np.lexsort((value, shared.value[value & (SLOTS - 1)], row))
-            row, value = row[by], value[by]
-            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            most = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-            use = at < most[row]
-            row = row[use]
-            ids = batch["_id"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(value[use]), pa.array(sizes[row].astype(np.int32)), pa.array(at[use].astype(np.int32))], names=["_id", "_bucket", "_n", "_at"])
-
-    members = buckets.mapInArrow(firsts_of, "_id long, _bucket long, _n int, _at int")
-
-    def could(a: dict[str, Column], b: dict[str, Column]) -> Column:
-        return F.least(a["_n"], b["_n"]) >= threshold * F.greatest(a["_n"], b["_n"]) - 1e-9
-
-    def enough(n: Column, m: Column, at: Column, by: Column, common: Column) -> Column:
-        """What two items can have in common at most: the buckets they share, all of which are counted, and of what follows the last of
-        these no more than either has left, nor than lies outside the prefixes, as one of these ends before it."""
-        rest = lambda size: F.ceil(threshold * size - 1e-9) - 1
-        most = common + F.least(n - 1 - at, m - 1 - by, F.greatest(rest(n), rest(m)))
-        return most >= threshold / (1 + threshold) * (n + m) - 1e-9
-
-    def near(a: Column, b: Column) -> Column:
-        return T.jaccard(a, b) >= threshold
-
-    return _kept(items, members, could, enough, near, front).toDF(group, place, text)
-
-
-def _bucket_values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (.., _seed, _load): for each token the row, and a number for it within its group (splitmix64); tokens a row."""
-    loads = batch["_load"]
-    sizes = np.asarray(loads.value_lengths(), dtype=np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    x = np.asarray(loads.flatten(), dtype=np.int64).view(np.uint64) ^ batch["_seed"].to_numpy().view(np.uint64)[row]
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return row, (x ^ (x >> np.uint64(31))).view(np.int64), sizes
+    spare: list[str] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df, path = _written(df, name)
+        if name != "firsts-kept":
+            spare.append(path)
+        return df
+
+    def compare(both: DataFrame) -> DataFrame:
+        loads = items.select("_id", "_g", "_load")
+        mine = among(loads, both.select("_id"), "_id")
+        theirs = among(loads, both.select(F.col("_id_by").alias("_id")), "_id").select(F.col("_id").alias("_id_by"), F.col("_g").alias("_g_by"), F.col("_load").alias("_load_by"))
+        met = both.join(mine, "_id").join(theirs, "_id_by")
+        return met.where((F.col("_g") == F.col("_g_by")) & (T.jaccard(F.col("_load_by"), F.col("_load")) >= threshold)).select("_id", "_id_by")
+
+    made = items.where(F.size("_load") > 0).select("_id", F.xxhash64("_g").alias("_bucket"), "_load").mapInArrow(parity.bits, parity.BITS)
+    bits = written(made, "firsts-bits")
+    most = min(MOST, max(LEAST, -(-bits.count() // 24)))
+    large = bits.groupBy("_bucket").agg(F.ceil(F.count("*") / most).cast("int").alias("_of")).where("_of > 1").collect()  # a row for ``most`` items at most
+    parts = items.sparkSession.createDataFrame(large, "_bucket long, _of int")
+    todo, gone, pending = items.select("_id"), None, None
+    ranked = _parted(bits.drop("_bits"), parts).select("_id", "_bucket", "_n", F.lit(0).cast("long").alias("_at"), F.pmod(F.xxhash64("_id"), F.col("_of")).cast("int").alias("_rank"))
+    kept: list[DataFrame] = []
+    while True:
+        done = list(spare[1:])
+        ranked = written(ranked, "firsts-ranked")
+        pairs = _met(ranked, bits, parts, max([r["_of"] for r in large], default=1), threshold, front, written)
+        nth = F.row_number().over(Window.partitionBy("_id").orderBy("_id_by"))
+        met = written(pairs.withColumn("_nth", nth).where(F.col("_nth") <= front), "firsts-met")
+        links = written(compare(met.select("_id", "_id_by")), "firsts-links")
+        links = links if pending is None else links.union(pending)
+        more = met.where(F.col("_nth") == front).select("_id", (F.col("_id_by") + 1).alias("_at"))
+        waiting = written(links.select("_id").union(more.select("_id")).distinct(), "firsts-waiting")
+        kept.append(written(todo.join(waiting, "_id", "left_anti"), "firsts-kept"))
+        sure, gone, pending, todo = _decided(links, waiting, more.select("_id"), written)
+        kept += sure
+        if todo.isEmpty():
+            break
+        open_ = written(more.join(todo, "_id", "left_semi"), "firsts-open")
+        ranked = ranked.drop("_at").join(gone, "_id", "left_anti").join(open_, "_id", "left").select("_id", "_bucket", "_n", "_at", "_rank")
+        ranked = ranked.join(ranked.where("_at IS NOT NULL").select("_bucket").distinct(), "_bucket", "left_semi")
+        front *= 4
+        for path in done:  # what rounds before the last one read
+            delete_scratch(items.sparkSession, path)
+            spare.remove(path)
+    for path in spare:
+        delete_scratch(items.sparkSession, path)
+    chosen = kept[0]
+    for other in kept[1:]:
+        chosen = chosen.union(other)
+    return items.join(chosen, "_id", "left_semi").select("_group", "_place", "_text").toDF(group, place, text)
+
+
+def _parted(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """With the number of parts that the row's group is dealt to."""
+    return rows.join(F.broadcast(parts), "_bucket", "left").withColumn("_of", F.coalesce("_of", F.lit(1)))
+
+
+def _met(ranked: DataFrame, bits: DataFrame, parts: DataFrame, most: int, threshold: float, front: int, written: Callable) -> DataFrame:
+    """(_id, _id_by): of each open item (one with an ``_at``), at most ``front`` earlier ones a task that are near by their bits, from ``_at`` on.
+    A task has two parts of a group; ``ABREAST`` parts meet all others in a turn, so that an item is on disk for as many tasks and no more."""
+    spark, pairs = ranked.sparkSession, None
+    whole = _parted(ranked, parts).join(bits.select("_id", "_bits"), "_id")
+    for turn in range(0, most, ABREAST):
+        other = F.explode(F.sequence(F.lit(0), F.col("_of") - 1))
+        each = whole.where(F.col("_of") > turn).withColumn("_other", other).withColumn("_lo", F.least("_rank", "_other")).withColumn("_hi", F.greatest("_rank", "_other"))
+        each = each.where(F.col("_lo").between(turn, turn + ABREAST - 1)).select("_bucket", "_lo", "_hi", "_id", "_n", "_at", "_rank", "_bits")
+        tasks = min(ABREAST, most) * most * 2
+        dealt = each.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_bucket", "_lo", "_hi").sortWithinPartitions("_bucket", "_lo", "_hi")
+        part = written(dealt.mapInArrow(parity.meeting(threshold, front), "_id long, _id_by long"), "firsts-pairs")
+        pairs = part if pairs is None else pairs.union(part)
+    return pairs
+
+
+def _decided(links: DataFrame, waiting: DataFrame, more: DataFrame, written: Callable) -> tuple[list[DataFrame], DataFrame, DataFrame, DataFrame]:
+    """(kept, gone, links left, waiting left): an item goes that has a link to a kept one, and is kept once all it has links to are gone,
+    unless it has ``more`` to meet. Every item that is linked to and not waiting is kept. Many links are followed a step at a time, few at once by the driver."""
+    spark, kept, lost = waiting.sparkSession, [], []
+    theirs = lambda df: df.select(F.col("_id").alias("_id_by"))
+    while links.count() + waiting.count() > DRIVEN:
+        gone = written(links.join(theirs(waiting), "_id_by", "left_anti").select("_id").distinct(), "firsts-gone")
+        links = written(links.join(gone, "_id", "left_anti").join(theirs(gone), "_id_by", "left_anti").select("_id", "_id_by"), "firsts-left")
+        sure = written(waiting.join(gone, "_id", "left_anti").join(more, "_id", "left_anti").join(links.select("_id"), "_id", "left_anti"), "firsts-kept")
+        left = written(waiting.join(gone, "_id", "left_anti").join(sure, "_id", "left_anti"), "firsts-waiting")
+        kept.append(sure)
+        lost.append(gone)
+        still = sure.isEmpty() and gone.isEmpty()
+        waiting = left
+        if still:
+            break
+    else:
+        own, by = (links.toArrow()[c].to_numpy() for c in ("_id", "_id_by"))  # ``DRIVEN`` rows at most
+        mine = waiting.select("_id").toArrow()["_id"].to_numpy()
+        sure, gone, left, rest = parity.followed(own, by, mine, set(more.join(waiting, "_id", "left_semi").toArrow()["_id"].to_pylist()))
+        table = lambda **columns: spark.createDataFrame(pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()}))
+        kept.append(written(table(_id=sure), "firsts-kept"))
+        lost.append(written(table(_id=gone), "firsts-gone"))
+        waiting = written(table(_id=left), "firsts-waiting")
+        links = written(table(_id=own[rest], _id_by=by[rest]), "firsts-left")
+    all_gone = lost[0]
+    for other in lost[1:]:
+        all_gone = all_gone.union(other)
+    return kept, all_gone, links, waiting
 
 
 def told_once(rows: DataFrame, group: str, place: str, text: str, front: int = FRONT) -> DataFrame:
@@ -113,8 +165,8 @@ def told_once(rows: DataFrame, group: str, place: str, text: str, front: int = F
     heads = items.where(count > 0).select(F.xxhash64("_g", F.substring("_load", 1, HEAD)).alias("_bucket")).distinct()
     inner = among(items.select("_id", F.explode(windows).alias("_bucket")), heads, "_bucket").join(heads, "_bucket", "left_semi")
     start = items.select("_id", F.xxhash64(F.lit("start"), "_g", F.substring("_load", 1, START)).alias("_bucket"))
-    members = inner.select("_id", "_bucket").union(start).select("_id", "_bucket", F.lit(0).alias("_n"), F.lit(0).alias("_at"))
-    return _kept(items, members, lambda a, b: F.lit(True), None, T.overlap_keys, front).toDF(group, place, text)
+    members = inner.select("_id", "_bucket").union(start).select("_id", "_bucket")
+    return _kept(items, members, T.overlap_keys, front).toDF(group, place, text)
 
 
 def _items(rows: DataFrame, group: str, place: str, text: str, shown: Callable[[Column], Column]) -> DataFrame:
@@ -153,7 +205,7 @@ def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def _kept(items: DataFrame, members: DataFrame, could: Callable, enough: Callable | None, near: Callable[[Column, Column], Column], front: int) -> DataFrame:
+def _kept(items: DataFrame, members: DataFrame, near: Callable[[Column, Column], Column], front: int) -> DataFrame:
     """Group, place and text of the items kept.
 
     Ordered rounds over what is undecided, written each. An item of which every bucket holds at most
@@ -161,9 +213,8 @@ def _kept(items: DataFrame, members: DataFrame, could: Callable, enough: Callabl
     them is near, and what is near a kept one goes. The first undecided item
     is always such a one, and an item alone in its buckets is kept at once. A round compares at most ``front`` + 1 pairs a member, however
     large a bucket; where a round decides little, the next compares four times as many.
-    Pairs are counted over their buckets in ``TURNS`` turns, so that no more than a part of them is on disk; what ``enough`` leaves is compared. An undecided
-    item beside a met one shares only buckets in which they meet, so its count is full; others' links decide nothing in this round.
-    Members are (_id, _bucket, _n, _at); buckets of different groups may meet, their items don't.
+    Pairs are made in ``TURNS`` turns, so that no more than a part of their repeats is on disk.
+    Members are (_id, _bucket); buckets of different groups may meet, their items don't.
     """
     spark = items.sparkSession
     loads = items.select("_id", "_g", "_load")
@@ -182,15 +233,11 @@ def _kept(items: DataFrame, members: DataFrame, could: Callable, enough: Callabl
         within = Window.partitionBy("_bucket").orderBy("_id")
         placed = open_.withColumn("_rank", F.row_number().over(within)).withColumn("_next", F.lead("_id").over(within))
         ranked = written(placed.where((F.col("_rank") > 1) | F.col("_next").isNotNull()).drop("_next"), "firsts-ranked")
-        early = ranked.where(F.col("_rank") <= front + 1).select("_bucket", *[F.col(c).alias(f"{c}_by") for c in ("_id", "_rank", "_n", "_at")])
-        later, before = ({c: F.col(c + end) for c in ("_n", "_at")} for end in ("", "_by"))
+        early = ranked.where(F.col("_rank") <= front + 1).select("_bucket", *[F.col(c).alias(f"{c}_by") for c in ("_id", "_rank")])
         pairs = None
         for turn in range(TURNS):
             own = ranked.where(F.pmod(F.xxhash64("_id"), F.lit(TURNS)) == turn)
-            met_in = own.join(early, "_bucket").where((F.col("_rank_by") < F.col("_rank")) & could(before, later))
-            each = met_in.groupBy("_id", "_id_by").agg(*[F.max(c).alias(c) for c in ("_n", "_n_by", "_at", "_at_by")], F.count("*").alias("_c")) if enough else met_in
-            if enough:
-                each = each.where(enough(*map(F.col, ("_n", "_n_by", "_at", "_at_by", "_c"))))
+            each = own.join(early, "_bucket").where(F.col("_rank_by") < F.col("_rank"))
             part = written(each.select("_id", "_id_by").distinct(), "firsts-pairs")
             pairs = part if pairs is None else pairs.union(part)
         both = pairs.join(loads, "_id").join(loads.select(F.col("_id").alias("_id_by"), F.col("_g").alias("_g_by"), F.col("_load").alias("_load_by")), "_id_by")
