@@ -98,3 +98,20 @@ def test_an_edited_transcript_is_extracted_in_full(spark):
     run = measured.update(edited, prior, base, pipeline.Options(budget=1000))
     anew = {r["conv"]: (r["f"], r["n"]) for r in run.tables["records"].groupBy("conv").agg(F.sum("fresh").alias("f"), F.count("*").alias("n")).collect()}
     assert anew[0][0] == anew[0][1] and anew[1][0] == 1
+
+
+def test_grown_transcripts_are_made_once_and_chunks_cut_once(spark, monkeypatch):
+    made, plain = spark.sparkContext.accumulator(0), pipeline.grown
+
+    def grown(transcripts, ratio):
+        def seen(texts: pd.Series) -> pd.Series:
+            made.add(len(texts))
+            return texts
+
+        return plain(transcripts, ratio).withColumn("conversation", F.pandas_udf(seen, "string")("conversation"))
+
+    monkeypatch.setattr(pipeline, "grown", grown)
+    rows, _, _ = measured.compared(_transcripts(spark, 2), pipeline.Options(budget=1000))
+    assert rows.count() == 2 and made.value == 2
+    plan = pipeline.chunks(_transcripts(spark, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("chunk_total") > 0 and not any("aggregate(" in line for line in plan.splitlines() if "Filter" in line)

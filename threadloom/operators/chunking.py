@@ -89,7 +89,8 @@ def chunk_transcripts(df: DataFrame, key: str, text: str = "text", options: Chun
     short = F.length(bare) <= options.whole
     chunks = F.when(short, F.array(bare)).otherwise(with_overlap(paragraph_chunks(bare, options.chunk, options.shorten), options.overlap))
     cut = rows.select(key, F.when(short, F.lit("short_circuit")).otherwise(F.lit("paragraph_chunk_overlap")).alias("strategy"), chunks.alias("_c"))
-    flat = cut.select(key, "strategy", F.size("_c").alias("chunk_total"), F.posexplode("_c").alias("chunk_index", "chunk"))
+    # the outer form, though no list is empty: the other one gets a filter by size, below which all chunks are cut a second time
+    flat = cut.select(key, "strategy", F.size("_c").alias("chunk_total"), F.posexplode_outer("_c").alias("chunk_index", "chunk")).where("chunk IS NOT NULL")
     return flat.select(key, "chunk_index", "chunk_total", "strategy", "chunk", F.length("chunk").alias("n_chars"), T.content_hash(F.col("chunk")).alias("content_hash"))
 
 
