@@ -91,7 +91,7 @@ def compared(transcripts: DataFrame, options: pipeline.Options = pipeline.Option
 
     Rows: conv, calls_full, calls_incremental, quality_ratio, parity of three fields and same_action.
     """
-    path = scratch(transcripts.sparkSession, "grown")  # read by seven plans
+    path = scratch(transcripts.sparkSession, "grown")  # read by several plans
     grown = pipeline.grown(transcripts, ratio)
     grown.write.parquet(path)
     grown = transcripts.sparkSession.read.schema(grown.schema).parquet(path)
